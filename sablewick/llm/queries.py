@@ -26,9 +26,39 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    from sablewick.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` encoded and decoded."""
+    import public_tokenizers
+
+    from sablewick.llm.bpe import encoding_digests
+
+    return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text of ``documents``."""
+    import public_tokenizers
+
+    from sablewick.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_media_columns": op4_media_columns,
+    "op5_packing": op5_packing,
+    "op8_bpe": op8_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
