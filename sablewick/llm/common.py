@@ -48,14 +48,19 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def apart(*cols: str) -> Column:
-    """A join key derived from ``cols`` that no earlier exchange is partitioned by.
+def image(col: Column, kind: str = "string") -> Column:
+    """A one-to-one image of a join key that no earlier exchange is partitioned by.
 
-    An aggregate is partitioned by its grouping columns, and a join on those
-    would reuse that partitioning, which keeps adaptive execution from splitting
-    a skewed key.  Joining on this derived value exchanges both sides, so that a
-    key with a third of all rows is split over many tasks.
+    An aggregate is partitioned by its grouping columns, and a join that uses
+    any of those would reuse that partitioning, which keeps adaptive execution
+    from splitting a skewed key.  Joining on this image instead exchanges both
+    sides, so that a key with a third of all rows is split over many tasks.
     """
+    return F.concat(F.lit("="), col) if kind == "string" else F.bitwise_not(col)
+
+
+def apart(*cols: str) -> Column:
+    """A join key derived from ``cols`` that no earlier exchange is partitioned by."""
     return F.xxhash64(F.lit("apart"), *[F.col(c) for c in cols])
 
 
