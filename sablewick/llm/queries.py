@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +22,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of ``documents`` against an index that starts empty."""
     from sablewick.llm.exact_dedup import DigestIndex, exact_dedup
 
-    name = "sablewick_digests_" + hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark, name))
+    return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark, f"sablewick_digests_{uuid.uuid4().hex}"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
