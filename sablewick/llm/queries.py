@@ -25,6 +25,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark, f"sablewick_digests_{uuid.uuid4().hex}"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` linked by a shingle similarity of 0.8 or more: class and number of links of each."""
+    from sablewick.llm.ngram_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` stored as MPEG audio and read back."""
     from sablewick.llm.media import media_digests
@@ -88,6 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_media_columns": op4_media_columns,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
