@@ -77,12 +77,28 @@ def map_batches(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows of ``df``, whole and with their own columns, whose text ``keep`` approves of.
+
+    Rows pass through Python once and nothing is joined back, so columns of any
+    name are safe; a null text reaches ``keep`` as None.
+    """
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(keep(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of a batch as Python strings, null as empty."""
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``most_bytes``; one row is never cut."""
     import pyarrow.compute as pc
 
