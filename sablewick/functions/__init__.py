@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column expressions: names and ids, paths, text, vectors and embedding."""
