@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,10 +119,6 @@ def edit_calls(messages: DataFrame) -> DataFrame:
 
 def unified_diff(calls: DataFrame) -> DataFrame:
     """Each edit call with the unified diff of its two strings, in Arrow batches."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series(["".join(difflib.unified_diff((o or "").splitlines(True), (n or "").splitlines(True), f"a/{p}", f"b/{p}")) for p, o, n in zip(path, old, new)])

@@ -118,6 +118,7 @@ class CodeFiles(DataSource):
 def read_tree(spark, path: str, **options):
     """A DataFrame of the files below ``path``."""
     spark.dataSource.register(CodeFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("codefiles").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 
