@@ -45,7 +45,7 @@ WORD_BITS, GRAM_BITS, DIM, HIDDEN = 16, 17, 8, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE, EMBED_RATE = 4, 600, 32, 0.01, 0.005
 #: Least weight of a toxic text whose highest window stays low (labels hold some noise).
 LEAST_WEIGHT = 0.05
-BLOCK_WINDOWS, PART_CHARS = 4096, 1 << 20
+BLOCK_WINDOWS, BLOCK_WORDS, PART_CHARS = 4096, 1 << 16, 1 << 20
 U = np.uint64
 
 ALNUM = np.fromiter((chr(c).isalnum() for c in range(0x10000)), bool, 0x10000)
@@ -65,6 +65,12 @@ class Batch:
     word: np.ndarray  # bucket of each distinct word
     grams: list[np.ndarray]  # buckets per place (bucket 0: none), for n = 3, 4, 5
     first: np.ndarray  # where each distinct word's places begin
+    key: np.ndarray  # 64 bits of each distinct word
+
+    @property
+    def size(self) -> np.ndarray:
+        """Places of each distinct word."""
+        return np.diff(np.r_[self.first, len(self.grams[0])])
 
 
 def cut(texts: list[str]) -> Batch:
@@ -78,7 +84,7 @@ def cut(texts: list[str]) -> Batch:
     owner = np.searchsorted(begins, start, "right") - 1
     if not len(start):
         none = np.zeros(0, np.int64)
-        return Batch(np.zeros(len(texts), np.int64), none, none, [none] * 3, none)
+        return Batch(np.zeros(len(texts), np.int64), none, none, [none] * 3, none, np.zeros(0, U))
     size = stop - start
     chars = codes[inside].astype(U)
     at = np.cumsum(size) - size
@@ -107,7 +113,35 @@ def cut(texts: list[str]) -> Batch:
             bucket[len(padded) - k :] = 0
             bucket[: len(padded) - k][owner[: len(padded) - k] != owner[k:]] = 0
             grams.append(bucket)
-    return Batch(counts, which.astype(np.int64), _mix(key[one], WORD_BITS), grams, first)
+    return Batch(counts, which.astype(np.int32), _mix(key[one], WORD_BITS), [g.astype(np.int32) for g in grams], first, key[one])
+
+
+def places(b: Batch, words: np.ndarray) -> np.ndarray:
+    """The places of some distinct words, one word after another."""
+    size = b.size[words]
+    return np.repeat(b.first[words] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def cut_all(texts: list[str]) -> Batch:
+    """``cut`` for many texts, part by part, with their distinct words joined."""
+    some = [cut([texts[i] for i in part]) for part in parts(texts)]
+    key, one, back = np.unique(np.concatenate([b.key for b in some]), return_index=True, return_inverse=True)
+    begin = np.cumsum([0, *(len(b.key) for b in some)])
+    of = np.searchsorted(begin, one, "right") - 1
+    order = np.argsort(of, kind="stable")  # take each part's words together
+    rank = np.empty(len(one), np.int64)
+    rank[order] = np.arange(len(one))
+    word, grams, size = [], [[], [], []], []
+    for k, b in enumerate(some):
+        mine = one[order][of[order] == k] - begin[k]
+        at = places(b, mine)
+        word.append(b.word[mine])
+        size.append(b.size[mine])
+        for into, g in zip(grams, b.grams):
+            into.append(g[at])
+    size = np.concatenate(size)
+    which = [rank[back[begin[k] + b.which]].astype(np.int32) for k, b in enumerate(some)]
+    return Batch(np.concatenate([b.counts for b in some]), np.concatenate(which), np.concatenate(word), [np.concatenate(g) for g in grams], np.cumsum(size) - size, key[order])
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,8 +185,14 @@ class Network:
         """The joined word and character input of each distinct word."""
         if not len(b.first):
             return np.zeros((0, 2 * DIM), np.float32)
-        chars = np.add.reduceat(sum(self.p["gram"][g] for g in b.grams), b.first, axis=0)
-        return np.concatenate([self.p["word"][b.word], chars], axis=1)
+        out = np.empty((len(b.first), 2 * DIM), np.float32)
+        ends = np.r_[b.first, len(b.grams[0])]
+        for k in range(0, len(b.first), BLOCK_WORDS):
+            to = min(len(b.first), k + BLOCK_WORDS)
+            some = slice(ends[k], ends[to])
+            out[k:to, :DIM] = self.p["word"][b.word[k:to]]
+            out[k:to, DIM:] = np.add.reduceat(sum(self.p["gram"][g[some]] for g in b.grams), b.first[k:to] - ends[k], axis=0)
+        return out
 
     def forward(self, gates: np.ndarray, index: np.ndarray, length: np.ndarray, keep: bool = False):
         """Logits of windows given each distinct word's gate inputs; ``length`` must descend.
@@ -262,15 +302,34 @@ def parts(texts: list[str]):
         yield part
 
 
-def odds(buckets: np.ndarray, owner: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of buckets by how many toxic and clean texts hold them."""
-    pairs = np.unique(owner.astype(np.int64) * size + buckets)
-    bad = toxic[pairs // size]
-    share = [np.bincount((pairs % size)[bad == k], minlength=size) / max(1, (toxic == k).sum()) for k in (0, 1)]
+def odds(pairs, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log-odds of buckets by how many toxic and clean texts hold them.
+
+    ``pairs`` yields (bucket, text) arrays; no text may be in two of them.
+    """
+    held = np.zeros((2, size))
+    for bucket, owner in pairs:
+        both = np.unique(owner.astype(np.int64) * size + bucket)
+        bad = toxic[both // size]
+        for k in (0, 1):
+            held[k] += np.bincount((both % size)[bad == k], minlength=size)
+    share = [held[k] / max(1, (toxic == k).sum()) for k in (0, 1)]
     floor = 3 / max(3, min((toxic == 0).sum(), (toxic == 1).sum()))
     return np.log((share[1] + floor) / (share[0] + floor)).astype(np.float32)
 
 
+def held_grams(b: Batch, n: int, block: int = 64):
+    """(bucket, text) of the n-grams of each text's distinct words, for ``odds``."""
+    ends = np.cumsum(b.counts)
+    for k in range(0, len(b.counts), block):
+        to = min(len(b.counts), k + block)
+        first = ends[k] - b.counts[k]
+        owner = np.repeat(np.arange(k, to), b.counts[k:to])
+        both = np.unique(owner.astype(np.int64) * len(b.first) + b.which[first : ends[to - 1]])
+        words = both % len(b.first)
+        yield b.grams[n][places(b, words)], np.repeat(both // len(b.first), b.size[words])
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
     """Fit a network to texts and their 0/1 labels."""
     net, r = Network.fresh(seed), np.random.default_rng(seed)
@@ -278,19 +337,15 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if not len(toxic) or toxic.min() == toxic.max():
         net.constant = float(toxic[0]) if len(toxic) else 0.0
         return net
-    p, b = net.p, cut(texts)
-    owner = np.repeat(np.arange(len(texts)), b.counts)
-    p["word"][:, 0] = odds(b.word[b.which], owner, toxic, 1 << WORD_BITS)
-    spread = np.repeat(np.arange(len(b.first)), np.diff(np.r_[b.first, len(b.grams[0])]))
-    in_texts = np.unique(owner.astype(np.int64) * len(b.first) + b.which)
-    # Each (text, distinct word) pair brings that word's n-grams.
-    size = np.diff(np.r_[b.first, len(spread)])
-    words = in_texts % len(b.first)
-    at = np.repeat(b.first[words] - (np.cumsum(size[words]) - size[words]), size[words]) + np.arange(int(size[words].sum()))
-    holder = np.repeat(in_texts // len(b.first), size[words])
+    p, b = net.p, cut_all(texts)
+    if not len(b.first):
+        net.constant = float(toxic.mean() >= 0.5)
+        return net
+    owner, size = np.repeat(np.arange(len(texts)), b.counts), b.size
+    p["word"][:, 0] = odds([(b.word[b.which], owner)], toxic, 1 << WORD_BITS)
     gram_odds = np.zeros(1 << GRAM_BITS, np.float32)
-    for g in b.grams:
-        own = odds(g[at], holder, toxic, 1 << GRAM_BITS)
+    for n in range(3):
+        own = odds(held_grams(b, n), toxic, 1 << GRAM_BITS)
         gram_odds = np.where(np.abs(own) > np.abs(gram_odds), own, gram_odds)
     gram_odds[0] = 0
     p["gram"][:, 0] = 0.3 * gram_odds
@@ -322,8 +377,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             index = gather(b, base[some], length[some])
             distinct, index = np.unique(index, return_inverse=True)
             index = index.reshape(len(some), -1)
-            places = np.concatenate([np.arange(b.first[w], b.first[w] + size[w]) for w in distinct])
-            sub = Batch(b.counts, b.which, b.word[distinct], [g[places] for g in b.grams], np.cumsum(size[distinct]) - size[distinct])
+            at = places(b, distinct)
+            sub = Batch(b.counts, b.which, b.word[distinct], [g[at] for g in b.grams], np.cumsum(size[distinct]) - size[distinct], b.key[distinct])
             x = net.inputs(sub)
             logit, cache = net.forward(x @ p["w"] + p["b"], index, length[some], keep=True)
             grad = ((sigmoid(logit) - toxic[text[some]]) * trust[some] / len(some)).astype(np.float32)
