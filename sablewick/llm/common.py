@@ -59,11 +59,6 @@ def image(col: Column, kind: str = "string") -> Column:
     return F.concat(F.lit("="), col) if kind == "string" else F.bitwise_not(col)
 
 
-def apart(*cols: str) -> Column:
-    """A join key derived from ``cols`` that no earlier exchange is partitioned by."""
-    return F.xxhash64(F.lit("apart"), *[F.col(c) for c in cols])
-
-
 def map_batches(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBatch], dict | Iterable[dict]]) -> DataFrame:
     """``mapInArrow`` with a function from one record batch to columns (a dict of lists), or several of those."""
     arrow = to_arrow_schema(schema)

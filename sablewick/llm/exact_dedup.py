@@ -67,7 +67,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     when the digest entered the index if that was an earlier batch.
     """
     rows = common.written(docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256")), "digests")
-    groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Written, so that the optimiser cannot push the joins with the index below this aggregate: a join there would exchange every row.
+    groups = common.written(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     before = common.written(groups.join(index.read().hint("merge"), "text_sha256", "left_semi").select("text_sha256"), "known")
     index.add(groups)
     found = (
@@ -76,10 +77,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
         .join(before.withColumn("known", F.lit(True)), "text_sha256", "left")
         .select("text_sha256", "keep_id", (F.col("batch_size") + F.when(F.col("known"), F.col("group_size")).otherwise(0)).alias("group_size"))
     )
-    found = found.withColumn("apart", common.apart("text_sha256"))
+    found = found.select(common.image(F.col("text_sha256")).alias("image"), "keep_id", "group_size")
     return (
-        rows.withColumn("apart", common.apart("text_sha256"))
-        .join(found, ["apart", "text_sha256"])
+        rows.withColumn("image", common.image(F.col("text_sha256")))
+        .join(found, "image")
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
 
