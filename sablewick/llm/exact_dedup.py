@@ -92,11 +92,11 @@ def keep_one(docs: DataFrame, index: DigestIndex) -> DataFrame:
     repeated outright (same doc_id, equal text) pass a ``dropDuplicates``.
     """
     verdict = exact_dedup(docs, index).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies"))
-    verdict = common.written(verdict, "kept").select(F.col("doc_id").alias("__sw_id"), F.col("text_sha256").alias("__sw_sha"), F.col("copies").alias("__sw_n"))
-    own = docs.withColumn("__sw_own", text_digest(F.col("text")))
-    kept = own.join(verdict, F.col("doc_id").eqNullSafe(F.col("__sw_id")) & (F.col("__sw_own") == F.col("__sw_sha")))
-    single = kept.filter("__sw_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if verdict.filter("__sw_n > 1").isEmpty():
+    verdict = common.written(verdict, "kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "copies")
+    # Rows travel as one struct, so their columns' names cannot clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), text_digest(F.col("text")).alias("own"))
+    kept = rows.join(verdict, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha")))
+    single = kept.filter("copies = 1").select("row.*")
+    if verdict.filter("copies > 1").isEmpty():
         return single
-    again = kept.filter("__sw_n > 1").dropDuplicates(["__sw_id", "__sw_own"])
-    return single.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return single.unionByName(kept.filter("copies > 1").dropDuplicates(["own_id", "own"]).select("row.*"))

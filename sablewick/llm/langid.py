@@ -141,6 +141,8 @@ class Model:
 def learn(texts: list[str], languages: list[str], penalty: float = SWITCH_PENALTY) -> Model:
     """Count hashed trigrams and words per language."""
     names = sorted(set(languages))
+    if not names:
+        return Model([], np.zeros((1 << TRIGRAM_BITS, 0), np.float32), np.zeros((1 << WORD_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), np.zeros(0, np.int64), penalty)
     number = {n: k for k, n in enumerate(names)}
     tri = np.full((1 << TRIGRAM_BITS, len(names)), 0.05)
     word = np.full((1 << WORD_BITS, len(names)), 0.02)

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             F.xxhash64(*[F.get("a", i + k) for k in range(window)]).alias("high"),
             F.xxhash64(*[F.get("b", i + k) for k in range(window)]).alias("low"),
             F.array_min(F.array(*[F.struct(F.get("a", i + k).alias("hash"), F.lit(-k).alias("back")) for k in range(window)])).alias("least"),
-            F.greatest(*[F.get("says", i + k) for k in range(window)]).alias("says"),
+            F.array_max(F.array(*[F.get("says", i + k) for k in range(window)])).alias("says"),
         ),
     )
     flat = base.select("doc", "row", F.inline(entry)).filter("says")

@@ -14,8 +14,9 @@ Defined results
 * null text: the empty text; its payload is 64 zero bytes;
 * empty and very long payloads: at least one data frame; a frame holds at most
   ``FRAME_ROOM`` payload bytes, so memory grows with one document only;
-* damaged or foreign bytes: frames whose checksum fails are counted and left
-  out, unknown bytes before a confirmed header are skipped and counted;
+* damaged or foreign bytes: a header counts only if its frame's checksum holds
+  or another header (or the end) follows; frames whose checksum fails are
+  counted and left out, unknown bytes are skipped and counted;
 * equal payloads give equal bytes, so repeated rows and ties agree;
 * empty table: no rows; extra columns are ignored.
 """
@@ -143,6 +144,17 @@ def parse_header(head: bytes) -> tuple[int, int, bool, bool, int] | None:
     return 144 * BITRATES_KBPS[b] * 1000 // rate + (head[2] >> 1 & 1), rate, not head[1] & 1, head[3] >> 6 == 3, BITRATES_KBPS[b]
 
 
+def sound(data: bytes, at: int, h: tuple) -> bool:
+    """Whether a frame's checksum holds; false for a frame without one."""
+    main = at + 6 + SIDE_BYTES[h[3]]
+    return h[2] and crc16(data[at + 2 : at + 4] + data[at + 6 : main]) == int.from_bytes(data[at + 4 : at + 6])
+
+
+def follows(data: bytes, at: int, end: int) -> bool:
+    """Whether a frame that ends here is followed by another header, or by nothing."""
+    return at == end or parse_header(data[at : at + 4]) is not None
+
+
 def resynchronise(data: bytes, at: int) -> int:
     """The next position of a header that the following header, or the end, confirms; the length if there is none."""
     while (at := data.find(b"\xff", at)) >= 0:
@@ -174,7 +186,7 @@ def read(data: bytes) -> Audio:
     first = True
     while at + 4 <= end:
         h = parse_header(data[at : at + 4])
-        if h is None or at + h[0] > end:
+        if h is None or at + h[0] > end or not (sound(data, at, h) or follows(data, at + h[0], end)):
             new = resynchronise(data, at + 1)
             out.skipped += new - at
             at = new
@@ -189,7 +201,7 @@ def read(data: bytes) -> Audio:
                 out.table = (frames if flags & 1 else -1, total if flags & 2 else -1, data[main + 16 : main + 116] if flags & 4 else b"")
                 at += size
                 continue
-        if protected and crc16(data[at + 2 : at + 4] + data[at + 6 : main]) != int.from_bytes(data[at + 4 : at + 6]):
+        if protected and not sound(data, at, h):
             out.bad_crc += 1
         else:
             out.offsets.append(at)

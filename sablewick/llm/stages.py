@@ -18,7 +18,7 @@ from sablewick.llm.exact_dedup import DigestIndex, keep_one
 from sablewick.llm.ngram_join import THRESHOLD, jaccard_join
 
 #: A text is rejected if no language has this share of its letters.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 
 
 def keep_identified(docs: DataFrame, model: langid.Model, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -45,5 +45,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Keep one document, that with the smallest doc_id, of each group that near-copy links connect."""
-    stays = jaccard_join(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__sw_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__sw_id")), "left_semi")
+    stays = jaccard_join(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("id")).distinct()
+    # Rows travel as one struct, so their columns' names cannot clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"))
+    return rows.join(stays, F.col("own_id").eqNullSafe(F.col("id")), "left_semi").select("row.*")
