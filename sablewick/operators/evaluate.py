@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sablewick.functions import paths, values
@@ -136,3 +136,17 @@ def conversation_summary(turns: DataFrame, most_lines: int = 30) -> DataFrame:
     """One text per conversation: role and text of each turn, long texts cut to ``most_lines``."""
     said = F.concat(F.lit("["), "role", F.lit("] "), text_.first_lines(F.col("text"), most_lines))
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))), lambda x: x["said"]), "\n").alias("summary"))
+
+
+RESULT_SCHEMA = "instance_id string, hits array<string>, oracles array<string>, token_usage struct<input_tokens:long,output_tokens:long,total_tokens:long,max_single_turn_tokens:long>, tool_stats struct<tool_call_counts:map<string,int>,total_tool_calls:int>, retrieval_types array<string>"
+
+
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Evaluation results: one JSON object per file, or per line."""
+    return spark.read.schema(RESULT_SCHEMA).json(path, multiLine=not lines)
+
+
+def subset_statistics(subset: DataFrame, original: DataFrame) -> DataFrame:
+    """Rows in the subset and their share of the original in percent."""
+    n, of = subset.agg(F.count("*").alias("n")), original.agg(F.count("*").alias("of"))
+    return n.crossJoin(of).select("n", F.when(F.col("of") == 0, 0.0).otherwise(F.round(100 * F.col("n") / F.nullif("of", F.lit(0)), 1)).alias("percent"))  # one row each

@@ -20,28 +20,53 @@ from sablewick.operators import search as search_
 from sablewick.operators import split as split_
 from sablewick.operators import sync as sync_
 from sablewick.plans.filters import parse_filter
-from sablewick.sources import codefiles
+from sablewick.sources import codefiles, github
 from sablewick.sources.state import STATE, STATUS, Versioned, status_of, upsert
 from sablewick.sources.store import Store
 
 RESULTS = "content string, relative_path string, start_line long, end_line long, language string, score double"
 
 
+def setting(name: str, default: str | None = None, home: str | None = None) -> str | None:
+    """An environment variable, else the same name in ``<home>/.env``, else the default."""
+    if name in os.environ:
+        return os.environ[name]
+    path = os.path.join(home or os.path.expanduser("~/.context"), ".env")
+    if os.path.isfile(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                key, found, value = line.strip().partition("=")
+                if found and key == name:
+                    return value
+    return default
+
+
+def save_setting(name: str, value: str, home: str | None = None) -> None:
+    """Set a name in ``<home>/.env``, keeping the other lines."""
+    home = home or os.path.expanduser("~/.context")
+    os.makedirs(home, exist_ok=True)
+    path = os.path.join(home, ".env")
+    lines = open(path, encoding="utf-8").read().splitlines() if os.path.isfile(path) else []
+    kept = [line for line in lines if line.partition("=")[0] != name]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\n".join([*kept, f"{name}={value}"]) + "\n")
+
+
 @dataclass
 class Config:
-    """Settings; environment variables fill in what isn't given."""
+    """Settings; environment variables and ``~/.context/.env`` fill in what isn't given."""
 
-    hybrid: bool = field(default_factory=lambda: os.environ.get("HYBRID_MODE", "true").lower() == "true")
+    hybrid: bool = field(default_factory=lambda: (setting("HYBRID_MODE", "true") or "").lower() == "true")
     extensions: list[str] = field(default_factory=list)
     ignore: list[str] = field(default_factory=list)
     chunk_cap: int = values.CHUNK_CAP
     home: str = field(default_factory=lambda: os.path.expanduser("~/.context"))
 
     def all_extensions(self) -> list[str]:
-        return paths.merge_extensions(values.EXTENSIONS, self.extensions, paths.extensions_from_env(os.environ.get("CUSTOM_EXTENSIONS")))
+        return paths.merge_extensions(values.EXTENSIONS, self.extensions, paths.extensions_from_env(setting("CUSTOM_EXTENSIONS", home=self.home)))
 
     def all_ignored(self, root: str | None = None) -> list[str]:
-        own = [p.strip() for p in os.environ.get("CUSTOM_IGNORE_PATTERNS", "").split(",") if p.strip()]
+        own = [p.strip() for p in (setting("CUSTOM_IGNORE_PATTERNS", "", self.home) or "").split(",") if p.strip()]
         found = codefiles.root_ignore_patterns(root) if root and os.path.isdir(root) else []
         everywhere = os.path.join(self.home, ".contextignore")
         if os.path.isfile(everywhere):
@@ -146,6 +171,25 @@ class Engine:
         tell("Done", 100)
         return {"indexed_files": n_files, "total_chunks": n_chunks, "status": outcome}
 
+    def index_repo(self, get, owner: str, repo: str) -> dict:
+        """Index a hosted repository's default branch; ``get`` fetches parsed JSON by path."""
+        name = self.spark.range(1).select(ids.repo_collection(F.lit(f"{owner}/{repo}")).alias("n")).first()["n"]
+        self.store.drop(name)
+        self.store.create(name, self.embedder.dimension, self.config.hybrid, f"{owner}/{repo}")
+        files = github.repo_contents(github.repo_files(self.spark, get, owner, repo), get, owner, repo)
+        files = files.filter("content IS NOT NULL").withColumn("language", paths.language(F.col("relative_path")))
+        chunks = self.chunks(files, f"{owner}/{repo}", split_.Splitter("lines")).withColumn("id", ids.repo_chunk_id(F.col("relative_path"), F.col("pos")))
+        self.store.insert(name, self.embedded(chunks))
+        return {"collection": name, "total_chunks": self.store.count(name)}
+
+    def search_collection(self, name: str, query: str, k: int = 20, filter_expr: str | None = None) -> DataFrame:
+        """Search one collection by its name."""
+        if not self.store.has(name):
+            return self.spark.createDataFrame([], RESULTS)
+        docs, where = self.store.read(name), parse_filter(filter_expr)
+        top = search_.hybrid(docs, query, self.embedder.embed(query), k, where=where) if self.config.hybrid else search_.dense_topk(docs, self.embedder.embed(query), k, where=where).select("id", "score")
+        return search_.as_results(top, docs.withColumn("language", F.get_json_object("metadata", "$.language")))
+
     def sync(self, path: str) -> dict:
         """Bring the index up to date: {added, removed, modified}."""
         path = os.path.abspath(path)

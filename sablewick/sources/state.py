@@ -78,3 +78,31 @@ def recent(registry: DataFrame, n: int = 5) -> DataFrame:
 
 def younger(registry: DataFrame, now, days: int = 30) -> DataFrame:
     return registry.filter(F.col("indexed_at") > F.lit(now) - F.make_dt_interval(F.lit(days)))
+
+
+class Registry:
+    """The indexed repositories: newest entry of each, the five newest of all."""
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 5):
+        self.table, self.spark, self.keep = Versioned(spark, root, REGISTRY), spark, keep
+
+    def rows(self) -> DataFrame:
+        found = self.table.load("registry")
+        return found if found is not None else self.spark.createDataFrame([], REGISTRY)
+
+    def add(self, rows: DataFrame) -> None:
+        self.table.save("registry", recent(upsert(self.rows(), rows, "id"), self.keep))
+
+    def find(self, repo_id: str) -> DataFrame:
+        return self.rows().filter(F.col("id") == repo_id)
+
+    def remove(self, repo_id: str) -> None:
+        self.table.save("registry", self.rows().filter(F.col("id") != repo_id))
+
+    def touch(self, repo_id: str) -> None:
+        """Note that a repository was searched now."""
+        now = F.when(F.col("id") == repo_id, F.current_timestamp()).otherwise(F.col("last_search_at"))
+        self.table.save("registry", self.rows().withColumn("last_search_at", now))
+
+    def clean(self, now, days: int = 30) -> None:
+        self.table.save("registry", younger(self.rows(), now, days))

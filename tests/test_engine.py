@@ -175,3 +175,63 @@ def test_patches_and_edits(spark):
     assert [(r["pos"], r["path"]) for r in got] == [(0, "a.py"), (1, "b.py")]
     calls = spark.createDataFrame([("i", 0, "edit", '{"file_path":"a.py","old_string":"x","new_string":"y"}')], "instance_id string, seq int, tool string, arguments string")
     assert "-x" in evaluate.unified_diff(evaluate.edit_calls(calls)).first()["diff"]
+
+
+def test_tools(spark, tree, tmp_path):
+    from sablewick.plans.tools import Tools
+
+    t = Tools(Engine(spark, str(tmp_path / "home"), config=Config(hybrid=True, home=str(tmp_path))))
+    path = str(tree)
+    assert "not indexed" in t.call("get_indexing_status", {"path": path}) and "not indexed" in t.call("search_code", {"path": path, "query": "x"})
+    assert "Error" in t.call("nothing", {}) and "Error" in t.call("index_codebase", {"path": path + "/none"}) and "Error" in t.call("index_codebase", {"path": path, "splitter": "x"})
+    assert "Started" in t.call("index_codebase", {"path": path, "customExtensions": ["txt"]})
+    t.wait(path)
+    assert "7 files" in t.call("get_indexing_status", {"path": path})
+    assert "indexed already" in t.call("index_codebase", {"path": path})
+    assert "pkg/b.ts:1-" in t.call("search_code", {"path": path, "query": "function", "extensionFilter": [".ts"]})
+    assert "Error" in t.call("search_code", {"path": path, "query": "x", "extensionFilter": ["ts"]})
+    assert "Cleared" in t.call("clear_index", {"path": path}) and "Error" in t.call("clear_index", {"path": path})
+
+
+def test_settings(tmp_path, monkeypatch):
+    from sablewick.plans.engine import save_setting, setting
+
+    save_setting("A_NAME", "1", str(tmp_path))
+    save_setting("B_NAME", "x=y", str(tmp_path))
+    save_setting("A_NAME", "2", str(tmp_path))
+    assert setting("A_NAME", home=str(tmp_path)) == "2" and setting("B_NAME", home=str(tmp_path)) == "x=y" and setting("C_NAME", "d", str(tmp_path)) == "d"
+    monkeypatch.setenv("A_NAME", "3")
+    assert setting("A_NAME", home=str(tmp_path)) == "3"
+
+
+def test_repo_index_and_registry(spark, tmp_path):
+    text = "def cache_filler():\n    return 'fills the cache'\n" * 5
+
+    def get(path):
+        if path.endswith("/repos/o/r"):
+            return {"default_branch": "main"}
+        if "/git/trees/" in path:
+            return {"tree": [{"path": "src/a.py", "type": "blob"}]}
+        return {"content": base64.b64encode(text.encode()).decode()}
+
+    e = Engine(spark, str(tmp_path / "home"), config=Config(hybrid=True, home=str(tmp_path)))
+    done = e.index_repo(get, "o", "r")
+    assert done == {"collection": "chrome_repo_o_r", "total_chunks": 1}
+    assert e.search_collection("chrome_repo_o_r", "cache").first()["relative_path"] == "src/a.py" and e.search_collection("none", "x").count() == 0
+    reg = state.Registry(spark, str(tmp_path / "reg"), keep=2)
+    row = lambda i, t: spark.createDataFrame([(i, t)], "id string, t int").selectExpr("id", "timestamp_seconds(t) AS indexed_at")
+    for i, t in (("a", 1), ("b", 2), ("c", 3), ("b", 9)):
+        reg.add(row(i, t))
+    assert [r["id"] for r in reg.rows().orderBy("id").collect()] == ["b", "c"]
+    reg.touch("b")
+    assert reg.find("b").first()["last_search_at"] is not None
+    reg.remove("c")
+    assert reg.rows().count() == 1
+
+
+def test_result_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"instance_id":"i","hits":["/a"],"oracles":["a","b"],"token_usage":{"total_tokens":5},"tool_stats":{"tool_call_counts":{"edit":2},"total_tool_calls":2}}')
+    rows = evaluate.read_results(spark, str(tmp_path / "r.json"))
+    assert rows.first()["tool_stats"]["tool_call_counts"] == {"edit": 2}
+    assert evaluate.precision_recall_f1(rows).first()["recall"] == 0.5
+    assert evaluate.subset_statistics(rows, rows.union(rows).union(rows)).first()["percent"] == 33.3
