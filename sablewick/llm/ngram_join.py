@@ -281,3 +281,23 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
         )
     )
+
+
+ORACLE_SQL = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM words WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y, c = p.n AND c = q.n AS same FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y
+  WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+class AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS class_id FROM documents d LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id),
+copies AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(l.y), d.doc_id)) AS copies_id FROM documents d LEFT JOIN link l ON l.x = d.doc_id AND l.same GROUP BY d.doc_id)
+SELECT d.doc_id, any_value(class.class_id) AS class_id, any_value(d.copies_id) AS copies_id, count(l.y) AS n_links,
+       count(DISTINCT other.copies_id) FILTER (WHERE NOT l.same) AS n_text_links
+FROM copies d JOIN class USING (doc_id) LEFT JOIN link l ON l.x = d.doc_id LEFT JOIN copies other ON other.doc_id = l.y
+GROUP BY d.doc_id
+"""

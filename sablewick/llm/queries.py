@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sablewick.llm import line_dedup
+from sablewick.llm import chat, line_dedup, ngram_join
 from sablewick.llm.common import table
 
 
@@ -107,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op3_ngram_join": ngram_join.ORACLE_SQL,
+    "op7_chat_format": chat.ORACLE_SQL,
     "op2_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
