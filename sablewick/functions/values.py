@@ -51,3 +51,9 @@ REMOTE_EXTENSIONS = r"\.(ts|tsx|js|jsx|py|java|cpp|c|h|hpp|cs|go|rs|php|rb|swift
 LISTING_SKIPS = ("node_modules", "__pycache__", ".git", ".svn", ".hg", "venv", "env")
 LISTING_HIDDEN_KEPT = (".env", ".gitignore", ".gitattributes")
 TEST_WORDS = ("test", "tests", "testing")
+
+# Patterns for files named by edit results, edit calls and patches.
+EDIT_RESULT = r"Successfully modified file:\s*(.+?)(?:\s|$)"
+EDIT_CALL = r"(?i)edit.*?file_path[\"']?\s*:\s*[\"']([^\"']+)[\"']"
+PATCH_OLD_FILE = "--- a/(.+)"
+PATCH_HEADER = r"(?m)^diff --git a/(.*?) b/(.*?)$"

@@ -88,11 +88,11 @@ def python_files(files: DataFrame, with_tests: bool = True, path_col: str = "rel
 
 def oracle_files(patch: Column) -> Column:
     """Distinct files a patch changes (not those it creates)."""
-    return F.array_distinct(F.regexp_extract_all(patch, F.lit("--- a/(.+)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(patch, F.lit(values.PATCH_OLD_FILE), F.lit(1)))
 
 
 def patch_files(patch: Column) -> Column:
-    return F.regexp_extract_all(patch, F.lit(r"(?m)^diff --git a/(.*?) b/(.*?)$"), F.lit(1))
+    return F.regexp_extract_all(patch, F.lit(values.PATCH_HEADER), F.lit(1))
 
 
 def instance_subset(instances: DataFrame, difficulty: str = "15 min - 1 hour", n_files: int = 2) -> DataFrame:
@@ -102,8 +102,8 @@ def instance_subset(instances: DataFrame, difficulty: str = "15 min - 1 hour", n
 def edited_files(messages: DataFrame, root: str) -> DataFrame:
     """(instance_id, pos, path): files named by edit results or edit calls, each once, in order."""
     line = messages.select("instance_id", "seq", F.posexplode(text_.lines(F.col("content"))).alias("line", "said"))
-    result = F.regexp_extract("said", r"Successfully modified file:\s*(.+?)(?:\s|$)", 1)
-    call = F.regexp_extract("said", r"(?i)edit.*?file_path[\"']?\s*:\s*[\"']([^\"']+)[\"']", 1)
+    result = F.regexp_extract("said", values.EDIT_RESULT, 1)
+    call = F.regexp_extract("said", values.EDIT_CALL, 1)
     both = line.select("instance_id", "seq", "line", F.posexplode(F.array(result, call)).alias("k", "path")).filter("path <> ''")
     base = root.rstrip("/") + "/"
     both = both.withColumn("path", F.when(F.col("path").startswith(base), F.expr(f"substring(path, {len(base) + 1})")).otherwise(F.col("path")))

@@ -69,9 +69,10 @@ def bm25(docs: DataFrame, query: str, *, id_col: str = "id", text_col: str = "co
         return F.size(F.filter(F.col("__own"), lambda t: t == term))
 
     def counted(df: DataFrame) -> DataFrame:
-        toks = text_.tokens(F.col(text_col))
-        own = F.filter(toks, lambda t: t.isin(terms))
-        return df.withColumn("__n", F.size(toks)).withColumn("__own", own).withColumn("__tf", F.array(*[times(w) for w in terms]))
+        # Each step is its own projection, so that a text is tokenised once.
+        cut = df.withColumn("__toks", text_.tokens(F.col(text_col)))
+        cut = cut.withColumn("__n", F.size("__toks")).withColumn("__own", F.filter("__toks", lambda t: t.isin(terms)))
+        return cut.drop("__toks").withColumn("__tf", F.array(*[times(w) for w in terms]))
 
     corpus = counted(docs if stats is None else stats)
     totals = corpus.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__avg"), F.array(*[F.sum((F.col("__tf")[i] > 0).cast("long")) for i in range(len(terms))]).alias("__df"))
