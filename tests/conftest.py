@@ -1,6 +1,7 @@
 """One local session for all tests."""
 
 import os
+import shutil
 import sys
 
 import pytest
@@ -25,6 +26,8 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    session.stop()
+    shutil.rmtree("/tmp/sablewick-tests", ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
