@@ -260,8 +260,9 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 def learn_from(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, penalty: float = SWITCH_PENALTY) -> Model:
     """Learn from at most ``sample_docs`` labelled rows outside the held-out quarter."""
-    rows = docs.filter((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    some = rows.select("text", "lang", F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(sample_docs).select("text", "lang").toArrow()
+    rows = docs.filter((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    total = rows.select("doc_id", "lang").count()
+    some = common.bounded_sample(rows.select("text", "lang"), sample_docs, total, F.coalesce("text", F.lit(""))).filter("text IS NOT NULL").toArrow()
     return learn(some["text"].to_pylist(), some["lang"].to_pylist(), penalty)
 
 

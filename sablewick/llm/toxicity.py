@@ -405,7 +405,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     """Train on at most ``sample_docs`` labelled rows of each class outside the held-out fifth."""
     known = labels.filter((remainder(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("id"))
-    some = known.filter("toxic = 1").orderBy("h").limit(sample_docs).unionByName(known.filter("toxic = 0").orderBy("h").limit(sample_docs))
+    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+    bad, fine = (common.bounded_sample(known.filter(F.col("toxic") == k), sample_docs, totals.get(k, 0), F.col("id")) for k in (1, 0))
+    some = bad.unionByName(fine)
     # At most 2 * sample_docs short rows: a size that doesn't grow with the input.
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("h", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
     return train(rows["text"].to_pylist(), rows["toxic"].to_pylist())
