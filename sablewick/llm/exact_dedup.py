@@ -37,13 +37,22 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed table ``(text_sha256, keep_id, group_size)`` in the catalogue."""
+    """A bucketed table ``(text_sha256, keep_id, group_size)``.
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+    With ``path`` the table lies there: another session, whose catalogue does
+    not know it, opens the same index by giving the same path and number of
+    buckets.  Without, it is a managed table of the catalogue.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None):
         self.spark, self.name = spark, name
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(name):
-            self._append(spark.createDataFrame([], "text_sha256 string, keep_id long, group_size long"))
+            place = f" LOCATION '{path}'" if path else ""
+            spark.sql(
+                f"CREATE TABLE {name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
+                f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS{place}"
+            )
 
     def _append(self, rows: DataFrame) -> None:
         (rows.write.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.name))

@@ -109,6 +109,17 @@ def test_index_persists(spark):
     index.drop()
 
 
+def test_index_opens_by_path(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    index = DigestIndex(spark, name(), 4, str(tmp_path / "index"))
+    assert exact_dedup(rows, index).count() == 2
+    index.drop()  # the catalogue forgets the table, its files stay
+    again = DigestIndex(spark, name(), 4, str(tmp_path / "index"))
+    assert again.read().count() == 2
+    assert not exact_dedup(rows.withColumn("doc_id", rows.doc_id + 5), again).first()["kept"]
+    again.drop()
+
+
 def test_index_plan_is_merge_and_bucketed(spark):
     index = DigestIndex(spark, name(), 4)
     known = index.read().select("text_sha256").hint("merge")
