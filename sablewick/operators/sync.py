@@ -6,6 +6,10 @@ on the path or an anti-join; nothing is held in driver memory.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +40,19 @@ def merkle_nodes(state: DataFrame) -> DataFrame:
 def merkle_root(state: DataFrame) -> DataFrame:
     """One row: SHA-256 of ``root:`` and all file hashes in path order.
 
-    Its input is one 64-character hash per file, gathered for one digest: that
-    is what the definition asks for.  ``bucketed_root`` is the form for very
-    large trees.
+    The definition is one digest over all hashes, so one task reads them; it
+    sorts them with spilling and hashes them as a stream, and never holds them.
+    ``bucketed_root`` is the parallel form for very large trees.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("relative_path", "hash")))
-    return state.agg(F.sha2(F.concat(F.lit("root:"), F.array_join(F.transform(ordered, lambda x: x["hash"]), "")), 256).alias("root"))
+    ordered = state.select("relative_path", "hash").repartition(1).sortWithinPartitions("relative_path", "hash").select("hash")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = hashlib.sha256(b"root:")
+        for batch in batches:
+            root.update("".join(batch.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_pydict({"root": [root.hexdigest()]})
+
+    return ordered.mapInArrow(digest, "root string")
 
 
 def bucketed_root(state: DataFrame, buckets: int = 4096) -> DataFrame:
