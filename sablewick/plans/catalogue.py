@@ -180,8 +180,10 @@ asked AS (SELECT k, sum(s) AS qw FROM (
   SELECT ('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM} AS k, CASE WHEN ('0x' || substr(md5(term), 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS s
   FROM (SELECT unnest([{", ".join(repr(t) for t in TERMS)}]) AS term)) GROUP BY k),
 asked_norm AS (SELECT sqrt(sum(qw * qw)) AS qn FROM asked),
-dense AS (SELECT doc_id, coalesce(sum(w * qw), 0) / any_value(n * qn) AS score
-          FROM norm JOIN weight USING (doc_id) LEFT JOIN asked USING (k), asked_norm WHERE n > 0 GROUP BY doc_id)"""
+unit AS (SELECT doc_id, k, (w / n)::FLOAT::DOUBLE AS f FROM weight JOIN norm USING (doc_id) WHERE n > 0),
+asked_unit AS (SELECT k, qw / qn AS q FROM asked, asked_norm),
+dense AS (SELECT doc_id, coalesce(sum(f * q), 0) / (sqrt(sum(f * f)) * (SELECT sqrt(sum(q * q)) FROM asked_unit)) AS score
+          FROM unit LEFT JOIN asked_unit USING (k) GROUP BY doc_id)"""
 
 
 def _embedded(spark, sf_dir) -> DataFrame:
@@ -194,10 +196,10 @@ def hash_embed(spark, sf_dir):
     return rows.select("doc_id", F.col("k").cast("long").alias("k"), F.round(F.col("x").cast("double"), 5).alias("weight"))
 
 
-@query(f"WITH {EMBED_SQL} SELECT doc_id, round(score::DOUBLE, 5) AS score FROM dense ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
+@query(f"WITH {EMBED_SQL} SELECT doc_id, round(score, 6) AS score FROM dense ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
 def hash_dense_topk(spark, sf_dir):
     docs = _embedded(spark, sf_dir).withColumn("score", F.round(cosine(F.col("vector"), F.array(*[F.lit(x) for x in HashEmbedder(DIM).embed(QUESTION)])), 6))
-    return docs.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", F.round("score", 5).alias("score"))
+    return docs.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
 
 
 def _legs(spark, sf_dir, k: int):
