@@ -21,11 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``.  Where that is unset (in
-    tests and on a single machine) a folder of this application under the
-    warehouse is used, never a machine-local temporary folder.
+    tests and on a single machine) a folder of this application in the
+    warehouse is used, never a machine-local temporary folder.  What is written
+    stays until ``clear_scratch``, since results read it lazily.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    root = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+    root = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/sablewick-{spark.sparkContext.applicationId}"
 
 
@@ -59,9 +60,21 @@ def image(col: Column, kind: str = "string") -> Column:
     return F.concat(F.lit("="), col) if kind == "string" else F.bitwise_not(col)
 
 
+#: Rows and bytes of one record batch on its way to Python: the session's default, and ours.
+BATCH_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep record batches small where the session leaves them at their defaults, since texts can be long."""
+    for key, (default, ours) in BATCH_BOUNDS.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 def map_batches(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBatch], dict | Iterable[dict]]) -> DataFrame:
     """``mapInArrow`` with a function from one record batch to columns (a dict of lists), or several of those."""
     arrow = to_arrow_schema(schema)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,6 +104,7 @@ def keep_rows(df: DataFrame, text: str, keep: Callable[[list[str]], list[bool]])
     name are safe; a null text reaches ``keep`` as None.
     """
     at = df.columns.index(text)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +119,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``most_bytes``; one row is never cut."""
     import pyarrow.compute as pc
 

@@ -39,7 +39,7 @@ from sablewick.llm import common
 UNKNOWN = "und"
 SAMPLE_DOCS, SWITCH_PENALTY = 4000, 10.0
 TRIGRAM_BITS, WORD_BITS = 17, 18
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 
 # First and last code points of scripts, after the Unicode standard.
 SCRIPT_RANGES = {
@@ -275,7 +275,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: hashed tables per language
 
     def work(batch: pa.RecordBatch):
-        for part in common.slices(batch, "text", 12 << 20):
+        for part in common.slices(batch, "text", 4 << 20):
             languages, scores = predict(shared.value, common.texts_of(part.column(1)))
             yield {"doc_id": part.column(0), "held_out": part.column(2), "lang_pred": languages, "score": scores}
 
@@ -289,7 +289,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batch: pa.RecordBatch):
         m = shared.value
-        for part in common.slices(batch, "text", 12 << 20):
+        for part in common.slices(batch, "text", 4 << 20):
             ids = part.column(0).to_pylist()
             done = label(m, common.texts_of(part.column(1)))
             text, start, stop = (np.concatenate([getattr(w, k) for w in done.words]) if done.words else np.zeros(0, np.int64) for k in ("text", "start", "stop"))

@@ -45,7 +45,7 @@ WORD_BITS, GRAM_BITS, DIM, HIDDEN = 16, 17, 8, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE, EMBED_RATE = 4, 600, 32, 0.01, 0.005
 #: Least weight of a toxic text whose highest window stays low (labels hold some noise).
 LEAST_WEIGHT = 0.05
-BLOCK_WINDOWS, BLOCK_WORDS, PART_CHARS = 4096, 1 << 16, 1 << 20
+BLOCK_WINDOWS, BLOCK_WORDS, PART_CHARS = 4096, 1 << 16, 1 << 19
 U = np.uint64
 
 ALNUM = np.fromiter((chr(c).isalnum() for c in range(0x10000)), bool, 0x10000)
