@@ -13,6 +13,11 @@ The result is exact: a line goes if and only if a window of ``window``
 consecutive lines that covers it has an equal window at an earlier place.
 Windows are told apart by 128 bits.
 
+With ``long_lines`` a line that is long by itself (over ``LONG_WORDS`` words, or
+over ``LONG_CHARS`` characters, for scripts that set no spaces) is a window of its
+own besides, so it also goes if an equal line stands at an earlier place, in texts
+of one line too.
+
 Only DataFrame functions are used, all of them linear in a text's lines.
 Fingerprints and windows are pre-aggregated before their exchange, and look-ups
 join on an image of the key so that a line shared by a third of all documents is
@@ -21,8 +26,8 @@ split over many tasks.
 Defined results
 ---------------
 * null text: the empty text (one empty line), nothing removed;
-* texts of fewer lines than the window: unchanged; windows of blank lines only
-  are no repeats;
+* texts of fewer lines than the window: unchanged, but for long lines; windows of
+  blank lines only are no repeats;
 * ties: the smallest doc_id, then the text's hash, then the earliest line is
   the first place; a null doc_id counts as smallest;
 * repeated rows (same doc_id and text): one place, so they don't delete each
@@ -39,40 +44,57 @@ from pyspark.sql import types as T
 from sablewick.llm import common
 
 WINDOW = 2
+#: A line of more words or more characters than these is long by itself.
+LONG_WORDS, LONG_CHARS = 50, 300
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per window: doc, row, where it begins (``at``), its 128 bits, and the fingerprint it selects (``print``, at ``line``)."""
+def _long(line: Column) -> Column:
+    words = F.regexp_count(line, F.lit("[^ \\t\\r]+"))  # over LONG_WORDS words take over twice as many characters
+    return (F.length(line) > LONG_CHARS) | ((F.length(line) > 2 * LONG_WORDS) & (words > LONG_WORDS))
+
+
+def fingerprints(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
+    """One row per window: doc, row, where it begins (``at``), its lines (``width``), its 128 bits, and the fingerprint it selects (``print``, at ``line``)."""
     base = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), _lines(F.col("text")).alias("lines"))
-    base = base.filter(F.size("lines") >= window).select(
+    base = base.select(
         "doc",
         "row",
         F.transform("lines", lambda x: F.xxhash64(x)).alias("a"),
         F.transform("lines", lambda x: F.xxhash64(F.lit(7), x)).alias("b"),
         F.transform("lines", lambda x: F.trim(x) != "").alias("says"),
+        *([F.transform("lines", lambda x: _long(x)).alias("long")] if long_lines else []),
     )
+    if not long_lines:
+        base = base.filter(F.size("a") >= window)
+
     # One entry for each window: where it begins, its own 128 bits, and its smallest line hash.
-    entry = F.transform(
-        F.sequence(F.lit(0), F.size("a") - window),
-        lambda i: F.struct(
+    def entry(i: Column, width: int) -> Column:
+        return F.struct(
             i.alias("at"),
-            F.xxhash64(*[F.get("a", i + k) for k in range(window)]).alias("high"),
-            F.xxhash64(*[F.get("b", i + k) for k in range(window)]).alias("low"),
-            F.array_min(F.array(*[F.struct(F.get("a", i + k).alias("hash"), F.lit(-k).alias("back")) for k in range(window)])).alias("least"),
-            F.array_max(F.array(*[F.get("says", i + k) for k in range(window)])).alias("says"),
-        ),
-    )
-    flat = base.select("doc", "row", F.inline(entry)).filter("says")
-    return flat.select("doc", "row", "at", "high", "low", F.col("least.hash").alias("print"), (F.col("at") - F.col("least.back")).alias("line"))
-
-
-def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+            F.lit(width).alias("width"),
+            F.xxhash64(*[F.get("a", i + k) for k in range(width)]).alias("high"),
+            F.xxhash64(*[F.get("b", i + k) for k in range(width)]).alias("low"),
+            F.array_min(F.array(*[F.struct(F.get("a", i + k).alias("hash"), F.lit(-k).alias("back")) for k in range(width)])).alias("least"),
+            F.array_max(F.array(*[F.get("says", i + k) for k in range(width)])).alias("says"),
+        )
+
+    # Indices of the windows; a text of fewer lines has none.
+    starts = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: i <= F.size("a") - window)
+    entries = F.transform(starts, lambda i: entry(i, window))
+    if long_lines:
+        alone = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: F.get("long", i))
+        entries = F.concat(entries, F.transform(alone, lambda i: entry(i, 1)))
+    flat = base.select("doc", "row", F.inline(entries)).filter("says")
+    return flat.select("doc", "row", "at", "width", "high", "low", F.col("least.hash").alias("print"), (F.col("at") - F.col("least.back")).alias("line"))
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
     """(doc, row, runs): the maximal runs to delete of each document that has any, as sorted (first, last) lines."""
-    found = common.written(fingerprints(docs, window), "fingerprints")
+    found = common.written(fingerprints(docs, window, long_lines), "fingerprints")
     # A fingerprint at one place only is part of no repeat.
     spot = F.struct("doc", "row", "line")
     often = found.groupBy("print").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
@@ -90,18 +112,20 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .join(first, ["h", "l"])
         .filter(~place.eqNullSafe(F.col("origin")))
         .groupBy("doc", "row")
-        .agg(F.array_sort(F.collect_set("at")).alias("at"))
+        .agg(F.collect_set(F.struct("at", "width")).alias("windows"))
     )
-    # Starts closer than a window merge: a run begins where the gap to the start before is larger, and ends likewise.
+    # The lines that any window covers; a run begins after a gap, and ends before one.
+    covered = F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1)))
+    later = later.select("doc", "row", F.array_sort(F.array_distinct(covered)).alias("at"))
     n = F.size("at")
-    begins = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > window))
-    ends = F.filter("at", lambda x, i: (i == n - 1) | (F.get("at", i + 1) - x > window))
-    return later.select("doc", "row", F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("first"), (e + window - 1).alias("last"))).alias("runs"))
+    begins = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > 1))
+    ends = F.filter("at", lambda x, i: (i == n - 1) | (F.get("at", i + 1) - x > 1))
+    return later.select("doc", "row", F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("first"), e.alias("last"))).alias("runs"))
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
     """doc_id, n_lines, runs (what was removed) and the remaining text, one row per input row."""
-    runs = repeated_runs(docs, window)
+    runs = repeated_runs(docs, window, long_lines)
     own = docs.select("doc_id", F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
     both = own.join(runs, F.col("doc_id").eqNullSafe(F.col("doc")) & (own["row"] == runs["row"]), "left").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), _lines(F.col("text")).alias("lines"), F.coalesce("runs", F.array().cast(runs.schema["runs"].dataType)).alias("runs")
@@ -122,9 +146,9 @@ def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def line_dedup_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def line_dedup_digest(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (``first-last`` joined by ``;``) and the remaining text's SHA-256."""
-    done = line_dedup(docs, window)
+    done = line_dedup(docs, window, long_lines)
     spans = F.transform("runs", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string")))
     return done.select(
         "doc_id",
@@ -158,3 +182,31 @@ SELECT h.doc_id, max(h.n) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
 FROM hit h LEFT JOIN spans s USING (doc_id) GROUP BY h.doc_id
 """
+
+LONG_ORACLE_SQL = """
+WITH line AS (
+  SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS pos, unnest(parts) AS line, len(parts) AS n
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+win AS (
+  SELECT doc_id, pos, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM line),
+ranked AS (
+  SELECT doc_id, pos,
+         (trim(line, ' ') <> '' OR trim(following, ' ') <> '')
+         AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) > 1 AS repeat_here
+  FROM win WHERE following IS NOT NULL),
+alone AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) > 1 AS repeat_line
+  FROM line WHERE trim(line, ' ') <> '' AND (length(line) > 300 OR len(regexp_extract_all(line, '[^ \\t\\r]+')) > 50)),
+hit AS (
+  SELECT l.doc_id, l.pos, l.line, l.n,
+         coalesce(r.repeat_here, false) OR coalesce(lag(r.repeat_here) OVER (PARTITION BY l.doc_id ORDER BY l.pos), false)
+         OR coalesce(s.repeat_line, false) AS gone
+  FROM line l LEFT JOIN ranked r USING (doc_id, pos) LEFT JOIN alone s USING (doc_id, pos)),
+run AS (
+  SELECT doc_id, min(pos) AS a, max(pos) AS b
+  FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM hit WHERE gone) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, string_agg(a || '-' || b, ';' ORDER BY a) AS removed FROM run GROUP BY doc_id)
+SELECT h.doc_id, max(h.n) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(max(s.removed), '') AS removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM hit h LEFT JOIN spans s USING (doc_id) GROUP BY h.doc_id
+"""

@@ -18,6 +18,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with repeats of single long lines and of one-line ``documents`` removed too."""
+    from sablewick.llm.line_dedup import line_dedup_digest
+
+    return line_dedup_digest(table(spark, sf_dir, "documents"), long_lines=True)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of ``documents`` against an index that starts empty."""
     from sablewick.llm.exact_dedup import DigestIndex, exact_dedup
@@ -94,6 +101,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_long_line_dedup": op1_long_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_media_columns": op4_media_columns,
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op1_long_line_dedup": line_dedup.LONG_ORACLE_SQL,
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op2_exact_dedup": """

@@ -74,6 +74,16 @@ def test_line_dedup_awkward(awkward, nothing):
     assert line_dedup_digest(nothing).count() == 0
 
 
+def test_line_dedup_long_lines(spark, nothing):
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    long, short, unspaced = words(51), words(50), "\u6587" * 301
+    docs = [(1, long), (2, f"a\n{long}\nb"), (3, long), (4, short), (5, short), (6, unspaced), (7, unspaced), (8, " " * 400), (9, " " * 400), (10, f"{long}\n{long}\nc")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup_digest(df, long_lines=True).collect()}
+    assert got == {1: "", 2: "1-1", 3: "0-0", 4: "", 5: "", 6: "", 7: "0-0", 8: "", 9: "", 10: "0-1"}
+    assert line_dedup_digest(nothing, long_lines=True).count() == 0
+
+
 # ---------------------------------------------------------------- exact
 
 
