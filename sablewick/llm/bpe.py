@@ -11,7 +11,8 @@ spine, counted in len(a).  ``sufficient_lookahead`` finds it in one pass.
 ``StreamingEncoder`` holds the bytes of the unfinished pre-token only: once its
 buffer is longer than the lookahead, tokens that end before the last
 ``lookahead`` bytes are stable and are emitted.  ``StreamingDecoder`` turns
-byte-level tokens into text with an incremental UTF-8 state machine.
+byte-level tokens into text with an incremental UTF-8 state machine;
+``JoinedDecoder`` turns emitted ids into the library's decoded text, part by part.
 
 A transducer's output for a whole short pre-token depends on that pre-token
 only, so it is kept in a table of bounded size.
@@ -160,27 +161,46 @@ class StreamingDecoder:
         return self.state.decode(b"", True)
 
 
+class JoinedDecoder:
+    """Ids to the text that the library decodes from them: tokens joined by spaces, ids in parts."""
+
+    def __init__(self, names: dict[int, str]):
+        self.names, self.begun = names, False
+
+    def push(self, ids: bytes) -> str:
+        """Feed little-endian ids; returns the text that they add."""
+        get = self.names.get
+        tokens = [t for i in struct.unpack(f"<{len(ids) // 4}I", ids) if (t := get(i)) is not None]
+        if not tokens:
+            return ""
+        joined = " ".join(tokens)
+        if self.begun:
+            return " " + joined
+        self.begun = True
+        return joined
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
     def __init__(self, path: str):
         self.cutter = pretokenizer(path)
         self.merges = Merges(self.cutter.spec)
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def tokens(self, piece: str) -> list[str]:
         """The tokens of one pre-token, streamed."""
         stream = StreamingEncoder(self.merges)
         return stream.push(printable(piece.encode())) + stream.finish()
 
-    def output(self, piece: str) -> tuple[bytes, str]:
-        """Ids (little-endian) and the tokens joined as the library joins them, of one pre-token."""
+    def output(self, piece: str) -> bytes:
+        """Ids (little-endian) of one pre-token."""
         found = self.kept.get(piece)
         if found is None:
-            tokens, ids = self.tokens(piece), self.merges.ids
+            ids = self.merges.ids
             # A symbol that the vocabulary lacks has no id: the library drops it, as there is no unknown token.
-            tokens = [t for t in tokens if t in ids]
-            found = struct.pack(f"<{len(tokens)}I", *[ids[t] for t in tokens]), " ".join(tokens)
+            numbers = [ids[t] for t in self.tokens(piece) if t in ids]
+            found = struct.pack(f"<{len(numbers)}I", *numbers)
             if len(piece) <= KEPT_CHARS:
                 if len(self.kept) >= KEPT:
                     self.kept.clear()
@@ -188,17 +208,17 @@ class Codec:
         return found
 
     def stream(self, text: str):
-        """(ids as bytes, joined tokens) for each part of a text, in order."""
+        """Ids as bytes for each part of a text, in order."""
         get, output = self.kept.get, self.output
         for segment in self.cutter.segments(text):
             if isinstance(segment, int):
-                yield struct.pack("<I", segment), self.merges.names[segment]
+                yield struct.pack("<I", segment)
             elif segment:
-                pairs = [get(p) or output(p) for p in segment]
-                yield b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs if p[0]])
+                # A pre-token of no ids is kept as empty bytes, so None alone means not kept.
+                yield b"".join([output(p) if (ids := get(p)) is None else ids for p in segment])
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.stream(text) for i in struct.unpack(f"<{len(ids) // 4}I", ids)]
+        return [i for ids in self.stream(text) for i in struct.unpack(f"<{len(ids) // 4}I", ids)]
 
     def decode_joined(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: the tokens, joined by spaces."""
@@ -234,7 +254,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """Digests of each text's ids and of the text that the library's decode gives for them.
 
-    Ids and tokens are hashed as the transducer emits them, so a text's whole
+    Ids are hashed and decoded as the transducer emits them, so a text's whole
     output is never held.
     """
 
@@ -243,12 +263,11 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
         for part in common.slices(batch, "text"):
             counts, id_digests, text_digests = [], [], []
             for text in common.texts_of(part.column(1)):
-                n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-                for emitted, tokens in c.stream(text):
-                    if emitted:
-                        ids.update(emitted)
-                        decoded.update(((" " if n else "") + tokens).encode())
-                        n += len(emitted) // 4
+                n, ids, decoded, decoder = 0, hashlib.sha256(), hashlib.sha256(), JoinedDecoder(c.merges.names)
+                for emitted in c.stream(text):
+                    ids.update(emitted)
+                    decoded.update(decoder.push(emitted).encode())
+                    n += len(emitted) // 4
                 counts.append(n)
                 id_digests.append(ids.hexdigest())
                 text_digests.append(decoded.hexdigest())

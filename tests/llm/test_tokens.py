@@ -161,3 +161,22 @@ def test_packing_documents(spark, sf_dir):
     used = check_packing(df, packing.pack_documents(df, WORD).collect())
     total = sum(n for places in used.values() for _, n in places)
     assert total / (4096 * len(used)) > 0.97
+
+
+def test_decoded_digest_follows_the_ids(nothing, monkeypatch):
+    import pyarrow as pa
+
+    c = bpe.Codec(WORD)
+    text = "one two three\n" * 3
+    right = c.decode_joined(c.encode(text))
+    # The encoder now writes a wrong id for a token; what is decoded has to show it.
+    c.kept.clear()
+    c.merges.ids = c.merges.ids | {"two</w>": c.merges.ids["one</w>"]}
+    wrong = c.decode_joined(c.encode(text))
+    assert wrong != right
+    monkeypatch.setattr(bpe, "codec", lambda path: c)
+    monkeypatch.setattr(bpe.common, "map_batches", lambda df, schema, work: work)
+    work = bpe.encoding_digests(nothing, WORD)
+    (out,) = work(pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text]}))
+    assert out["decoded_sha256"] == [hashlib.sha256(wrong.encode()).hexdigest()]
+    assert out["n_tokens"] == [len(c.encode(text))]
