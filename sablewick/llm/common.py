@@ -85,15 +85,19 @@ def map_batches(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def bounded_sample(rows: DataFrame, n: int, total: int, by: Column) -> DataFrame:
+def bounded_sample(rows: DataFrame, n: int, total: int, by: Column, distinct: bool = False) -> DataFrame:
     """The ``n`` of ``total`` rows with the smallest hashes of ``by``; all if there are no more.
 
+    With ``distinct`` equal rows count once, and ``total`` counts them so.
+
     Rows are first cut by a threshold on the hash that lets about 1.5 n of them
     pass, so that what is gathered to be ordered does not grow with the input.
     """
     h = F.xxhash64(by)
     if total > 2 * n:
         rows = rows.filter(h < F.lit(-(1 << 63) + int((1 << 64) * 1.5 * n / total)))
+    if distinct:
+        rows = rows.distinct()  # after the cut, so that few texts are exchanged
     return rows.orderBy(h).limit(n)
 
 

@@ -6,8 +6,8 @@ Each word gets a log-likelihood per candidate from its letter trigrams and from
 the word itself; Viterbi over the words, with a penalty for every switch, labels
 spans of one language.  The text's language is the one with most letters.
 
-Learning reads a bounded sample of labelled rows (``sample_docs``, the rows with
-the smallest text hashes), on the driver; the model's size is fixed.  Scoring
+Learning reads a bounded sample of labelled texts (``sample_docs``, those with
+the smallest hashes; copies count once), on the driver; the model's size is fixed.  Scoring
 runs in numpy over whole record batches and sees every character of every text.
 
 Defined results
@@ -17,7 +17,7 @@ Defined results
   candidates with equal scores, so the most frequent one is named, score 0;
 * very long texts: whole; characters are scored in parts of bounded size;
 * ties between languages: the alphabetically first;
-* rows with a null lang or doc_id: never learned from; a null doc_id is not
+* rows with a null text, lang or doc_id: never learned from; a null doc_id is not
   held out;
 * repeated rows: equal texts get equal results; empty table: no rows; with no
   labelled row at all every text is ``und``;
@@ -259,10 +259,10 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def learn_from(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, penalty: float = SWITCH_PENALTY) -> Model:
-    """Learn from at most ``sample_docs`` labelled rows outside the held-out quarter."""
-    rows = docs.filter((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    total = rows.select("doc_id", "lang").count()
-    some = common.bounded_sample(rows.select("text", "lang"), sample_docs, total, F.coalesce("text", F.lit(""))).filter("text IS NOT NULL").toArrow()
+    """Learn from at most ``sample_docs`` distinct labelled texts outside the held-out quarter."""
+    rows = docs.filter((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    total = rows.select(F.xxhash64("text"), "lang").distinct().count()
+    some = common.bounded_sample(rows, sample_docs, total, F.col("text"), distinct=True).toArrow()
     return learn(some["text"].to_pylist(), some["lang"].to_pylist(), penalty)
 
 

@@ -230,3 +230,18 @@ def test_keep_identified(awkward, model):
     kept = stages.keep_identified(awkward, model)
     ids = {r["doc_id"] for r in kept.collect()}
     assert kept.columns == awkward.columns and not ids & {3, 4, 5} and 6 in ids
+
+
+def test_copies_enter_the_sample_once(spark):
+    """A text in a third of the rows doesn't crowd a language out of the sample."""
+    docs = spark.range(1200).selectExpr(
+        "id * 4 AS doc_id",
+        "CASE WHEN id % 3 = 0 THEN 'the same words again' WHEN id % 3 = 1 THEN concat('english text ', repeat('x', int(id) % 9), id) ELSE concat('ελληνικά λόγια ', id) END AS text",
+        "CASE WHEN id % 3 < 2 THEN 'en' ELSE 'el' END AS lang",
+    )
+    # Make the copies' text one whose hash is the smallest.
+    low = spark.range(5000).selectExpr("min_by(concat('copy ', id), xxhash64(concat('copy ', id)))").first()[0]
+    docs = docs.selectExpr("doc_id", f"CASE WHEN text = 'the same words again' THEN '{low}' ELSE text END AS text", "lang")
+    model = langid.learn_from(docs, sample_docs=40)
+    assert set(model.languages) == {"el", "en"}
+    assert langid.predict(model, ["ελληνικά λόγια"])[0] == ["el"]
