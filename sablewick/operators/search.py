@@ -8,6 +8,7 @@ queries at once, with a ranked window that Spark prunes per partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,13 @@ def dense_topk(docs: DataFrame, query: Sequence[float], k: int = values.DENSE_LI
     return top if threshold is None else top.filter(F.col("score") >= threshold)
 
 
-def dense_multi(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """The ``k`` most similar rows for each of a stated set of queries, which is broadcast."""
-    scored = docs.crossJoin(F.broadcast(queries.select(query_id, query_vector))).withColumn("score", cosine(F.col(vector_col), F.col(query_vector)))
+def dense_multi(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", blocks: int = 1) -> DataFrame:
+    """The ``k`` most similar rows for each query; queries are cut into ``blocks`` by their ids, each broadcast by itself."""
+    asked = queries.select(query_id, query_vector)
+    if blocks > 1:
+        parts = [dense_multi(docs, asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b), k, id_col=id_col, vector_col=vector_col, query_id=query_id, query_vector=query_vector) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    scored = docs.crossJoin(F.broadcast(asked)).withColumn("score", cosine(F.col(vector_col), F.col(query_vector)))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), F.col(id_col)))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop(query_vector, vector_col)
 

@@ -28,6 +28,10 @@ QUESTION = "the tion are with"
 TERMS = search.query_terms(QUESTION)
 
 
+#: Queries of one broadcast.
+QUERY_BLOCK = 1000
+
+
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL."""
 
@@ -100,6 +104,19 @@ def dense_multi_query(spark, sf_dir):
     return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("""WITH s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 5""")
+def dense_multi_hundredth(spark, sf_dir):
+    docs = table(spark, sf_dir, "embeddings")
+    asked = docs.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    top = search.dense_multi(docs.select("vec_id", "embedding"), asked, 5, id_col="vec_id", vector_col="embedding", blocks=blocks)
+    return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {QV_SQL} SELECT vec_id, round({COS_SQL}, 6) AS score FROM embeddings, q")
 def cosine_all(spark, sf_dir):
     v = F.array(*[F.lit(x) for x in _first_vector(spark, sf_dir)])

@@ -46,3 +46,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_dense_multi_in_blocks(spark, sf_dir):
+    """Blocks of queries give what one broadcast gives."""
+    from sablewick.operators import search
+
+    docs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    asked = docs.filter("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    one, many = (search.dense_multi(docs, asked, 3, id_col="vec_id", vector_col="embedding", blocks=n).collect() for n in (1, 3))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(one) == 3 * asked.count() > 0
