@@ -389,6 +389,13 @@ def chunk_cap(spark, sf_dir):
     return split.capped(lines, 500)[0].select("relative_path", F.col("pos").cast("long").alias("pos"))
 
 
+@query(f"""WITH {FILES_SQL} SELECT relative_path, n - 1 AS pos FROM (SELECT relative_path, unnest(generate_series(1, len(string_split(content, chr(10))))) AS n FROM code_files)
+ORDER BY relative_path, pos LIMIT {values.CHUNK_CAP}""")
+def chunk_cap_production(spark, sf_dir):
+    lines = code_files(spark, sf_dir).select("relative_path", F.posexplode(text_.lines(F.col("content"))).alias("pos", "content"))
+    return split.capped(lines)[0].select("relative_path", F.col("pos").cast("long").alias("pos"))
+
+
 @query(f"WITH {FILES_SQL} SELECT relative_path, length(trim(content, ' ' || chr(10) || chr(9) || chr(13))) AS n FROM code_files WHERE length(trim(content, ' ' || chr(10) || chr(9) || chr(13))) > 10")
 def tiny_chunks(spark, sf_dir):
     n = F.length(text_.trim_all(F.col("content")))

@@ -56,3 +56,9 @@ def test_dense_multi_in_blocks(spark, sf_dir):
     asked = docs.filter("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
     one, many = (search.dense_multi(docs, asked, 3, id_col="vec_id", vector_col="embedding", blocks=n).collect() for n in (1, 3))
     assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(one) == 3 * asked.count() > 0
+
+
+def test_production_cap_returns_all_lines(spark, sf_dir):
+    small, whole = (catalogue.QUERIES[n](spark, sf_dir).count() for n in ("chunk_cap", "chunk_cap_production"))
+    lines = catalogue.code_files(spark, sf_dir).selectExpr("sum(size(split(content, '\n', -1)))").first()[0]
+    assert small == 500 and whole == min(lines, 450_000) > 500
