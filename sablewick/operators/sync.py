@@ -90,4 +90,5 @@ def reconcile(local: DataFrame, remote: DataFrame, key: str = "codebase_path") -
 def remaining(instances: DataFrame, done: DataFrame, most: int, id_col: str = "instance_id") -> DataFrame:
     """Instances not done yet, in order, up to ``most`` less the number done."""
     left = max(0, most - done.select(id_col).distinct().count())
-    return instances.join(done.select(id_col), id_col, "left_anti").orderBy(id_col).limit(left)
+    rest = instances.join(done.select(id_col), id_col, "left_anti").orderBy(id_col)
+    return rest if left >= instances.count() else rest.limit(left)  # a limit would end in one task

@@ -481,6 +481,13 @@ def resume_remaining(spark, sf_dir):
     return sync.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), 700, "doc_id")
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_all(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    most = docs.count() + labels.select("doc_id").distinct().count()  # never less than what is left, at any size
+    return sync.remaining(docs, labels, most, "doc_id")
+
+
 # ------------------------------------------------------------------ lexical search, listings
 
 

@@ -62,3 +62,11 @@ def test_production_cap_returns_all_lines(spark, sf_dir):
     small, whole = (catalogue.QUERIES[n](spark, sf_dir).count() for n in ("chunk_cap", "chunk_cap_production"))
     lines = catalogue.code_files(spark, sf_dir).selectExpr("sum(size(split(content, '\n', -1)))").first()[0]
     assert small == 500 and whole == min(lines, 450_000) > 500
+
+
+def test_resume_compares_at_any_size(spark, tmp_path):
+    """More labelled ids than the fixed 700: what is left still comes back."""
+    spark.range(1000).selectExpr("id AS doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(900).selectExpr("id AS doc_id").write.parquet(str(tmp_path / "labels.parquet"))
+    assert catalogue.QUERIES["resume_remaining"](spark, str(tmp_path)).count() == 0
+    assert sorted(r[0] for r in catalogue.QUERIES["resume_all"](spark, str(tmp_path)).collect()) == list(range(900, 1000))
