@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -85,20 +86,15 @@ def map_batches(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def bounded_sample(rows: DataFrame, n: int, total: int, by: Column, distinct: bool = False) -> DataFrame:
-    """The ``n`` of ``total`` rows with the smallest hashes of ``by``; all if there are no more.
-
-    With ``distinct`` equal rows count once, and ``total`` counts them so.
+def bounded_sample(rows: DataFrame, n: int, total: int, hash: Column) -> DataFrame:
+    """The ``n`` of ``total`` rows with the smallest hashes; all if there are no more.
 
     Rows are first cut by a threshold on the hash that lets about 1.5 n of them
     pass, so that what is gathered to be ordered does not grow with the input.
     """
-    h = F.xxhash64(by)
     if total > 2 * n:
-        rows = rows.filter(h < F.lit(-(1 << 63) + int((1 << 64) * 1.5 * n / total)))
-    if distinct:
-        rows = rows.distinct()  # after the cut, so that few texts are exchanged
-    return rows.orderBy(h).limit(n)
+        rows = rows.filter(hash < F.lit(-(1 << 63) + int((1 << 64) * 1.5 * n / total)))
+    return rows.orderBy(hash).limit(n)
 
 
 def keep_rows(df: DataFrame, text: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
@@ -136,3 +132,52 @@ def slices(batch: pa.RecordBatch, column: str | int, most_bytes: int = 2 << 20)
         total += n
     if start < len(lengths):
         yield batch.slice(start)
+
+
+def parts(texts: list[str], chars: int) -> Iterator[list[int]]:
+    """Numbers of consecutive texts with at most ``chars`` characters in all; a longer text stands alone."""
+    part, held = [], 0
+    for i, t in enumerate(texts):
+        if part and held + len(t) > chars:
+            yield part
+            part, held = [], 0
+        part.append(i)
+        held += len(t)
+    if part:
+        yield part
+
+
+def slices_of(text: str, chars: int, many: int = 8) -> str:
+    """A text of at most ``chars`` characters whole; of a longer one, evenly spread slices with so many in all."""
+    if len(text) <= chars:
+        return text
+    size = chars // many
+    step = (len(text) - size) / (many - 1)
+    return "\n".join(text[int(k * step) : int(k * step) + size] for k in range(many))
+
+
+BLANK = re.compile(r"\s")
+
+
+def pieces(text: str, chars: int, longest: int) -> Iterator[str]:
+    """A text in consecutive pieces of about ``chars`` characters, cut where no word goes on.
+
+    The cut is at the first blank after a piece's ``chars`` characters; where
+    there is none in as many again, after a run of letters' multiple of
+    ``longest`` characters, which is where words are cut anyway.
+    """
+    at, n, chars = 0, len(text), max(chars, longest)
+    while n - at > chars:
+        m = BLANK.search(text, at + chars, min(n, at + 2 * chars))
+        if m:
+            to = m.start() + 1
+        else:
+            to = min(n, at + 2 * chars)
+            start = to
+            while start > at and text[start - 1].isalnum():
+                start -= 1
+            to -= (to - start) % longest if to - start > longest else to - start
+        yield text[at:to]
+        at = to
+    if at < n or not n:
+        yield text[at:]

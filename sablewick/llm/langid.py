@@ -6,16 +6,25 @@ Each word gets a log-likelihood per candidate from its letter trigrams and from
 the word itself; Viterbi over the words, with a penalty for every switch, labels
 spans of one language.  The text's language is the one with most letters.
 
-Learning reads a bounded sample of labelled texts (``sample_docs``, those with
-the smallest hashes; copies count once), on the driver; the model's size is fixed.  Scoring
+Learning reads, on the driver, a sample that is bounded for each language
+(``sample_docs`` distinct texts, those with the smallest hashes, and of a text
+longer than ``sample_chars`` evenly spread slices), so copies count once and a
+rare language is learned like a common one.  The model's size is fixed.  Scoring
 runs in numpy over whole record batches and sees every character of every text.
 
+A text longer than ``PART_CHARS`` is read twice in parts: first each chunk of
+words is passed from every state that it may begin in, all chunks side by side,
+and the chunks' ends are chained; then each chunk is labelled between its own
+first and last state.  That is Viterbi over the whole text, in bounded memory.
+
 Defined results
 ---------------
 * null text, and texts without a letter: ``und``, score 0;
 * letters of a script that no learned language has: all languages stay
   candidates with equal scores, so the most frequent one is named, score 0;
-* very long texts: whole; characters are scored in parts of bounded size;
+* very long texts: whole, in parts of bounded size, labelled as well as if uncut (but
+  for a word of over half a million characters, which is cut; of equally good
+  labellings it may be another);
 * ties between languages: the alphabetically first;
 * rows with a null text, lang or doc_id: never learned from; a null doc_id is not
   held out;
@@ -26,20 +35,23 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from sablewick.llm import common
 
 UNKNOWN = "und"
-SAMPLE_DOCS, SWITCH_PENALTY = 4000, 10.0
+#: Learned from: texts of each language, texts in all (which bounds them where there are many languages), characters of each.
+SAMPLE_DOCS, SAMPLE_TEXTS, SAMPLE_CHARS = 1000, 10_000, 8192
+SWITCH_PENALTY = 10.0
 TRIGRAM_BITS, WORD_BITS = 17, 18
-PART_CHARS = 1 << 18
+PART_CHARS, CHUNK_WORDS, LONGEST_WORD = 1 << 18, 512, 4096
 
 # First and last code points of scripts, after the Unicode standard.
 SCRIPT_RANGES = {
@@ -138,8 +150,8 @@ class Model:
         return np.where(known[:, None] & ~self.uses[words.script], -1e4, out).astype(np.float32)
 
 
-def learn(texts: list[str], languages: list[str], penalty: float = SWITCH_PENALTY) -> Model:
-    """Count hashed trigrams and words per language."""
+def learn(texts: list[str], languages: list[str], penalty: float = SWITCH_PENALTY, frequency: dict[str, int] | None = None) -> Model:
+    """Count hashed trigrams and words per language; ``frequency`` says how common each is, if not as here."""
     names = sorted(set(languages))
     if not names:
         return Model([], np.zeros((1 << TRIGRAM_BITS, 0), np.float32), np.zeros((1 << WORD_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), np.zeros(0, np.int64), penalty)
@@ -148,7 +160,7 @@ def learn(texts: list[str], languages: list[str], penalty: float = SWITCH_PENALT
     word = np.full((1 << WORD_BITS, len(names)), 0.02)
     scripts = np.zeros((len(SCRIPTS), len(names)))
     docs = np.zeros(len(names))
-    for part in _parts(texts):
+    for part in common.parts(texts, PART_CHARS):
         w = words_of([texts[i].lower() for i in part])
         own = np.array([number[languages[i]] for i in part])
         np.add.at(docs, own, 1)
@@ -156,6 +168,8 @@ def learn(texts: list[str], languages: list[str], penalty: float = SWITCH_PENALT
             np.add.at(tri, (w.trigrams, np.repeat(own[w.text], w.letters)), 1)
             np.add.at(word, (w.whole, own[w.text]), 1)
             np.add.at(scripts, (w.script, own[w.text]), w.letters)
+    if frequency:
+        docs = np.array([frequency[n] for n in names])
     uses = scripts > 0.01 * np.maximum(1, scripts.sum(axis=0))
     seen = (tri.max(axis=1) >= 1)[:, None]  # buckets never seen say nothing
     tri = np.where(seen, np.log(tri / tri.sum(axis=0)), 0)
@@ -164,24 +178,12 @@ def learn(texts: list[str], languages: list[str], penalty: float = SWITCH_PENALT
     return Model(names, tri.astype(np.float32), word.astype(np.float32), uses, np.argsort(-docs, kind="stable"), penalty)
 
 
-def _parts(texts: list[str]):
-    """Runs of texts with bounded characters in all (a longer text stands alone)."""
-    part, held = [], 0
-    for i, t in enumerate(texts):
-        if part and held + len(t) > PART_CHARS:
-            yield part
-            part, held = [], 0
-        part.append(i)
-        held += len(t)
-    if part:
-        yield part
-
-
-def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
+def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
     """The best labels for sequences of words that lie one after another.
 
     All sequences advance together, the longest first, so each step works on one
-    array over the sequences that still have a word.
+    array over the sequences that still have a word.  ``begins`` gives the state
+    before each sequence, ``ends`` that of its last word, where these are known.
     """
     total, states = scores.shape
     labels = np.zeros(total, np.int8)
@@ -193,6 +195,8 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     switched = np.zeros((total, states), bool)
     best_of = np.zeros(total, np.int8)
     value = np.zeros((len(order), states), np.float32)
+    if begins is not None:
+        value[np.arange(states) != begins[order][:, None]] = -penalty
     for t in range(longest):
         n = active[t]
         at = begin[:n] + t
@@ -205,7 +209,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
             v = np.where(change, floor[:, None], v)
         v = v + scores[at]
         value[:n] = v - v.max(axis=1, keepdims=True)
-    state = value.argmax(axis=1).astype(np.int8)
+    state = (value.argmax(axis=1) if ends is None else ends[order]).astype(np.int8)
     for t in range(longest - 1, -1, -1):
         n = active[t]
         at = begin[:n] + t
@@ -215,41 +219,86 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return labels
 
 
-@dataclass
-class Labelled:
-    words: list[Words]
-    labels: np.ndarray
-    counts: np.ndarray  # words per text
-    letters: np.ndarray  # letters per text and language
-    evidence: np.ndarray  # whether any word of the text had a known script
-
-
-def label(model: Model, texts: list[str]) -> Labelled:
-    kept, scores, counts, known = [], [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-    for part in _parts(texts):
-        w = words_of([t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in (texts[i] for i in part)])
-        scores.append(model.scores(w))
-        w.text = w.text + part[0]
-        np.add.at(counts, w.text, 1)
-        known[w.text[model.uses.any(axis=1)[w.script]]] = True
-        w.trigrams = w.first = w.whole = np.zeros(0, np.int64)
-        kept.append(w)
-    every = np.concatenate(scores) if scores else np.zeros((0, len(model.languages)), np.float32)
-    labels = viterbi(every, counts, model.penalty)
-    letters = np.zeros((len(texts), len(model.languages)))
-    if kept:
-        np.add.at(letters, (np.concatenate([w.text for w in kept]), labels), np.concatenate([w.letters for w in kept]))
-    return Labelled(kept, labels, counts, letters, known)
+def passes(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
+    """For each sequence, and each state before it, the best value with which it ends in each state."""
+    states, order = scores.shape[1], np.argsort(-counts, kind="stable")
+    begin, length = (np.cumsum(counts) - counts)[order], counts[order]
+    value = np.where(np.eye(states, dtype=bool), 0.0, -penalty)[None].repeat(len(counts), axis=0)
+    active = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+    for t, n in enumerate(active):
+        v = value[:n]
+        value[:n] = np.maximum(v, v.max(axis=2, keepdims=True) - penalty) + scores[begin[:n] + t][:, None]
+    out = np.empty_like(value)
+    out[order] = value
+    return out
+
+
+def _lowered(text: str) -> str:
+    """Lower case without a change of length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _parts_of(text: str) -> Iterator[tuple[int, Words, np.ndarray]]:
+    """The parts of a long text: where each begins, its words, and how many of them each chunk has."""
+    at = 0
+    for piece in common.pieces(text, PART_CHARS, LONGEST_WORD):
+        w = words_of([_lowered(piece)])
+        chunks, rest = divmod(len(w.first), CHUNK_WORDS)
+        yield at, w, np.array([CHUNK_WORDS] * chunks + [rest] * bool(rest), np.int64)
+        at += len(piece)
+
+
+def label_long(model: Model, text: str) -> Iterator[tuple[Words, np.ndarray]]:
+    """Words (with their places in the whole text) and labels of a long text, part by part."""
+    value, came = np.zeros(len(model.languages)), []
+    for _, w, counts in _parts_of(text):
+        for through in passes(model.scores(w), counts, model.penalty) if len(counts) else ():
+            total = value[:, None] + through
+            came.append(total.argmax(axis=0).astype(np.int8))
+            value = total.max(axis=0)
+            value -= value.max()
+    state = np.zeros(len(came) + 1, np.int8)  # before each chunk, and after the last
+    state[-1] = value.argmax()
+    for k in range(len(came) - 1, -1, -1):
+        state[k] = came[k][state[k + 1]]
+    done = 0
+    for at, w, counts in _parts_of(text):
+        n = len(counts)
+        labels = viterbi(model.scores(w), counts, model.penalty, state[done : done + n], state[done + 1 : done + n + 1])
+        done += n
+        w.start, w.stop = w.start + at, w.stop + at
+        yield w, labels
+
+
+def label_short(model: Model, texts: list[str]) -> tuple[Words, np.ndarray]:
+    """Words and labels of texts that are not long."""
+    w = words_of([_lowered(t) for t in texts])
+    return w, viterbi(model.scores(w), np.bincount(w.text, minlength=len(texts)), model.penalty)
+
+
+def label(model: Model, texts: list[str]) -> Iterator[tuple[list[int], Words, np.ndarray]]:
+    """Numbers of texts, their words (``text`` counts within those numbers) and labels; a long text comes alone and in several parts."""
+    for part in common.parts(texts, PART_CHARS):
+        if len(part) == 1 and len(texts[part[0]]) > PART_CHARS:
+            for w, labels in label_long(model, texts[part[0]]):
+                yield part, w, labels
+        else:
+            yield part, *label_short(model, [texts[i] for i in part])
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     """Language and score (its share of the letters) of each text."""
     if not model.languages:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
-    done = label(model, texts)
-    total = done.letters.sum(axis=1)
-    best = np.where(done.evidence, done.letters.argmax(axis=1), model.order[0])
-    share = np.where(done.evidence, done.letters[np.arange(len(texts)), best] / np.maximum(total, 1), 0.0)
+    letters = np.zeros((len(texts), len(model.languages)))
+    evidence = np.zeros(len(texts), bool)  # whether any word had a known script
+    for part, w, labels in label(model, texts):
+        np.add.at(letters, (w.text + part[0], labels), w.letters)
+        evidence[w.text[model.uses.any(axis=1)[w.script]] + part[0]] = True
+    total = letters.sum(axis=1)
+    best = np.where(evidence, letters.argmax(axis=1), model.order[0])
+    share = np.where(evidence, letters[np.arange(len(texts)), best] / np.maximum(total, 1), 0.0)
     return [model.languages[b] if n else UNKNOWN for b, n in zip(best, total)], [float(s) if n else 0.0 for s, n in zip(share, total)]
 
 
@@ -258,12 +307,25 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus))
 
 
-def learn_from(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, penalty: float = SWITCH_PENALTY) -> Model:
-    """Learn from at most ``sample_docs`` distinct labelled texts outside the held-out quarter."""
-    rows = docs.filter((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    total = rows.select(F.xxhash64("text"), "lang").distinct().count()
-    some = common.bounded_sample(rows, sample_docs, total, F.col("text"), distinct=True).toArrow()
-    return learn(some["text"].to_pylist(), some["lang"].to_pylist(), penalty)
+def learn_from(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, penalty: float = SWITCH_PENALTY, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Learn from at most ``sample_docs`` distinct labelled texts of each language outside the held-out quarter."""
+    rows = docs.filter((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "lang", "text")
+    totals = {r["lang"]: r["count"] for r in rows.select("h", "lang").distinct().groupBy("lang").count().collect()}  # one row for each language
+    if not totals:
+        return learn([], [], penalty)
+    quota = max(1, min(sample_docs, SAMPLE_TEXTS // len(totals)))
+    # A threshold on the hash lets about 1.5 quotas of each language pass, so what is gathered does not grow with the input.
+    below = {k: -(1 << 63) + int((1 << 64) * min(1.0, 1.5 * quota / n)) - 1 for k, n in totals.items()}
+    limits = F.create_map(*[F.lit(x) for k, v in below.items() for x in (k, v)])
+    rows = rows.filter(F.col("h") <= limits[F.col("lang")])
+
+    def shorten(batch: pa.RecordBatch):
+        return {"h": batch.column(0), "lang": batch.column(1), "text": [common.slices_of(t, sample_chars) for t in batch.column(2).to_pylist()]}
+
+    rows = common.map_batches(rows, _parse_datatype_string("h long, lang string, text string"), shorten).dropDuplicates(["h", "lang"])
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    some = rows.withColumn("place", order).filter(F.col("place") <= quota).toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    return learn(some["text"].to_pylist(), some["lang"].to_pylist(), penalty, totals)
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -289,12 +351,29 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batch: pa.RecordBatch):
         m = shared.value
+        if not m.languages:
+            return
         for part in common.slices(batch, "text", 4 << 20):
             ids = part.column(0).to_pylist()
-            done = label(m, common.texts_of(part.column(1)))
-            text, start, stop = (np.concatenate([getattr(w, k) for w in done.words]) if done.words else np.zeros(0, np.int64) for k in ("text", "start", "stop"))
-            new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (done.labels[1:] != done.labels[:-1])]) if len(text) else np.zeros(0, np.int64)
-            ends = np.r_[new[1:] - 1, len(text) - 1] if len(text) else new
-            yield {"doc_id": [ids[i] for i in text[new]], "first": start[new], "last": stop[ends], "lang": [m.languages[k] for k in done.labels[new]]}
+            last: dict = {}  # the span that a further part of the same text may carry on
+            for numbers, w, labels in label(m, common.texts_of(part.column(1))):
+                out = {"doc_id": [], "first": [], "last": [], "lang": []}
+                new = np.flatnonzero(np.r_[True, (np.diff(w.text) != 0) | (np.diff(labels) != 0)]) if len(labels) else np.zeros(0, np.int64)
+                ends = np.r_[new[1:] - 1, len(labels) - 1] if len(labels) else new
+                for i, a, b, k in zip((w.text[new] + numbers[0]).tolist(), w.start[new].tolist(), w.stop[ends].tolist(), labels[new].tolist()):
+                    if last and last["of"] == i and last["lang"] == m.languages[k]:
+                        last["last"] = b
+                        continue
+                    if last:
+                        add(out, ids, last)
+                    last = {"of": i, "first": a, "last": b, "lang": m.languages[k]}
+                yield out
+            if last:
+                yield add({"doc_id": [], "first": [], "last": [], "lang": []}, ids, last)
+
+    def add(out: dict, ids: list, span: dict) -> dict:
+        for k, v in zip(out, (ids[span["of"]], span["first"], span["last"], span["lang"])):
+            out[k].append(v)
+        return out
 
     return common.map_batches(docs.select("doc_id", "text"), _parse_datatype_string(SPANS), work)

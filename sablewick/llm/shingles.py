@@ -11,8 +11,10 @@ import hashlib
 
 import numpy as np
 
+from sablewick.llm import common
+
 SHINGLE, HASHES = 5, 96
-PART_CHARS = 1 << 18
+PART_CHARS, LONGEST_WORD = 1 << 18, 4096
 U = np.uint64
 
 ALNUM = np.fromiter((chr(c).isalnum() for c in range(0x10000)), bool, 0x10000)
@@ -59,23 +61,14 @@ def _of_words(words: np.ndarray, shingle: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def parts(texts: list[str]):
-    """Runs of texts with bounded characters in all (a longer text stands alone)."""
-    part, held = [], 0
-    for i, t in enumerate(texts):
-        if part and held + len(t) > PART_CHARS:
-            yield part
-            part, held = [], 0
-        part.append(i)
-        held += len(t)
-    if part:
-        yield part
-
-
 def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted, distinct shingle hashes of each text."""
     out = []
-    for part in parts(texts):
+    for part in common.parts(texts, PART_CHARS):
+        if len(part) == 1 and len(texts[part[0]]) > PART_CHARS:  # a long text: its words are hashed piece by piece
+            some = [word_hashes([piece])[0] for piece in common.pieces(texts[part[0]], PART_CHARS, LONGEST_WORD)]
+            out.append(_of_words(np.concatenate(some), shingle))
+            continue
         words, counts = word_hashes([texts[i] for i in part])
         ends = np.cumsum(counts)
         out += [_of_words(words[e - n : e], shingle) for n, e in zip(counts.tolist(), ends.tolist())]

@@ -1,33 +1,43 @@
 """Toxicity: a bidirectional gated recurrent network over overlapping windows.
 
-Each word enters as the sum of two learned inputs: an embedding of the word and
-one of its character 3- to 5-grams (both hashed, so both tables have a fixed
-size).  A GRU reads each window forwards, another backwards; attention pools
-their states, and a logistic unit scores the window.  All overlapping windows of
-a text are scored, and the text's score is the highest of them.
-
-The network is trained in numpy: back-propagation through time with Adam, on the
-driver, on a bounded sample of labelled rows (``sample_docs`` of each class,
-those with the smallest hash of the labelled id).  A toxic text says nothing
-about which of its windows is toxic, so each epoch scores all windows of all
-sample texts and trains on every text's highest window (and on other windows of
-clean texts); a toxic text weighs as much as its highest window bears out, so
-that mislabelled rows are not learned by heart.  Embeddings start from smoothed log-odds of words and n-grams.
+Each word enters as two learned inputs side by side: an embedding of the word
+and the sum of those of its character 3- to 5-grams (both hashed, so both tables
+have a fixed size).  A GRU reads each window forwards, another backwards;
+attention pools their states, and a logistic unit scores the window.  All
+overlapping windows of a text are scored, and the text's score is the highest.
+
+The network starts from small random values and is trained in numpy, on the
+driver: back-propagation through time, Adam for the dense parameters and Adagrad
+for the rows of the embeddings.  A toxic text says nothing about which of its
+windows is toxic, so training scores all windows of a text and spreads the loss
+over them by a smooth maximum; which window, and which word in it, is found by
+the gradient alone.  From the second pass on a toxic text weighs as much as the
+network bears its label out, so that mislabelled rows are not learned by heart.
+
+Learning rows are bounded in number and in bytes: ``sample_docs`` texts of each
+class (distinct ones, those with the smallest hash), and of a text longer than
+``sample_chars`` that many characters in evenly spread slices, cut out in the
+executors.
 
 Defined results
 ---------------
 * null, empty and letterless texts: one window of no words, scored by the
   output unit's bias, so a low score;
-* very long texts: all windows, in blocks of bounded size;
+* very long texts: all windows, in parts of bounded size; words that a part
+  leaves over go before the next, so the result is that of the uncut text; a run
+  of more than ``LONGEST_WORD`` letters is several words;
 * rows with a null label are not learned from; a null doc_id is not held out;
-* labels repeated for a document: toxic if any of them is;
+* labels repeated for a document: toxic if any of them is; a text that bears both
+  labels, as several documents, is learned with each;
 * if a class is missing among the labelled rows, every score is that class's;
-* repeated rows: equal texts get equal scores; empty table: no rows;
+* repeated rows: learned once; equal texts get equal scores; empty table: no rows;
 * extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,13 +49,15 @@ from pyspark.sql.types import _parse_datatype_string
 from sablewick.llm import common
 from sablewick.llm.langid import remainder
 
-SAMPLE_DOCS = 2000
-WINDOW, STRIDE = 64, 48
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 8192
+WINDOW, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS, DIM, HIDDEN = 16, 17, 8, 8
-EPOCHS, LEAST_STEPS, BATCH, RATE, EMBED_RATE = 4, 600, 32, 0.01, 0.005
-#: Least weight of a toxic text whose highest window stays low (labels hold some noise).
-LEAST_WEIGHT = 0.05
-BLOCK_WINDOWS, BLOCK_WORDS, PART_CHARS = 4096, 1 << 16, 1 << 19
+#: Passes over the sample; with few rows, more of them, until this share of either class is told rightly or so many steps are done.
+EPOCHS, MOST_STEPS, ENOUGH = 2, 160, 0.95
+LEAST_WINDOWS, BATCH_WINDOWS, RATE, WORD_RATE, GRAM_RATE, DROP_WORDS, START_SCALE = 64, 512, 0.01, 0.05, 0.017, 0.1, 0.05
+#: Least weight of a toxic text that scores low (labels hold some noise), and most of a clean one for being rarer in the sample than in the corpus.
+LEAST_WEIGHT, MOST_WEIGHT = 0.05, 4.0
+BLOCK_WINDOWS, BLOCK_WORDS, PART_CHARS, LONGEST_WORD = 4096, 1 << 16, 1 << 18, 4096
 U = np.uint64
 
 ALNUM = np.fromiter((chr(c).isalnum() for c in range(0x10000)), bool, 0x10000)
@@ -66,6 +78,8 @@ class Batch:
     grams: list[np.ndarray]  # buckets per place (bucket 0: none), for n = 3, 4, 5
     first: np.ndarray  # where each distinct word's places begin
     key: np.ndarray  # 64 bits of each distinct word
+    start: np.ndarray | None = None  # where each word stands in its lower-cased text
+    stop: np.ndarray | None = None
 
     @property
     def size(self) -> np.ndarray:
@@ -80,11 +94,16 @@ def cut(texts: list[str]) -> Batch:
     inside = ALNUM[np.minimum(codes, 0xFFFF)]
     edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
+    if len(start) and (stop - start).max() > LONGEST_WORD:
+        many = -(-(stop - start) // LONGEST_WORD)
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        start, stop = np.repeat(start, many) + step * LONGEST_WORD, np.repeat(stop, many)
+        stop = np.minimum(stop, start + LONGEST_WORD)
     begins = np.cumsum([0, *(len(t) + 1 for t in low)])
     owner = np.searchsorted(begins, start, "right") - 1
     if not len(start):
         none = np.zeros(0, np.int64)
-        return Batch(np.zeros(len(texts), np.int64), none, none, [none] * 3, none, np.zeros(0, U))
+        return Batch(np.zeros(len(texts), np.int64), none, none, [none] * 3, none, np.zeros(0, U), none, none)
     size = stop - start
     chars = codes[inside].astype(U)
     at = np.cumsum(size) - size
@@ -93,6 +112,7 @@ def cut(texts: list[str]) -> Batch:
     # A word said again at once adds nothing; left in, long stammering would drive the states to their limits.
     new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
     key, start, size = key[new], start[new], size[new]
+    shift = begins[owner[new]]
     counts = np.bincount(owner[new], minlength=len(texts))
     _, one, which = np.unique(key, return_index=True, return_inverse=True)
     # The distinct words, each between two marks.
@@ -113,7 +133,7 @@ def cut(texts: list[str]) -> Batch:
             bucket[len(padded) - k :] = 0
             bucket[: len(padded) - k][owner[: len(padded) - k] != owner[k:]] = 0
             grams.append(bucket)
-    return Batch(counts, which.astype(np.int32), _mix(key[one], WORD_BITS), [g.astype(np.int32) for g in grams], first, key[one])
+    return Batch(counts, which.astype(np.int32), _mix(key[one], WORD_BITS), [g.astype(np.int32) for g in grams], first, key[one], start - shift, start + size - shift)
 
 
 def places(b: Batch, words: np.ndarray) -> np.ndarray:
@@ -124,7 +144,7 @@ def places(b: Batch, words: np.ndarray) -> np.ndarray:
 
 def cut_all(texts: list[str]) -> Batch:
     """``cut`` for many texts, part by part, with their distinct words joined."""
-    some = [cut([texts[i] for i in part]) for part in parts(texts)]
+    some = [cut([texts[i] for i in part]) for part in common.parts(texts, PART_CHARS)]
     key, one, back = np.unique(np.concatenate([b.key for b in some]), return_index=True, return_inverse=True)
     begin = np.cumsum([0, *(len(b.key) for b in some)])
     of = np.searchsorted(begin, one, "right") - 1
@@ -159,26 +179,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Parameters by name; all of them float32."""
+    """Parameters by name; all of them float32.  Both directions are stacked: direction 0 reads forwards."""
 
     p: dict[str, np.ndarray] = field(default_factory=dict)
     constant: float | None = None
 
     @staticmethod
     def fresh(seed: int = 7) -> Network:
-        r = np.random.default_rng(seed)
-        f = lambda *shape, s=0.1: (r.standard_normal(shape) * s).astype(np.float32)
-        h = HIDDEN
-        p = {"word": f(1 << WORD_BITS, DIM, s=0.02), "gram": f(1 << GRAM_BITS, DIM, s=0.02), "w": f(2 * DIM, 6 * h, s=0.3), "b": np.zeros(6 * h, np.float32)}
-        p |= {"uf": f(h, 3 * h, s=0.3), "ub": f(h, 3 * h, s=0.3), "attend": f(2 * h, s=0.1), "out": f(2 * h, s=0.3), "bias": np.full(1, -1, np.float32)}
+        """Small random values everywhere; only the output's bias says that most windows are clean."""
+        r, h = np.random.default_rng(seed), HIDDEN
+        f = lambda *shape, s: (r.standard_normal(shape) * s).astype(np.float32)
+        p = {"word": f(1 << WORD_BITS, DIM, s=START_SCALE), "gram": f(1 << GRAM_BITS, DIM, s=START_SCALE / 3)}
+        p |= {"w": f(2 * DIM, 6 * h, s=0.3), "b": np.zeros(6 * h, np.float32), "u": f(2, h, 3 * h, s=0.3)}
+        p |= {"attend": f(2 * h, s=0.1), "out": f(2 * h, s=0.3), "bias": np.full(1, -1, np.float32)}
         p["gram"][0] = 0
-        # One unit of each direction starts as a detector of telling words, which attention and output start from.
-        for k in (0, 3 * h):
-            p["w"][:, [k, k + 2 * h]] = 0
-            p["w"][[0, DIM], k + 2 * h] = 0.5
-            p["b"][[k, k + 2 * h]] = -2, -0.5
-        p["attend"][[0, h]] = 2.5
-        p["out"][[0, h]] = 2
         return Network(p)
 
     def inputs(self, b: Batch) -> np.ndarray:
@@ -201,64 +215,74 @@ class Network:
         """
         p, h = self.p, HIDDEN
         n, longest = len(index), int(length[0]) if len(length) else 0
-        states = np.zeros((longest, n, 2 * h), np.float32)
-        kept = []
-        active = np.searchsorted(-length, -np.arange(longest), "left")
-        for d, u in enumerate((p["uf"], p["ub"])):
-            state = np.zeros((n, h), np.float32)
-            for t in range(longest):
-                m = active[t]
-                at = np.full(m, t) if d == 0 else length[:m] - 1 - t
-                x = gates[index[np.arange(m), at], d * 3 * h : (d + 1) * 3 * h]
-                old = state[:m]
-                a = old @ u
-                zr = sigmoid(x[:, : 2 * h] + a[:, : 2 * h])
-                z, r = zr[:, :h], zr[:, h:]
-                new = np.tanh(x[:, 2 * h :] + r * a[:, 2 * h :])
-                if keep:
-                    kept.append((d, m, at, old.copy(), zr, a[:, 2 * h :], new))
-                state[:m] = new + z * (old - new)
-                states[at, np.arange(m), d * h : (d + 1) * h] = state[:m]
         if not longest:
             return np.full(n, p["bias"][0], np.float32), None
+        steps, rows = np.arange(longest), np.arange(n)
+        there = np.maximum(length[:, None] - 1 - steps, 0)  # where the backward direction stands at each step
+        x = np.empty((longest, 2, n, 3 * h), np.float32)
+        x[:, 0] = gates[index[:, :longest], : 3 * h].transpose(1, 0, 2)
+        x[:, 1] = gates[index[rows[:, None], there], 3 * h :].transpose(1, 0, 2)
+        active = np.searchsorted(-length, -steps, "left")
+        read = np.zeros((longest, 2, n, h), np.float32)
+        state = np.zeros((2, n, h), np.float32)
+        kept = []
+        for t in range(longest):
+            m = active[t]
+            old, now = state[:, :m], x[t, :, :m]
+            a = old @ p["u"]
+            zr = sigmoid(now[..., : 2 * h] + a[..., : 2 * h])
+            new = np.tanh(now[..., 2 * h :] + zr[..., h:] * a[..., 2 * h :])
+            if keep:
+                kept.append((old.copy(), zr, a[..., 2 * h :], new))
+            state[:, :m] = new + zr[..., :h] * (old - new)
+            read[t, :, :m] = state[:, :m]
+        states = np.concatenate([read[:, 0], read[there.T, 1, rows]], axis=2)  # by place
+        beyond = steps[:, None] >= length
         e = states @ p["attend"]
-        e[np.arange(longest)[:, None] >= length[None, :]] = -1e9
+        e[beyond] = -1e9
         e = np.exp(e - e.max(axis=0))
-        e[np.arange(longest)[:, None] >= length[None, :]] = 0
+        e[beyond] = 0
         weight = e / np.maximum(e.sum(axis=0), 1e-9)
         pooled = np.einsum("tn,tnk->nk", weight, states)
         logit = pooled @ p["out"] + p["bias"][0]
-        return logit, (states, weight, pooled, kept) if keep else None
+        return logit, (states, weight, pooled, kept, active, there, beyond) if keep else None
 
-    def backward(self, grad: np.ndarray, index: np.ndarray, cache, gates_shape) -> dict[str, np.ndarray]:
-        """Gradients of all parameters above the gate inputs, and of those inputs."""
+    def backward(self, grad: np.ndarray, index: np.ndarray, cache, many: int) -> dict[str, np.ndarray]:
+        """Gradients of all parameters above the gate inputs, and of those inputs (of ``many`` distinct words)."""
         p, h = self.p, HIDDEN
-        states, weight, pooled, kept = cache
-        g = {"out": grad @ pooled, "bias": np.array([grad.sum()], np.float32)}
+        states, weight, pooled, kept, active, there, beyond = cache
+        longest, n = weight.shape
+        rows = np.arange(n)
+        g = {"out": grad @ pooled, "bias": np.array([grad.sum()], np.float32), "u": np.zeros_like(p["u"])}
         by_pool = grad[:, None] * p["out"]
         dot = np.einsum("tnk,nk->tn", states, by_pool)
         by_e = weight * (dot - (weight * dot).sum(axis=0))
         g["attend"] = np.einsum("tn,tnk->k", by_e, states)
         by_state = weight[:, :, None] * by_pool + by_e[:, :, None] * p["attend"]
-        by_gates = np.zeros(gates_shape, np.float32)
-        carry = [np.zeros((len(grad), h), np.float32) for _ in range(2)]
-        g["uf"], g["ub"] = np.zeros_like(p["uf"]), np.zeros_like(p["ub"])
-        for d, m, at, old, zr, a_new, new in reversed(kept):
-            u, name = (p["uf"], "uf") if d == 0 else (p["ub"], "ub")
-            dh = carry[d][:m] + by_state[at, np.arange(m), d * h : (d + 1) * h]
-            z, r = zr[:, :h], zr[:, h:]
+        by_read = np.stack([by_state[:, :, :h], by_state[there.T, rows, h:]], axis=1)
+        by_x = np.zeros((longest, 2, n, 3 * h), np.float32)
+        carry, back = np.zeros((2, n, h), np.float32), p["u"].transpose(0, 2, 1)
+        for t in range(longest - 1, -1, -1):
+            m = active[t]
+            old, zr, a_new, new = kept[t]
+            z, r = zr[..., :h], zr[..., h:]
+            dh = carry[:, :m] + by_read[t, :, :m]
             d_new = dh * (1 - z) * (1 - new * new)
-            d_z = dh * (old - new) * z * (1 - z)
-            d_r = d_new * a_new * r * (1 - r)
-            d_x = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_a = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            g[name] += old.T @ d_a
-            carry[d][:m] = dh * z + d_a @ u.T
-            np.add.at(by_gates[:, d * 3 * h : (d + 1) * 3 * h], index[np.arange(m), at], d_x)
-        return g | {"gates": by_gates}
-
-    def window_logits(self, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Logit of every window, with its text, first word (of all words) and length."""
+            d_zr = [dh * (old - new) * z * (1 - z), d_new * a_new * r * (1 - r)]
+            by_x[t, :, :m] = np.concatenate([*d_zr, d_new], axis=2)
+            d_a = np.concatenate([*d_zr, d_new * r], axis=2)
+            g["u"] += old.transpose(0, 2, 1) @ d_a
+            carry[:, :m] = dh * z + d_a @ back
+        live = ~beyond.T
+        gates = np.zeros((many, 6 * h), np.float32)
+        for d, at in enumerate((index[:, :longest], index[rows[:, None], there])):
+            word, value = at[live], by_x[:, d].transpose(1, 0, 2)[live]
+            for k in range(3 * h):
+                gates[:, d * 3 * h + k] = np.bincount(word, value[:, k], many)
+        return g | {"gates": gates}
+
+    def window_logits(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """Logit of every window, and its text."""
         text, first, length = windows(b.counts)
         base = (np.cumsum(b.counts) - b.counts)[text] + first
         gates = self.inputs(b) @ self.p["w"] + self.p["b"]
@@ -267,19 +291,48 @@ class Network:
         for k in range(0, len(order), BLOCK_WINDOWS):
             some = order[k : k + BLOCK_WINDOWS]
             logits[some] = self.forward(gates, gather(b, base[some], length[some]), length[some])[0]
-        return logits, text, base, length
+        return logits, text
+
+    def highest(self, texts: list[str]) -> np.ndarray:
+        """The highest window logit of each of some texts that are cut together."""
+        logits, text = self.window_logits(cut(texts))
+        best = np.full(len(texts), -np.inf, np.float32)
+        np.maximum.at(best, text, logits)
+        return best
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The highest window score of each text."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        out = np.zeros(len(texts))
-        for part in parts(texts):
-            logits, text, _, _ = self.window_logits(cut([texts[i] for i in part]))
-            best = np.full(len(part), -np.inf, np.float32)
-            np.maximum.at(best, text, logits)
-            out[part] = sigmoid(best.astype(np.float64))
-        return out
+        best = np.zeros(len(texts))
+        for part in common.parts(texts, PART_CHARS):
+            if len(part) == 1 and len(texts[part[0]]) > PART_CHARS:
+                best[part] = max(self.highest([piece])[0] for piece in overlapping(texts[part[0]]))
+            else:
+                best[part] = self.highest([texts[i] for i in part])
+        return sigmoid(best)
+
+
+def overlapping(text: str) -> Iterator[str]:
+    """A long text in pieces that have, together, the windows of the whole text and no other.
+
+    The words from the first window on that a piece cannot fill, with a word to
+    spare, are left over and go before the next piece.
+    """
+    left = ""
+    pieces = common.pieces(text, PART_CHARS, LONGEST_WORD)
+    now = next(pieces)
+    for following in pieces:
+        low = left + now.lower()
+        b = cut([low])
+        n = len(b.which)
+        whole = (n - WINDOW - 1) // STRIDE + 1 if n > WINDOW else 0  # windows that end before the last word
+        if whole:
+            last = (whole - 1) * STRIDE + WINDOW - 1
+            yield low[: b.stop[last]]
+        left = "".join(low[i:j] + " " for i, j in zip(b.start[whole * STRIDE :].tolist(), b.stop[whole * STRIDE :].tolist()))
+        now = following
+    yield left + now
 
 
 def gather(b: Batch, base: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -290,48 +343,16 @@ def gather(b: Batch, base: np.ndarray, length: np.ndarray) -> np.ndarray:
     return b.which[np.minimum(at, len(b.which) - 1)]
 
 
-def parts(texts: list[str]):
-    part, held = [], 0
-    for i, t in enumerate(texts):
-        if part and held + len(t) > PART_CHARS:
-            yield part
-            part, held = [], 0
-        part.append(i)
-        held += len(t)
-    if part:
-        yield part
-
+def auc(labels: np.ndarray, scores: np.ndarray) -> float:
+    """The share of (1, 0) pairs that scores rank rightly, ties by half."""
+    _, inverse, times = np.unique(scores, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(times) - (times - 1) / 2)[inverse]
+    ones = int(labels.sum())
+    return float((rank[labels == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(labels) - ones)))
 
-def odds(pairs, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of buckets by how many toxic and clean texts hold them.
 
-    ``pairs`` yields (bucket, text) arrays; no text may be in two of them.
-    """
-    held = np.zeros((2, size))
-    for bucket, owner in pairs:
-        both = np.unique(owner.astype(np.int64) * size + bucket)
-        bad = toxic[both // size]
-        for k in (0, 1):
-            held[k] += np.bincount((both % size)[bad == k], minlength=size)
-    share = [held[k] / max(1, (toxic == k).sum()) for k in (0, 1)]
-    floor = 3 / max(3, min((toxic == 0).sum(), (toxic == 1).sum()))
-    return np.log((share[1] + floor) / (share[0] + floor)).astype(np.float32)
-
-
-def held_grams(b: Batch, n: int, block: int = 64):
-    """(bucket, text) of the n-grams of each text's distinct words, for ``odds``."""
-    ends = np.cumsum(b.counts)
-    for k in range(0, len(b.counts), block):
-        to = min(len(b.counts), k + block)
-        first = ends[k] - b.counts[k]
-        owner = np.repeat(np.arange(k, to), b.counts[k:to])
-        both = np.unique(owner.astype(np.int64) * len(b.first) + b.which[first : ends[to - 1]])
-        words = both % len(b.first)
-        yield b.grams[n][places(b, words)], np.repeat(both // len(b.first), b.size[words])
-
-
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Fit a network to texts and their 0/1 labels."""
+def train(texts: list[str], labels: list[int], clean_weight: float = 1.0, seed: int = 7, epochs: int = EPOCHS) -> Network:
+    """Fit a network to texts and their 0/1 labels; a clean text weighs ``clean_weight``."""
     net, r = Network.fresh(seed), np.random.default_rng(seed)
     toxic = np.array(labels, np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -341,76 +362,85 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if not len(b.first):
         net.constant = float(toxic.mean() >= 0.5)
         return net
-    owner, size = np.repeat(np.arange(len(texts)), b.counts), b.size
-    p["word"][:, 0] = odds([(b.word[b.which], owner)], toxic, 1 << WORD_BITS)
-    gram_odds = np.zeros(1 << GRAM_BITS, np.float32)
-    for n in range(3):
-        own = odds(held_grams(b, n), toxic, 1 << GRAM_BITS)
-        gram_odds = np.where(np.abs(own) > np.abs(gram_odds), own, gram_odds)
-    gram_odds[0] = 0
-    p["gram"][:, 0] = 0.3 * gram_odds
-    # How far a text's most telling word bears its label out, before anything is learned.
-    telling = np.maximum(p["word"][b.word, 0], np.maximum.reduceat(np.maximum.reduce([gram_odds[g] for g in b.grams]), b.first))
-    evidence = np.zeros(len(texts), np.float32)
-    np.maximum.at(evidence, owner, telling[b.which])
+    size, (text, first, length) = b.size, windows(b.counts)
+    base = (np.cumsum(b.counts) - b.counts)[text] + first
+    begin = np.searchsorted(text, np.arange(len(texts) + 1))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k not in ("word", "gram")}
-    squares = {k: np.full(len(p[k]), 1e-3, np.float32) for k in ("word", "gram")}
-    step = 0
-    epoch = 0
-    while epoch < epochs or step < LEAST_STEPS:
-        logits, text, base, length = net.window_logits(b)
-        # A toxic text counts as far as its highest window bears the label out.
-        borne = sigmoid(logits) if epoch else np.minimum(1, evidence / 2)[text]
-        trust = np.where(toxic[text] == 1, np.maximum(borne, LEAST_WEIGHT), 1).astype(np.float32)
+    squares = {k: np.full(len(p[k]), 1e-6, np.float32) for k in ("word", "gram")}
+    weight, seen, told = np.where(toxic == 1, 1.0, clean_weight), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    batch = min(BATCH_WINDOWS, max(LEAST_WINDOWS, len(text) // 16))
+    step = epoch = 0
+    while epoch < epochs or (step < MOST_STEPS and min(told[toxic == 1].mean(), told[toxic == 0].mean()) < ENOUGH):
         epoch += 1
-        order = np.lexsort((-logits, text))
-        top = order[np.r_[True, np.diff(text[order]) != 0]]
-        others = np.flatnonzero(toxic[text] == 0)
-        chosen = np.unique(np.r_[top, r.choice(others, min(len(others), len(top)), replace=False)])
-        r.shuffle(chosen)
-        for k in range(0, len(chosen), BATCH):
-            some = chosen[k : k + BATCH]
-            some = some[np.argsort(-length[some], kind="stable")]
+        order = r.permutation(len(texts))
+        ends = np.cumsum(np.diff(begin)[order])
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(batch, ends[-1] + batch, batch)), len(order)])
+        for docs in np.split(order, cuts[1:-1]):
+            many = np.diff(begin)[docs]
+            some = np.repeat(begin[docs] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            own = np.repeat(np.arange(len(docs)), many)
+            sort = np.argsort(-length[some], kind="stable")
+            some, own = some[sort], own[sort]
+            step += 1
             if not length[some[0]]:
-                step += 1
                 continue
-            index = gather(b, base[some], length[some])
-            distinct, index = np.unique(index, return_inverse=True)
-            index = index.reshape(len(some), -1)
-            at = places(b, distinct)
+            distinct, index = np.unique(gather(b, base[some], length[some]), return_inverse=True)
+            index, at = index.reshape(len(some), -1), places(b, distinct)
             sub = Batch(b.counts, b.which, b.word[distinct], [g[at] for g in b.grams], np.cumsum(size[distinct]) - size[distinct], b.key[distinct])
-            x = net.inputs(sub)
+            stays = (r.random(len(distinct)) >= DROP_WORDS).astype(np.float32)[:, None]  # whole words are left out at random
+            x = net.inputs(sub) * stays
             logit, cache = net.forward(x @ p["w"] + p["b"], index, length[some], keep=True)
-            grad = ((sigmoid(logit) - toxic[text[some]]) * trust[some] / len(some)).astype(np.float32)
-            g = net.backward(grad, index, cache, (len(distinct), 6 * HIDDEN))
-            by_x = g["gates"] @ p["w"].T
+            # Smooth maximum over a text's windows: the log of their mean odds.
+            top = np.full(len(docs), -np.inf, np.float32)
+            np.maximum.at(top, own, logit)
+            odds = np.exp(logit - top[own])
+            total = np.bincount(own, odds, len(docs))
+            seen[docs], told[docs] = sigmoid(top + np.log(total / many)), (top >= 0) == toxic[docs]
+            by_text = (seen[docs] - toxic[docs]) * weight[docs] / len(docs)
+            g = net.backward((by_text[own] * odds / total[own]).astype(np.float32), index, cache, len(distinct))
             by_gates = g.pop("gates")
+            by_x = (by_gates @ p["w"].T) * stays
             g |= {"w": x.T @ by_gates, "b": by_gates.sum(axis=0)}
-            step += 1
             for name, value in g.items():
                 m, v = moments[name]
                 m += 0.1 * (value - m)
                 v += 0.01 * (value * value - v)
                 p[name] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-            # Embeddings: a rate of their own per row (Adagrad), touching this batch's rows only.
+            # Embeddings: a rate of their own per row, touching this batch's rows only.
             gram_rows = np.repeat(np.arange(len(distinct)), size[distinct])
-            for name, rows, value in (("word", sub.word, by_x[:, :DIM]), *(("gram", gr, by_x[gram_rows, DIM:]) for gr in sub.grams)):
-                np.add.at(squares[name], rows, (value * value).mean(axis=1))
-                np.add.at(p[name], rows, -EMBED_RATE * value / np.sqrt(squares[name][rows])[:, None])
+            for name, rows, value, rate in (("word", sub.word, by_x[:, :DIM], WORD_RATE), *(("gram", gr, by_x[gram_rows, DIM:], GRAM_RATE) for gr in sub.grams)):
+                row, inverse = np.unique(rows, return_inverse=True)
+                summed = np.stack([np.bincount(inverse, value[:, k], len(row)) for k in range(DIM)], axis=1).astype(np.float32)
+                squares[name][row] += (summed * summed).mean(axis=1)
+                p[name][row] -= rate * summed / (np.sqrt(squares[name][row])[:, None] + 1e-4)
             p["gram"][0] = 0
+        if epoch >= 2:
+            weight = np.where(toxic == 1, np.maximum(seen, LEAST_WEIGHT), clean_weight)
     return net
 
 
-def learn_from(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Network:
-    """Train on at most ``sample_docs`` labelled rows of each class outside the held-out fifth."""
+def learn_from(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Network:
+    """Train on at most ``sample_docs`` distinct labelled texts of each class outside the held-out fifth."""
     known = labels.filter((remainder(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("id"))
-    totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
-    bad, fine = (common.bounded_sample(known.filter(F.col("toxic") == k), sample_docs, totals.get(k, 0), F.col("id")) for k in (1, 0))
-    some = bad.unionByName(fine)
-    # At most 2 * sample_docs short rows: a size that doesn't grow with the input.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("h", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
-    return train(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Texts stay where they are: the look-up takes hashes only, and each text's smallest id stands for its copies.
+    marked = rows.select(F.col("doc_id"), F.xxhash64("text").alias("h")).join(known, F.col("doc_id") == F.col("id"))
+    marked = common.written(marked.groupBy("h", "toxic").agg(F.min("id").alias("id")), "labelled")
+    totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
+    bad, fine = (common.bounded_sample(marked.filter(F.col("toxic") == k), sample_docs, totals.get(k, 0), F.col("h")) for k in (1, 0))
+    # At most 2 * sample_docs short rows, so this broadcast does not grow with the input; each brings at most sample_chars.
+    some = F.broadcast(bad.unionByName(fine).select("id", F.col("h").alias("own"), "toxic"))
+
+    def shorten(batch: pa.RecordBatch):
+        return {"h": batch.column(0), "text": [common.slices_of(t, sample_chars) for t in common.texts_of(batch.column(1))], "toxic": batch.column(2)}
+
+    found = rows.join(some, F.col("doc_id") == F.col("id")).filter(F.xxhash64("text") == F.col("own")).select("own", "text", "toxic")
+    found = common.map_batches(found, _parse_datatype_string("h long, text string, toxic int"), shorten).dropDuplicates(["h", "toxic"])
+    found = found.toArrow().sort_by([("h", "ascending"), ("toxic", "ascending")])
+    taken = {k: min(sample_docs, n) for k, n in totals.items()}
+    rarer = (totals.get(0, 0) / max(1, taken.get(0, 0))) / (totals.get(1, 0) / max(1, taken.get(1, 0)) or 1)
+    return train(found["text"].to_pylist(), found["toxic"].to_pylist(), min(MOST_WEIGHT, max(1.0, rarer)))
 
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"

@@ -76,8 +76,8 @@ def test_gradients():
     gates = np.random.default_rng(2).standard_normal((3, 6 * toxicity.HIDDEN))
     loss = lambda: float((np.array([1.0, -2.0, 0.5]) * net.forward(gates, index, length)[0]).sum())
     _, cache = net.forward(gates, index, length, keep=True)
-    g = net.backward(np.array([1.0, -2.0, 0.5]), index, cache, gates.shape)
-    for name, array in (("uf", net.p["uf"]), ("ub", net.p["ub"]), ("attend", net.p["attend"]), ("out", net.p["out"]), ("gates", gates)):
+    g = net.backward(np.array([1.0, -2.0, 0.5]), index, cache, len(gates))
+    for name, array in (("u", net.p["u"]), ("attend", net.p["attend"]), ("out", net.p["out"]), ("gates", gates)):
         flat, r = array.reshape(-1), random.Random(5)
         for k in r.sample(range(len(flat)), 6):
             keep, e = flat[k], 1e-3
@@ -90,14 +90,103 @@ def test_gradients():
 
 
 def test_windows_overlap():
-    text, first, length = toxicity.windows(np.array([0, 10, 64, 65, 200]))
+    assert (toxicity.WINDOW, toxicity.STRIDE) == (32, 24)
+    text, first, length = toxicity.windows(np.array([0, 10, 32, 33, 200]))
     seen = {}
     for t, f, n in zip(text, first, length):
         seen.setdefault(t, []).append((int(f), int(n)))
-    assert seen[0] == [(0, 0)] and seen[1] == [(0, 10)] and seen[2] == [(0, 64)] and seen[3] == [(0, 64), (48, 17)]
+    assert seen[0] == [(0, 0)] and seen[1] == [(0, 10)] and seen[2] == [(0, 32)] and seen[3] == [(0, 32), (24, 9)]
     assert seen[4][-1][0] + seen[4][-1][1] == 200
 
 
+def labelled_texts(spark, folder):
+    """(texts, labels) of the learning rows and of the held-out rows."""
+    rows = common.table(spark, folder, "documents").select("doc_id", "text").join(common.table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id").orderBy("doc_id").collect()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    learn = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    return [([r["text"] or "" for r in part], np.array([r["toxic"] for r in part])) for part in (learn, held)]
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_training_earns_the_ranking(spark, folder):
+    """Held-out rows: the trained network beats its own start and a log-odds baseline."""
+    (texts, labels), (others, truth) = labelled_texts(spark, folder)
+    net = toxicity.learn_from(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
+    trained = toxicity.auc(truth, net.score(others))
+    untrained = toxicity.auc(truth, toxicity.Network.fresh().score(others))
+    counts = [{}, {}]
+    for t, y in zip(texts, labels):
+        for w in set(t.lower().split()):
+            counts[y][w] = counts[y].get(w, 0) + 1
+    many = [max(1, (labels == y).sum()) for y in (0, 1)]
+    odds = {w: np.log((counts[1].get(w, 0) / many[1] + 0.01) / (counts[0].get(w, 0) / many[0] + 0.01)) for w in counts[1]}
+    baseline = toxicity.auc(truth, np.array([max([odds.get(w, 0.0) for w in set(t.lower().split())], default=0.0) for t in others]))
+    print(f"{folder}: trained {trained:.3f}, untrained {untrained:.3f}, log-odds {baseline:.3f}")
+    assert trained > baseline and trained > untrained + 0.2 and trained > 0.9
+    assert 0.3 < untrained < 0.7  # nothing is put in beforehand
+    clean = net.score([t for t, y in zip(others, truth) if not y])
+    assert (clean < 0.5).mean() > 0.95
+
+
+def test_long_text_scores_as_uncut(toy_net, monkeypatch):
+    r = random.Random(4)
+    for _ in range(40):
+        text = " ".join(r.choice(["the", "cat", "nasty", "x" * 90, "İΣ"]) * r.choice([1, 1, 3]) for _ in range(r.randint(1, 700))).replace("the", "the" * r.choice([1, 60]))
+        monkeypatch.setattr(toxicity, "LONGEST_WORD", 64)
+        monkeypatch.setattr(toxicity, "PART_CHARS", 1 << 30)
+        whole = toy_net.score([text])
+        monkeypatch.setattr(toxicity, "PART_CHARS", 150)
+        assert np.allclose(toy_net.score([text]), whole, atol=1e-6)
+
+
+def test_long_text_labels_as_uncut(model, monkeypatch):
+    r = random.Random(5)
+    words = ["the", "of", "und", "der", "que", "los", "les", "des", "ΣΑΣ", "你好", "12", "İx", "кошка"]
+    for _ in range(30):
+        text = " ".join(r.choice(words) for _ in range(r.randint(1, 900))) + "\n" * r.randint(0, 3)
+        monkeypatch.setattr(langid, "PART_CHARS", 1 << 30)
+        ((_, words_whole, labels),) = langid.label(model, [text])
+        scores = model.scores(words_whole)
+        value = lambda k: scores[np.arange(len(k)), k].sum() - model.penalty * (np.diff(k) != 0).sum()  # noqa: B023, E731
+        monkeypatch.setattr(langid, "PART_CHARS", 130)
+        monkeypatch.setattr(langid, "LONGEST_WORD", 60)
+        monkeypatch.setattr(langid, "CHUNK_WORDS", r.choice([1, 3, 7]))
+        parts = list(langid.label(model, [text]))
+        assert len(parts) == 1 or len(text) > 130
+        got = np.concatenate([k for _, _, k in parts])
+        # Several labellings may be equally good; both are the best.
+        assert len(got) == len(labels) and np.isclose(value(got), value(labels), atol=1e-2)
+        assert [text[a:b] for _, w, _ in parts for a, b in zip(w.start, w.stop)] == __import__("re").findall(r"[^\W\d_]+", text)
+
+
+@pytest.mark.parametrize("work", ["language", "toxicity", "shingles"])
+def test_memory_of_a_very_long_text(work, model, toy_net):
+    """50 MB in one text: under 500 MB more than the text itself, by a process of its own."""
+    import resource
+    import subprocess
+    import sys
+
+    code = {
+        "language": "from sablewick.llm import langid as m; f = lambda t: m.predict(m.learn(['the cat', 'der hund'], ['en', 'de']), [t])",
+        "toxicity": "from sablewick.llm import toxicity as m; f = lambda t: m.Network.fresh().score([t])",
+        "shingles": "from sablewick.llm import shingles as m; f = lambda t: m.shingle_sets([t])",
+    }[work]
+    code += """
+import resource, random
+from pyspark.sql import functions  # what a worker holds anyway
+r = random.Random(1)
+base = ' '.join(''.join(r.choice('abcdefghij') for _ in range(r.randint(2, 9))) for _ in range(150000))
+f(base[:1000])
+text = (base + ' ') * (50_000_000 // len(base))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+f(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 500, done.stdout
+
+
 @pytest.fixture(scope="module")
 def toy_net():
     r = random.Random(2)
@@ -226,6 +315,20 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == before
 
 
+def test_repeated_text_and_rare_language(spark):
+    """A text repeated 20,000 times and a language with one row in ten thousand: every language is learned."""
+    docs = spark.range(30000).selectExpr(
+        "id * 4 AS doc_id",
+        "CASE WHEN id % 10000 = 1 THEN concat('ελληνικά λόγια γράμματα ', id) WHEN id < 20000 THEN 'the same words again and again' "
+        "WHEN id % 2 = 0 THEN concat('the other words of this text ', id) ELSE concat('die anderen wörter dieses textes ', id) END AS text",
+        "CASE WHEN id % 10000 = 1 THEN 'el' WHEN id < 20000 OR id % 2 = 0 THEN 'en' ELSE 'de' END AS lang",
+    )
+    model = langid.learn_from(docs)
+    assert model.languages == ["de", "el", "en"]
+    rows = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
+    assert rows.filter("lang = lang_pred").count() > 0.95 * rows.count()
+
+
 def test_keep_identified(awkward, model):
     kept = stages.keep_identified(awkward, model)
     ids = {r["doc_id"] for r in kept.collect()}
@@ -242,6 +345,6 @@ def test_copies_enter_the_sample_once(spark):
     # Make the copies' text one whose hash is the smallest.
     low = spark.range(5000).selectExpr("min_by(concat('copy ', id), xxhash64(concat('copy ', id)))").first()[0]
     docs = docs.selectExpr("doc_id", f"CASE WHEN text = 'the same words again' THEN '{low}' ELSE text END AS text", "lang")
-    model = langid.learn_from(docs, sample_docs=40)
+    model = langid.learn_from(docs, sample_docs=20)
     assert set(model.languages) == {"el", "en"}
     assert langid.predict(model, ["ελληνικά λόγια"])[0] == ["el"]
