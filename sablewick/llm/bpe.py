@@ -42,6 +42,8 @@ from sablewick.llm.pretokens import letter_bytes, pretokenizer, printable
 
 #: Pre-tokens whose output is kept, and the longest that is.
 KEPT, KEPT_CHARS = 200_000, 64
+#: Pre-tokens longer than this are fed and put out in slices of so many characters.
+SLICE_CHARS = 1 << 14
 #: Buffers up to this many symbols are merged by scanning, longer ones with a heap.
 SHORT, NONE = 48, 1 << 60
 
@@ -188,19 +190,22 @@ class Codec:
         self.merges = Merges(self.cutter.spec)
         self.kept: dict[str, bytes] = {}
 
-    def tokens(self, piece: str) -> list[str]:
-        """The tokens of one pre-token, streamed."""
-        stream = StreamingEncoder(self.merges)
-        return stream.push(printable(piece.encode())) + stream.finish()
+    def slices(self, piece: str):
+        """Ids (little-endian) of one pre-token as they become stable, slice by slice."""
+        ids, stream = self.merges.ids, StreamingEncoder(self.merges)
+        for k in range(0, len(piece), SLICE_CHARS):
+            tokens = stream.push(printable(piece[k : k + SLICE_CHARS].encode()))
+            if k + SLICE_CHARS >= len(piece):
+                tokens += stream.finish()
+            # A symbol that the vocabulary lacks has no id: the library drops it, as there is no unknown token.
+            numbers = [ids[t] for t in tokens if t in ids]
+            yield struct.pack(f"<{len(numbers)}I", *numbers)
 
     def output(self, piece: str) -> bytes:
         """Ids (little-endian) of one pre-token."""
         found = self.kept.get(piece)
         if found is None:
-            ids = self.merges.ids
-            # A symbol that the vocabulary lacks has no id: the library drops it, as there is no unknown token.
-            numbers = [ids[t] for t in self.tokens(piece) if t in ids]
-            found = struct.pack(f"<{len(numbers)}I", *numbers)
+            found = b"".join(self.slices(piece))
             if len(piece) <= KEPT_CHARS:
                 if len(self.kept) >= KEPT:
                     self.kept.clear()
@@ -213,6 +218,9 @@ class Codec:
         for segment in self.cutter.segments(text):
             if isinstance(segment, int):
                 yield struct.pack("<I", segment)
+            elif segment and len(text) > SLICE_CHARS and max(map(len, segment)) > SLICE_CHARS:
+                for p in segment:
+                    yield from self.slices(p) if len(p) > SLICE_CHARS else (output(p),)
             elif segment:
                 # A pre-token of no ids is kept as empty bytes, so None alone means not kept.
                 yield b"".join([output(p) if (ids := get(p)) is None else ids for p in segment])

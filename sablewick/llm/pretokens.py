@@ -53,20 +53,23 @@ def unprintable(s: str) -> bytes:
 def parts(text: str):
     """The text in consecutive parts of bounded length, cut where no pre-token and no normalisation crosses.
 
-    The cut is before a space whose neighbours are ASCII letters.  A text
-    without such a place stays whole.
+    The cut is before a single space between letters or digits of any script, or
+    between a letter and a punctuation mark, for scripts that set no spaces.  A
+    text without such a place, as one that is a single pre-token, stays whole.
     """
     at = 0
     while len(text) - at > PART_CHARS:
-        m = SAFE_CUT.search(text, at + PART_CHARS)
+        m = SAFE_CUT.search(text, at + PART_CHARS - 1)
         if not m:
             break
-        yield text[at : m.start() + 1]
-        at = m.start() + 1
+        yield text[at : m.end()]
+        at = m.end()
     yield text[at:] if at else text
 
 
-SAFE_CUT = re.compile("[a-zA-Z] (?=[a-zA-Z])")
+# Letters that every version of the Unicode tables has as such: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
+OLD_LETTERS = "a-zA-ZÀ-ÖØ-öø-ſΑ-ΡΣ-Ωα-ωА-яא-תء-غअ-हก-ฮぁ-ゖァ-ヺ一-龥가-힣"
+SAFE_CUT = re.compile(rf"\w(?= \w)|[{OLD_LETTERS}](?=[.,;:!?。，、；：！？…])")
 
 
 class PreTokenizer:

@@ -180,3 +180,61 @@ def test_decoded_digest_follows_the_ids(nothing, monkeypatch):
     (out,) = work(pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text]}))
     assert out["decoded_sha256"] == [hashlib.sha256(wrong.encode()).hexdigest()]
     assert out["n_tokens"] == [len(c.encode(text))]
+
+
+def test_long_pretokens(monkeypatch):
+    """One pre-token of 100,000 letters: as the library says, and soon."""
+    import time
+
+    r, c = random.Random(1), token_count.Counter(BYTE)
+    library = c.cutter.library
+    letters = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "a" * 100_000, "ab" * 50_000, "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(30_000)), "-" * 70_001]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in letters]
+    began = time.perf_counter()
+    assert c.count_batch(letters) == want
+    assert time.perf_counter() - began < 15
+    monkeypatch.setattr(token_count, "LONG_BLOCK", 40)
+    for k in range(60):
+        t = "".join(r.choice(["ab", "aab", "thens", "abcdefghij", "é你a"][k % 5]) for _ in range(r.randint(81, 2500)))
+        assert c.arrays.count_long(t.encode()) == len(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_blocks_need_not_agree():
+    """Rules whose effect reaches on for ever (a run of one letter): blocks out of step are merged again."""
+    spec = {"model": {"end_of_word_suffix": None, "merges": [["a", "a"], ["aa", "a"], ["b", "aa"]]}}
+    arrays = token_count.RankArrays(spec)
+    m = bpe.Merges({"model": {"end_of_word_suffix": None, "vocab": {}, "merges": spec["model"]["merges"]}, "added_tokens": []})
+    r = random.Random(2)
+    for block in (3, 7, 16):
+        token_count.LONG_BLOCK, kept = block, token_count.LONG_BLOCK
+        try:
+            for _ in range(100):
+                t = "".join(r.choice("ab") * r.randint(1, 40) for _ in range(r.randint(1, 12)))
+                assert arrays.count_long(t.encode()) == len(m.apply(list(t))) == arrays.count([t.encode()])[0]
+        finally:
+            token_count.LONG_BLOCK = kept
+
+
+def test_any_script_in_parts(monkeypatch):
+    r = random.Random(3)
+    scripts = ["кошка собака Σίσυφος", "你好，世界。再见！", "ひらがなカタカナ、漢字。", "שלום עולם", "नमस्ते दुनिया।", "안녕 하세요.", "é́ a ́b 12 ²³ x", "مرحبا، يا", "can't 's 'S"]
+    texts = ["".join(r.choice(scripts) + r.choice(["", " ", "\n", "  "]) for _ in range(120)) for _ in range(12)]
+    monkeypatch.setattr(pretokens, "PART_CHARS", 40)
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 30)
+    for path in (WORD, BYTE):
+        c = bpe.Codec(path)
+        for t in texts:
+            assert "".join(pretokens.parts(t)) == t and max(map(len, pretokens.parts(t))) < 200
+            want = c.cutter.library.encode(t, add_special_tokens=False).ids
+            assert c.encode(t) == want
+            if path == BYTE:
+                assert token_count.Counter(BYTE).count_batch([t]) == [len(want)]
+        for t in ("x" * 1000, "字" * 500 + "。" + "ab" * 300):
+            assert c.encode(t) == c.cutter.library.encode(t, add_special_tokens=False).ids
+
+
+def test_held_buffer_is_bounded(monkeypatch):
+    """A pre-token of any length is put out slice by slice."""
+    c = bpe.Codec(BYTE)
+    sizes = [len(ids) for ids in c.stream("字" * 200_000)]
+    assert len(sizes) > 10 and max(sizes) < 4 * 4 * bpe.SLICE_CHARS
