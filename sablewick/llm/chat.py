@@ -17,7 +17,8 @@ hand only, and hands on finished conversations batch by batch.
 
 Defined results
 ---------------
-* null text: empty; null role: ``user``; null conv_id: a conversation of its own;
+* null text: empty; null role: ``user``; every row with a null conv_id is a
+  conversation of its own, since nothing says which belong together;
 * rows with the same turn (ties): folded in order of sequence, then kind, role
   and text, so the result doesn't depend on input order; rows repeated outright
   are repeated turns;
@@ -139,7 +140,9 @@ def _fold(log: DataFrame, schema: T.StructType, finish) -> DataFrame:
     """Partition by conversation, sort by sequence, fold, and hand each conversation to ``finish``."""
     names = ["conv_id", "seq", "turn", "kind", "role", "text"]
     tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = log.select(*names).repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "seq", "turn", "kind", "role", "text")
+    # Rows without a conversation are dealt by what they say, so that they don't all meet in one task.
+    loose = F.when(F.col("conv_id").isNull(), F.xxhash64("seq", "turn", "kind", "role", "text"))
+    rows = log.select(*names).repartition(tasks, F.col("conv_id"), loose).sortWithinPartitions(*names)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +154,7 @@ def _fold(log: DataFrame, schema: T.StructType, finish) -> DataFrame:
 
         for batch in batches:
             for conv, _, turn, kind, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not begun or conv != key:
+                if not begun or conv != key or conv is None:
                     if begun:
                         done.append(finish(key, now.messages()))
                         held += 1

@@ -2,8 +2,12 @@
 
 A batch is reduced to one row per digest before anything is joined; those rows
 meet the index in a sort-merge anti-join, and the digests that the index does
-not hold yet are appended to it.  The index has one bucket per shuffle
-partition, so neither side of that join is exchanged again.
+not hold yet are appended to it.  The index is bucketed by digest, so it is never
+exchanged; only the batch's groups are, to its buckets.
+
+What a batch returns depends on its own rows and on the documents recorded for
+their digests, and those never change.  So a batch that is run again, after a
+failure at any step or for any other reason, returns the same rows.
 
 Only DataFrame functions are used.  A digest that a third of all rows share is
 pre-aggregated before its exchange, and the look-up that gives each row its
@@ -15,6 +19,7 @@ Defined results
 * equal texts: identical after lower-casing A-Z only; of a batch's equal texts
   the row with the largest doc_id stays (a null doc_id counts as smallest), and
   a digest already in the index keeps the document recorded there;
+* ``group_size`` counts the batch's rows with this text, whatever came before;
 * repeated rows (same doc_id and equal text): one document; all carry its
   verdict, and ``keep_one`` returns a single row for it;
 * empty table: no rows, the index is unchanged;
@@ -23,6 +28,9 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +45,7 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed table ``(text_sha256, keep_id, group_size)``.
+    """A bucketed table ``(text_sha256, keep_id)``.
 
     With ``path`` the table lies there: another session, whose catalogue does
     not know it, opens the same index by giving the same path and number of
@@ -50,7 +58,7 @@ class DigestIndex:
         if not spark.catalog.tableExists(name):
             place = f" LOCATION '{path}'" if path else ""
             spark.sql(
-                f"CREATE TABLE {name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT) USING parquet "
+                f"CREATE TABLE {name} (text_sha256 STRING, keep_id BIGINT) USING parquet "
                 f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS{place}"
             )
 
@@ -66,27 +74,20 @@ class DigestIndex:
     def add(self, groups: DataFrame) -> None:
         """Append the groups whose digest is not indexed yet (sort-merge anti-join)."""
         known = self.read().select("text_sha256").hint("merge")
-        self._append(groups.hint("merge").join(known, "text_sha256", "left_anti").select("text_sha256", "keep_id", "group_size"))
+        self._append(groups.hint("merge").join(known, "text_sha256", "left_anti").select("text_sha256", "keep_id"))
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``group_size`` counts the batch's rows with this text, plus the rows counted
-    when the digest entered the index if that was an earlier batch.
+    The index is read and written before this returns; the rows no longer depend on it.
     """
     rows = common.written(docs.select("doc_id", text_digest(F.col("text")).alias("text_sha256")), "digests")
     # Written, so that the optimiser cannot push the joins with the index below this aggregate: a join there would exchange every row.
     groups = common.written(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    before = common.written(groups.join(index.read().hint("merge"), "text_sha256", "left_semi").select("text_sha256"), "known")
     index.add(groups)
-    found = (
-        groups.select("text_sha256", F.col("group_size").alias("batch_size"))
-        .join(index.read().hint("merge"), "text_sha256")
-        .join(before.withColumn("known", F.lit(True)), "text_sha256", "left")
-        .select("text_sha256", "keep_id", (F.col("batch_size") + F.when(F.col("known"), F.col("group_size")).otherwise(0)).alias("group_size"))
-    )
-    found = found.select(common.image(F.col("text_sha256")).alias("image"), "keep_id", "group_size")
+    found = groups.drop("keep_id").join(index.read().hint("merge"), "text_sha256").select(common.image(F.col("text_sha256")).alias("image"), "keep_id", "group_size")
+    found = common.written(found, "found")
     return (
         rows.withColumn("image", common.image(F.col("text_sha256")))
         .join(found, "image")
@@ -94,6 +95,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
+@contextmanager
+def passing_index(spark: SparkSession):
+    """An index for one run, gone afterwards."""
+    index = DigestIndex(spark, f"sablewick_digests_{uuid.uuid4().hex}")
+    try:
+        yield index
+    finally:
+        index.drop()
+
+
 def keep_one(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns, one for each text.
 

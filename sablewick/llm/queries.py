@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +26,10 @@ def op1_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of ``documents`` against an index that starts empty."""
-    from sablewick.llm.exact_dedup import DigestIndex, exact_dedup
+    from sablewick.llm.exact_dedup import exact_dedup, passing_index
 
-    return exact_dedup(table(spark, sf_dir, "documents"), DigestIndex(spark, f"sablewick_digests_{uuid.uuid4().hex}"))
+    with passing_index(spark) as index:
+        return exact_dedup(table(spark, sf_dir, "documents"), index)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

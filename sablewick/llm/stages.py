@@ -8,13 +8,11 @@ copies, since nothing names them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sablewick.llm import common, langid, toxicity
-from sablewick.llm.exact_dedup import DigestIndex, keep_one
+from sablewick.llm.exact_dedup import keep_one, passing_index
 from sablewick.llm.ngram_join import THRESHOLD, jaccard_join
 
 #: A text is rejected if no language has this share of its letters.
@@ -40,7 +38,8 @@ def drop_toxic(docs: DataFrame, net: toxicity.Network, threshold: float = 0.5) -
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """Keep one row of each text (A-Z lower-cased): the one with the largest doc_id."""
-    return keep_one(docs, DigestIndex(docs.sparkSession, f"sablewick_digests_{uuid.uuid4().hex}"))
+    with passing_index(docs.sparkSession) as index:
+        return keep_one(docs, index)
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

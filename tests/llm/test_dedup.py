@@ -114,11 +114,30 @@ def test_index_persists(spark):
     exact_dedup(rows((1, "a"), (2, "A"), (3, "b")), index)
     again = DigestIndex(spark, index.name)
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(rows((9, "a"), (8, "c"), (7, "c")), again).collect()}
-    assert got == {9: (2, 3, False), 8: (8, 2, True), 7: (8, 2, False)}
+    assert got == {9: (2, 1, False), 8: (8, 2, True), 7: (8, 2, False)}
     assert index.read().count() == 3
     index.drop()
 
 
+def test_batches_and_retries(spark):
+    """Three batches of one text; each counts its own rows, and running one again changes nothing."""
+    index = DigestIndex(spark, name())
+    rows = lambda *r: spark.createDataFrame(r, "doc_id long, text string")
+    batches = [rows((1, "a"), (2, "A"), (5, "b")), rows((3, "a")), rows((4, "a"), (6, "c"), (6, "c"))]
+    run = lambda batch: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup(batch, index).collect())
+    once = [run(b) for b in batches]
+    assert once == [[(1, 2, 2, False), (2, 2, 2, True), (5, 5, 1, True)], [(3, 2, 1, False)], [(4, 2, 1, False), (6, 6, 2, True), (6, 6, 2, True)]]
+    before = sorted(map(tuple, index.read().collect()))
+    assert [run(b) for b in batches] == once and sorted(map(tuple, index.read().collect())) == before
+    index.drop()
+
+
+def test_query_leaves_no_index(spark, sf_dir):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert queries.op2_exact_dedup(spark, sf_dir).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_index_opens_by_path(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     index = DigestIndex(spark, name(), 4, str(tmp_path / "index"))
@@ -133,9 +152,10 @@ def test_index_opens_by_path(spark, tmp_path):
 def test_index_plan_is_merge_and_bucketed(spark):
     index = DigestIndex(spark, name(), 4)
     known = index.read().select("text_sha256").hint("merge")
-    groups = spark.createDataFrame([("x", 1, 1)], "text_sha256 string, keep_id long, group_size long")
+    groups = spark.createDataFrame([("x", 1)], "text_sha256 string, keep_id long")
     plan = groups.hint("merge").join(known, "text_sha256", "left_anti")._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "SortMergeJoin" in physical and "Bucketed: true" in physical and physical.count("Exchange hashpartitioning") == 1
     index.drop()
 
 

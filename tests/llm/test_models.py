@@ -236,10 +236,14 @@ def test_events(spark, nothing):
         (1, 0, 0, "message", "user", "hi"), (1, 1, 1, "message", "assistant", "a"), (1, 2, 1, "delta", None, "b"), (1, 3, 2, "message", "user", "x"),
         (1, 4, 1, "regenerate", "assistant", ""), (1, 5, 1, "delta", None, "new"), (1, 6, 0, "edit", None, "hello"), (1, 7, 3, "message", "user", "bye"), (1, 8, 3, "delete", None, None),
         (2, 0, 5, "delta", None, None), (None, 0, 0, "message", "user", None),
+        (None, 0, 0, "message", "user", None), (None, 1, 0, "delta", "user", "loose"), (None, 2, 1, "message", "assistant", "x"),
     ]
     df = spark.createDataFrame(log, chat.EVENTS).repartition(3)
-    got = {r["conv_id"]: chat.parse(r["formatted"]) for r in chat.format_chats(df).collect()}
-    assert got == {1: [("user", "hello"), ("assistant", "new")], 2: [("user", "")], None: [("user", "")]}
+    rows = chat.format_chats(df).collect()
+    got = {r["conv_id"]: chat.parse(r["formatted"]) for r in rows if r["conv_id"] is not None}
+    assert got == {1: [("user", "hello"), ("assistant", "new")], 2: [("user", "")]}
+    # Rows without a conversation stand alone.
+    assert sorted(chat.parse(r["formatted"]) for r in rows if r["conv_id"] is None) == [[("assistant", "x")], [("user", "")], [("user", "")], [("user", "loose")]]
     assert chat.format_chats(df.filter("conv_id > 99")).count() == 0
 
 
