@@ -290,6 +290,75 @@ def test_media_damage():
     assert media.crc16(b"123456789") == 0xAEE7  # published check value of this CRC
 
 
+def frame(version, layer, index, rate=0, padding=0, mode=0, protected=False, body=b"", ext=0) -> bytes:
+    """A frame of any kind, filled up to its length, with a right checksum."""
+    bits = {1.0: 3, 2.0: 2, 2.5: 0}[version]
+    head = bytes((0xFF, 0xE0 | bits << 3 | (4 - layer) << 1 | (not protected), index << 4 | rate << 2 | padding << 1, mode << 6 | ext << 4))
+    h = media.parse_header(head)
+    filled = body + bytes(h.size - len(head) - 2 * protected - len(body))
+    crc = media.crc16(head[2:] + filled[: max(0, h.covered)]).to_bytes(2) if protected else b""
+    return head + crc + filled
+
+
+def test_media_versions_and_layers():
+    # Frame lengths and durations after the standards' formulas.
+    sizes = {(1.0, 3, 9): 417, (2.0, 3, 8): 208, (2.5, 3, 8): 417, (1.0, 2, 6): 313, (2.0, 2, 8): 417, (1.0, 1, 4): 136, (2.0, 1, 5): 172}
+    for (version, layer, index), size in sizes.items():
+        for protected in (False, True):
+            f = frame(version, layer, index, protected=protected)
+            assert len(f) == size, (version, layer, size, len(f))
+            a = media.read(b"junk" + f * 5)
+            samples = 384 if layer == 1 else 576 if layer == 3 and version > 1 else 1152
+            assert (a.version, a.layer, len(a.offsets), a.samples, a.skipped, a.bad_crc) == (version, layer, 5, 5 * samples, 4, 0)
+            assert a.sample_rate == 44100 // {1.0: 1, 2.0: 2, 2.5: 4}[version] and a.unchecked == 5 * (layer == 2 and protected)
+            if protected and layer != 2:
+                bad = bytearray(f * 5)
+                bad[size + 8] ^= 1
+                assert media.read(bytes(bad)).bad_crc == 1
+    joint = frame(1.0, 1, 4, mode=1, ext=1, protected=True)
+    assert media.parse_header(joint[:4]).covered == (32 + 8) // 2 and media.read(joint * 3).bad_crc == 0
+
+
+def test_media_tables():
+    import struct
+
+    f = frame(1.0, 3, 9)
+    for flags, fields in ((0, b""), (1, struct.pack(">I", 7)), (2, struct.pack(">I", 99)), (4, bytes(range(100))), (7, struct.pack(">II", 7, 99) + bytes(range(100))), (15, struct.pack(">II", 7, 99) + bytes(range(100)) + bytes(4))):
+        table = frame(1.0, 3, 9, body=bytes(32) + b"Xing" + struct.pack(">I", flags) + fields)
+        a = media.read(table + f * 3)
+        assert a.table == (7 if flags & 1 else -1, 99 if flags & 2 else -1, bytes(range(100)) if flags & 4 else b"") and len(a.offsets) == 3
+    vbri = frame(1.0, 3, 9, body=bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 1234, 3, 2, 1, 2, 1) + b"abcd")
+    a = media.read(vbri + f * 3)
+    assert a.table == (3, 1234, b"abcd") and len(a.offsets) == 3
+    assert media.read(frame(1.0, 3, 9, protected=True) + f * 2).table is None
+
+
+def test_media_free_bitrate_and_tags():
+    one = bytes((0xFF, 0xFB, 0x00, 0x00)) + bytes(700)
+    padded = bytes((0xFF, 0xFB, 0x02, 0x00)) + bytes(701)
+    a = media.read(one + padded + one + one)
+    assert a.offsets == [0, 704, 1409, 2113] and a.bitrates == {0: 4} and a.skipped == 0
+    f = frame(1.0, 3, 9)
+    v1 = b"TAG" + b"Song".ljust(30, b"\0") + b"Band".ljust(30) + bytes(30) + b"1999" + bytes(30) + b"\x01"
+    old = b"TT2" + (5).to_bytes(3) + b"\0abcd"
+    tag2 = b"ID3\2\0\0" + media.synchsafe(len(old)) + old
+    a = media.read(tag2 + f * 2 + v1)
+    assert a.tags == {"TT2": b"\0abcd", "ID3v1.title": b"Song", "ID3v1.artist": b"Band", "ID3v1.year": b"1999"} and len(a.offsets) == 2 and not a.skipped
+    new = b"TIT2" + (3).to_bytes(4) + b"\0\0" + b"\0xy"
+    for version, extended in ((3, (6).to_bytes(4) + bytes(6)), (4, media.synchsafe(6) + b"\1\0")):
+        a = media.read(b"ID3" + bytes((version, 0, 64)) + media.synchsafe(len(extended + new)) + extended + new + f * 2)
+        assert a.tags == {"TIT2": b"\0xy"} and len(a.offsets) == 2
+    assert media.read(b"ID3").offsets == [] and media.read(b"TAG" + bytes(10)).offsets == []
+
+
+def test_audio_columns(spark):
+    f = frame(2.0, 3, 8)
+    df = spark.createDataFrame([(1, f * 4), (2, None), (3, b""), (4, b"no audio")], "doc_id long, audio binary")
+    got = {r["doc_id"]: r for r in media.audio_columns(df).collect()}
+    assert (got[1]["version"], got[1]["sample_rate"], got[1]["samples"], got[1]["seek_offsets"]) == (2.0, 22050, 4 * 576, [0, 208, 416, 624])
+    assert got[1]["seconds"] == 4 * 576 / 22050 and got[2]["samples"] == got[3]["samples"] == got[4]["samples"] == 0 and got[4]["skipped"] == 8
+
+
 def test_media_rows(awkward, nothing):
     rows = media.media_digests(awkward).collect()
     assert len(rows) == awkward.count() and media.media_digests(nothing).count() == 0
