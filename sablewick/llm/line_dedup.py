@@ -2,11 +2,13 @@
 
 Every text is a sequence of line hashes.  In each window of ``window`` lines the
 smallest hash is selected as a fingerprint, so any run of at least ``window``
-lines that two places share is guaranteed to share a fingerprint.  Only
-fingerprints that occur more than once are followed up: from each of their
-positions the match is extended both ways, through all the windows that the
-fingerprint was selected for; a window that occurs earlier in the corpus (by
-doc_id, then by line) is a later repeat.  Overlapping repeats merge into maximal
+lines that two places share is guaranteed to share a fingerprint.  Only selected
+positions leave their document, each with the windows that it was selected for;
+positions whose fingerprint occurs nowhere else are dropped.  The others are
+joined, by those windows, with the first place in the corpus (by doc_id, then by
+line) that holds the same.  Each such pair of positions is extended both ways, as
+long as the next pair lies at the same distance in the same two documents: these
+are the maximal ``matches``.  A document's matches with earlier places merge into
 runs, and the runs are deleted.  The first place of every run keeps its lines.
 
 The result is exact: a line goes if and only if a window of ``window``
@@ -58,7 +60,7 @@ def _long(line: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
-    """One row per window: doc, row, where it begins (``at``), its lines (``width``), its 128 bits, and the fingerprint it selects (``print``, at ``line``)."""
+    """One row per selected position: doc, row, line, its hash (``print``) and the windows it was selected for (at, width and 128 bits)."""
     base = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), _lines(F.col("text")).alias("lines"))
     base = base.select(
         "doc",
@@ -71,56 +73,78 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, long_lines: bool = False
     if not long_lines:
         base = base.filter(F.size("a") >= window)
 
-    # One entry for each window: where it begins, its own 128 bits, and its smallest line hash.
-    def entry(i: Column, width: int) -> Column:
-        return F.struct(
-            i.alias("at"),
-            F.lit(width).alias("width"),
-            F.xxhash64(*[F.get("a", i + k) for k in range(width)]).alias("high"),
-            F.xxhash64(*[F.get("b", i + k) for k in range(width)]).alias("low"),
-            F.array_min(F.array(*[F.struct(F.get("a", i + k).alias("hash"), F.lit(-k).alias("back")) for k in range(width)])).alias("least"),
-            F.array_max(F.array(*[F.get("says", i + k) for k in range(width)])).alias("says"),
-        )
-
-    # Indices of the windows; a text of fewer lines has none.
-    starts = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: i <= F.size("a") - window)
-    entries = F.transform(starts, lambda i: entry(i, window))
-    if long_lines:
-        alone = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: F.get("long", i))
-        entries = F.concat(entries, F.transform(alone, lambda i: entry(i, 1)))
-    flat = base.select("doc", "row", F.inline(entries)).filter("says")
-    return flat.select("doc", "row", "at", "width", "high", "low", F.col("least.hash").alias("print"), (F.col("at") - F.col("least.back")).alias("line"))
+    def entry(i: Column, width: int) -> list[Column]:
+        bits = [F.xxhash64(*[F.get(half, i + k) for k in range(width)]).alias(name) for half, name in (("a", "high"), ("b", "low"))]
+        return [i.alias("at"), F.lit(width).alias("width"), *bits]
 
+    def selected(i: Column) -> Column:
+        """The line with the smallest hash of the window that begins here, the last of equal ones."""
+        least = F.array_min(F.array(*[F.struct(F.get("a", i + k).alias("hash"), F.lit(-k).alias("back")) for k in range(window)]))
+        says = F.array_max(F.array(*[F.get("says", i + k) for k in range(window)]))
+        return F.when(says, i - least["back"]).otherwise(-1)  # blank lines only: none
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
-    """(doc, row, runs): the maximal runs to delete of each document that has any, as sorted (first, last) lines."""
+    # One entry for each window; a text of fewer lines has none.
+    starts = F.filter(F.sequence(F.lit(0), F.size("a") - 1), lambda i: i <= F.size("a") - window)
+    base = base.withColumn("windows", F.transform(starts, lambda i: F.struct(*entry(i, window), selected(i).alias("line"))))
+
+    def chosen(i: Column) -> Column:
+        """The windows, all of them near this line, that selected it."""
+        near = F.filter(F.slice("windows", F.greatest(i - (window - 2), F.lit(1)), window), lambda w: w["line"] == i)
+        mine = F.transform(near, lambda w: F.struct(w["at"].alias("at"), w["width"].alias("width"), w["high"].alias("high"), w["low"].alias("low")))
+        if not long_lines:
+            return mine
+        alone = F.array(F.struct(*entry(i, 1)))
+        return F.concat(mine, F.when(F.get("long", i) & F.get("says", i), alone).otherwise(F.filter(alone, lambda w: F.lit(False))))
+
+    places = F.transform(F.sequence(F.lit(0), F.size("a") - 1), lambda i: F.struct(i.alias("line"), F.get("a", i).alias("print"), chosen(i).alias("windows")))
+    # A generator never takes the projection below it in, so the windows are computed once a text and not once a line.
+    return base.select("doc", "row", F.inline(F.filter(places, lambda p: F.size(p["windows"]) > 0)))
+
+
+def _with_runs(df: DataFrame, windows: str, *keys: str) -> DataFrame:
+    """The keys and ``runs``: sorted (first, last) of the lines that any of the windows (at, width) covers."""
+    covered = F.flatten(F.transform(windows, lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1)))
+    lines = df.select(*keys, F.array_sort(F.array_distinct(covered)).alias("__at"))
+    n = F.size("__at")
+    # A run begins after a gap, and ends before one.
+    begins = F.filter("__at", lambda x, i: (i == 0) | (x - F.get("__at", i - 1) > 1))
+    ends = F.filter("__at", lambda x, i: (i == n - 1) | (F.get("__at", i + 1) - x > 1))
+    return lines.select(*keys, F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("first"), e.alias("last"))).alias("runs"))
+
+
+def matches(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
+    """The maximal matches with first places: doc, row, first and last line there, and the document, row and line where it stands first."""
     found = common.written(fingerprints(docs, window, long_lines), "fingerprints")
     # A fingerprint at one place only is part of no repeat.
     spot = F.struct("doc", "row", "line")
     often = found.groupBy("print").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
     often = often.filter(~F.col("lo").eqNullSafe(F.col("hi"))).select(common.image(F.col("print"), "long").alias("key"))
-    around = found.withColumn("key", common.image(F.col("print"), "long")).join(often, "key", "left_semi").drop("key", "print", "line")
-    around = common.written(around, "windows")
+    shared = found.withColumn("key", common.image(F.col("print"), "long")).join(often, "key", "left_semi").select("doc", "row", F.inline("windows"))
+    shared = common.written(shared, "positions")
     place = F.struct("doc", "row", "at")
-    first = around.groupBy("high", "low").agg(F.min(place).alias("origin"), F.max(place).alias("final"))
+    first = shared.groupBy("high", "low").agg(F.min(place).alias("origin"), F.max(place).alias("final"))
     first = first.filter(~F.col("origin").eqNullSafe(F.col("final"))).select(
         common.image(F.col("high"), "long").alias("h"), common.image(F.col("low"), "long").alias("l"), "origin"
     )
-    later = (
-        around.withColumn("h", common.image(F.col("high"), "long"))
+    pairs = (
+        shared.withColumn("h", common.image(F.col("high"), "long"))
         .withColumn("l", common.image(F.col("low"), "long"))
         .join(first, ["h", "l"])
         .filter(~place.eqNullSafe(F.col("origin")))
-        .groupBy("doc", "row")
-        .agg(F.collect_set(F.struct("at", "width")).alias("windows"))
+        .select("doc", "row", "at", "width", F.col("origin.doc").alias("origin_doc"), F.col("origin.row").alias("origin_row"), (F.col("at") - F.col("origin.at")).alias("shift"))
+    )
+    # Extension: pairs at one distance in the same two documents that touch or overlap are one match.
+    keys = ["doc", "row", "origin_doc", "origin_row", "shift"]
+    lines = _with_runs(pairs.groupBy(*keys).agg(F.collect_set(F.struct("at", "width")).alias("w")), "w", *keys)
+    return lines.select("doc", "row", "origin_doc", "origin_row", F.inline("runs"), "shift").select(
+        "doc", "row", "first", "last", "origin_doc", "origin_row", (F.col("first") - F.col("shift")).alias("origin_first")
     )
-    # The lines that any window covers; a run begins after a gap, and ends before one.
-    covered = F.flatten(F.transform("windows", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1)))
-    later = later.select("doc", "row", F.array_sort(F.array_distinct(covered)).alias("at"))
-    n = F.size("at")
-    begins = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > 1))
-    ends = F.filter("at", lambda x, i: (i == n - 1) | (F.get("at", i + 1) - x > 1))
-    return later.select("doc", "row", F.zip_with(begins, ends, lambda s, e: F.struct(s.alias("first"), e.alias("last"))).alias("runs"))
+
+
+def repeated_runs(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
+    """(doc, row, runs): the runs to delete of each document that has any, as sorted (first, last) lines."""
+    later = matches(docs, window, long_lines).groupBy("doc", "row").agg(F.collect_list(F.struct(F.col("first").alias("at"), (F.col("last") - F.col("first") + 1).alias("width"))).alias("w"))
+    return _with_runs(later, "w", "doc", "row")
 
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, long_lines: bool = False) -> DataFrame:
@@ -160,30 +184,6 @@ def line_dedup_digest(docs: DataFrame, window: int = WINDOW, long_lines: bool =
 
 
 ORACLE_SQL = """
-WITH line AS (
-  SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS pos, unnest(parts) AS line, len(parts) AS n
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
-win AS (
-  SELECT doc_id, pos, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM line),
-ranked AS (
-  SELECT doc_id, pos,
-         (trim(line, ' ') <> '' OR trim(following, ' ') <> '')
-         AND row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) > 1 AS repeat_here
-  FROM win WHERE following IS NOT NULL),
-hit AS (
-  SELECT l.doc_id, l.pos, l.line, l.n,
-         coalesce(r.repeat_here, false) OR coalesce(lag(r.repeat_here) OVER (PARTITION BY l.doc_id ORDER BY l.pos), false) AS gone
-  FROM line l LEFT JOIN ranked r USING (doc_id, pos)),
-run AS (
-  SELECT doc_id, min(pos) AS a, max(pos) AS b
-  FROM (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM hit WHERE gone) GROUP BY doc_id, g),
-spans AS (SELECT doc_id, string_agg(a || '-' || b, ';' ORDER BY a) AS removed FROM run GROUP BY doc_id)
-SELECT h.doc_id, max(h.n) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(max(s.removed), '') AS removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS text_sha256
-FROM hit h LEFT JOIN spans s USING (doc_id) GROUP BY h.doc_id
-"""
-
-LONG_ORACLE_SQL = """
 WITH line AS (
   SELECT doc_id, unnest(generate_series(0, len(parts) - 1)) AS pos, unnest(parts) AS line, len(parts) AS n
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),

@@ -11,14 +11,7 @@ from sablewick.llm.common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of two lines or more removed from all ``documents``."""
-    from sablewick.llm.line_dedup import line_dedup_digest
-
-    return line_dedup_digest(table(spark, sf_dir, "documents"))
-
-
-def op1_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, with repeats of single long lines and of one-line ``documents`` removed too."""
+    """Later repeats removed from all ``documents``: runs of two lines or more, and single long lines."""
     from sablewick.llm.line_dedup import line_dedup_digest
 
     return line_dedup_digest(table(spark, sf_dir, "documents"), long_lines=True)
@@ -101,7 +94,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
-    "op1_long_line_dedup": op1_long_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_media_columns": op4_media_columns,
@@ -115,7 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
-    "op1_long_line_dedup": line_dedup.LONG_ORACLE_SQL,
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
     "op2_exact_dedup": """

@@ -12,7 +12,7 @@ import pytest
 
 from sablewick.llm import common, components, queries, stages
 from sablewick.llm.exact_dedup import UPPER, DigestIndex, exact_dedup, keep_one
-from sablewick.llm.line_dedup import line_dedup, line_dedup_digest
+from sablewick.llm.line_dedup import fingerprints, line_dedup, line_dedup_digest, matches
 from sablewick.llm.ngram_join import BANDS, least_matches, jaccard_join, overlaps
 
 TABLES = "documents labels conversations".split()
@@ -74,6 +74,37 @@ def test_line_dedup_awkward(awkward, nothing):
     assert line_dedup_digest(nothing).count() == 0
 
 
+def test_matches_are_maximal(spark):
+    docs = [(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\nd\ny"), (3, "a\nb\nq\nd\ne"), (4, "x\nb\nr"), (5, "b\nc\nb\nc\nb")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((m["doc"], m["first"], m["last"], m["origin_doc"], m["origin_first"]) for m in matches(df).collect())
+    assert got == [(2, 1, 3, 1, 1), (3, 0, 1, 1, 0), (3, 3, 4, 1, 3), (4, 0, 1, 2, 0), (5, 0, 1, 1, 1), (5, 2, 3, 1, 1), (5, 3, 4, 5, 1)]
+
+
+def test_winnowing_is_guaranteed(spark):
+    """Every window selects one of its lines, and fewer lines are selected the wider it is."""
+    r = random.Random(8)
+    text = "\n".join(f"{r.random()}" for _ in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for window in (2, 5, 9):
+        found = fingerprints(df, window).collect()
+        assert sorted(w["at"] for f in found for w in f["windows"]) == list(range(3000 - window + 1))
+        assert all(w["at"] <= f["line"] < w["at"] + window for f in found for w in f["windows"])
+        assert abs(len(found) / 3000 - 2 / (window + 1)) < 0.05
+
+
+def test_long_repeats_take_linear_time(spark):
+    """20,000 equal lines, and a copy: seconds, not a square of the lines."""
+    import time
+
+    docs = [(1, "same line\n" * 20000), (2, "\n".join(f"line {k}" for k in range(20000))), (3, "\n".join(f"line {k}" for k in range(20000)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_removed"], r["removed"]) for r in line_dedup_digest(df, long_lines=True).collect()}
+    assert got == {1: (19999, "1-19999"), 2: (0, ""), 3: (20000, "0-19999")}
+    assert time.perf_counter() - began < 60
+
+
 def test_line_dedup_long_lines(spark, nothing):
     words = lambda n: " ".join(f"w{k}" for k in range(n))
     long, short, unspaced = words(51), words(50), "\u6587" * 301
