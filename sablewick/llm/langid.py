@@ -272,19 +272,31 @@ def label_long(model: Model, text: str) -> Iterator[tuple[Words, np.ndarray]]:
 
 
 def label_short(model: Model, texts: list[str]) -> tuple[Words, np.ndarray]:
-    """Words and labels of texts that are not long."""
-    w = words_of([_lowered(t) for t in texts])
-    return w, viterbi(model.scores(w), np.bincount(w.text, minlength=len(texts)), model.penalty)
-
-
-def label(model: Model, texts: list[str]) -> Iterator[tuple[list[int], Words, np.ndarray]]:
-    """Numbers of texts, their words (``text`` counts within those numbers) and labels; a long text comes alone and in several parts."""
+    """Words and labels of texts that are not long: hashed part by part, labelled together, since many sequences share each step."""
+    kept, scores = [], []
     for part in common.parts(texts, PART_CHARS):
-        if len(part) == 1 and len(texts[part[0]]) > PART_CHARS:
-            for w, labels in label_long(model, texts[part[0]]):
-                yield part, w, labels
-        else:
-            yield part, *label_short(model, [texts[i] for i in part])
+        w = words_of([_lowered(texts[i]) for i in part])
+        scores.append(model.scores(w))
+        w.text += part[0]
+        kept.append(w)
+    none = np.zeros(0, np.int64)
+    joined = [np.concatenate([getattr(w, k) for w in kept]) if kept else none for k in ("text", "letters", "script", "start", "stop")]
+    words = Words(*joined[:3], none, none, none, *joined[3:])
+    every = np.concatenate(scores) if scores else np.zeros((0, len(model.languages)), np.float32)
+    return words, viterbi(every, np.bincount(words.text, minlength=len(texts)), model.penalty)
+
+
+def label(model: Model, texts: list[str]) -> Iterator[tuple[Words, np.ndarray]]:
+    """Words (``text`` counts within ``texts``) and labels: of all short texts at once, then of each long text in several parts."""
+    numbers = [i for i, t in enumerate(texts) if len(t) <= PART_CHARS]
+    words, labels = label_short(model, [texts[i] for i in numbers])
+    words.text = np.array(numbers, np.int64)[words.text]
+    yield words, labels
+    for i, t in enumerate(texts):
+        if len(t) > PART_CHARS:
+            for words, labels in label_long(model, t):
+                words.text = words.text + i
+                yield words, labels
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -293,9 +305,9 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
     letters = np.zeros((len(texts), len(model.languages)))
     evidence = np.zeros(len(texts), bool)  # whether any word had a known script
-    for part, w, labels in label(model, texts):
-        np.add.at(letters, (w.text + part[0], labels), w.letters)
-        evidence[w.text[model.uses.any(axis=1)[w.script]] + part[0]] = True
+    for w, labels in label(model, texts):
+        np.add.at(letters, (w.text, labels), w.letters)
+        evidence[w.text[model.uses.any(axis=1)[w.script]]] = True
     total = letters.sum(axis=1)
     best = np.where(evidence, letters.argmax(axis=1), model.order[0])
     share = np.where(evidence, letters[np.arange(len(texts)), best] / np.maximum(total, 1), 0.0)
@@ -356,11 +368,11 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
         for part in common.slices(batch, "text", 4 << 20):
             ids = part.column(0).to_pylist()
             last: dict = {}  # the span that a further part of the same text may carry on
-            for numbers, w, labels in label(m, common.texts_of(part.column(1))):
+            for w, labels in label(m, common.texts_of(part.column(1))):
                 out = {"doc_id": [], "first": [], "last": [], "lang": []}
                 new = np.flatnonzero(np.r_[True, (np.diff(w.text) != 0) | (np.diff(labels) != 0)]) if len(labels) else np.zeros(0, np.int64)
                 ends = np.r_[new[1:] - 1, len(labels) - 1] if len(labels) else new
-                for i, a, b, k in zip((w.text[new] + numbers[0]).tolist(), w.start[new].tolist(), w.stop[ends].tolist(), labels[new].tolist()):
+                for i, a, b, k in zip(w.text[new].tolist(), w.start[new].tolist(), w.stop[ends].tolist(), labels[new].tolist()):
                     if last and last["of"] == i and last["lang"] == m.languages[k]:
                         last["last"] = b
                         continue
