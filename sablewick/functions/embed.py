@@ -14,12 +14,13 @@ import re
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sablewick.functions import values
 from sablewick.functions.text import TOKEN
 
 CHARS_PER_TOKEN = 4
@@ -30,6 +31,7 @@ class Embedder(ABC):
 
     provider = "none"
     max_tokens = 8192
+    batch_size = values.EMBED_BATCH
 
     @property
     @abstractmethod
@@ -49,28 +51,59 @@ class Embedder(ABC):
         """Empty becomes one space; longer texts are cut to what the model takes."""
         return (text or " ")[: self.max_tokens * CHARS_PER_TOKEN]
 
-    def column(self):
-        """A vectorised function from a text column to array<float>."""
+    def column(self, on_error: str = "fail"):
+        """A vectorised function from a text column to array<float>, ``batch_size`` texts at a time.
+
+        A batch that fails is tried once more; then it fails the task (which Spark
+        tries again), or with ``on_error='skip'`` its texts get a null vector.
+        """
+        if on_error not in ("fail", "skip"):
+            raise ValueError(f"on_error is 'fail' or 'skip', not {on_error!r}")
+        batch = self.batch_size
 
         @F.pandas_udf("array<float>")
         def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                rows = self.embed_batch([self.prepared(t) for t in texts])
-                yield pd.Series([r.astype(np.float32) for r in rows])
+                found: list = []
+                for k in range(0, len(texts), batch):
+                    some = [self.prepared(t) for t in texts.iloc[k : k + batch]]
+                    try:
+                        try:
+                            rows = self.embed_batch(some)
+                        except Exception:
+                            rows = self.embed_batch(some)
+                        found += list(rows.astype(np.float32))
+                    except Exception:
+                        if on_error == "fail":
+                            raise
+                        found += [None] * len(some)
+                yield pd.Series(found, dtype=object)
 
         return vectors
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(token: str) -> tuple[int, int]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:8], 16), 1 if int(digest[8], 16) % 2 == 0 else -1
+#: Tokens whose buckets are kept.
+KEPT_TOKENS = 1_000_000
+
+
+class Buckets(dict):
+    """Bucket and sign of tokens as one number, computed when first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode()).hexdigest()
+        if len(self) >= KEPT_TOKENS:
+            self.clear()
+        self[token] = found = int(digest[:8], 16) * 2 + int(digest[8], 16) % 2
+        return found
+
+
+BUCKETS, FIND_TOKENS = Buckets(), re.compile(TOKEN)
 
 
 class HashEmbedder(Embedder):
     """Signed feature hashing; takes whole texts."""
 
-    provider, max_tokens = "hash", 1 << 40
+    provider, max_tokens, batch_size = "hash", 1 << 40, 2000
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -80,12 +113,12 @@ class HashEmbedder(Embedder):
         return self.dim
 
     def embed_batch(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts):
-            pairs = [_bucket(t) for t in re.findall(TOKEN, text.lower())]
-            if pairs:
-                at, sign = np.array(pairs).T
-                np.add.at(row, at % self.dim, sign)
+        """All tokens of the batch in one array: look up, then one weighted count."""
+        tokens = [FIND_TOKENS.findall(t.lower()) for t in texts]
+        many = np.array([len(t) for t in tokens], np.int64)
+        at = np.fromiter(map(BUCKETS.__getitem__, chain.from_iterable(tokens)), np.int64, int(many.sum()))
+        row = np.repeat(np.arange(len(texts)), many)
+        out = np.bincount(row * self.dim + (at >> 1) % self.dim, 1.0 - 2.0 * (at & 1), len(texts) * self.dim).reshape(len(texts), self.dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(norms == 0, 1, norms)
 
@@ -126,7 +159,10 @@ class RemoteEmbedder(Embedder):
         return self._dimension
 
     def embed_batch(self, texts: list[str]) -> np.ndarray:
-        return np.asarray(self.fetch(texts, self.model), np.float64)[:, : self.dimension]
+        found = np.asarray(self.fetch(texts, self.model), np.float64)
+        if found.shape[1] > self.dimension and not PROVIDERS[self.provider].truncatable or found.shape[1] < self.dimension:
+            raise ValueError(f"{self.provider} {self.model} gave vectors of {found.shape[1]}, not {self.dimension}")
+        return found[:, : self.dimension]
 
 
 def embedder(provider: str = "hash", **options) -> Embedder:

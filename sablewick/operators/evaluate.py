@@ -47,11 +47,15 @@ def tool_counts(calls: DataFrame, instance: str = "instance_id", tool: str = "to
 def grep(files: DataFrame, pattern: str, include: str | None = None, path_col: str = "relative_path", text_col: str = "content") -> DataFrame:
     """(file, line_number, line_content) of lines that match a regular expression."""
     rows = files if include is None else files.filter(paths.base_name(F.col(path_col)).rlike(f"^{paths.glob_regex(include)}$"))
-    rows = rows.filter(F.col(text_col).rlike(f"(?m){pattern}"))  # whole files first
     found = rows.select(F.col(path_col).alias("file"), F.posexplode(text_.lines(F.col(text_col))).alias("line", "line_content"))
     return found.filter(F.col("line_content").rlike(pattern)).select("file", (F.col("line") + 1).alias("line_number"), "line_content")
 
 
+def match_counts(files: DataFrame, pattern: str, include: str | None = None) -> DataFrame:
+    """(file, n): how many lines of each file match."""
+    return grep(files, pattern, include).groupBy("file").agg(F.count("*").alias("n"))
+
+
 def read_lines(files: DataFrame, offset: int | None = None, limit: int | None = None) -> DataFrame:
     """relative_path, content (the asked lines), total_lines, and whether lines are left out."""
     n = text_.line_count(F.col("content"))

@@ -7,15 +7,22 @@ queries at once, with a ranked window that Spark prunes per partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sablewick.functions import text as text_
 from sablewick.functions import values
-from sablewick.functions.vectors import cosine, cosine_to
+from sablewick.functions.vectors import cosine_to
+
+#: Most queries that are sent to every task at once.
+QUERY_BLOCK = 1000
 
 
 def dense_topk(docs: DataFrame, query: Sequence[float], k: int = values.DENSE_LIMIT, *, id_col: str = "id", vector_col: str = "vector", where: Column | None = None, threshold: float | None = None) -> DataFrame:
@@ -31,9 +38,43 @@ def dense_multi(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
     if blocks > 1:
         parts = [dense_multi(docs, asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b), k, id_col=id_col, vector_col=vector_col, query_id=query_id, query_vector=query_vector) for b in range(blocks)]
         return reduce(DataFrame.unionByName, parts)
-    scored = docs.crossJoin(F.broadcast(asked)).withColumn("score", cosine(F.col(vector_col), F.col(query_vector)))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), F.col(id_col)))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop(query_vector, vector_col)
+    # The block's queries as one matrix: at most ``QUERY_BLOCK`` vectors, so what every task is sent is bounded.
+    rows = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(rows) > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries in one block: raise ``blocks``")
+    if not rows:
+        return docs.drop(vector_col).withColumn(query_id, F.lit(None).cast(queries.schema[query_id].dataType)).withColumns({"score": F.lit(0.0), "rank": F.lit(0)}).limit(0)
+    size = max(len(r[1] or ()) for r in rows)
+    matrix = _stacked([r[1] for r in rows], size)
+
+    @F.pandas_udf("array<struct<query:int,score:double>>")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            here = _stacked(column, size)
+            both = matrix @ here.T
+            # Only a batch's own k best of each query can be among the k best of all; ties at the edge stay.
+            keep = both >= np.partition(both, -k, axis=1)[:, [-k]] - 1e-9 if len(column) > k else np.ones_like(both, bool)
+            found: list[list] = [[] for _ in range(len(column))]
+            for q, d in zip(*np.nonzero(keep)):
+                found[d].append({"query": int(q), "score": float(both[q, d])})
+            yield pd.Series(found)
+
+    hit = docs.withColumn("__hit", F.explode(scores(F.col(vector_col)))).drop(vector_col)
+    names = F.broadcast(docs.sparkSession.createDataFrame([(n, r[0]) for n, r in enumerate(rows)], T.StructType([T.StructField("__n", T.IntegerType()), queries.schema[query_id]])))
+    scored = hit.select(*[c for c in hit.columns if c != "__hit"], F.col("__hit.query").alias("__n"), F.col("__hit.score").alias("score")).join(names, "__n").drop("__n")
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), F.col(id_col)))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _stacked(vectors, size: int) -> np.ndarray:
+    """Vectors as rows of length 1; nulls and zero vectors as zeros, longer or shorter ones cut or filled up."""
+    out = np.zeros((len(vectors), size))
+    for row, v in zip(out, vectors):
+        if v is not None:
+            n = min(len(v), size)
+            row[:n] = v[:n]
+    norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norms == 0, 1, norms)
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -94,6 +135,33 @@ def bm25(docs: DataFrame, query: str, *, id_col: str = "id", text_col: str = "co
     return rows.select(id_col, score.alias("score"))
 
 
+def kept_terms(weights: dict[str, float], drop_ratio: float) -> list[str]:
+    """The query's terms without the share ``drop_ratio`` of those with the least weight (at least one stays)."""
+    order = sorted(weights, key=lambda t: (weights[t], t))
+    return order[min(int(drop_ratio * len(order)), len(order) - 1) :] if order else []
+
+
+def bm25_stored(postings: DataFrame, totals: tuple[int, int], query: str, *, docs: DataFrame | None = None, where: Column | None = None, k1: float = values.BM25_K1, b: float = values.BM25_B, drop_ratio: float = 0.0) -> DataFrame:
+    """(id, score) like ``bm25``, from a stored index: reads the postings of the query's terms and no text.
+
+    ``totals`` are the collection's rows and terms.  With ``where`` only rows of
+    ``docs`` that pass it are scored; statistics are those of the whole collection.
+    """
+    n, terms = totals
+    found = postings.filter(F.col("term").isin(query_terms(query) or [""]))
+    df = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.count("*").alias("df")).collect()}  # one row for each query term
+    weight = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
+    kept = kept_terms(weight, drop_ratio)
+    if not kept:
+        return postings.select("id", F.lit(0.0).alias("score")).limit(0)
+    idf = F.create_map(*[F.lit(x) for t in kept for x in (t, weight[t])])[F.col("term")]
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (terms / n)))
+    rows = found.filter(F.col("term").isin(kept)).select("id", part.alias("part"))
+    if where is not None:
+        rows = rows.join(docs.filter(where).select("id"), "id", "left_semi")
+    return rows.groupBy("id").agg(F.sum("part").alias("score"))
+
+
 def bm25_topk(docs: DataFrame, query: str, k: int, *, id_col: str = "id", **options) -> DataFrame:
     return bm25(docs, query, id_col=id_col, **options).orderBy(F.desc("score"), F.col(id_col)).limit(k)
 
@@ -123,12 +191,16 @@ def weighted(legs: Sequence[DataFrame], weights: Sequence[float], k: int, *, id_
     return both.groupBy(id_col).agg(F.sum("part").alias("score")).orderBy(F.desc("score"), F.col(id_col)).limit(k)
 
 
-def hybrid(docs: DataFrame, query: str, query_vector: Sequence[float], k: int, *, id_col: str = "id", text_col: str = "content", vector_col: str = "vector", where: Column | None = None, rerank: str = "rrf", weights: Sequence[float] = (0.5, 0.5), rank_constant: int = values.RRF_K) -> DataFrame:
-    """Dense and full-text legs of ``k`` rows each, both filtered first, fused to ``k`` rows."""
-    legs = [
-        dense_topk(docs, query_vector, k, id_col=id_col, vector_col=vector_col, where=where).select(id_col, "score"),
-        bm25_topk(docs, query, k, id_col=id_col, text_col=text_col, where=where),
-    ]
+def hybrid(docs: DataFrame, query: str, query_vector: Sequence[float], k: int, *, id_col: str = "id", text_col: str = "content", vector_col: str = "vector", where: Column | None = None, rerank: str = "rrf", weights: Sequence[float] = (0.5, 0.5), rank_constant: int = values.RRF_K, index: tuple[DataFrame, tuple[int, int]] | None = None, drop_ratio: float = 0.0) -> DataFrame:
+    """Dense and full-text legs of ``k`` rows each, both filtered first, fused to ``k`` rows.
+
+    ``index`` is a collection's stored postings and totals; without it texts are read.
+    """
+    if index is None:
+        sparse = bm25_topk(docs, query, k, id_col=id_col, text_col=text_col, where=where)
+    else:
+        sparse = bm25_stored(*index, query, docs=docs, where=where, drop_ratio=drop_ratio).orderBy(F.desc("score"), "id").limit(k)
+    legs = [dense_topk(docs, query_vector, k, id_col=id_col, vector_col=vector_col, where=where).select(id_col, "score"), sparse]
     return rrf(legs, k, id_col=id_col, rank_constant=rank_constant) if rerank == "rrf" else weighted(legs, weights, k, id_col=id_col)
 
 

@@ -80,7 +80,7 @@ def with_overlap(chunks: DataFrame, overlap: int = values.SYNTAX_OVERLAP, *, pat
 
 
 def pack(text: str, size: int, first_line: int = 1) -> list[Chunk]:
-    """Greedy line packing of one text, for chunks that are too large."""
+    """Greedy line packing of one text; each line counts with its line break."""
     out: list[Chunk] = []
     held: list[str] = []
     total, start = 0, first_line
@@ -95,6 +95,28 @@ def pack(text: str, size: int, first_line: int = 1) -> list[Chunk]:
     return out
 
 
+def pack_large(text: str, size: int, first_line: int = 1) -> list[Chunk]:
+    """Line packing of a chunk that is too large: the last line counts without a line break, pieces are trimmed, blank ones go."""
+    lines = text.split("\n")
+    out: list[Chunk] = []
+    held, total, start = [], 0, 0
+
+    def close(end: int) -> None:
+        body = "\n".join(held).strip()
+        if body:
+            out.append(Chunk(body, first_line + start, first_line + end - 1))
+
+    for k, line in enumerate(lines):
+        n = len(line) + (k < len(lines) - 1)
+        if total and total + n > size:
+            close(k)
+            held, total, start = [], 0, k
+        held.append(line)
+        total += n
+    close(len(lines))
+    return out
+
+
 def split_lines(text: str, size: int = values.LINE_CHUNK, overlap: int = values.LINE_OVERLAP, least: int = values.LINE_LEAST) -> list[Chunk]:
     """Line splitter with overlapping lines: about ``overlap`` characters of whole lines repeat."""
     lines, out, begin = text.split("\n"), [], 0
@@ -112,7 +134,7 @@ def split_lines(text: str, size: int = values.LINE_CHUNK, overlap: int = values.
     return [c for c in out if len(c.content.strip()) > least]
 
 
-#: Our own separators, from coarse to fine, tried in order.
+#: Separators from coarse to fine, tried in order; words that begin a definition or a statement in each language's grammar.
 PLAIN_SEPARATORS = ("\n\n", "\n", " ", "")
 KEYWORDS = {
     "js": ("function", "const", "let", "var", "class", "if", "for", "while", "switch", "export"),
@@ -134,7 +156,8 @@ KEYWORDS = {
 
 def separators(language: str | None) -> list[str]:
     name = values.SEPARATOR_ALIASES.get((language or "").lower(), (language or "").lower())
-    return [f"\n{w}" for w in KEYWORDS.get(name, ())] + list(PLAIN_SEPARATORS)
+    # A word ends with a blank, so that ``if`` doesn't cut before ``iffy``.
+    return [f"\n{w} " if w[-1].isalnum() and w[0] != "<" else f"\n{w}" for w in KEYWORDS.get(name, ())] + list(PLAIN_SEPARATORS)
 
 
 def _pieces(text: str, size: int, seps: list[str]) -> list[str]:
@@ -267,7 +290,7 @@ def split_syntax(code: str, language: str | None, size: int = values.SYNTAX_CHUN
         elif gaps:
             out += [Chunk(p.content, c.start_line + p.start_line - 1, c.start_line + p.end_line - 1, c.node_type) for p in split_chars(c.content, language, size, overlap)]
         else:
-            out += [Chunk(p.content.strip(), p.start_line, p.end_line, c.node_type) for p in pack(c.content, size, c.start_line)]
+            out += [Chunk(p.content, p.start_line, p.end_line, c.node_type) for p in pack_large(c.content, size, c.start_line)]
     return out if gaps else overlapped(out, overlap)
 
 
@@ -326,7 +349,8 @@ class Splitter:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for path, text, language in zip(*(c.to_pylist() for c in batch.columns)):
-                    found = self.split(text or "", language)
+                    # A chunk that is there twice would get the same id twice.
+                    found = list({(c.start_line, c.end_line, c.content): c for c in self.split(text or "", language)}.values())
                     if found:
                         columns = [[path] * len(found), list(range(len(found))), [c.content for c in found], [c.start_line for c in found], [c.end_line for c in found], [language or "unknown"] * len(found)]
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
@@ -341,7 +365,13 @@ def large_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def capped(chunks: DataFrame, cap: int = values.CHUNK_CAP) -> tuple[DataFrame, str]:
-    """At most ``cap`` chunks in a fixed order, and ``completed`` or ``limit_reached``."""
-    if chunks.limit(cap + 1).count() <= cap:
+    """At most ``cap`` chunks in a fixed order, and ``completed`` or ``limit_reached``.
+
+    Only keys are ranked; the chunks themselves stay where they are.  ``chunks``
+    is read twice, so it should be a written table.
+    """
+    keys = chunks.select("relative_path", "pos")
+    if keys.limit(cap + 1).count() <= cap:
         return chunks, "completed"
-    return chunks.orderBy("relative_path", "pos").limit(cap), "limit_reached"
+    first = keys.orderBy("relative_path", "pos").limit(cap).select(F.col("relative_path").alias("__path"), F.col("pos").alias("__pos"))
+    return chunks.join(first, (F.col("relative_path") == F.col("__path")) & (F.col("pos") == F.col("__pos")), "left_semi"), "limit_reached"

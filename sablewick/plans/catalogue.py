@@ -6,6 +6,7 @@ source, language and id, and the extension follows the language.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from sablewick.functions import ids, paths, values
 from sablewick.functions import text as text_
 from sablewick.functions.embed import HashEmbedder
-from sablewick.functions.vectors import cosine
+from sablewick.functions.vectors import cosine, cosine_to
 from sablewick.operators import evaluate, search, split, sync
 from sablewick.plans.filters import parse_filter
 from sablewick.sources.state import recent
+from sablewick.sources.store import LENGTHS, Store, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,10 +30,6 @@ QUESTION = "the tion are with"
 TERMS = search.query_terms(QUESTION)
 
 
-#: Queries of one broadcast.
-QUERY_BLOCK = 1000
-
-
 def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL."""
 
@@ -48,6 +46,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Limits of a collection that holds whole documents as chunks.
+WHOLE = {k: v for k, v in LENGTHS.items() if k != "content"}
+
+
+def collection(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
+    """``code_files`` as a stored collection with vectors and full-text index, built when first asked for and again when the table changes."""
+    store = Store(spark, f"{shared_folder(spark)}/catalogue", WHOLE)
+    state = store.files.__class__(spark, sf_dir).tree(f"{sf_dir}/documents.parquet")
+    name = "documents_" + hashlib.md5(repr(state).encode()).hexdigest()
+    if not store.has(name):
+        store.create(name, DIM)
+    if store.describe(name)["version"] is None:
+        rows = code_files(spark, sf_dir).select(
+            F.col("doc_id").cast("string").alias("id"), HashEmbedder(DIM).column()(F.col("content")).alias("vector"), "content", "relative_path", F.lit(1).cast("long").alias("start_line"),
+            text_.line_count(F.col("content")).cast("long").alias("end_line"), paths.extension(F.col("relative_path")).alias("file_extension"), F.to_json(F.struct(F.col("lang").alias("language"))).alias("metadata"),
+        )
+        store.insert(name, rows)
+    return store, name
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.when(F.col("lang") == "en", ".md").when(F.col("lang") == "fr", ".py").when(F.col("lang") == "de", ".ts").otherwise(".java")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), ext))
@@ -92,27 +110,15 @@ def dense_threshold(spark, sf_dir):
     return _scored(search.dense_topk(docs, _first_vector(spark, sf_dir), 20, id_col="vec_id", vector_col="embedding", threshold=0.3), "vec_id")
 
 
-@query("""WITH s AS (
-  SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
-  FROM embeddings e, embeddings q WHERE q.vec_id BETWEEN 1 AND 10),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 5""")
-def dense_multi_query(spark, sf_dir):
-    docs = table(spark, sf_dir, "embeddings")
-    asked = docs.filter("vec_id BETWEEN 1 AND 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    top = search.dense_multi(docs.select("vec_id", "embedding"), asked, 5, id_col="vec_id", vector_col="embedding")
-    return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
-
-
 @query("""WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
   FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, rank, round(s, 6) AS score FROM r WHERE rank <= 5""")
-def dense_multi_hundredth(spark, sf_dir):
+def dense_multi_query(spark, sf_dir):
     docs = table(spark, sf_dir, "embeddings")
     asked = docs.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = max(1, -(-2 * asked.count() // search.QUERY_BLOCK))  # half full on average, as ids are dealt by a hash
     top = search.dense_multi(docs.select("vec_id", "embedding"), asked, 5, id_col="vec_id", vector_col="embedding", blocks=blocks)
     return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -170,20 +176,38 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   FROM tf JOIN df USING (term) JOIN toks USING (doc_id), n WHERE {where} GROUP BY doc_id){top})"""
 
 
+def _bm25(spark, sf_dir, **options) -> DataFrame:
+    """Scores from the stored full-text index; no text is read."""
+    store, name = collection(spark, sf_dir)
+    scores = search.bm25_stored(store.postings(name), store.totals(name), QUESTION, **options)
+    return scores.select(F.col("id").cast("long").alias("doc_id"), "score")
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    return scores.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(k)
+
+
 @query(f"WITH {_bm25_sql()} SELECT doc_id, round(score, 6) AS score FROM bm25")
 def bm25_scores(spark, sf_dir):
-    return _scored(search.bm25(table(spark, sf_dir, "documents"), QUESTION, id_col="doc_id", text_col="text"), "doc_id")
+    return _scored(_bm25(spark, sf_dir), "doc_id")
 
 
 @query(f"WITH {_bm25_sql(k=10)} SELECT doc_id, round(score, 6) AS score FROM bm25")
 def bm25_topk(spark, sf_dir):
-    return _scored(search.bm25_topk(table(spark, sf_dir, "documents"), QUESTION, 10, id_col="doc_id", text_col="text"), "doc_id")
+    return _scored(_best(_bm25(spark, sf_dir), 10), "doc_id")
 
 
 @query(f"WITH {_bm25_sql(where="lang IN ('fr', 'de')", k=10)} SELECT doc_id, round(score, 6) AS score FROM bm25")
 def bm25_topk_filtered(spark, sf_dir):
-    where = parse_filter("lang in ['fr', 'de']")
-    return _scored(search.bm25_topk(table(spark, sf_dir, "documents"), QUESTION, 10, id_col="doc_id", text_col="text", where=where), "doc_id")
+    store, name = collection(spark, sf_dir)
+    docs = store.read(name).withColumn("lang", F.get_json_object("metadata", "$.language"))
+    return _scored(_best(_bm25(spark, sf_dir, docs=docs, where=parse_filter("lang in ['fr', 'de']")), 10), "doc_id")
+
+
+@query(f"WITH {_bm25_sql(k=10)} SELECT doc_id, round(score, 6) AS score FROM bm25")
+def bm25_unindexed(spark, sf_dir):
+    """The same ranking straight from the texts, for collections without an index."""
+    return _scored(_best(search.bm25(table(spark, sf_dir, "documents"), QUESTION, id_col="doc_id", text_col="text"), 10), "doc_id")
 
 
 # ------------------------------------------------------------------ embedding, fusion, hybrid
@@ -213,17 +237,24 @@ def hash_embed(spark, sf_dir):
     return rows.select("doc_id", F.col("k").cast("long").alias("k"), F.round(F.col("x").cast("double"), 5).alias("weight"))
 
 
+def _stored_docs(spark, sf_dir) -> DataFrame:
+    store, name = collection(spark, sf_dir)
+    return store.read(name).withColumn("doc_id", F.col("id").cast("long"))
+
+
+def _dense(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.round(cosine_to(HashEmbedder(DIM).embed(QUESTION))(F.col("vector")), 6).alias("score"))
+
+
 @query(f"WITH {EMBED_SQL} SELECT doc_id, round(score, 6) AS score FROM dense ORDER BY round(score, 6) DESC, doc_id LIMIT 10")
 def hash_dense_topk(spark, sf_dir):
-    docs = _embedded(spark, sf_dir).withColumn("score", F.round(cosine(F.col("vector"), F.array(*[F.lit(x) for x in HashEmbedder(DIM).embed(QUESTION)])), 6))
-    return docs.orderBy(F.desc("score"), "doc_id").limit(10).select("doc_id", "score")
+    return _dense(_stored_docs(spark, sf_dir)).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 def _legs(spark, sf_dir, k: int):
-    docs = _embedded(spark, sf_dir)
-    vector = F.array(*[F.lit(x) for x in HashEmbedder(DIM).embed(QUESTION)])
-    dense = docs.select("doc_id", F.round(cosine(F.col("vector"), vector), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
-    sparse = search.bm25(docs, QUESTION, id_col="doc_id").select("doc_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    docs = _stored_docs(spark, sf_dir)
+    dense = _dense(docs).orderBy(F.desc("score"), "doc_id").limit(k)
+    sparse = _bm25(spark, sf_dir).select("doc_id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
     return docs, dense, sparse
 
 
@@ -260,7 +291,7 @@ FROM top JOIN code_files USING (doc_id)""")
 def hybrid_search(spark, sf_dir):
     docs, dense, sparse = _legs(spark, sf_dir, 10)
     top = search.rrf([dense, sparse], 10, id_col="doc_id")
-    shown = docs.select("doc_id", "content", "relative_path", F.lit(1).cast("long").alias("start_line"), text_.line_count(F.col("content")).cast("long").alias("end_line"), paths.language(F.col("relative_path")).alias("language"))
+    shown = docs.select("doc_id", "content", "relative_path", "start_line", "end_line", paths.language(F.col("relative_path")).alias("language"))
     return search.as_results(top, shown, id_col="doc_id").withColumn("score", F.round("score", 6))
 
 
@@ -382,16 +413,9 @@ def large_files(spark, sf_dir):
     return split.large_files(chunks, files).select("relative_path", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-@query(f"""WITH {FILES_SQL} SELECT relative_path, n - 1 AS pos FROM (SELECT relative_path, unnest(generate_series(1, len(string_split(content, chr(10))))) AS n FROM code_files)
-ORDER BY relative_path, pos LIMIT 500""")
-def chunk_cap(spark, sf_dir):
-    lines = code_files(spark, sf_dir).select("relative_path", F.posexplode(text_.lines(F.col("content"))).alias("pos", "content"))
-    return split.capped(lines, 500)[0].select("relative_path", F.col("pos").cast("long").alias("pos"))
-
-
 @query(f"""WITH {FILES_SQL} SELECT relative_path, n - 1 AS pos FROM (SELECT relative_path, unnest(generate_series(1, len(string_split(content, chr(10))))) AS n FROM code_files)
 ORDER BY relative_path, pos LIMIT {values.CHUNK_CAP}""")
-def chunk_cap_production(spark, sf_dir):
+def chunk_cap(spark, sf_dir):
     lines = code_files(spark, sf_dir).select("relative_path", F.posexplode(text_.lines(F.col("content"))).alias("pos", "content"))
     return split.capped(lines)[0].select("relative_path", F.col("pos").cast("long").alias("pos"))
 
@@ -476,13 +500,8 @@ def reconcile(spark, sf_dir):
     return sync.reconcile(docs.select("codebase_path").distinct(), docs.filter("lang = 'es'"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT (SELECT greatest(0, 700 - count(DISTINCT doc_id)) FROM labels)")
-def resume_remaining(spark, sf_dir):
-    return sync.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), 700, "doc_id")
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def resume_all(spark, sf_dir):
+def resume_remaining(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
     most = docs.count() + labels.select("doc_id").distinct().count()  # never less than what is left, at any size
     return sync.remaining(docs, labels, most, "doc_id")
@@ -594,3 +613,6 @@ def age_cutoff(spark, sf_dir):
 def periodic_counts(spark, sf_dir):
     day = F.window(F.col("ts").cast("timestamp"), "1 day")["start"].cast("timestamp_ntz")
     return table(spark, sf_dir, "events").groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
+
+
+from sablewick.plans import catalogue_stored  # noqa: E402, F401 - registers its queries too

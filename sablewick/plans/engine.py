@@ -1,18 +1,23 @@
 """The engine: index a source tree, search it, keep it fresh.
 
 ``Engine`` holds configuration only; rows live in collections of a ``Store``.
-Indexing is one lazy plan (scan, filter, split, embed, write); the driver
-resolves configuration and commits versions.
+A tree is scanned once per run: chunks and the recorded state come from the same
+written scan, so an edit during a run is seen by the next one.  Chunks are
+embedded and committed in several steps, so what is done can be searched while
+the rest is on its way; the driver resolves configuration and commits versions.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sablewick.functions import ids, paths, values
 from sablewick.functions.embed import Embedder, HashEmbedder
@@ -60,6 +65,8 @@ class Config:
     extensions: list[str] = field(default_factory=list)
     ignore: list[str] = field(default_factory=list)
     chunk_cap: int = values.CHUNK_CAP
+    commit_chunks: int = 50_000  # chunks of one commit while indexing
+    on_error: str = "fail"  # or "skip": leave out chunks whose embedding fails
     home: str = field(default_factory=lambda: os.path.expanduser("~/.context"))
 
     def all_extensions(self) -> list[str]:
@@ -79,7 +86,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, splitter: split_.Splitter | None = None, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
         self.embedder, self.splitter = embedder or HashEmbedder(), splitter or split_.Splitter()
-        self.store = Store(spark, f"{root}/collections")
+        self.root, self.store = root.rstrip("/"), Store(spark, f"{root}/collections")
         self.states, self.statuses = Versioned(spark, f"{root}/states", STATE), Versioned(spark, f"{root}/status", STATUS)
 
     # ------------------------------------------------------------ configuration
@@ -138,7 +145,28 @@ class Engine:
         )
 
     def embedded(self, chunks: DataFrame) -> DataFrame:
-        return chunks.withColumn("vector", self.embedder.column()(F.col("content"))).dropDuplicates(["id"])
+        rows = chunks.withColumn("vector", self.embedder.column(self.config.on_error)(F.col("content")))
+        return rows.filter("vector IS NOT NULL") if self.config.on_error == "skip" else rows
+
+    @contextmanager
+    def written(self, rows: DataFrame):
+        """The rows as a table of their own for the time of a run."""
+        path = f"{self.root}/scratch/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            self.store.files.delete(path)
+
+    def scan(self, path: str):
+        """One scan of a tree, with every file's hash."""
+        return self.written(self.files(path).withColumn("hash", ids.file_hash(F.col("content"))))
+
+    def file_hash(self, path: str, relative_path: str) -> str | None:
+        """The hash recorded for one file of an indexed tree."""
+        state = self.states.load(self._key(os.path.abspath(path)))
+        row = state.filter(F.col("relative_path") == relative_path).select("hash").first() if state is not None else None
+        return row["hash"] if row else None
 
     # ------------------------------------------------------------ index
 
@@ -157,15 +185,21 @@ class Engine:
             self.set_status(path, "indexing", indexing_percentage=0.0)
             self.store.create(name, self.embedder.dimension, self.config.hybrid, path)
             tell("Scanning", 5)
-            files = self.files(path)
             chosen = split_.Splitter(splitter) if splitter else self.splitter
-            chunks, outcome = split_.capped(self.chunks(files, path, chosen), self.config.chunk_cap)
-            tell("Indexing", 10)
-            self.store.insert(name, self.embedded(chunks))
-            self.states.save(self._key(path), sync_.file_state(files))  # after the chunks: a failure before is tried again
-            n_files, n_chunks = files.count(), self.store.count(name)
+            with self.scan(path) as files, self.written(self.chunks(files, path, chosen)) as every:
+                chunks, outcome = split_.capped(every, self.config.chunk_cap)
+                steps = max(1, -(-min(every.count(), self.config.chunk_cap) // self.config.commit_chunks))
+                for k in range(steps):
+                    percent = 10 + 90 * k // steps
+                    tell("Indexing", percent)
+                    self.set_status(path, "indexing", indexing_percentage=float(percent))
+                    mine = chunks if steps == 1 else chunks.filter(F.pmod(F.xxhash64("relative_path"), F.lit(steps)) == k)
+                    self.store.insert(name, self.embedded(mine))
+                self.states.save(self._key(path), files.select("relative_path", "hash"))  # after the chunks: a failure before is tried again
+                n_files, n_chunks = files.count(), self.store.count(name)
         except Exception as failed:
-            self.set_status(path, "indexfailed", error_message=str(failed)[:2000])
+            reached = self._status_table().filter(F.col("codebase_path") == path).select("indexing_percentage").first()
+            self.set_status(path, "indexfailed", error_message=str(failed)[:2000], last_attempted_percentage=reached[0] if reached else None)
             raise
         self.set_status(path, "indexed", indexed_files=n_files, total_chunks=n_chunks, index_status=outcome, indexing_percentage=100.0)
         tell("Done", 100)
@@ -186,32 +220,64 @@ class Engine:
         """Search one collection by its name."""
         if not self.store.has(name):
             return self.spark.createDataFrame([], RESULTS)
-        docs, where = self.store.read(name), parse_filter(filter_expr)
-        top = search_.hybrid(docs, query, self.embedder.embed(query), k, where=where) if self.config.hybrid else search_.dense_topk(docs, self.embedder.embed(query), k, where=where).select("id", "score")
+        docs, where, vector = self.store.read(name), parse_filter(filter_expr), self.embedder.embed(query)
+        if self.config.hybrid:
+            top = search_.hybrid(docs, query, vector, k, where=where, index=self.full_text(name))
+        else:
+            top = search_.dense_topk(docs, vector, k, where=where).select("id", "score")
         return search_.as_results(top, docs.withColumn("language", F.get_json_object("metadata", "$.language")))
 
+    def full_text(self, name: str) -> tuple[DataFrame, tuple[int, int]] | None:
+        """A collection's stored postings and totals; None where it keeps none."""
+        return (self.store.postings(name), self.store.totals(name)) if self.store.describe(name)["hybrid"] else None
+
     def sync(self, path: str) -> dict:
         """Bring the index up to date: {added, removed, modified}."""
         path = os.path.abspath(path)
         name, key = self.collection_name(path), self._key(path)
-        files = self.files(path)
-        old, new = self.states.load(key), sync_.file_state(files)
-        if old is None:
-            self.states.save(key, new)
-            return {"added": 0, "removed": 0, "modified": 0}
-        diff = sync_.snapshot_diff(old, new).persist()
-        try:
-            counts = {"added": 0, "removed": 0, "modified": 0} | {r["change"]: r["n"] for r in sync_.diff_counts(diff).collect()}  # three rows at most
-            if any(counts.values()):
-                fresh = diff.filter(F.col("change") != "removed").select("relative_path")
-                new_chunks = self.embedded(self.chunks(files.join(fresh, "relative_path", "left_semi"), path))
-                current = self.store.read(name)
-                self.store.replace(name, sync_.reindex(current, diff, new_chunks.select(*current.columns)))
+        with self.scan(path) as files:
+            old, new = self.states.load(key), files.select("relative_path", "hash")
+            if old is None:
                 self.states.save(key, new)
-        finally:
-            diff.unpersist()
+                return {"added": 0, "removed": 0, "modified": 0}
+            diff = sync_.snapshot_diff(old, new).persist()
+            try:
+                counts = {"added": 0, "removed": 0, "modified": 0} | {r["change"]: r["n"] for r in sync_.diff_counts(diff).collect()}  # three rows at most
+                if any(counts.values()):
+                    fresh = diff.filter(F.col("change") != "removed").select("relative_path")
+                    new_chunks = self.embedded(self.chunks(files.join(fresh, "relative_path", "left_semi"), path))
+                    current = self.store.read(name)
+                    self.store.replace(name, sync_.reindex(current, diff, new_chunks.select(*current.columns)))
+                    self.states.save(key, new)
+            finally:
+                diff.unpersist()
         return counts
 
+    def sync_all(self, paths_: Iterable[str] | None = None) -> dict[str, dict | str]:
+        """``sync`` for every indexed tree (or those given); one that fails is told with its error, and the others go on."""
+        if paths_ is None:
+            paths_ = [r["codebase_path"] for r in self._status_table().filter("status = 'indexed'").select("codebase_path").collect()]  # one row per indexed tree
+        out: dict[str, dict | str] = {}
+        for path in sorted(paths_):
+            try:
+                if not os.path.isdir(path):
+                    raise NotADirectoryError(path)
+                out[path] = self.sync(path)
+            except Exception as failed:
+                out[path] = f"{type(failed).__name__}: {failed}"[:2000]
+        return out
+
+    def poll(self, checkpoint: str, minutes: float = 5, told: Callable[[dict], None] | None = None) -> StreamingQuery:
+        """Keep all indexed trees fresh in the background: ``sync_all`` every ``minutes``, one run at a time."""
+        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+        def run(_: DataFrame, __: int) -> None:
+            done = self.sync_all()
+            if told:
+                told(done)
+
+        return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, int(minutes * 60))} seconds").start()
+
     def clear(self, path: str) -> None:
         path = os.path.abspath(path)
         self.store.drop(self.collection_name(path))
@@ -234,7 +300,7 @@ class Engine:
         where = parse_filter(filter_expr)
         docs, vector = self.store.read(name), self.embedder.embed(query)
         if self.config.hybrid:
-            top = search_.hybrid(docs, query, vector, k, where=where, rerank=rerank)
+            top = search_.hybrid(docs, query, vector, k, where=where, rerank=rerank, index=self.full_text(name))
         else:
             top = search_.dense_topk(docs, vector, k, where=where, threshold=threshold).select("id", "score")
         shown = docs.withColumn("language", F.get_json_object("metadata", "$.language"))

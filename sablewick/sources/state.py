@@ -16,7 +16,10 @@ REGISTRY = "id string, owner string, repo string, collection_name string, indexe
 
 
 class Versioned:
-    """One DataFrame by name, replaced as a whole: write a version, then move the pointer."""
+    """One DataFrame by name, replaced as a whole: write a version, then move the pointer.
+
+    The version before stays until the next one, for those who are reading it.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema, self.files = spark, root.rstrip("/"), schema, Files(spark, root)
@@ -29,18 +32,19 @@ class Versioned:
 
     def save(self, key: str, rows: DataFrame) -> None:
         pointer, version = f"{self.root}/{key}.json", f"{key}-{uuid.uuid4().hex}"
-        before = json.loads(self.files.read(pointer))["version"] if self.files.exists(pointer) else None
+        before = json.loads(self.files.read(pointer)) if self.files.exists(pointer) else {}
         rows.write.parquet(f"{self.root}/{version}")
-        self.files.write(pointer, json.dumps({"version": version}))
-        if before:
-            self.files.delete(f"{self.root}/{before}")
+        self.files.write(pointer, json.dumps({"version": version, "before": before.get("version")}))
+        if before.get("before"):
+            self.files.delete(f"{self.root}/{before['before']}")
 
     def delete(self, key: str) -> None:
         pointer = f"{self.root}/{key}.json"
         if self.files.exists(pointer):
-            version = json.loads(self.files.read(pointer))["version"]
+            about = json.loads(self.files.read(pointer))
             self.files.delete(pointer)
-            self.files.delete(f"{self.root}/{version}")
+            for version in filter(None, (about["version"], about.get("before"))):
+                self.files.delete(f"{self.root}/{version}")
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -104,5 +108,13 @@ class Registry:
         now = F.when(F.col("id") == repo_id, F.current_timestamp()).otherwise(F.col("last_search_at"))
         self.table.save("registry", self.rows().withColumn("last_search_at", now))
 
+    def reconcile(self, exists) -> list[str]:
+        """Drop entries whose collection ``exists(name)`` denies; returns their ids."""
+        known = self.rows().select("id", "collection_name").collect()  # at most ``keep`` rows
+        gone = [r["id"] for r in known if not exists(r["collection_name"])]
+        if gone:
+            self.table.save("registry", self.rows().filter(~F.col("id").isin(gone)))
+        return gone
+
     def clean(self, now, days: int = 30) -> None:
         self.table.save("registry", younger(self.rows(), now, days))

@@ -4,6 +4,14 @@ A collection is a folder of immutable versions and a pointer to the current one.
 A change writes a new version and then moves the pointer, so a reader sees the
 last committed version, a failed write leaves nothing visible, and no folder is
 overwritten while it is read.
+
+A hybrid collection also has a full-text index beside each of its parts:
+postings (term, id, tf, dl), dealt and sorted by term so that a search reads the
+row groups of its own terms only.  How many rows and terms a part holds stands in
+the pointer, so a search needs no pass over texts.
+
+One writer at a time: a change that finds another one committed since it began
+raises ``Conflict`` and leaves the collection as that one made it.
 """
 
 from __future__ import annotations
@@ -15,18 +23,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sablewick.functions import text as text_
 from sablewick.functions import values
 
 CHUNK_SCHEMA = "id string, vector array<float>, content string, relative_path string, start_line long, end_line long, file_extension string, metadata string"
 LENGTHS = {"id": 512, "content": 65535, "relative_path": 1024, "file_extension": 32, "metadata": 65535}
 
 
+POSTINGS_SCHEMA = "term string, id string, tf long, dl long"
+
+
+class Conflict(RuntimeError):
+    """Another writer committed in between."""
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application that driver and executors share: below ``spark.checkpoint.dir``, else below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    root = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return f"{root.rstrip('/')}/sablewick-{spark.sparkContext.applicationId}"
+
+
 class Files:
     """The few operations needed, through Hadoop's file system interface."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark._jvm
-        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.jvm, self.gateway, self.conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
+        self.fs = self.path(root).getFileSystem(self.conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
@@ -40,14 +63,25 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
+    def tree(self, name: str) -> list[tuple[str, int, int]]:
+        """(path, bytes, time) of all files below, or of the file itself."""
+        found, out = self.fs.listFiles(self.path(name), True), []
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return sorted(out)
+
     def write(self, name: str, text: str) -> None:
-        """Write beside the name, then move into place."""
+        """Write beside the name, then move into place in one step, so that a reader always finds one or the other."""
         beside = f"{name}.{uuid.uuid4().hex}"
         out = self.fs.create(self.path(beside), True)
         out.write(bytearray(text.encode()))
         out.close()
-        self.fs.delete(self.path(name), False)
-        self.fs.rename(self.path(beside), self.path(name))
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        context.rename(context.makeQualified(self.path(beside)), context.makeQualified(self.path(name)), how)
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
@@ -60,8 +94,9 @@ class Files:
 class Store:
     """Named collections below one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, limits: dict[str, int] | None = None):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+        self.limits = LENGTHS if limits is None else limits
 
     def _at(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -77,7 +112,7 @@ class Store:
     def create(self, name: str, dimension: int, hybrid: bool = True, description: str = "") -> None:
         if self.has(name):
             raise ValueError(f"collection {name!r} exists")
-        self._commit(name, {"name": name, "dimension": dimension, "hybrid": hybrid, "description": description, "version": None, "parts": [], "at": time.time()})
+        self._commit(name, {"name": name, "dimension": dimension, "hybrid": hybrid, "description": description, "version": None, "parts": [], "totals": {}, "at": time.time()})
 
     def has(self, name: str) -> bool:
         return self.files.exists(f"{self._at(name)}/current.json")
@@ -91,7 +126,7 @@ class Store:
     def clear(self, name: str) -> None:
         """Drop all rows, keep the collection."""
         about = self.describe(name)
-        self._commit(name, about | {"version": None, "parts": []})
+        self._commit(name, about | {"version": None, "parts": [], "totals": {}})
 
     def read(self, name: str) -> DataFrame:
         parts = self.describe(name)["parts"]
@@ -101,26 +136,60 @@ class Store:
     def validated(self, rows: DataFrame, dimension: int) -> DataFrame:
         """The collection's columns; rows that break a limit raise when they are written."""
         bad = F.lit(False)
-        for column, most in LENGTHS.items():
+        for column, most in self.limits.items():
             bad = bad | (F.length(column) > most)
         bad = bad | (F.size("vector") != dimension)
         checked = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.concat(F.lit("row breaks a limit of its collection: "), F.col("id")))).otherwise(F.col("id"))
         cols = [f.split(" ")[0] for f in CHUNK_SCHEMA.split(", ")]
         return rows.withColumn("id", checked).select(*cols)
 
+    def _written(self, name: str, about: dict, rows: DataFrame) -> tuple[str, list[int]]:
+        """A new part with its full-text index: its name, and its rows and terms."""
+        part = f"part-{uuid.uuid4().hex}"
+        at = f"{self._at(name)}/{part}"
+        self.validated(rows, about["dimension"]).write.parquet(at)
+        stored = self.spark.read.schema(CHUNK_SCHEMA).parquet(at)
+        if not about["hybrid"]:
+            return part, [stored.count(), 0]
+        toks = stored.select("id", text_.tokens(F.coalesce("content", F.lit(""))).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+        postings = toks.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+        # Dealt by ranges of terms, so that a term lies in few files; a very common one is spread over several.
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{self._at(name)}/terms-{part}")
+        terms = self._postings(name, [part]).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        return part, [stored.count(), terms]
+
+    def _publish(self, name: str, before: dict, after: dict) -> None:
+        if not self.has(name) or self.describe(name)["version"] != before["version"]:
+            raise Conflict(f"collection {name!r} was changed by another writer")
+        self._commit(name, after)
+
     def insert(self, name: str, rows: DataFrame) -> None:
-        """Append rows; one new folder, visible once complete."""
+        """Append rows; one new part, visible once complete."""
         about = self.describe(name)
-        part = f"part-{uuid.uuid4().hex}"
-        self.validated(rows, about["dimension"]).write.parquet(f"{self._at(name)}/{part}")
-        self._commit(name, about | {"version": part, "parts": [*about["parts"], part]})
+        part, totals = self._written(name, about, rows)
+        self._publish(name, about, about | {"version": part, "parts": [*about["parts"], part], "totals": about["totals"] | {part: totals}})
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """A new version with exactly these rows (which may be derived from the current one)."""
         about = self.describe(name)
-        part = f"part-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self._at(name)}/{part}")
-        self._commit(name, about | {"version": part, "parts": [part]})
+        part, totals = self._written(name, about, rows)
+        self._publish(name, about, about | {"version": part, "parts": [part], "totals": {part: totals}})
+
+    def _postings(self, name: str, parts: list[str]) -> DataFrame:
+        paths = [f"{self._at(name)}/terms-{p}" for p in parts]
+        return self.spark.read.schema(POSTINGS_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], POSTINGS_SCHEMA)
+
+    def postings(self, name: str) -> DataFrame:
+        """The full-text index: term, id, tf, and dl (the number of terms of that row)."""
+        about = self.describe(name)
+        if not about["hybrid"]:
+            raise ValueError(f"collection {name!r} has no full-text index")
+        return self._postings(name, about["parts"])
+
+    def totals(self, name: str) -> tuple[int, int]:
+        """Rows and terms of the collection, from its pointer."""
+        counted = self.describe(name)["totals"].values()
+        return sum(n for n, _ in counted), sum(t for _, t in counted)
 
     def delete(self, name: str, ids: list[str] | DataFrame) -> None:
         gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -135,13 +204,22 @@ class Store:
         return rows if most is None else (rows.orderBy("id") if "id" in rows.columns else rows).limit(most)
 
     def count(self, name: str) -> int:
-        return self.read(name).count()
+        return self.totals(name)[0]
+
+    def ready(self, name: str, wait: float = 0.0, pause: float = 0.5) -> bool:
+        """Whether the collection can be read, waiting up to ``wait`` seconds for another writer to create it."""
+        until = time.time() + wait
+        while not self.has(name):
+            if time.time() >= until:
+                return False
+            time.sleep(pause)
+        return all(self.files.exists(f"{self._at(name)}/{p}") for p in self.describe(name)["parts"])
 
     def vacuum(self, name: str) -> None:
         """Delete folders that no longer belong to the current version."""
         about = self.describe(name)
         for entry in self.files.names(self._at(name)):
-            if entry.startswith("part-") and entry not in about["parts"]:
+            if entry.startswith(("part-", "terms-")) and entry.removeprefix("terms-") not in about["parts"]:
                 self.files.delete(f"{self._at(name)}/{entry}")
 
     def within_limit(self, most: int | None = None) -> bool:

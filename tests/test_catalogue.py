@@ -49,24 +49,42 @@ def test_entry(spark):
 
 
 def test_dense_multi_in_blocks(spark, sf_dir):
-    """Blocks of queries give what one broadcast gives."""
+    """Blocks of queries give what one block gives, and what a plain cross product gives."""
+    from pyspark.sql import functions as F
+
+    from sablewick.functions.vectors import cosine
     from sablewick.operators import search
 
     docs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    asked = docs.filter("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, [0.0] * 64), (-3, [1.0, 2.0])], "vec_id long, embedding array<float>"))
+    asked = docs.filter("vec_id % 10 = 0 OR vec_id = -2").selectExpr("vec_id AS query_id", "embedding AS query_vector")
     one, many = (search.dense_multi(docs, asked, 3, id_col="vec_id", vector_col="embedding", blocks=n).collect() for n in (1, 3))
-    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(one) == 3 * asked.count() > 0
+    plain = sorted((r["query_id"], r["rank"], round(r["score"], 6)) for r in one)
+    assert plain == sorted((r["query_id"], r["rank"], round(r["score"], 6)) for r in many) and len(one) == 3 * asked.count() > 0
+    pairs = docs.crossJoin(asked).withColumn("s", F.coalesce(cosine(F.col("embedding"), F.col("query_vector")), F.lit(0.0)))
+    best = {r["query_id"]: round(r["s"], 6) for r in pairs.groupBy("query_id").agg(F.max("s").alias("s")).collect()}
+    assert {q: s for q, rank, s in plain if rank == 1} == best
+    assert search.dense_multi(docs, asked.limit(0), 3, id_col="vec_id", vector_col="embedding").count() == 0
+
+
+def test_searches_read_no_text(spark, sf_dir):
+    """Full-text scores come from the stored postings, with the terms pushed into the scan."""
+    catalogue.QUERIES["bm25_topk"](spark, sf_dir)  # builds the collection
+    plan = catalogue.QUERIES["bm25_topk"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "regexp" not in plan and "PushedFilters: [In(term" in plan
+
 
+def test_cap_ranks_keys_only(spark, sf_dir):
+    from sablewick.operators import split
 
-def test_production_cap_returns_all_lines(spark, sf_dir):
-    small, whole = (catalogue.QUERIES[n](spark, sf_dir).count() for n in ("chunk_cap", "chunk_cap_production"))
-    lines = catalogue.code_files(spark, sf_dir).selectExpr("sum(size(split(content, '\n', -1)))").first()[0]
-    assert small == 500 and whole == min(lines, 450_000) > 500
+    rows = spark.range(50).selectExpr("concat('f', id % 7) AS relative_path", "int(id) AS pos", "repeat('x', 9) AS content")
+    got, outcome = split.capped(rows, 20)
+    want = sorted((r["relative_path"], r["pos"]) for r in rows.collect())[:20]
+    assert outcome == "limit_reached" and sorted((r["relative_path"], r["pos"]) for r in got.collect()) == want
+    assert split.capped(rows, 50)[1] == "completed"
 
 
 def test_resume_compares_at_any_size(spark, tmp_path):
-    """More labelled ids than the fixed 700: what is left still comes back."""
     spark.range(1000).selectExpr("id AS doc_id").write.parquet(str(tmp_path / "documents.parquet"))
     spark.range(900).selectExpr("id AS doc_id").write.parquet(str(tmp_path / "labels.parquet"))
-    assert catalogue.QUERIES["resume_remaining"](spark, str(tmp_path)).count() == 0
-    assert sorted(r[0] for r in catalogue.QUERIES["resume_all"](spark, str(tmp_path)).collect()) == list(range(900, 1000))
+    assert sorted(r[0] for r in catalogue.QUERIES["resume_remaining"](spark, str(tmp_path)).collect()) == list(range(900, 1000))
