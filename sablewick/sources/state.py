@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sablewick.sources.store import Files
+from sablewick.sources.store import Files, Pointer
 
 STATE = "relative_path string, hash string"
 STATUS = "codebase_path string, status string, indexing_percentage double, indexed_files long, total_chunks long, index_status string, error_message string, last_attempted_percentage double, last_updated timestamp"
@@ -24,27 +23,26 @@ class Versioned:
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root, self.schema, self.files = spark, root.rstrip("/"), schema, Files(spark, root)
 
+    def _pointer(self, key: str) -> Pointer:
+        return Pointer(self.files, self.root, key)
+
     def load(self, key: str) -> DataFrame | None:
-        pointer = f"{self.root}/{key}.json"
-        if not self.files.exists(pointer):
-            return None
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{json.loads(self.files.read(pointer))['version']}")
+        found = self._pointer(key).read()
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{found[1]['version']}") if found else None
 
     def save(self, key: str, rows: DataFrame) -> None:
-        pointer, version = f"{self.root}/{key}.json", f"{key}-{uuid.uuid4().hex}"
-        before = json.loads(self.files.read(pointer)) if self.files.exists(pointer) else {}
+        version = f"{key}-{uuid.uuid4().hex}"
+        at, before = self._pointer(key).read() or (0, {})
         rows.write.parquet(f"{self.root}/{version}")
-        self.files.write(pointer, json.dumps({"version": version, "before": before.get("version")}))
+        self._pointer(key).move(at, {"version": version, "before": before.get("version")})
         if before.get("before"):
             self.files.delete(f"{self.root}/{before['before']}")
 
     def delete(self, key: str) -> None:
-        pointer = f"{self.root}/{key}.json"
-        if self.files.exists(pointer):
-            about = json.loads(self.files.read(pointer))
-            self.files.delete(pointer)
-            for version in filter(None, (about["version"], about.get("before"))):
-                self.files.delete(f"{self.root}/{version}")
+        found = self._pointer(key).read()
+        self._pointer(key).delete()
+        for version in filter(None, (found[1]["version"], found[1].get("before")) if found else ()):
+            self.files.delete(f"{self.root}/{version}")
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

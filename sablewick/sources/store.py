@@ -20,6 +20,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ class Files:
     """The few operations needed, through Hadoop's file system interface."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.gateway, self.conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
-        self.fs = self.path(root).getFileSystem(self.conf)
+        self.jvm = spark._jvm
+        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
@@ -72,16 +73,14 @@ class Files:
         return sorted(out)
 
     def write(self, name: str, text: str) -> None:
-        """Write beside the name, then move into place in one step, so that a reader always finds one or the other."""
+        """Write beside a name that is not there yet, then move into place in one step."""
         beside = f"{name}.{uuid.uuid4().hex}"
         out = self.fs.create(self.path(beside), True)
         out.write(bytearray(text.encode()))
         out.close()
-        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        context.rename(context.makeQualified(self.path(beside)), context.makeQualified(self.path(name)), how)
+        if self.exists(name) or not self.fs.rename(self.path(beside), self.path(name)):
+            self.delete(beside)
+            raise Conflict(f"{name} is there already")
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
@@ -91,6 +90,55 @@ class Files:
             stream.close()
 
 
+class Pointer:
+    """What is current, as numbered files of which the highest holds.
+
+    A change adds the next number in one step, so a reader finds the old or the
+    new one and never none, and of two writers that began alike one fails.  The
+    file before stays, for a reader that has just listed the folder.
+    """
+
+    def __init__(self, files: Files, folder: str, name: str):
+        self.files, self.folder, self.name = files, folder, name
+
+    def _numbers(self) -> list[int]:
+        head, tail = f"{self.name}.", ".json"
+        found = (n[len(head) : -len(tail)] for n in self.files.names(self.folder) if n.startswith(head) and n.endswith(tail))
+        return sorted(int(n) for n in found if n.isdigit())
+
+    def _at(self, number: int) -> str:
+        return f"{self.folder}/{self.name}.{number:012d}.json"
+
+    def exists(self) -> bool:
+        return bool(self._numbers())
+
+    def read(self) -> tuple[int, dict] | None:
+        """Number and content, or None."""
+        for last in (False, False, False, True):
+            numbers = self._numbers()
+            if not numbers:
+                return None
+            try:
+                return numbers[-1], json.loads(self.files.read(self._at(numbers[-1])))
+            except Py4JJavaError:  # two changes since it was listed, or the whole is being deleted
+                if last:
+                    raise
+        return None
+
+    def move(self, after: int, content: dict) -> None:
+        """Make ``content`` current, if ``after`` (0: nothing) still is."""
+        if (self._numbers() or [0])[-1] != after:
+            raise Conflict(f"{self.folder}/{self.name} was changed by another writer")
+        self.files.write(self._at(after + 1), json.dumps(content))
+        for number in self._numbers():
+            if number < after:
+                self.files.delete(self._at(number))
+
+    def delete(self) -> None:
+        for number in self._numbers():
+            self.files.delete(self._at(number))
+
+
 class Store:
     """Named collections below one root folder."""
 
@@ -101,21 +149,25 @@ class Store:
     def _at(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def describe(self, name: str) -> dict:
-        if not self.has(name):
+    def _pointer(self, name: str) -> Pointer:
+        return Pointer(self.files, self._at(name), "current")
+
+    def _current(self, name: str) -> tuple[int, dict]:
+        found = self._pointer(name).read()
+        if found is None:
             raise KeyError(f"no collection {name!r}")
-        return json.loads(self.files.read(f"{self._at(name)}/current.json"))
+        return found
 
-    def _commit(self, name: str, about: dict) -> None:
-        self.files.write(f"{self._at(name)}/current.json", json.dumps(about))
+    def describe(self, name: str) -> dict:
+        return self._current(name)[1]
 
     def create(self, name: str, dimension: int, hybrid: bool = True, description: str = "") -> None:
         if self.has(name):
             raise ValueError(f"collection {name!r} exists")
-        self._commit(name, {"name": name, "dimension": dimension, "hybrid": hybrid, "description": description, "version": None, "parts": [], "totals": {}, "at": time.time()})
+        self._pointer(name).move(0, {"name": name, "dimension": dimension, "hybrid": hybrid, "description": description, "version": None, "parts": [], "totals": {}, "at": time.time()})
 
     def has(self, name: str) -> bool:
-        return self.files.exists(f"{self._at(name)}/current.json")
+        return self._pointer(name).exists()
 
     def list(self) -> list[str]:
         return [n for n in self.files.names(self.root) if self.has(n)]
@@ -125,8 +177,8 @@ class Store:
 
     def clear(self, name: str) -> None:
         """Drop all rows, keep the collection."""
-        about = self.describe(name)
-        self._commit(name, about | {"version": None, "parts": [], "totals": {}})
+        at, about = self._current(name)
+        self._pointer(name).move(at, about | {"version": None, "parts": [], "totals": {}})
 
     def read(self, name: str) -> DataFrame:
         parts = self.describe(name)["parts"]
@@ -158,22 +210,17 @@ class Store:
         terms = self._postings(name, [part]).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
         return part, [stored.count(), terms]
 
-    def _publish(self, name: str, before: dict, after: dict) -> None:
-        if not self.has(name) or self.describe(name)["version"] != before["version"]:
-            raise Conflict(f"collection {name!r} was changed by another writer")
-        self._commit(name, after)
-
     def insert(self, name: str, rows: DataFrame) -> None:
         """Append rows; one new part, visible once complete."""
-        about = self.describe(name)
+        at, about = self._current(name)
         part, totals = self._written(name, about, rows)
-        self._publish(name, about, about | {"version": part, "parts": [*about["parts"], part], "totals": about["totals"] | {part: totals}})
+        self._pointer(name).move(at, about | {"version": part, "parts": [*about["parts"], part], "totals": about["totals"] | {part: totals}})
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """A new version with exactly these rows (which may be derived from the current one)."""
-        about = self.describe(name)
+        at, about = self._current(name)
         part, totals = self._written(name, about, rows)
-        self._publish(name, about, about | {"version": part, "parts": [part], "totals": {part: totals}})
+        self._pointer(name).move(at, about | {"version": part, "parts": [part], "totals": {part: totals}})
 
     def _postings(self, name: str, parts: list[str]) -> DataFrame:
         paths = [f"{self._at(name)}/terms-{p}" for p in parts]

@@ -235,3 +235,154 @@ def test_result_files(spark, tmp_path):
     assert rows.first()["tool_stats"]["tool_call_counts"] == {"edit": 2}
     assert evaluate.precision_recall_f1(rows).first()["recall"] == 0.5
     assert evaluate.subset_statistics(rows, rows.union(rows).union(rows)).first()["percent"] == 33.3
+
+
+def test_edit_during_a_run_is_found_later(spark, tree, tmp_path):
+    """A file edited after the scan keeps its old hash with its old chunks, so the next sync takes it."""
+    e = Engine(spark, str(tmp_path / "home"), config=Config(hybrid=False, home=str(tmp_path)))
+
+    def edit(phase, percent):
+        if phase == "Indexing":
+            (tree / "pkg/a.py").write_text("def edited_meanwhile():\n    return 1\n")
+
+    e.index(str(tree), progress=edit)
+    assert not e.store.read(e.collection_name(str(tree))).filter("content LIKE '%edited_meanwhile%'").count()
+    assert e.sync(str(tree)) == {"added": 0, "removed": 0, "modified": 1}
+    assert e.store.read(e.collection_name(str(tree))).filter("content LIKE '%edited_meanwhile%'").count() == 1
+    assert e.file_hash(str(tree), "pkg/a.py") == __import__("hashlib").sha256((tree / "pkg/a.py").read_bytes()).hexdigest()
+    assert e.file_hash(str(tree), "none.py") is None and not (tmp_path / "home" / "scratch").exists() or not list((tmp_path / "home" / "scratch").iterdir())
+
+
+def test_searchable_while_indexing(spark, tree, tmp_path):
+    """Chunks are committed in steps; what is committed is found before the run ends, and progress is saved."""
+    e = Engine(spark, str(tmp_path / "home"), config=Config(hybrid=True, home=str(tmp_path), commit_chunks=2))
+    seen = []
+
+    def tell(phase, percent):
+        name = e.collection_name(str(tree))
+        seen.append((phase, percent, e.store.count(name) if e.store.has(name) else None))
+
+    done = e.index(str(tree), progress=tell)
+    counts = [n for phase, _, n in seen if phase == "Indexing"]
+    assert len(counts) > 1 and counts[0] == 0 and counts == sorted(counts) and seen[-1][2] == done["total_chunks"] == e.store.count(e.collection_name(str(tree)))
+    assert [p for _, p, _ in seen] == sorted(p for _, p, _ in seen)
+
+
+def test_reader_during_a_commit_and_two_writers(spark, tmp_path):
+    from sablewick.sources.store import Conflict
+
+    s = Store(spark, str(tmp_path / "s"))
+    s.create("c", 1)
+    cols = "id string, vector array<float>, content string, relative_path string, start_line long, end_line long, file_extension string, metadata string"
+    rows = lambda *names: spark.createDataFrame([(n, [1.0], f"text of {n}", "a.py", 1, 2, ".py", "{}") for n in names], cols)
+    s.insert("c", rows("1", "2"))
+    reading = s.read("c")
+    s.replace("c", rows("3"))
+    assert sorted(r["id"] for r in reading.select("id").collect()) == ["1", "2"]  # the version it began with
+    assert [r["id"] for r in s.read("c").collect()] == ["3"] and s.totals("c") == (1, 3)
+    assert sorted(r["term"] for r in s.postings("c").collect()) == ["3", "of", "text"]
+    at, about = s._current("c")
+    s.insert("c", rows("4"))
+    with pytest.raises(Conflict):  # another writer that began before
+        Store(spark, str(tmp_path / "s"))._pointer("c").move(at, about | {"version": "x", "parts": []})
+    assert s.count("c") == 2 and s.ready("c") and not s.ready("none", wait=0.1)
+    with pytest.raises(Exception, match="limit of its collection"):
+        s.replace("c", rows("5").selectExpr("id", "array(1f, 2f) AS vector", "content", "relative_path", "start_line", "end_line", "file_extension", "metadata"))
+    # the pointer is never absent while it moves
+    import threading
+
+    from sablewick.sources.store import Pointer
+
+    pointer, seen, stop = Pointer(s.files, str(tmp_path / "p"), "x"), [], threading.Event()
+    pointer.move(0, {"k": 0})
+
+    def look():
+        while not stop.is_set():
+            seen.append(pointer.read()[1]["k"])
+
+    watcher = threading.Thread(target=look)
+    watcher.start()
+    for k in range(1, 60):
+        pointer.move(k, {"k": k})
+    stop.set()
+    watcher.join()
+    assert len(seen) > 20 and seen == sorted(seen) and pointer.read() == (60, {"k": 59})
+
+
+def test_sync_all_isolates_errors(spark, tree, tmp_path):
+    import shutil
+    import time
+
+    other = tmp_path / "other"
+    shutil.copytree(tree, other, symlinks=True)
+    e = Engine(spark, str(tmp_path / "home"), config=Config(hybrid=True, home=str(tmp_path)))
+    e.index(str(tree))
+    e.index(str(other))
+    shutil.rmtree(other)
+    (tree / "pkg/new.py").write_text("def brand_new_thing():\n    pass\n")
+    done = e.sync_all()
+    assert done[str(tree)] == {"added": 1, "removed": 0, "modified": 0} and "NotADirectoryError" in done[str(other)]
+    assert e.search(str(tree), "brand_new_thing", 1).first()["relative_path"] == "pkg/new.py"
+    (tree / "pkg/new.py").unlink()
+    told = []
+    polling = e.poll(str(tmp_path / "poll"), minutes=1 / 60, told=told.append)
+    until = time.time() + 60
+    while not any(str(tree) in t and t[str(tree)] == {"added": 0, "removed": 1, "modified": 0} for t in told) and time.time() < until:
+        time.sleep(0.2)
+    polling.stop()
+    assert any(t[str(tree)] == {"added": 0, "removed": 1, "modified": 0} for t in told)
+
+
+def test_embedding_failures(spark):
+    import numpy as np
+
+    from sablewick.functions.embed import Embedder, RemoteEmbedder
+
+    class Picky(Embedder):
+        dimension, batch_size = 1, 2
+
+        def embed_batch(self, texts):
+            if "bad" in texts:
+                raise RuntimeError("no")
+            return np.array([[len(t)] for t in texts], float)
+
+    df = spark.createDataFrame([("a",), ("bb",), ("bad",), ("cc",), ("ddd",)], "t string").coalesce(1)
+    got = [(r["t"], r["v"]) for r in df.select("t", Picky().column("skip")(F.col("t")).alias("v")).collect()]
+    assert got == [("a", [1.0]), ("bb", [2.0]), ("bad", None), ("cc", None), ("ddd", [3.0])]
+    with pytest.raises(Exception, match="no"):
+        df.select(Picky().column()(F.col("t"))).collect()
+    with pytest.raises(ValueError):
+        Picky().column("ignore")
+    long = RemoteEmbedder("OpenAI", lambda texts, model: [[0.0] * 3072 for _ in texts])
+    with pytest.raises(ValueError, match="vectors of 3072"):
+        long.embed("x")
+    assert len(RemoteEmbedder("Gemini", lambda texts, model: [[0.0] * 3072 for _ in texts], dimension=768).embed("x")) == 768
+
+
+def test_registry_forgets_lost_collections(spark, tmp_path):
+    book = state.Registry(spark, str(tmp_path / "book"))
+    rows = spark.createDataFrame([("a", "c_a", 1), ("b", "c_b", 2)], "id string, collection_name string, t int").selectExpr("id", "collection_name", "timestamp_seconds(t) AS indexed_at")
+    book.add(rows)
+    assert book.reconcile(lambda name: name == "c_a") == ["b"] and [r["id"] for r in book.rows().collect()] == ["a"]
+    assert book.reconcile(lambda name: True) == []
+
+
+def test_drop_ratio_and_stored_scores(spark, tmp_path):
+    from sablewick.operators import search
+
+    assert search.kept_terms({"a": 1.0, "b": 3.0, "c": 2.0, "d": 4.0}, 0.5) == ["b", "d"] and search.kept_terms({"a": 1.0}, 1.0) == ["a"] and search.kept_terms({}, 0.5) == []
+    s = Store(spark, str(tmp_path / "s"))
+    s.create("c", 1)
+    cols = "id string, vector array<float>, content string, relative_path string, start_line long, end_line long, file_extension string, metadata string"
+    texts = {"1": "red fox fox", "2": "red dog", "3": "", "4": "grey cat"}
+    s.insert("c", spark.createDataFrame([(i, [1.0], t, "a.py", 1, 2, ".py", "{}") for i, t in texts.items()], cols))
+    stored = {r["id"]: round(r["score"], 9) for r in search.bm25_stored(s.postings("c"), s.totals("c"), "red fox").collect()}
+    plain = {r["id"]: round(r["score"], 9) for r in search.bm25(s.read("c"), "red fox").collect()}
+    assert stored == plain and set(stored) == {"1", "2"}
+    assert search.bm25_stored(s.postings("c"), s.totals("c"), "none such").count() == 0
+
+
+def test_grep_patterns_hold_per_line(spark):
+    files = spark.createDataFrame([("a", "x\nstart here\nend")], "relative_path string, content string")
+    assert [r["line_number"] for r in evaluate.grep(files, r"\Astart").collect()] == [2]
+    assert [r["line_number"] for r in evaluate.grep(files, r"here\z").collect()] == [2]

@@ -93,3 +93,22 @@ def test_line_chunks_match_pack(spark):
     files = spark.createDataFrame([("a", text)], "relative_path string, content string")
     rows = split.line_chunks(files, 100).orderBy("pos").collect()
     assert [(r["content"], r["start_line"], r["end_line"]) for r in rows] == spans(split.pack(text, 100))
+
+
+def test_pack_large():
+    assert spans(split.pack_large("aaaa\nbbbb\ncccc", 10, 5)) == [("aaaa\nbbbb", 5, 6), ("cccc", 7, 7)]
+    assert len(split.pack_large("aaaaaaaaa\nbbbbb\ncccc", 10)) == 2  # the last line counts without a line break
+    code = "def f():\n" + "\n" * 30 + "    return 1"
+    assert all(c.content.strip() for c in split.pack_large(code, 12)) and split.pack_large("\n" * 50, 10) == []
+    assert spans(split.pack_large("a" * 50, 10)) == [("a" * 50, 1, 1)]
+
+
+def test_separators_are_whole_words():
+    assert "\nif " in split.separators("javascript") and "\nif" not in split.separators("javascript")
+    assert "\n<div" in split.separators("html") and "\n## " in split.separators("markdown")
+
+
+def test_repeated_chunks_come_once(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    pass\n", "python")], "relative_path string, content string, language string")
+    rows = split.Splitter("ast", overlap=0).chunks(files).collect()
+    assert len({(r["start_line"], r["content"]) for r in rows}) == len(rows)
