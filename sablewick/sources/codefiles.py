@@ -85,7 +85,8 @@ class CodeFilesReader(DataSourceReader):
         except OSError:
             return []
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def listed(self, partition: Part) -> Iterator[tuple[str, str]]:
+        """(relative path, path) of the files to be taken, none of them opened."""
         stack = [partition.directory]
         while stack:
             here = stack.pop()
@@ -95,12 +96,16 @@ class CodeFilesReader(DataSourceReader):
                     if partition.below and self.rules.enters(relative):
                         stack.append(relative)
                 elif e.is_file(follow_symlinks=False) and self.rules.takes(relative):
-                    try:
-                        with open(e.path, "rb") as f:
-                            raw = f.read()
-                        yield relative, raw.decode("utf-8", "replace"), extension_of(relative), len(raw), None
-                    except OSError as failed:
-                        yield relative, None, extension_of(relative), None, str(failed)
+                    yield relative, e.path
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        for relative, path in self.listed(partition):
+            try:
+                with open(path, "rb") as f:
+                    raw = f.read()
+                yield relative, raw.decode("utf-8", "replace"), extension_of(relative), len(raw), None
+            except OSError as failed:
+                yield relative, None, extension_of(relative), None, str(failed)
 
 
 class CodeFiles(DataSource):

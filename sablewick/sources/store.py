@@ -39,8 +39,14 @@ class Conflict(RuntimeError):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application that driver and executors share: below ``spark.checkpoint.dir``, else below the warehouse."""
+    """A folder of this application that driver and executors share.
+
+    It lies below ``spark.checkpoint.dir``; where that is unset, on one machine
+    only, below the warehouse.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/sablewick-{spark.sparkContext.applicationId}"
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +26,35 @@ from sablewick.sources.codefiles import CodeFilesReader
 CHANGES = "relative_path string, change string, hash string, content string"
 
 
+def digest_of(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read().decode("utf-8", "replace").encode()).hexdigest()
+
+
 class ChangeReader(DataSourceStreamReader):
-    """Offsets are the tree's state as one digest and the hashes behind it."""
+    """Offsets are the hashes of the tree's files.
+
+    A scan lists sizes and times first and reads only files that changed in
+    either since the last scan.
+    """
 
     def __init__(self, options: dict):
         self.options = options
+        self.known: dict[str, tuple[tuple[int, int], str]] = {}
 
     def _scan(self) -> dict[str, str]:
-        reader = CodeFilesReader(self.options)
-        return {p: hashlib.sha256((c or "").encode()).hexdigest() for part in reader.partitions() for p, c, *_ in reader.read(part)}
+        reader, found = CodeFilesReader(self.options), {}
+        for part in reader.partitions():
+            for relative, path in reader.listed(part):
+                try:
+                    stat = os.stat(path)
+                    seen = (stat.st_size, stat.st_mtime_ns)
+                    before = self.known.get(relative)
+                    found[relative] = before if before and before[0] == seen else (seen, digest_of(path))
+                except OSError:
+                    continue  # gone since, or not to be read: as if it were not there
+        self.known = found
+        return {relative: digest for relative, (_, digest) in found.items()}
 
     def initialOffset(self) -> dict:
         return {"state": "{}"}
@@ -48,16 +69,15 @@ class ChangeReader(DataSourceStreamReader):
         return [InputPartition(changed[k : k + 200]) for k in range(0, len(changed), 200)]
 
     def read(self, partition: InputPartition):
-        import os
-
         for path, change, digest in partition.value:
             content = None
             if change != "removed":
                 try:
-                    with open(os.path.join(self.options["path"], path), encoding="utf-8", errors="replace", newline="") as f:
-                        content = f.read()
+                    with open(os.path.join(self.options["path"], path), "rb") as f:
+                        content = f.read().decode("utf-8", "replace")
                 except OSError:
                     continue  # gone since: the next batch says so
+                digest = hashlib.sha256(content.encode()).hexdigest()  # of what is handed on, should it have changed since
             yield path, change, digest, content
 
 
