@@ -48,7 +48,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: SQL can express neither the learned stages nor best-fit packing; tests hold the stages against brute force.
+#: SQL can express neither the learned stages nor best-fit packing; tests hold every stage against a plain computation over its rows.
 ORACLE_SQL = None
 
 

@@ -125,31 +125,48 @@ class HashEmbedder(Embedder):
 
 @dataclass
 class Provider:
-    """A remote provider's defaults: model, dimension by model, and tokens a text may have."""
+    """A remote provider's defaults: model, dimension and most tokens by model, and what else it offers."""
 
     model: str
     dimensions: dict[str, int] = field(default_factory=dict)
     max_tokens: int = 8192
     truncatable: tuple[int, ...] = ()
+    tokens: dict[str, int] = field(default_factory=dict)  # by the beginning of a model's name
+    input_type: str | None = None
+
+    def tokens_of(self, model: str) -> int:
+        longest = max((name for name in self.tokens if model.startswith(name)), key=len, default=None)
+        return self.tokens[longest] if longest else self.max_tokens
 
 
 # Public defaults of embedding providers.
+VOYAGE_DIMENSIONS = {
+    "voyage-3-large": 1024, "voyage-3.5": 1024, "voyage-3.5-lite": 1024, "voyage-code-3": 1024, "voyage-finance-2": 1024, "voyage-law-2": 1024,
+    "voyage-multilingual-2": 1024, "voyage-large-2-instruct": 1024, "voyage-large-2": 1536, "voyage-code-2": 1536, "voyage-3": 1024, "voyage-3-lite": 512,
+    "voyage-2": 1024, "voyage-02": 1024, "voyage-01": 1024, "voyage-lite-01": 1024, "voyage-lite-01-instruct": 1024, "voyage-lite-02-instruct": 1024,
+}
+VOYAGE_TOKENS = {"voyage-law-2": 16000, "voyage-large-2": 16000, "voyage-code-2": 16000, "voyage-2": 4000, "voyage-0": 4000, "voyage-lite-0": 4000}
 PROVIDERS = {
     "OpenAI": Provider("text-embedding-3-small", {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}),
-    "VoyageAI": Provider("voyage-code-3", {"voyage-code-3": 1024, "voyage-3-large": 1024, "voyage-3.5": 1024, "voyage-3.5-lite": 1024, "voyage-code-2": 1536}, 32000),
+    "VoyageAI": Provider("voyage-code-3", VOYAGE_DIMENSIONS, 32000, tokens=VOYAGE_TOKENS, input_type="document"),
     "Gemini": Provider("gemini-embedding-001", {"gemini-embedding-001": 3072}, 2048, (3072, 1536, 768, 256)),
-    "Ollama": Provider("nomic-embed-text", {"nomic-embed-text": 768}, 2048),
+    "Ollama": Provider("nomic-embed-text", {"nomic-embed-text": 768}, 2048, tokens={"nomic-embed-text": 8192, "snowflake-arctic-embed": 8192}),
 }
 
 
 class RemoteEmbedder(Embedder):
-    """A provider's model behind a callable ``fetch(texts, model) -> vectors``."""
+    """A provider's model behind a callable ``fetch(texts, model) -> vectors``.
+
+    Where a provider tells kinds of input apart (``input_type``), that is a third argument.
+    """
 
-    def __init__(self, provider: str, fetch: Callable[[list[str], str], list[list[float]]], model: str | None = None, dimension: int | None = None):
+    def __init__(self, provider: str, fetch: Callable[..., list[list[float]]], model: str | None = None, dimension: int | None = None, max_tokens: int | None = None, input_type: str | None = None):
         known = PROVIDERS[provider]
         if dimension is not None and known.truncatable and dimension not in known.truncatable:
             raise ValueError(f"{provider} offers the dimensions {known.truncatable}")
-        self.provider, self.fetch, self.model, self.max_tokens = provider, fetch, model or known.model, known.max_tokens
+        self.provider, self.model = provider, model or known.model
+        self.max_tokens, kind = max_tokens or known.tokens_of(self.model), input_type or known.input_type
+        self.fetch = fetch if kind is None else lambda texts, model: fetch(texts, model, kind)
         self._dimension = dimension or known.dimensions.get(self.model)
 
     @property
@@ -172,3 +189,10 @@ def embedder(provider: str = "hash", **options) -> Embedder:
     if provider not in PROVIDERS:
         raise ValueError(f"unknown embedding provider {provider!r}; known: hash, {', '.join(PROVIDERS)}")
     return RemoteEmbedder(provider, **options)
+
+
+def embedder_from(get: Callable[[str], str | None], fetch: Callable[..., list[list[float]]]) -> Embedder:
+    """The embedder that settings name: ``EMBEDDING_PROVIDER``, and ``EMBEDDING_MODEL`` (of Ollama first ``OLLAMA_MODEL``)."""
+    provider = get("EMBEDDING_PROVIDER") or "OpenAI"
+    model = (get("OLLAMA_MODEL") if provider == "Ollama" else None) or get("EMBEDDING_MODEL")
+    return embedder(provider, fetch=fetch, model=model) if provider != "hash" else embedder()

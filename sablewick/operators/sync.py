@@ -37,6 +37,25 @@ def merkle_nodes(state: DataFrame) -> DataFrame:
     return state.select("relative_path", F.sha2(data, 256).alias("id"), data.alias("data"))
 
 
+def merkle_tree(state: DataFrame) -> DataFrame:
+    """All nodes (id, data, parent, relative_path): the leaves, and above them the one root, whose parent is null."""
+    leaves = merkle_nodes(state)
+    root = merkle_root(state).select(F.col("root").alias("id"), F.lit("root").alias("data"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("relative_path"))
+    return leaves.crossJoin(F.broadcast(root.select(F.col("id").alias("parent")))).select("id", "data", "parent", "relative_path").unionByName(root)  # root is one row
+
+
+def merkle_node(tree: DataFrame, node_id: str) -> DataFrame:
+    return tree.filter(F.col("id") == node_id)
+
+
+def root_nodes(tree: DataFrame) -> DataFrame:
+    return tree.filter("parent IS NULL")
+
+
+def leaf_nodes(tree: DataFrame) -> DataFrame:
+    return tree.filter("parent IS NOT NULL")
+
+
 def merkle_root(state: DataFrame) -> DataFrame:
     """One row: SHA-256 of ``root:`` and all file hashes in path order.
 

@@ -129,6 +129,14 @@ def store_replace(spark, sf_dir):
 # ------------------------------------------------------------------ saved state
 
 
+@query(f"""WITH {FILES_SQL}, root AS (SELECT sha256('root:' || string_agg(sha256(content), '' ORDER BY relative_path)) AS id FROM code_files)
+SELECT sha256(relative_path || ':' || sha256(content)) AS id, relative_path, (SELECT id FROM root) AS parent FROM code_files UNION ALL SELECT id, NULL, NULL FROM root""")
+def merkle_tree(spark, sf_dir):
+    """All nodes of the tree over the files, through its accessors."""
+    tree = sync.merkle_tree(sync.file_state(code_files(spark, sf_dir)))
+    return sync.leaf_nodes(tree).unionByName(sync.root_nodes(tree)).select("id", "relative_path", "parent")
+
+
 @query(f"WITH {FILES_SQL} SELECT relative_path, sha256(content) AS hash FROM code_files")
 def state_snapshot(spark, sf_dir):
     """File hashes saved twice under one key and loaded."""

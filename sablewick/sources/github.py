@@ -39,6 +39,30 @@ def patiently(get: Callable[[str], dict], path: str) -> dict:
         return get(path)
 
 
+class NoAccess(Exception):
+    """The token is not valid, or the repository can't be read with it."""
+
+
+def check_access(fetch: Callable[[str], tuple[int, dict, dict]], owner: str, repo: str, with_token: bool = False) -> dict:
+    """What is known of a repository that can be read: {full_name, private, default_branch}.
+
+    ``fetch(path)`` gives status, headers (lower-case names) and parsed JSON.  A
+    token is checked first; a used-up rate limit raises ``RateLimited``.
+    """
+    body: dict = {}
+    for path in (["/user"] if with_token else []) + [f"/repos/{owner}/{repo}"]:
+        status, headers, body = fetch(path)
+        if status == 401:
+            raise NoAccess("the token is not valid")
+        if status in (403, 429) and headers.get("x-ratelimit-remaining") == "0":
+            raise RateLimited(float(headers.get("x-ratelimit-reset", 0)))
+        if status == 404:
+            raise NoAccess(f"{owner}/{repo} does not exist or is private")
+        if status >= 400:
+            raise NoAccess(f"{owner}/{repo}: status {status}")
+    return {k: body.get(k) for k in ("full_name", "private", "default_branch")}
+
+
 def repo_files(spark: SparkSession, get: Callable[[str], dict], owner: str, repo: str) -> DataFrame:
     """Paths of the repository's default branch that have a known extension."""
     branch = patiently(get, f"/repos/{owner}/{repo}")["default_branch"]

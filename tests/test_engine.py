@@ -386,3 +386,24 @@ def test_grep_patterns_hold_per_line(spark):
     files = spark.createDataFrame([("a", "x\nstart here\nend")], "relative_path string, content string")
     assert [r["line_number"] for r in evaluate.grep(files, r"\Astart").collect()] == [2]
     assert [r["line_number"] for r in evaluate.grep(files, r"here\z").collect()] == [2]
+
+
+def test_access_checks():
+    answers = {"/user": (200, {}, {}), "/repos/o/r": (200, {}, {"full_name": "o/r", "private": False, "default_branch": "main", "x": 1})}
+    assert github.check_access(answers.__getitem__, "o", "r", True) == {"full_name": "o/r", "private": False, "default_branch": "main"}
+    for status, headers, error in ((401, {}, github.NoAccess), (404, {}, github.NoAccess), (500, {}, github.NoAccess), (403, {}, github.NoAccess), (403, {"x-ratelimit-remaining": "0", "x-ratelimit-reset": "7"}, github.RateLimited)):
+        with pytest.raises(error):
+            github.check_access(lambda path: (status, headers, {}), "o", "r")  # noqa: B023
+
+
+def test_providers():
+    from sablewick.functions import embed
+
+    seen = []
+    fetch = lambda *a: seen.append(a) or [[0.0] * 1024 for _ in a[0]]
+    v = embed.embedder_from({"EMBEDDING_PROVIDER": "VoyageAI", "EMBEDDING_MODEL": "voyage-2"}.get, fetch)
+    assert (v.dimension, v.max_tokens, len(embed.VOYAGE_DIMENSIONS)) == (1024, 4000, 18) and len(v.embed("x")) == 1024 and seen[-1][2] == "document"
+    assert [embed.PROVIDERS["VoyageAI"].tokens_of(m) for m in ("voyage-3", "voyage-large-2-instruct", "voyage-lite-02-instruct", "voyage-01", "voyage-law-2")] == [32000, 16000, 4000, 4000, 16000]
+    o = embed.embedder_from({"EMBEDDING_PROVIDER": "Ollama", "OLLAMA_MODEL": "snowflake-arctic-embed2", "EMBEDDING_MODEL": "x"}.get, fetch)
+    assert (o.model, o.max_tokens) == ("snowflake-arctic-embed2", 8192)
+    assert embed.embedder_from({}.get, fetch).provider == "OpenAI" and embed.embedder_from({"EMBEDDING_PROVIDER": "hash"}.get, fetch).provider == "hash"
