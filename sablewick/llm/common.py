@@ -21,12 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset (in
-    tests and on a single machine) a folder of this application in the
-    warehouse is used, never a machine-local temporary folder.  What is written
-    stays until ``clear_scratch``, since results read it lazily.
+    The cluster names it in ``spark.checkpoint.dir``.  Only on a single machine
+    (in tests) may that be unset; then a folder in the warehouse is used.  What is
+    written stays until ``clear_scratch``, since results read it lazily.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     root = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{root.rstrip('/')}/sablewick-{spark.sparkContext.applicationId}"
 

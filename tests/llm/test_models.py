@@ -373,19 +373,63 @@ def test_media_rows(awkward, nothing):
 # ---------------------------------------------------------------- pipeline
 
 
+def near_groups(texts: dict[int, str]) -> dict[int, int]:
+    """Each document's class, by comparing all pairs of shingle sets."""
+    import re
+
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\W_]+", t.lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
 def test_pipeline(spark, sf_dir):
+    """Every stage against a plain computation over the rows it was given."""
+    from tests_packing import check_packing
+
     docs = common.table(spark, sf_dir, "documents")
-    kept, before = docs, {r["doc_id"] for r in docs.select("doc_id").collect()}
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    kept, now = docs, dict(rows)
+    models = {"language_id": langid.learn_from(docs)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "toxicity":
+            models[name] = toxicity.learn_from(kept, common.table(spark, sf_dir, "labels"))
         kept = common.written(stage(spark, kept, sf_dir), "test")
         assert kept.columns == docs.columns
-        after = {r["doc_id"] for r in kept.select("doc_id").collect()}
-        assert after < before or after == before
-        before = after
-    texts = [r["text"] for r in kept.collect()]
-    assert len({t.lower() for t in texts}) == len(texts) and len(texts) > 100
+        got = {r["doc_id"]: r for r in kept.collect()}
+        ids, texts = list(now), [now[i]["text"] or "" for i in now]
+        if name == "language_id":
+            want = {i for i, lang, score in zip(ids, *langid.predict(models[name], texts)) if lang != "und" and score >= stages.LEAST_SHARE}
+        elif name == "toxicity":
+            want = {i for i, score in zip(ids, models[name].score(texts)) if score < 0.5}
+        elif name == "exact_dedup":
+            best: dict[str, int] = {}
+            for i, t in zip(ids, texts):
+                low = t.translate({c: c + 32 for c in range(65, 91)})
+                best[low] = max(i, best.get(low, i))
+            want = set(best.values())
+        else:
+            want = {i for i, of in near_groups(dict(zip(ids, texts))).items() if i == of}
+        assert set(got) == want, name
+        assert all(got[i] == rows[i] for i in got)  # whole rows, unchanged
+        now = got
+    assert 100 < len(now) < len(rows)
     packed = corpus_pipeline.run(spark, sf_dir)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == before
+    check_packing(kept, packed.collect())
 
 
 def test_repeated_text_and_rare_language(spark):

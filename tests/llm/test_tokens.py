@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sablewick.llm import bpe, packing, pretokens, token_count
+from tests_packing import check_packing
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ODD = ["", "I'm HERE's", "İstanbul ŉ Σίσυφος ΣΑΣ 你好", "<|endoftext|> x<|startoftext|>y", "a\x85b\xa0c \x1c\x1d", "'''s!!'s  x'S 1²³¼4", "a" * 5000, "ab" * 3000 + " c", "-" * 3000, "😀😀 hi", "don't…—‘q’", "\t\n  a  b \n\n c ", "   ", "ªµº ĳ Ŀ ẞ K Å é", "aaa aaaa aaaaa"]
@@ -126,31 +127,6 @@ def test_best_fit(lengths):
             rooms.append(tight - n)
 
 
-def check_packing(df, rows):
-    lib = pretokens.pretokenizer(WORD).library
-    texts = {}
-    for r in df.collect():
-        texts.setdefault(r["doc_id"], []).append(r["text"] or "")
-    pieces, used = {}, {}
-    for r in rows:
-        pieces.setdefault(r["doc_id"], []).append(r)
-        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for places in used.values():
-        at = 0
-        for offset, n in sorted(places):
-            assert offset == at
-            at += n
-        assert at <= 4096
-    assert set(pieces) == set(texts)
-    for doc_id, own in texts.items():
-        want = []
-        for t in own:
-            ids = [*lib.encode(t, add_special_tokens=False).ids, 2]
-            want += [(k, min(4096, len(ids) - k), zlib.crc32(struct.pack(f"<{min(4096, len(ids) - k)}I", *ids[k : k + 4096])), len(ids)) for k in range(0, len(ids), 4096)]
-        assert sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in pieces[doc_id]) == sorted(want)
-    return used
-
-
 def test_packing_awkward(awkward, nothing):
     check_packing(awkward, packing.pack_documents(awkward, WORD).collect())
     assert packing.pack_documents(nothing, WORD).count() == 0
