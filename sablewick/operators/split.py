@@ -31,35 +31,41 @@ class Chunk:
 # ---------------------------------------------------------------- lines, on columns
 
 
-def packed_lines(content: Column, size: int) -> Column:
-    """Greedy packing of lines: array of (content, start_line, end_line).
+def line_starts(lines: str, size: int) -> Column:
+    """Greedy packing of a column of lines: the numbers, from 0, of those that begin a chunk.
 
     A chunk closes when the next line would take it past ``size`` (each line
-    counts with its line break); a single longer line stays whole.
+    counts with its line break); a single longer line stays whole.  The fold
+    carries numbers and no text.
     """
-    chunk = "struct<content:string,start_line:int,end_line:int>"
-    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"), F.lit(1).alias("first"), F.lit(0).alias("line"))
-
-    def close(s: Column) -> Column:
-        return F.concat(s["done"], F.array(F.struct(s["cur"].alias("content"), s["first"].alias("start_line"), s["line"].alias("end_line"))))
+    start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("n"), F.lit(0).alias("line"))
 
     def step(s: Column, line: Column) -> Column:
         n = F.length(line) + 1
-        full = s["cur"].isNotNull() & (s["n"] + n > size)
+        new = (s["line"] == 0) | (s["n"] + n > size)
         return F.struct(
-            F.when(full, close(s)).otherwise(s["done"]).alias("done"),
-            F.when(full | s["cur"].isNull(), line).otherwise(F.concat(s["cur"], F.lit("\n"), line)).alias("cur"),
-            F.when(full, n).otherwise(s["n"] + n).cast("int").alias("n"),
-            F.when(full, s["line"] + 1).otherwise(s["first"]).alias("first"),
+            F.when(new, F.concat(s["begins"], F.array(s["line"]))).otherwise(s["begins"]).alias("begins"),
+            F.when(new, n).otherwise(s["n"] + n).cast("int").alias("n"),
             (s["line"] + 1).alias("line"),
         )
 
-    return F.aggregate(text_.lines(content), start, step, close)
+    return F.aggregate(lines, start, step, lambda s: s["begins"])
 
 
 def line_chunks(files: DataFrame, size: int = values.LINE_CHUNK, *, path_col: str = "relative_path", text_col: str = "content") -> DataFrame:
     """(relative_path, pos, content, start_line, end_line) of greedily packed lines."""
-    return files.select(path_col, F.posexplode(packed_lines(F.coalesce(F.col(text_col), F.lit("")), size)).alias("pos", "c")).select(path_col, "pos", "c.*")
+    rows = files.select(path_col, text_.lines(F.coalesce(F.col(text_col), F.lit(""))).alias("__lines"))
+    rows = rows.select(path_col, "__lines", line_starts("__lines", size).alias("__begins"))
+    last = F.size("__begins") - 1
+    chunk = F.transform(
+        F.col("__begins"),
+        lambda a, i: F.struct(
+            F.array_join(F.slice("__lines", a + 1, F.when(i == last, F.size("__lines")).otherwise(F.get("__begins", i + 1)) - a), "\n").alias("content"),
+            (a + 1).alias("start_line"),
+            F.when(i == last, F.size("__lines")).otherwise(F.get("__begins", i + 1)).alias("end_line"),
+        ),
+    )
+    return rows.select(path_col, F.posexplode(chunk).alias("pos", "c")).select(path_col, "pos", "c.*")
 
 
 def with_overlap(chunks: DataFrame, overlap: int = values.SYNTAX_OVERLAP, *, path_col: str = "relative_path") -> DataFrame:
