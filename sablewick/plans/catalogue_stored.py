@@ -304,9 +304,11 @@ def syntax_split_lines(spark, sf_dir):
 
 
 @query(f"""WITH {FILES_SQL}, solid AS (SELECT relative_path, regexp_replace(content, '\\s', '', 'g') AS c FROM code_files)
-SELECT relative_path, k AS pos, substr(c, k * {values.CHAR_CHUNK} + 1, {values.CHAR_CHUNK}) AS content, 1::BIGINT AS start_line, 1::BIGINT AS end_line
-FROM (SELECT *, unnest(generate_series(0, greatest(1, ceil(length(c) / {values.CHAR_CHUNK}))::BIGINT - 1)) AS k FROM solid) WHERE c <> ''""")
+SELECT relative_path, row_number() OVER (PARTITION BY relative_path ORDER BY min(k)) - 1 AS pos, piece AS content, 1::BIGINT AS start_line, 1::BIGINT AS end_line
+FROM (SELECT relative_path, k, substr(c, k * {values.CHAR_CHUNK} + 1, {values.CHAR_CHUNK}) AS piece
+      FROM (SELECT *, unnest(generate_series(0, greatest(1, ceil(length(c) / {values.CHAR_CHUNK}))::BIGINT - 1)) AS k FROM solid) WHERE c <> '')
+GROUP BY relative_path, piece""")
 def recursive_split_unbroken(spark, sf_dir):
-    """Texts without any separator are cut at the chunk size."""
+    """Texts without any separator are cut at the chunk size; a chunk that is there twice (same lines, same text) comes once."""
     files = code_files(spark, sf_dir).select("relative_path", F.regexp_replace("content", "[\\t\\n\\f\\r ]", "").alias("content"), F.lit("text").alias("language"))
     return split.Splitter("langchain").chunks(files).select("relative_path", F.col("pos").cast("long").alias("pos"), "content", "start_line", "end_line")
