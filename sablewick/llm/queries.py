@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sablewick.llm import chat, line_dedup, ngram_join
+from sablewick.llm import chat, line_dedup, ngram_join, phrases, vector_codes
 from sablewick.llm.common import table
 
 
@@ -92,6 +92,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of ``embeddings`` as four code bytes."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of all ``documents`` whose words keep together most, by language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 40 shards of nearly equal bytes, equal texts together."""
+    from sablewick.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -103,12 +120,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_phrases": op12_phrases,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op7_chat_format": chat.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
     "op2_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

@@ -15,7 +15,7 @@ from sablewick.llm.exact_dedup import UPPER, DigestIndex, exact_dedup, keep_one
 from sablewick.llm.line_dedup import fingerprints, line_dedup, line_dedup_digest, matches
 from sablewick.llm.ngram_join import BANDS, least_matches, jaccard_join, overlaps
 
-TABLES = "documents labels conversations".split()
+TABLES = "documents labels conversations embeddings".split()
 
 
 def plain(v):
