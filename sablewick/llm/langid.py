@@ -6,11 +6,13 @@ Each word gets a log-likelihood per candidate from its letter trigrams and from
 the word itself; Viterbi over the words, with a penalty for every switch, labels
 spans of one language.  The text's language is the one with most letters.
 
-Learning reads, on the driver, a sample that is bounded for each language
-(``sample_docs`` distinct texts, those with the smallest hashes, and of a text
-longer than ``sample_chars`` evenly spread slices), so copies count once and a
-rare language is learned like a common one.  The model's size is fixed.  Scoring
-runs in numpy over whole record batches and sees every character of every text.
+Learning counts trigrams and words, as a Spark job, over the whole texts of a
+sample that is bounded for each language (``sample_docs`` distinct texts, those
+with the smallest hashes), so copies count once and a rare language is learned
+like a common one.  At most ``most_languages`` languages are learned, the most
+frequent ones, and the hashed tables get fewer buckets where there are many, so
+the model has no more than ``MOST_ENTRIES`` numbers.  Scoring runs in numpy over
+whole record batches and sees every character of every text.
 
 A text longer than ``PART_CHARS`` is read twice in parts: first each chunk of
 words is passed from every state that it may begin in, all chunks side by side,
@@ -26,7 +28,8 @@ Defined results
   for a word of over half a million characters, which is cut; of equally good
   labellings it may be another);
 * ties between languages: the alphabetically first;
-* rows with a null text, lang or doc_id: never learned from; a null doc_id is not
+* rows with a null text, lang or doc_id, and of more than ``most_languages`` languages
+  the rarest: never learned from; a null doc_id is not
   held out;
 * repeated rows: equal texts get equal results; empty table: no rows; with no
   labelled row at all every text is ``und``;
@@ -40,6 +43,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
@@ -47,10 +51,11 @@ from pyspark.sql.types import _parse_datatype_string
 from sablewick.llm import common
 
 UNKNOWN = "und"
-#: Learned from: texts of each language, texts in all (which bounds them where there are many languages), characters of each.
-SAMPLE_DOCS, SAMPLE_TEXTS, SAMPLE_CHARS = 1000, 10_000, 8192
+#: Learned from: texts of each language, texts in all (which bounds them where there are many languages); languages learned.
+SAMPLE_DOCS, SAMPLE_TEXTS, MOST_LANGUAGES = 1000, 10_000, 256
 SWITCH_PENALTY = 10.0
-TRIGRAM_BITS, WORD_BITS = 17, 18
+#: Buckets of hashed trigrams and words, and how many numbers (buckets times languages) a model has at most.
+TRIGRAM_BITS, WORD_BITS, MOST_ENTRIES = 17, 18, 1 << 25
 PART_CHARS, CHUNK_WORDS, LONGEST_WORD = 1 << 18, 512, 4096
 
 # First and last code points of scripts, after the Unicode standard.
@@ -137,12 +142,13 @@ class Model:
     uses: np.ndarray  # scripts by languages
     order: np.ndarray  # languages by frequency
     penalty: float = SWITCH_PENALTY
+    spared: int = 0  # bits of the hashes that the tables leave out
 
     def scores(self, words: Words) -> np.ndarray:
         """Log-likelihood of each word (rows) in each language, the best at 0; non-candidates far below."""
         if not len(words.first):
             return np.zeros((0, len(self.languages)), np.float32)
-        out = np.add.reduceat(self.trigram[words.trigrams], words.first, axis=0) + self.word[words.whole]
+        out = np.add.reduceat(self.trigram[words.trigrams >> self.spared], words.first, axis=0) + self.word[words.whole >> self.spared]
         known = self.uses.any(axis=1)[words.script]
         out = np.where(known[:, None], out, 0)
         out -= out.max(axis=1, keepdims=True)
@@ -150,32 +156,62 @@ class Model:
         return np.where(known[:, None] & ~self.uses[words.script], -1e4, out).astype(np.float32)
 
 
-def learn(texts: list[str], languages: list[str], penalty: float = SWITCH_PENALTY, frequency: dict[str, int] | None = None) -> Model:
-    """Count hashed trigrams and words per language; ``frequency`` says how common each is, if not as here."""
+def spared_bits(languages: int) -> int:
+    """By how many bits hashes are cut so that the tables of so many languages stay within ``MOST_ENTRIES``."""
+    bits = 0
+    while languages * ((1 << TRIGRAM_BITS - bits) + (1 << WORD_BITS - bits)) > MOST_ENTRIES and bits < TRIGRAM_BITS:
+        bits += 1
+    return bits
+
+
+@dataclass
+class Counts:
+    """How often trigrams, words, scripts (rows) and texts were seen in each language (columns)."""
+
+    trigram: np.ndarray
+    word: np.ndarray
+    script: np.ndarray
+    texts: np.ndarray
+
+    @classmethod
+    def none(cls, languages: int) -> Counts:
+        bits = spared_bits(languages)
+        return cls(*(np.zeros((n, languages)) for n in (1 << TRIGRAM_BITS - bits, 1 << WORD_BITS - bits, len(SCRIPTS))), np.zeros(languages))
+
+    def tables(self) -> list[np.ndarray]:
+        return [self.trigram, self.word, self.script, self.texts[None]]
+
+
+def seen(texts: list[str], own: np.ndarray, languages: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What texts (short ones, or pieces of longer ones) add to each table of ``Counts``: places in the flat table, and how often."""
+    bits = spared_bits(languages)
+    w = words_of([t.lower() for t in texts])
+    lang = own[w.text]
+    at = [(w.trigrams >> bits) * languages + np.repeat(lang, w.letters), (w.whole >> bits) * languages + lang, np.repeat(w.script.astype(np.int64) * languages + lang, w.letters)]
+    return [np.unique(x, return_counts=True) for x in at]
+
+
+def fitted(names: list[str], counts: Counts, penalty: float) -> Model:
+    """Log-probabilities from counts, with a little added to each."""
+    tri, word = counts.trigram + 0.05, counts.word + 0.02
+    uses = counts.script > 0.01 * np.maximum(1, counts.script.sum(axis=0))
+    for table, few in ((tri, 0.05), (word, 0.02)):
+        never = table.max(axis=1, initial=0) < 1 + few / 2  # buckets never seen say nothing
+        np.log(table / table.sum(axis=0), out=table)
+        table[never] = 0
+    return Model(names, tri.astype(np.float32), word.astype(np.float32), uses, np.argsort(-counts.texts, kind="stable"), penalty, spared_bits(len(names)))
+
+
+def learn(texts: list[str], languages: list[str], penalty: float = SWITCH_PENALTY) -> Model:
+    """Learn from a few texts at hand."""
     names = sorted(set(languages))
-    if not names:
-        return Model([], np.zeros((1 << TRIGRAM_BITS, 0), np.float32), np.zeros((1 << WORD_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool), np.zeros(0, np.int64), penalty)
-    number = {n: k for k, n in enumerate(names)}
-    tri = np.full((1 << TRIGRAM_BITS, len(names)), 0.05)
-    word = np.full((1 << WORD_BITS, len(names)), 0.02)
-    scripts = np.zeros((len(SCRIPTS), len(names)))
-    docs = np.zeros(len(names))
-    for part in common.parts(texts, PART_CHARS):
-        w = words_of([texts[i].lower() for i in part])
-        own = np.array([number[languages[i]] for i in part])
-        np.add.at(docs, own, 1)
-        if len(w.first):
-            np.add.at(tri, (w.trigrams, np.repeat(own[w.text], w.letters)), 1)
-            np.add.at(word, (w.whole, own[w.text]), 1)
-            np.add.at(scripts, (w.script, own[w.text]), w.letters)
-    if frequency:
-        docs = np.array([frequency[n] for n in names])
-    uses = scripts > 0.01 * np.maximum(1, scripts.sum(axis=0))
-    seen = (tri.max(axis=1) >= 1)[:, None]  # buckets never seen say nothing
-    tri = np.where(seen, np.log(tri / tri.sum(axis=0)), 0)
-    seen = (word.max(axis=1) >= 1)[:, None]
-    word = np.where(seen, np.log(word / word.sum(axis=0)), 0)
-    return Model(names, tri.astype(np.float32), word.astype(np.float32), uses, np.argsort(-docs, kind="stable"), penalty)
+    counts, own = Counts.none(len(names)), np.array([names.index(x) for x in languages], np.int64)
+    np.add.at(counts.texts, own, 1)
+    for i, text in enumerate(texts):
+        for piece in common.pieces(text, PART_CHARS, LONGEST_WORD):
+            for table, (at, n) in zip(counts.tables(), seen([piece], own[i : i + 1], len(names))):
+                table.reshape(-1)[at] += n
+    return fitted(names, counts, penalty)
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, begins: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
@@ -186,14 +222,14 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, begins: np.n
     before each sequence, ``ends`` that of its last word, where these are known.
     """
     total, states = scores.shape
-    labels = np.zeros(total, np.int8)
+    labels = np.zeros(total, np.int32)
     order = np.argsort(-counts, kind="stable")
     begin = (np.cumsum(counts) - counts)[order]
     length = counts[order]
     longest = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(longest), "left")  # sequences longer than t
     switched = np.zeros((total, states), bool)
-    best_of = np.zeros(total, np.int8)
+    best_of = np.zeros(total, np.int32)
     value = np.zeros((len(order), states), np.float32)
     if begins is not None:
         value[np.arange(states) != begins[order][:, None]] = -penalty
@@ -209,7 +245,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, begins: np.n
             v = np.where(change, floor[:, None], v)
         v = v + scores[at]
         value[:n] = v - v.max(axis=1, keepdims=True)
-    state = (value.argmax(axis=1) if ends is None else ends[order]).astype(np.int8)
+    state = (value.argmax(axis=1) if ends is None else ends[order]).astype(np.int32)
     for t in range(longest - 1, -1, -1):
         n = active[t]
         at = begin[:n] + t
@@ -255,10 +291,10 @@ def label_long(model: Model, text: str) -> Iterator[tuple[Words, np.ndarray]]:
     for _, w, counts in _parts_of(text):
         for through in passes(model.scores(w), counts, model.penalty) if len(counts) else ():
             total = value[:, None] + through
-            came.append(total.argmax(axis=0).astype(np.int8))
+            came.append(total.argmax(axis=0).astype(np.int32))
             value = total.max(axis=0)
             value -= value.max()
-    state = np.zeros(len(came) + 1, np.int8)  # before each chunk, and after the last
+    state = np.zeros(len(came) + 1, np.int32)  # before each chunk, and after the last
     state[-1] = value.argmax()
     for k in range(len(came) - 1, -1, -1):
         state[k] = came[k][state[k + 1]]
@@ -314,30 +350,53 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     return [model.languages[b] if n else UNKNOWN for b, n in zip(best, total)], [float(s) if n else 0.0 for s, n in zip(share, total)]
 
 
+def batch_bytes(model: Model) -> int:
+    """Bytes of text labelled at once: scores are kept for each word and language."""
+    return (4 << 20) // max(1, len(model.languages) // 16)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod ``modulus``; null for a null doc_id."""
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus))
 
 
-def learn_from(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, penalty: float = SWITCH_PENALTY, sample_chars: int = SAMPLE_CHARS) -> Model:
+COUNTS = "kind int, place long, n long"
+
+
+def learn_from(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, penalty: float = SWITCH_PENALTY, most_languages: int = MOST_LANGUAGES) -> Model:
     """Learn from at most ``sample_docs`` distinct labelled texts of each language outside the held-out quarter."""
     rows = docs.filter((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "lang", "text")
-    totals = {r["lang"]: r["count"] for r in rows.select("h", "lang").distinct().groupBy("lang").count().collect()}  # one row for each language
-    if not totals:
-        return learn([], [], penalty)
-    quota = max(1, min(sample_docs, SAMPLE_TEXTS // len(totals)))
+    totals = rows.select("h", "lang").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    totals = {r["lang"]: r["count"] for r in totals.collect()}  # at most ``most_languages`` rows
+    names = sorted(totals)
+    counts = Counts.none(len(names))
+    if not names:
+        return fitted(names, counts, penalty)
+    counts.texts[:] = [totals[n] for n in names]
+    quota = max(1, min(sample_docs, SAMPLE_TEXTS // len(names)))
     # A threshold on the hash lets about 1.5 quotas of each language pass, so what is gathered does not grow with the input.
     below = {k: -(1 << 63) + int((1 << 64) * min(1.0, 1.5 * quota / n)) - 1 for k, n in totals.items()}
     limits = F.create_map(*[F.lit(x) for k, v in below.items() for x in (k, v)])
-    rows = rows.filter(F.col("h") <= limits[F.col("lang")])
+    keys = rows.select("h", "lang").filter(F.col("h") <= limits[F.col("lang")]).distinct()
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    keys = common.written(keys.withColumn("place", order).filter(F.col("place") <= quota).select("h", "lang"), "sampled")
+    # At most ``SAMPLE_TEXTS`` keys (or one for each language) are sent along; copies of a text then count once.
+    some = rows.join(F.broadcast(keys), ["h", "lang"], "left_semi").dropDuplicates(["h", "lang"]).select("lang", "text")
+    number = {n: k for k, n in enumerate(names)}
 
-    def shorten(batch: pa.RecordBatch):
-        return {"h": batch.column(0), "lang": batch.column(1), "text": [common.slices_of(t, sample_chars) for t in batch.column(2).to_pylist()]}
+    def count(batch: pa.RecordBatch):
+        own = [number[x] for x in batch.column(0).to_pylist()]
+        pieces = [(k, piece) for k, text in zip(own, batch.column(1).to_pylist()) for piece in common.pieces(text, PART_CHARS, LONGEST_WORD)]
+        for part in common.parts([p for _, p in pieces], PART_CHARS):
+            found = seen([pieces[i][1] for i in part], np.array([pieces[i][0] for i in part], np.int64), len(names))
+            for kind, (at, n) in enumerate(found):
+                yield {"kind": np.full(len(at), kind, np.int32), "place": at, "n": n}
 
-    rows = common.map_batches(rows, _parse_datatype_string("h long, lang string, text string"), shorten).dropDuplicates(["h", "lang"])
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    some = rows.withColumn("place", order).filter(F.col("place") <= quota).toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
-    return learn(some["text"].to_pylist(), some["lang"].to_pylist(), penalty, totals)
+    sums = common.map_batches(some, _parse_datatype_string(COUNTS), count).groupBy("kind", "place").agg(F.sum("n").alias("n")).toArrow()  # no more rows than the tables have places
+    for kind, table in enumerate(counts.tables()[:3]):
+        own = sums.filter(pc.equal(sums["kind"], kind))
+        table.reshape(-1)[own["place"].to_numpy()] = own["n"].to_numpy()
+    return fitted(names, counts, penalty)
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -346,10 +405,10 @@ SPANS = "doc_id long, first long, last long, lang string"
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: hashed tables per language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: ``MOST_ENTRIES`` numbers
 
     def work(batch: pa.RecordBatch):
-        for part in common.slices(batch, "text", 4 << 20):
+        for part in common.slices(batch, "text", batch_bytes(shared.value)):
             languages, scores = predict(shared.value, common.texts_of(part.column(1)))
             yield {"doc_id": part.column(0), "held_out": part.column(2), "lang_pred": languages, "score": scores}
 
@@ -365,7 +424,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         if not m.languages:
             return
-        for part in common.slices(batch, "text", 4 << 20):
+        for part in common.slices(batch, "text", batch_bytes(m)):
             ids = part.column(0).to_pylist()
             last: dict = {}  # the span that a further part of the same text may carry on
             for w, labels in label(m, common.texts_of(part.column(1))):

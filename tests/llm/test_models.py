@@ -465,3 +465,26 @@ def test_copies_enter_the_sample_once(spark):
     model = langid.learn_from(docs, sample_docs=20)
     assert set(model.languages) == {"el", "en"}
     assert langid.predict(model, ["ελληνικά λόγια"])[0] == ["el"]
+
+
+def test_two_hundred_languages(spark):
+    """Every language has words of its own; all are told, and no more than a stated number is learned."""
+    r = random.Random(3)
+    vocabulary = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for k in range(200)}
+    rows = [(i, " ".join(r.choice(vocabulary[lang]) for _ in range(60)), lang) for i, lang in enumerate(list(vocabulary) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.learn_from(docs)
+    assert len(model.languages) == 200 and model.trigram.size + model.word.size <= langid.MOST_ENTRIES
+    wrong = [r for r in langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect() if r["lang_pred"] != r["lang"]]
+    assert not wrong
+    long = " ".join(r.choice(vocabulary["l150"]) for _ in range(60_000))
+    assert langid.predict(model, [long])[0] == ["l150"]
+    few = langid.learn_from(docs, most_languages=3)
+    assert len(few.languages) == 3 and set(few.languages) <= set(vocabulary)
+
+
+def test_whole_sampled_texts_are_learned(spark):
+    """What stands late in a long text is learned like the rest."""
+    text = "aa bb cc dd " * 40_000 + "zebrafinch " * 50
+    docs = spark.createDataFrame([(1, text, "xx"), (3, "ee ff gg hh " * 30, "yy")], "doc_id long, text string, lang string")
+    assert langid.predict(langid.learn_from(docs), ["zebrafinch zebrafinch"])[0] == ["xx"]
