@@ -1,9 +1,10 @@
 """Packing by best-fit decreasing, with a segment tree over remaining capacity.
 
 Each document's ids (by the tokenizers library, then an end id) are cut into
-full windows first; the rest, shorter than a window, is one more piece.  Full
-windows are sequences of their own.  The rests are dealt by a hash of doc_id
-into shards of about ``SHARD_PIECES``; in each shard pieces go in descending
+full windows first; the rest, shorter than a window, is one more piece.  Pieces
+are written with a row number and dealt by a hash of it into shards of about
+``SHARD_PIECES``, so rows that are repeated don't meet in one shard either; a full
+window is a sequence of its own.  In each shard pieces go in descending
 length into the tightest open window that still holds them, which a segment
 tree indexed by remaining capacity finds in log2(window) steps.
 
@@ -15,9 +16,9 @@ Defined results
 ---------------
 * null text: empty, so just the end id; empty table: no rows;
 * very long texts: whole; tokenised in bounded parts;
-* ties in length: by doc_id, then by the piece's checksum, so the result is the
-  same on every run;
-* repeated rows (same doc_id): packed once for each row;
+* ties in length: by doc_id, then by the piece's checksum; which shard a piece is
+  dealt to follows the order in which pieces are stored;
+* repeated rows (same doc_id): packed once for each row, in any number of shards;
 * null doc_id: packed like any other; extra columns are ignored.
 """
 
@@ -166,12 +167,12 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
     A sequence id is the shard number times 2^32 plus the window's number in
     its shard, so shards need not know of each other.
     """
-    rows = common.written(pieces, "pieces")
+    rows = common.written(pieces.withColumn("__sw_row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-rows.count() // shard_pieces))
-    dealt = rows.withColumn("__sw_shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    dealt = rows.withColumn("__sw_shard", F.pmod(F.xxhash64("__sw_row"), F.lit(shards))).drop("__sw_row")
     tasks = max(1, min(shards, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = dealt.repartition(tasks, "__sw_shard").sortWithinPartitions("__sw_shard", F.desc("length"), "doc_id", "start", "ids_crc32")
-    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def finish(shard: int, held: list[pa.Table]) -> Iterator[pa.RecordBatch]:

@@ -214,3 +214,11 @@ def test_held_buffer_is_bounded(monkeypatch):
     c = bpe.Codec(BYTE)
     sizes = [len(ids) for ids in c.stream("字" * 200_000)]
     assert len(sizes) > 10 and max(sizes) < 4 * 4 * bpe.SLICE_CHARS
+
+
+def test_packing_repeated_rows(spark):
+    """Rows that are equal in all columns are dealt over all shards."""
+    rows = spark.range(60_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0L AS start", "3L AS length", "7L AS ids_crc32", "3L AS doc_tokens")
+    shards = packing.pack(rows).selectExpr("sequence_id >> 32 AS shard").groupBy("shard").count().collect()
+    assert sum(r["count"] for r in shards) == 60_000 and len(shards) == 30
+    assert max(r["count"] for r in shards) < 2 * 2048
