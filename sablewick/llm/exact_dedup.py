@@ -5,6 +5,10 @@ meet the index in a sort-merge anti-join, and the digests that the index does
 not hold yet are appended to it.  The index is bucketed by digest, so it is never
 exchanged; only the batch's groups are, to its buckets.
 
+A batch holds the index for itself while it is joined and appended: of two
+writers that meet, the second raises ``Conflict`` and can be run again.  Appends
+leave one more file in each bucket; ``compact`` turns them into one again.
+
 What a batch returns depends on its own rows and on the documents recorded for
 their digests, and those never change.  So a batch that is run again, after a
 failure at any step or for any other reason, returns the same rows.
@@ -18,7 +22,8 @@ Defined results
 * null text: the empty text, equal to other empty texts;
 * equal texts: identical after lower-casing A-Z only; of a batch's equal texts
   the row with the largest doc_id stays (a null doc_id counts as smallest), and
-  a digest already in the index keeps the document recorded there;
+  a digest already in the index keeps the document recorded there (of several, the
+  largest, should it have been recorded more than once);
 * ``group_size`` counts the batch's rows with this text, whatever came before;
 * repeated rows (same doc_id and equal text): one document; all carry its
   verdict, and ``keep_one`` returns a single row for it;
@@ -28,6 +33,7 @@ Defined results
 
 from __future__ import annotations
 
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -35,6 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablewick.llm import common
+from sablewick.sources.store import Conflict, Files, Pointer
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -62,19 +69,44 @@ class DigestIndex:
                 f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS{place}"
             )
 
+        place = spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()["data_type"].rstrip("/")
+        self.beside = f"{place}_writer"
+        self.held = Pointer(Files(spark, self.beside), self.beside, "held")
+
     def _append(self, rows: DataFrame) -> None:
         (rows.write.mode("append").format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(self.name))
 
+    @contextmanager
+    def alone(self, patience: float = 86400.0):
+        """Hold the index; a writer that has held it for longer than ``patience`` seconds counts as lost."""
+        at, now = self.held.read() or (0, {})
+        if now.get("writer") and time.time() - now["since"] < patience:
+            raise Conflict(f"{self.name} is being written")
+        self.held.move(at, {"writer": uuid.uuid4().hex, "since": time.time()})
+        try:
+            yield
+        finally:
+            self.held.move(at + 1, {"writer": None})
+
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """One row for each digest; digests are together in their bucket, so nothing is exchanged."""
+        return self.spark.table(self.name).groupBy("text_sha256").agg(F.max("keep_id").alias("keep_id"))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.held.files.delete(self.beside)
 
     def add(self, groups: DataFrame) -> None:
         """Append the groups whose digest is not indexed yet (sort-merge anti-join)."""
-        known = self.read().select("text_sha256").hint("merge")
-        self._append(groups.hint("merge").join(known, "text_sha256", "left_anti").select("text_sha256", "keep_id"))
+        with self.alone():
+            known = self.spark.table(self.name).select("text_sha256").hint("merge")
+            self._append(groups.hint("merge").join(known, "text_sha256", "left_anti").select("text_sha256", "keep_id"))
+
+    def compact(self) -> None:
+        """One sorted file for each bucket, each digest once."""
+        with self.alone():
+            rows = common.written(self.read(), "compacted")
+            rows.repartition(self.buckets, "text_sha256").write.mode("overwrite").insertInto(self.name)
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:

@@ -14,6 +14,7 @@ from sablewick.llm import common, components, queries, stages
 from sablewick.llm.exact_dedup import UPPER, DigestIndex, exact_dedup, keep_one
 from sablewick.llm.line_dedup import fingerprints, line_dedup, line_dedup_digest, matches
 from sablewick.llm.ngram_join import BANDS, least_matches, jaccard_join, overlaps
+from sablewick.sources.store import Conflict
 
 TABLES = "documents labels conversations embeddings".split()
 
@@ -294,3 +295,35 @@ def test_drop_near_copies(spark, awkward):
     assert kept.columns == awkward.columns
     ids = {r["doc_id"] for r in kept.collect()}
     assert 7 not in ids and 6 in ids and 2 not in ids and {3, 4, 5} <= ids
+
+
+def test_index_of_two_writers(spark):
+    """A digest that was appended twice gives each row once; a second writer is told; compaction leaves a file for each bucket."""
+    name = f"digests_{uuid.uuid4().hex}"
+    index = DigestIndex(spark, name, 2)
+    docs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string")
+    for _ in range(3):
+        index._append(exact_dedup(docs, index).groupBy("text_sha256").agg({"keep_id": "max"}).withColumnRenamed("max(keep_id)", "keep_id"))
+    got = exact_dedup(docs, index).collect()
+    assert len(got) == 40 and {r["keep_id"] for r in got} == set(range(33, 40))
+    with index.alone(), pytest.raises(Conflict):
+        index.add(docs.selectExpr("sha2(text, 256) AS text_sha256", "doc_id AS keep_id"))
+    with pytest.raises(Conflict):  # the first writer counts as lost, and is told so when it ends
+        with index.alone(), DigestIndex(spark, name, 2).alone(patience=-1):
+            pass
+    index.drop()
+
+
+def test_index_compaction(spark):
+    name = f"digests_{uuid.uuid4().hex}"
+    index = DigestIndex(spark, name, 2)
+    for k in range(3):
+        exact_dedup(spark.createDataFrame([(i, f"text {i}") for i in range(k * 50, k * 50 + 80)], "doc_id long, text string"), index)
+    before = sorted(map(tuple, index.read().collect()))
+    assert len(spark.table(name).inputFiles()) > 2
+    index.compact()
+    assert sorted(map(tuple, index.read().collect())) == before and len(before) == 180
+    assert len(spark.table(name).inputFiles()) == 2
+    got = exact_dedup(spark.createDataFrame([(1000, "text 5"), (1001, "new")], "doc_id long, text string"), index).collect()
+    assert {(r["doc_id"], r["keep_id"]) for r in got} == {(1000, 5), (1001, 1001)}
+    index.drop()
