@@ -16,10 +16,10 @@ from sablewick.functions import ids, paths, values
 from sablewick.functions import text as text_
 from sablewick.functions.embed import HashEmbedder
 from sablewick.functions.vectors import cosine, cosine_to
-from sablewick.operators import evaluate, search, split, sync
+from sablewick.operators import ann, evaluate, search, split, sync
 from sablewick.plans.filters import parse_filter
 from sablewick.sources.state import recent
-from sablewick.sources.store import LENGTHS, Store, shared_folder
+from sablewick.sources.store import LENGTHS, Files, Store, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,6 +123,39 @@ def dense_multi_query(spark, sf_dir):
     return top.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> ann.VectorIndex:
+    """All ``embeddings`` in a stored index, built when first asked for and again when the table changes."""
+    path = f"{sf_dir}/embeddings.parquet"
+    name = hashlib.md5(repr(Files(spark, sf_dir).tree(path)).encode()).hexdigest()
+    index = ann.VectorIndex(spark, f"{shared_folder(spark)}/vectors-{name}")
+    return index if index.exists() else ann.VectorIndex.build(table(spark, sf_dir, "embeddings"), index.path, id_col="vec_id", vector_col="embedding")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Every hundredth vector as a query, and the number of blocks that these are cut into."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return asked, max(1, -(-2 * asked.count() // search.QUERY_BLOCK))
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """The ten nearest vectors of every hundredth one, from the stored index."""
+    asked, blocks = _asked(spark, sf_dir)
+    found = ann.in_blocks(_vector_index(spark, sf_dir), asked, 10, blocks)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("""WITH asked AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0)
+SELECT (SELECT count(*) FROM asked) * least(10, (SELECT count(*) FROM embeddings)) AS n, true AS recall_reached""")
+def ann_recall(spark, sf_dir):
+    """Of the exact ten nearest vectors of every hundredth one, at least nine tenths are found by the index."""
+    asked, blocks = _asked(spark, sf_dir)
+    docs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    exact = search.dense_multi(docs, asked, 10, id_col="vec_id", vector_col="embedding", blocks=blocks).select("query_id", F.col("vec_id").alias("id"))
+    found = ann.in_blocks(_vector_index(spark, sf_dir), asked, 10, blocks)
+    return ann.recall(found, exact).select("n", (F.col("found") >= 0.9 * F.col("n")).alias("recall_reached"))
+
+
 @query(f"WITH {QV_SQL} SELECT vec_id, round({COS_SQL}, 6) AS score FROM embeddings, q")
 def cosine_all(spark, sf_dir):
     v = F.array(*[F.lit(x) for x in _first_vector(spark, sf_dir)])
