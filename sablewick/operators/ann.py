@@ -151,7 +151,7 @@ class Model:
 
 
 class VectorIndex:
-    """An index in one folder: ``model.json`` and the rows (id, code, vector) by cell."""
+    """An index in one folder: ``model.json``, ``schema.json`` and the rows (id, code, vector) by cell."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
@@ -174,6 +174,7 @@ class VectorIndex:
         sample = units(some.orderBy(hashed, "id").limit(SAMPLE_ROWS).select("vector").toArrow().column(0).combine_chunks(), dimension)[1]
         model = Model.fitted(sample, cells or max(1, min(MOST_CELLS, int(total**0.5))), parts) if len(sample) else Model(np.zeros((1, dimension), np.float32), [np.zeros((1, dimension), np.float32)])
         index._append(rows, model)
+        index.files.write(f"{index.path}/schema.json", T.StructType([*rows.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("cell", T.IntegerType())]).json())
         index.files.write(f"{index.path}/model.json", model.to_json())
         return index
 
@@ -202,7 +203,8 @@ class VectorIndex:
         placed.hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{self.path}/rows")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        schema = T.StructType.fromJson(json.loads(self.files.read(f"{self.path}/schema.json")))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/rows")
 
     def search(self, queries: DataFrame, k: int, *, query_id: str = "query_id", query_vector: str = "query_vector", probe: int | None = None, shortlist: int = SHORTLIST) -> DataFrame:
         """(query_id, id, score, rank): the ``k`` best of the probed cells for each of at most ``QUERY_BLOCK`` queries."""
