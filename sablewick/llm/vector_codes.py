@@ -48,7 +48,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sablewick.llm import common
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-LEAF = 8
+LEAF = 16
 #: Label sums up to this many rows are sent to every task; more are joined by a shuffle.
 FEW_LABELS = 10_000
 
@@ -91,14 +91,18 @@ class KdTree:
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, squared distance) for each point."""
-        best = np.full(len(points), len(self.entries))
-        least = np.full(len(points), np.iinfo(np.int64).max)
+        # Doubles hold integers exactly up to 2^53, and their products are much faster.
+        most = max(int(np.abs(x).max(initial=0)) for x in (points, self.entries))
+        kind = np.float64 if points.shape[1] * (2 * most) ** 2 < 1 << 53 else np.int64
+        points, entries = points.astype(kind), self.entries.astype(kind)
+        own_square, square = (points * points).sum(axis=1), (entries * entries).sum(axis=1)
+        best = np.full(len(points), len(entries))
+        least = np.full(len(points), np.iinfo(np.int64).max).astype(kind)
         home = np.full(len(points), -1)
 
         def measure(number: int, rows: np.ndarray) -> None:
             members = self.nodes[number].members
-            apart = points[rows][:, None, :] - self.entries[members][None]
-            far = np.einsum("ijk,ijk->ij", apart, apart)
+            far = own_square[rows, None] - 2 * (points[rows] @ entries[members].T) + square[members]
             first = far.argmin(axis=1)
             far, index = far[np.arange(len(rows)), first], members[first]
             nearer = (far < least[rows]) | (far == least[rows]) & (index < best[rows])
@@ -131,7 +135,7 @@ class KdTree:
             every = np.arange(len(points))
             descend(0, every)
             visit(0, every)
-        return best, least
+        return best, least.astype(np.int64)
 
 
 @dataclass

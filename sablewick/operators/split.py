@@ -7,8 +7,8 @@ table function.  Lengths are code points.
 
 from __future__ import annotations
 
-import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sablewick.functions import text as text_
 from sablewick.functions import values
+from sablewick.operators.syntax import nodes
 
 
 @dataclass
@@ -166,96 +167,64 @@ def separators(language: str | None) -> list[str]:
     return [f"\n{w} " if w[-1].isalnum() and w[0] != "<" else f"\n{w}" for w in KEYWORDS.get(name, ())] + list(PLAIN_SEPARATORS)
 
 
-def _pieces(text: str, size: int, seps: list[str]) -> list[str]:
-    """Pieces of at most ``size`` where a separator allows; separators stay at the head of what follows."""
-    if len(text) <= size:
-        return [text]
-    for k, sep in enumerate(seps):
-        if not sep:
-            return [text[i : i + size] for i in range(0, len(text), size)]
-        if sep in text:
-            parts = text.split(sep)
-            parts = [parts[0], *(sep + p for p in parts[1:])]
-            return [piece for p in parts if p for piece in _pieces(p, size, seps[k + 1 :])]
-    return [text]
+def _packed(run: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring pieces joined up to ``size``; the next chunk begins with as many whole pieces as ``overlap`` and ``size`` allow."""
+    first = 0
+    for k, (begin, end) in enumerate(run):
+        if k > first and end - run[first][0] > size:
+            yield run[first][0], begin
+            while first < k and (begin - run[first][0] > overlap or end - run[first][0] > size):
+                first += 1
+    if run:
+        yield run[first][0], run[-1][1]
 
 
-def split_chars(text: str, language: str | None = None, size: int = values.CHAR_CHUNK, overlap: int = values.CHAR_OVERLAP) -> list[Chunk]:
-    """Recursive character splitter: coarse separators first, merged up to ``size`` with ``overlap``."""
-    pieces = _pieces(text, size, separators(language))
-    out: list[Chunk] = []
-    held: list[str] = []
-    at, begin = 0, 0  # offsets of the next piece and of what is held
-
-    def emit():
-        body = "".join(held)
-        if body.strip():
-            first = text.count("\n", 0, begin + len(body) - len(body.lstrip())) + 1
-            out.append(Chunk(body.strip(), first, first + body.strip().count("\n")))
-
-    total = 0
-    for piece in pieces:
-        if held and total + len(piece) > size:
-            emit()
-            while held and (total > overlap or total + len(piece) > size):
-                total -= len(held[0])
-                begin += len(held.pop(0))
-        if not held:
-            begin = at
-        held.append(piece)
-        total += len(piece)
-        at += len(piece)
-    if held:
-        emit()
-    return out
-
-
-# ---------------------------------------------------------------- syntax
-
-#: Heads of definitions in languages with braces: our own patterns, one per line.
-BRACE_HEADS = {
-    "javascript": r"(?:export\s+.*|(?:async\s+)?function\b.*|class\s+\w+.*|(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>.*|(?:static\s+|async\s+|get\s+|set\s+)*#?\w+\s*\([^)]*\)\s*\{.*)",
-    "typescript": r"(?:export\s+.*|(?:async\s+)?function\b.*|(?:abstract\s+)?class\s+\w+.*|interface\s+\w+.*|type\s+\w+.*=.*|(?:const|let|var)\s+\w+[^=]*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)[^=]*=>.*|(?:public\s+|private\s+|protected\s+|static\s+|async\s+|readonly\s+|get\s+|set\s+)*#?\w+\s*\([^)]*\)[^;]*\{.*)",
-    "java": r"(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*(?:class|interface|enum)\s+\w+.*|(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]*\w+\s*\([^)]*\).*\{.*",
-    "cpp": r"(?:class|struct|namespace)\s+\w*.*|[\w:<>*&,~ ]+\s+[\w:~*&]+\s*\([^;]*\)[^;]*\{.*",
-    "go": r"(?:func\s+.*|type\s+\w+.*|var\s+.*|const\s+.*)",
-    "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|impl|struct|enum|trait|mod)\b.*",
-    "csharp": r"(?:(?:public|private|protected|internal|static|abstract|sealed|async|override|virtual|partial)\s+)*(?:class|interface|struct|enum)\s+\w+.*|(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+[\w<>\[\], ]+\s+\w+\s*\([^)]*\).*",
-    "scala": r"(?:(?:private|protected|override|final|implicit|lazy|sealed|abstract|case)\s+)*(?:def|class|object|trait)\s+.*",
-}
-NOT_HEADS = re.compile(r"^\s*(?:if|for|while|switch|catch|else|do|return|try|with)\b")
+def _char_spans(text: str, begin: int, end: int, seps: list[str], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of a text's chunks, by the first separator that occurs; pieces that are too long by the next ones, on their own.
 
+    A separator stays at the head of what follows, and cuts wherever it occurs,
+    even within its own last occurrence.
+    """
+    at = next((k for k, sep in enumerate(seps) if not sep or text.find(sep, begin, end) >= 0), None)
+    if at is None:
+        yield begin, end
+        return
+    if not seps[at]:  # single characters: windows
+        step = size - min(overlap, size - 1)
+        while end - begin > size:
+            yield begin, begin + size
+            begin += step
+        yield begin, end
+        return
+    cuts = [begin]
+    cut = text.find(seps[at], begin + 1, end)
+    while cut >= 0:
+        cuts.append(cut)
+        cut = text.find(seps[at], cut + 1, end)
+    run: list[tuple[int, int]] = []
+    for piece in zip(cuts, [*cuts[1:], end]):
+        if piece[1] - piece[0] < size:
+            run.append(piece)
+            continue
+        yield from _packed(run, size, overlap)
+        run = []
+        yield from _char_spans(text, *piece, seps[at + 1 :], size, overlap)
+    yield from _packed(run, size, overlap)
 
-def _python_spans(code: str) -> list[tuple[int, int, str]]:
-    """Line spans of functions and classes, decorators included, outer before inner."""
-    spans = []
-    for node in ast.walk(ast.parse(code)):
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-            first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            spans.append((first, node.end_lineno or first, type(node).__name__))
-    return sorted(spans, key=lambda s: (s[0], -s[1]))
 
+def split_chars(text: str, language: str | None = None, size: int = values.CHAR_CHUNK, overlap: int = values.CHAR_OVERLAP) -> list[Chunk]:
+    """Recursive character splitter: coarse separators first; trimmed chunks with their places, however often they are repeated."""
+    breaks, out = [m.start() for m in re.finditer("\n", text)], []
+    for begin, end in _char_spans(text, 0, len(text), separators(language), size, overlap):
+        body = text[begin:end]
+        begin += len(body) - len(body.lstrip())
+        body = body.strip()
+        if body:
+            out.append(Chunk(body, bisect_left(breaks, begin) + 1, bisect_left(breaks, begin + len(body)) + 1))
+    return out
 
-def _brace_spans(code: str, language: str) -> list[tuple[int, int, str]]:
-    """Line spans that begin at a head and end where its braces close."""
-    head, lines, spans = re.compile(r"^\s*(?:" + BRACE_HEADS[language] + r")\s*$"), code.split("\n"), []
-    clean = [re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`", "", line) for line in lines]
-    for i, line in enumerate(lines):
-        if not head.match(line) or NOT_HEADS.match(line):
-            continue
-        depth, opened, end = 0, False, i
-        for j in range(i, len(lines)):
-            for c in clean[j]:
-                if c in "{(":
-                    depth, opened = depth + 1, opened or c == "{"
-                elif c in "})":
-                    depth -= 1
-            end = j
-            if depth <= 0 and (opened or clean[j].rstrip().endswith((";", "}", ")")) or j + 1 < len(lines) and not clean[j + 1].strip()):
-                break
-        spans.append((i + 1, end + 1, "definition"))
-    return spans
 
+# ---------------------------------------------------------------- syntax
 
 def syntax_language(language: str | None) -> str | None:
     """The syntax splitter's name for a language, or None if it splits that one by characters."""
@@ -267,28 +236,27 @@ def syntax_language(language: str | None) -> str | None:
 def split_syntax(code: str, language: str | None, size: int = values.SYNTAX_CHUNK, overlap: int = values.SYNTAX_OVERLAP, gaps: bool = False) -> list[Chunk]:
     """Definitions as chunks, nested ones again on their own; the whole file if there is none.
 
-    Too large chunks are packed by lines.  With ``gaps`` the lines between
-    definitions are chunks too, and neighbours don't overlap.  Languages without
-    a scanner, and code that doesn't parse, go to the character splitter.
+    A chunk is the text of its node and nothing before or after it on the line.
+    Too large chunks are packed by lines.  With ``gaps`` chunks are whole lines,
+    the lines between definitions are chunks too, and neighbours don't overlap.
+    Other languages go to the character splitter.
     """
     name = syntax_language(language)
     if name is None:
         return split_chars(code, language, size, overlap)
-    try:
-        spans = _python_spans(code) if name == "python" else _brace_spans(code, name)
-    except (SyntaxError, ValueError, RecursionError):
-        return split_chars(code, language, size, overlap)
-    lines = code.split("\n")
-    found: list[Chunk] = []
-    covered = 0
-    for first, last, kind in spans:
-        if gaps and first > covered + 1:
-            found.append(Chunk("\n".join(lines[covered : first - 1]), covered + 1, first - 1, "gap"))
-        found.append(Chunk("\n".join(lines[first - 1 : last]), first, last, kind))
-        covered = max(covered, last)
-    if gaps and spans and covered < len(lines):
-        found.append(Chunk("\n".join(lines[covered:]), covered + 1, len(lines), "gap"))
-    found = [c for c in found if c.content.strip()] or [Chunk(code, 1, len(lines), "file")]
+    breaks = [m.start() for m in re.finditer("\n", code)]
+    found = [Chunk(code[a:b], bisect_left(breaks, a) + 1, bisect_left(breaks, b) + 1, kind) for a, b, kind in nodes(code, name)]
+    if gaps and found:
+        lines, whole, covered = code.split("\n"), [], 0
+        for c in found:
+            if c.start_line > covered + 1:
+                whole.append(Chunk("\n".join(lines[covered : c.start_line - 1]), covered + 1, c.start_line - 1, "gap"))
+            whole.append(Chunk("\n".join(lines[c.start_line - 1 : c.end_line]), c.start_line, c.end_line, c.node_type))
+            covered = max(covered, c.end_line)
+        if covered < len(lines):
+            whole.append(Chunk("\n".join(lines[covered:]), covered + 1, len(lines), "gap"))
+        found = whole
+    found = [c for c in found if c.content.strip()] or [Chunk(code, 1, len(breaks) + 1, "file")]
     out: list[Chunk] = []
     for c in found:
         if len(c.content) <= size:

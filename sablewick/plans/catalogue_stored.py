@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablewick.functions import ids, paths, values
+from sablewick.functions import text as text_
 from sablewick.operators import evaluate, search, split, sync
 from sablewick.plans.catalogue import FILES_SQL, QUESTION, TOKENS_SQL, WHOLE, _bm25_sql, _results, code_files, collection, query, table
 from sablewick.plans.catalogue import HITS_SQL as _HITS_SQL
@@ -195,6 +196,49 @@ def result_files(spark, sf_dir):
     return scores.select("instance_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+# ------------------------------------------------------------------ syntax
+
+#: Each line of a text as a definition that has it as a comment: (language, where, head, line's prefix, rest); ``#`` stands for the line's number.
+GENERATED = {
+    "python": ("lang = 'fr'", "def f#(a):", "    # ", "    return \"}\""),
+    "typescript": ("lang = 'de'", "export function f#(\n  a: string) {", "  // ", "  return `}${a}`;\n}"),
+    "java": ("lang IS DISTINCT FROM 'fr' AND lang IS DISTINCT FROM 'de'", "  int f#(String a)\n  {", "    // ", "    return '}';\n  }"),
+}
+
+
+def _generated_sql() -> str:
+    rows = []
+    for name, (where, head, prefix, rest) in GENERATED.items():
+        made = "chr(10) || ".join("'" + part.replace("'", "''") + "' || " for part in head.split("\n")).replace("#", "' || n || '")
+        tail = " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in rest.split("\n"))
+        rows.append(f"SELECT relative_path, n, '{name}' AS language, {made}chr(10) || '{prefix}' || line || chr(10) || {tail} AS node, {head.count(chr(10)) + rest.count(chr(10)) + 3} AS high FROM line WHERE {where}")
+    return f"""WITH {FILES_SQL},
+line AS (SELECT relative_path, lang, unnest(generate_series(1, len(p))) AS n, unnest(p) AS line FROM (SELECT relative_path, lang, string_split(content, chr(10)) AS p FROM code_files)),
+node AS ({" UNION ALL ".join(rows)}),
+java AS (SELECT relative_path, 'class C {{' || chr(10) || string_agg(node, chr(10) ORDER BY n) || chr(10) || '}}' AS node, max(n) * any_value(high) + 2 AS high FROM node WHERE language = 'java' GROUP BY relative_path)
+SELECT relative_path, CASE language WHEN 'typescript' THEN 2 * n - 2 WHEN 'java' THEN n ELSE n - 1 END::BIGINT AS pos, sha256(trim(node, ' ')) AS hash,
+       ((n - 1) * high + 1 + CASE language WHEN 'java' THEN 1 ELSE 0 END)::BIGINT AS start_line, (n * high + CASE language WHEN 'java' THEN 1 ELSE 0 END)::BIGINT AS end_line FROM node
+UNION ALL SELECT relative_path, (2 * n - 1)::BIGINT, sha256(substr(node, 8)), ((n - 1) * high + 1)::BIGINT, (n * high)::BIGINT FROM node WHERE language = 'typescript'
+UNION ALL SELECT relative_path, 0, sha256(node), 1, high::BIGINT FROM java"""
+
+
+def _definition(head: str, prefix: str, rest: str):
+    return lambda line, i: F.concat(F.replace(F.lit(head + "\n"), F.lit("#"), (i + 1).cast("string")), F.lit(prefix), line, F.lit("\n" + rest))
+
+
+@query(_generated_sql())
+def syntax_nodes(spark, sf_dir):
+    """Generated source files whose comments hold every line of every text: each definition is a chunk, with its place."""
+    language = F.when(F.col("lang") == "fr", "python").when(F.col("lang") == "de", "typescript").otherwise("java")
+    files = code_files(spark, sf_dir).withColumn("language", language)
+    made = F.lit(None).cast("string")
+    for name, (_, head, prefix, rest) in GENERATED.items():
+        body = F.array_join(F.transform(text_.lines(F.col("content")), _definition(head, prefix, rest)), "\n")
+        made = F.when(F.col("language") == name, F.concat(F.lit("class C {\n"), body, F.lit("\n}")) if name == "java" else body).otherwise(made)
+    chunks = split.Splitter("ast", size=1 << 30, overlap=0).chunks(files.withColumn("content", made))
+    return chunks.select("relative_path", F.col("pos").cast("long").alias("pos"), ids.file_hash(F.col("content")).alias("hash"), "start_line", "end_line")
+
+
 # ------------------------------------------------------------------ hosted repositories, patches, messages
 
 
@@ -305,10 +349,10 @@ def syntax_split_lines(spark, sf_dir):
 
 @query(f"""WITH {FILES_SQL}, solid AS (SELECT relative_path, regexp_replace(content, '\\s', '', 'g') AS c FROM code_files)
 SELECT relative_path, row_number() OVER (PARTITION BY relative_path ORDER BY min(k)) - 1 AS pos, piece AS content, 1::BIGINT AS start_line, 1::BIGINT AS end_line
-FROM (SELECT relative_path, k, substr(c, k * {values.CHAR_CHUNK} + 1, {values.CHAR_CHUNK}) AS piece
-      FROM (SELECT *, unnest(generate_series(0, greatest(1, ceil(length(c) / {values.CHAR_CHUNK}))::BIGINT - 1)) AS k FROM solid) WHERE c <> '')
+FROM (SELECT relative_path, k, substr(c, k * {values.CHAR_CHUNK - values.CHAR_OVERLAP} + 1, {values.CHAR_CHUNK}) AS piece
+      FROM (SELECT *, unnest(generate_series(0, greatest(0, ceil((length(c) - {values.CHAR_CHUNK}) / {values.CHAR_CHUNK - values.CHAR_OVERLAP}))::BIGINT)) AS k FROM solid) WHERE c <> '')
 GROUP BY relative_path, piece""")
 def recursive_split_unbroken(spark, sf_dir):
-    """Texts without any separator are cut at the chunk size; a chunk that is there twice (same lines, same text) comes once."""
+    """Texts without any separator are cut into overlapping windows of the chunk size; a chunk that is there twice (same lines, same text) comes once."""
     files = code_files(spark, sf_dir).select("relative_path", F.regexp_replace("content", "[\\t\\n\\f\\r ]", "").alias("content"), F.lit("text").alias("language"))
     return split.Splitter("langchain").chunks(files).select("relative_path", F.col("pos").cast("long").alias("pos"), "content", "start_line", "end_line")
