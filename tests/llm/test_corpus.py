@@ -18,7 +18,7 @@ VECTORS = "vec_id long, embedding array<float>, label int, code string, k int, v
 # ---------------------------------------------------------------- vector codes
 
 
-@pytest.mark.parametrize("spread", [2, 40, 3000])
+@pytest.mark.parametrize("spread", [2, 40, 3000, 1 << 28])
 def test_nearest_entry(spread):
     """The tree finds what measuring every entry finds; with few different values nearly all distances are tied."""
     r = np.random.default_rng(spread)
