@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from sablewick.functions import text as text_
 from sablewick.functions import values
 from sablewick.functions.vectors import cosine_to
+from sablewick.sources.store import any_of
 
 #: Most queries that are sent to every task at once.
 QUERY_BLOCK = 1000
@@ -162,6 +164,69 @@ def bm25_stored(postings: DataFrame, totals: tuple[int, int], query: str, *, doc
     return rows.groupBy("id").agg(F.sum("part").alias("score"))
 
 
+@dataclass
+class Pruned:
+    """How much of an index a pruned search looked at."""
+
+    spans: int = 0  # that hold a query term
+    read: int = 0
+
+
+def bm25_pruned(blocks: DataFrame, totals: tuple[int, int], query: str, k: int, *, gone: DataFrame | None = None, only: DataFrame | None = None, k1: float = values.BM25_K1, b: float = values.BM25_B, drop_ratio: float = 0.0, first: int = 8, told: Pruned | None = None, tie: Column | None = None) -> DataFrame:
+    """The ``k`` best (id, score) of ``bm25_stored``, from blocks of postings, most of which are never read.
+
+    A span's rows can't score more than its blocks' largest tf and smallest dl
+    allow.  The ``first`` most promising spans are scored; of the others only those
+    are read that could still reach the k-th best score so far.  ``gone`` are
+    deleted rows (part, id), ``only`` the ids that may be found; ties go by ``tie``
+    (the id).
+    """
+    told = Pruned() if told is None else told
+    n, terms = totals
+    asked = blocks.filter(F.col("term").isin(query_terms(query) or [""]))
+    df = {r["term"]: r["df"] for r in asked.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # one row for each query term
+    if gone is not None and df:
+        held = asked.join(F.broadcast(gone.select("part").distinct()), "part", "left_semi").select("term", "part", F.inline("rows"))  # names of parts
+        for r in held.join(gone, ["part", "id"], "left_semi").groupBy("term").agg(F.count("*").alias("lost")).collect():
+            df[r["term"]] -= r["lost"]
+    weight = {t: math.log(1 + (n - x + 0.5) / (x + 0.5)) for t, x in df.items() if x}
+    kept = kept_terms(weight, drop_ratio)
+    if not kept:
+        return blocks.select(F.lit("").alias("id"), F.lit(0.0).alias("score")).limit(0)
+    idf = F.create_map(*[F.lit(x) for t in kept for x in (t, weight[t])])[F.col("term")]
+
+    def share(tf: str, dl: str) -> Column:
+        return idf * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(dl) / (terms / n)))
+
+    asked = blocks.filter(F.col("term").isin(kept))
+    bounds = asked.select("part", "span", share("max_tf", "min_dl").alias("most")).groupBy("part", "span").agg(F.sum("most").alias("most"))
+    told.spans = bounds.count()
+
+    def scores(spans: DataFrame | list) -> DataFrame:
+        mine = asked
+        if not isinstance(spans, DataFrame):
+            mine = mine.filter(F.col("span").isin([r["span"] for r in spans]))
+            spans = F.broadcast(blocks.sparkSession.createDataFrame([(r["part"], r["span"]) for r in spans], "part string, span long"))
+        rows = mine.join(spans.select("part", "span"), ["part", "span"], "left_semi").select("term", "part", F.inline("rows"))
+        rows = rows if gone is None else rows.join(gone, ["part", "id"], "left_anti")
+        rows = rows if only is None else rows.join(only.select("id"), "id", "left_semi")
+        return rows.select("id", share("tf", "dl").alias("share")).groupBy("id").agg(F.sum("share").alias("score"))
+
+    best = bounds.orderBy(F.desc("most"), "part", "span").limit(max(first, k // 8)).collect()
+    reached = scores(best).orderBy(F.desc("score")).limit(k).collect()
+    told.read = len(best)
+    everything = scores(best)
+    if told.read < told.spans:
+        least = reached[-1]["score"] * (1 - 1e-9) if len(reached) == k else 0.0
+        done = F.broadcast(blocks.sparkSession.createDataFrame([(r["part"], r["span"]) for r in best], "part string, span long"))
+        rest = bounds.filter(F.col("most") >= least).join(done, ["part", "span"], "left_anti")
+        few = rest.limit(QUERY_BLOCK + 1).collect()
+        told.read += len(few) if len(few) <= QUERY_BLOCK else rest.count()
+        if few:
+            everything = everything.unionByName(scores(few if len(few) <= QUERY_BLOCK else rest))
+    return everything.orderBy(F.desc(F.round("score", 9)), F.col("id") if tie is None else tie).limit(k)
+
+
 def bm25_topk(docs: DataFrame, query: str, k: int, *, id_col: str = "id", **options) -> DataFrame:
     return bm25(docs, query, id_col=id_col, **options).orderBy(F.desc("score"), F.col(id_col)).limit(k)
 
@@ -191,20 +256,29 @@ def weighted(legs: Sequence[DataFrame], weights: Sequence[float], k: int, *, id_
     return both.groupBy(id_col).agg(F.sum("part").alias("score")).orderBy(F.desc("score"), F.col(id_col)).limit(k)
 
 
-def hybrid(docs: DataFrame, query: str, query_vector: Sequence[float], k: int, *, id_col: str = "id", text_col: str = "content", vector_col: str = "vector", where: Column | None = None, rerank: str = "rrf", weights: Sequence[float] = (0.5, 0.5), rank_constant: int = values.RRF_K, index: tuple[DataFrame, tuple[int, int]] | None = None, drop_ratio: float = 0.0) -> DataFrame:
+def hybrid(docs: DataFrame, query: str, query_vector: Sequence[float], k: int, *, id_col: str = "id", text_col: str = "content", vector_col: str = "vector", where: Column | None = None, rerank: str = "rrf", weights: Sequence[float] = (0.5, 0.5), rank_constant: int = values.RRF_K, index: tuple[DataFrame, tuple[int, int], DataFrame | None] | None = None, drop_ratio: float = 0.0) -> DataFrame:
     """Dense and full-text legs of ``k`` rows each, both filtered first, fused to ``k`` rows.
 
-    ``index`` is a collection's stored postings and totals; without it texts are read.
+    ``index`` are a collection's blocks of postings, its totals and its deleted
+    rows; without it texts are read.
     """
     if index is None:
         sparse = bm25_topk(docs, query, k, id_col=id_col, text_col=text_col, where=where)
     else:
-        sparse = bm25_stored(*index, query, docs=docs, where=where, drop_ratio=drop_ratio).orderBy(F.desc("score"), "id").limit(k)
+        blocks, totals, gone = index
+        sparse = bm25_pruned(blocks, totals, query, k, gone=gone, only=None if where is None else docs.filter(where), drop_ratio=drop_ratio)
     legs = [dense_topk(docs, query_vector, k, id_col=id_col, vector_col=vector_col, where=where).select(id_col, "score"), sparse]
     return rrf(legs, k, id_col=id_col, rank_constant=rank_constant) if rerank == "rrf" else weighted(legs, weights, k, id_col=id_col)
 
 
+def fetched(top: DataFrame, docs: DataFrame, *, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The few rows of ``top`` as a table at hand, and those of ``docs`` with their ids, by a filter that the scan can use."""
+    found = top.select(id_col, "score").collect()  # at most k rows
+    few = docs.sparkSession.createDataFrame(found, top.select(id_col, "score").schema)
+    return few, docs.filter(any_of(id_col, [r[0] for r in found]))
+
+
 def as_results(fused: DataFrame, docs: DataFrame, *, id_col: str = "id") -> DataFrame:
     """The public columns of search results: content, relative_path, start_line, end_line, language, score."""
-    few = F.broadcast(fused.select(F.col(id_col), "score"))  # at most k rows
-    return docs.join(few, id_col).select("content", "relative_path", "start_line", "end_line", "language", "score").orderBy(F.desc("score"), "relative_path", "start_line")
+    few, rows = fetched(fused, docs, id_col=id_col)
+    return rows.join(F.broadcast(few), id_col).select("content", "relative_path", "start_line", "end_line", "language", "score").orderBy(F.desc("score"), "relative_path", "start_line")

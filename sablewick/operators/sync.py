@@ -83,6 +83,65 @@ def bucketed_root(state: DataFrame, buckets: int = 4096) -> DataFrame:
     return inner.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["hash"]), ""), 256).alias("root"))
 
 
+NODES = "path string, depth int, parent string, digest string, n_files long"
+
+
+def directory_nodes(state: DataFrame) -> DataFrame:
+    """A Merkle tree by directory: (path, depth, parent, digest, n_files) of every directory, the root being ``''``.
+
+    A directory's digest is made of the digests of all files below it, combined by
+    exclusive or, so each task combines its own files first and no directory's
+    files are ever brought together.
+    """
+    parts = F.split("relative_path", "/")
+    path = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda d: F.array_join(F.slice(parts, 1, d), "/"))
+    leaf = F.sha2(F.concat_ws(":", "relative_path", "hash"), 256)
+    rows = state.select(F.posexplode(path).alias("depth", "path"), leaf.alias("leaf"))
+    words = [F.bit_xor(F.conv(F.substring("leaf", 1 + 15 * k, 15), 16, 10).cast("long")).alias(f"w{k}") for k in range(4)]
+    nodes = rows.groupBy("path", "depth").agg(F.count("*").alias("n_files"), *words)
+    digest = F.sha2(F.concat_ws(":", *[F.col(f"w{k}") for k in range(4)], "n_files"), 256)
+    parent = F.when(F.col("depth") > 0, F.regexp_replace("path", "/?[^/]*$", ""))
+    return nodes.select("path", "depth", parent.alias("parent"), digest.alias("digest"), "n_files")
+
+
+def changed_directories(old: DataFrame, new: DataFrame, few: int = 1000, told: list[int] | None = None) -> DataFrame:
+    """The directories (path) with different digests, found from the root downwards.
+
+    Only children of differing directories are compared, by a filter on their
+    parent; where a level has more than ``few`` differing ones, all levels below are
+    compared in one join.  ``told`` gets the number of nodes that were compared.
+    """
+    spark, found, level = old.sparkSession, [], None
+
+    def differing(where) -> DataFrame:
+        one, other = (n.filter(where).select("path", F.col("digest").alias(c)) for n, c in ((old, "a"), (new, "b")))
+        return one.join(other, "path", "full_outer")
+
+    depth = 0
+    while level is None or level:
+        where = (F.col("depth") == depth) if level is None else (F.col("depth") == depth) & F.col("parent").isin(level)
+        rows = differing(where)
+        if told is not None:
+            told.append(rows.count())
+        rows = rows.filter(~F.col("a").eqNullSafe(F.col("b"))).select("path")
+        some = [r["path"] for r in rows.limit(few + 1).collect()]
+        if len(some) > few:
+            below = differing(F.col("depth") >= depth).filter(~F.col("a").eqNullSafe(F.col("b"))).select("path")
+            return below.unionByName(spark.createDataFrame([(p,) for p in found], "path string"))
+        found, level, depth = found + some, some, depth + 1
+    return spark.createDataFrame([(p,) for p in found], "path string")
+
+
+def tree_diff(old: DataFrame, new: DataFrame, old_nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:
+    """``snapshot_diff`` of the files directly in directories that differ; the others are not compared."""
+    changed = changed_directories(old_nodes, new_nodes)
+    folder = F.regexp_replace("relative_path", "/?[^/]*$", "")
+    few = [r["path"] for r in changed.limit(1001).collect()]
+    if len(few) <= 1000:
+        return snapshot_diff(old.filter(folder.isin(few)), new.filter(folder.isin(few)))
+    return snapshot_diff(*[s.withColumn("path", folder).join(changed, "path", "left_semi") for s in (old, new)])
+
+
 def node_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, change) of Merkle nodes on one side only."""
     gone = old.select("id").join(new.select("id"), "id", "left_anti").withColumn("change", F.lit("removed"))

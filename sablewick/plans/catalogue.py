@@ -230,6 +230,14 @@ def bm25_topk(spark, sf_dir):
     return _scored(_best(_bm25(spark, sf_dir), 10), "doc_id")
 
 
+@query(f"WITH {_bm25_sql(k=10)} SELECT doc_id, round(score, 6) AS score FROM bm25")
+def bm25_pruned(spark, sf_dir):
+    """The same ranking from the blocks of postings that can hold one of the best rows."""
+    store, name = collection(spark, sf_dir)
+    top = search.bm25_pruned(store.blocks(name), store.totals(name), QUESTION, 10, tie=F.col("id").cast("long"))
+    return top.select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_bm25_sql(where="lang IN ('fr', 'de')", k=10)} SELECT doc_id, round(score, 6) AS score FROM bm25")
 def bm25_topk_filtered(spark, sf_dir):
     store, name = collection(spark, sf_dir)
@@ -324,8 +332,8 @@ FROM top JOIN code_files USING (doc_id)""")
 def hybrid_search(spark, sf_dir):
     docs, dense, sparse = _legs(spark, sf_dir, 10)
     top = search.rrf([dense, sparse], 10, id_col="doc_id")
-    shown = docs.select("doc_id", "content", "relative_path", "start_line", "end_line", paths.language(F.col("relative_path")).alias("language"))
-    return search.as_results(top, shown, id_col="doc_id").withColumn("score", F.round("score", 6))
+    shown = docs.select("id", "content", "relative_path", "start_line", "end_line", paths.language(F.col("relative_path")).alias("language"))
+    return search.as_results(top.select(F.col("doc_id").cast("string").alias("id"), "score"), shown).withColumn("score", F.round("score", 6))
 
 
 # ------------------------------------------------------------------ paths, ids, projections

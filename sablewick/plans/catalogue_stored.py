@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,36 @@ from pyspark.sql import functions as F
 from sablewick.functions import ids, paths, values
 from sablewick.functions import text as text_
 from sablewick.operators import evaluate, search, split, sync
-from sablewick.plans.catalogue import FILES_SQL, QUESTION, TOKENS_SQL, WHOLE, _bm25_sql, _results, code_files, collection, query, table
+from sablewick.plans.catalogue import FILES_SQL, QUESTION, TOKENS_SQL, V2_SQL, WHOLE, _bm25_sql, _results, _versions, code_files, collection, query, table
 from sablewick.plans.catalogue import HITS_SQL as _HITS_SQL
 from sablewick.plans.filters import parse_filter
 from sablewick.sources import github
-from sablewick.sources.state import REGISTRY, STATE, Registry, Versioned, status_from_json, upsert
+from sablewick.sources.state import REGISTRY, STATE, STATUS, Registry, Versioned, migrated, status_from_json, upsert
 from sablewick.sources.store import Files, Store, shared_folder
 
 
-def _own_store(spark: SparkSession) -> Store:
-    """An empty store for one query."""
-    return Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", WHOLE)
+@contextmanager
+def _own_store(spark: SparkSession):
+    """An empty store for one query whose rows are known when it ends."""
+    store = Store(spark, _scratch(spark, "store"), WHOLE)
+    try:
+        yield store
+    finally:
+        store.files.delete(store.root)
+
+
+def _scratch(spark: SparkSession, kind: str) -> str:
+    """A folder for what a query writes; its result is read lazily, so the folder stays until ``clear_scratch``."""
+    return f"{shared_folder(spark)}/catalogue-scratch/{kind}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what queries of this application have left: no result may be read after that."""
+    Files(spark, shared_folder(spark)).delete(f"{shared_folder(spark)}/catalogue-scratch")
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, _scratch(spark, "store"), WHOLE)
 
 
 def _as_chunks(files: DataFrame) -> DataFrame:
@@ -55,7 +75,7 @@ def bm25_drop_ratio(spark, sf_dir):
 @query(f"WITH {FILES_SQL} SELECT doc_id::VARCHAR AS id, relative_path, sha256(content) AS hash, length(content)::DOUBLE AS size FROM code_files")
 def store_insert(spark, sf_dir):
     """Rows put into a collection in two commits, read back."""
-    store, files = _own_store(spark), code_files(spark, sf_dir)
+    store, files = _store(spark), code_files(spark, sf_dir)
     store.create("c", 1, hybrid=False)
     for where in ("lang = 'en'", "lang <> 'en' OR lang IS NULL"):
         store.insert("c", _as_chunks(files.filter(where)))
@@ -64,7 +84,7 @@ def store_insert(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def store_delete(spark, sf_dir):
-    store = _own_store(spark)
+    store = _store(spark)
     store.create("c", 1)
     store.insert("c", _as_chunks(code_files(spark, sf_dir)))
     store.delete("c", table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id")))
@@ -86,30 +106,28 @@ def equality_filter(spark, sf_dir):
 
 @query("SELECT 'code_chunks_' || source AS name, count(*) AS n FROM documents WHERE source NOT LIKE 'src1%' GROUP BY source UNION ALL SELECT 'other', 0")
 def store_collections(spark, sf_dir):
-    """Create, fill, drop and list: one collection for each source, and one that stays empty."""
-    store, files = _own_store(spark), code_files(spark, sf_dir)
-    for r in files.groupBy("source").agg(F.count("*").alias("n")).collect():  # one row for each collection
-        store.create(f"code_chunks_{r['source']}", 1, hybrid=False)
-    counts = {n: 0 for n in store.list()}
-    for n in list(counts):
-        if n.startswith("code_chunks_src1"):
+    """Create, fill, drop, list by prefix and count: one collection for each source, and one that stays empty."""
+    with _own_store(spark) as store:
+        files = code_files(spark, sf_dir)
+        for r in files.select("source").distinct().collect():  # one row for each collection
+            store.create(f"code_chunks_{r['source']}", 1, hybrid=False)
+            store.insert(f"code_chunks_{r['source']}", _as_chunks(files.filter(F.col("source") == r["source"])))
+        store.create("other", 1)
+        for n in store.list("code_chunks_src1"):
             store.drop(n)
-    left = [n for n in store.list() if n.startswith("code_chunks_")]
-    named = files.select(F.concat(F.lit("code_chunks_"), "source").alias("name"))
-    store.create("other", 1)
-    rows = named.join(spark.createDataFrame([(n,) for n in left], "name string"), "name", "left_semi").groupBy("name").agg(F.count("*").alias("n"))
-    return rows.unionByName(spark.createDataFrame([("other", store.count("other"))], "name string, n long"))
+        return spark.createDataFrame([(n, store.count(n)) for n in [*store.list("code_chunks_"), "other"]], "name string, n long")
 
 
 @query("SELECT lang, count(*) AS n_rows, sum(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')))::BIGINT AS n_terms FROM documents WHERE lang IS NOT NULL GROUP BY lang")
 def store_totals(spark, sf_dir):
     """Rows and terms of each collection, as its pointer tells them."""
-    store, files = _own_store(spark), code_files(spark, sf_dir)
     found = []
-    for r in files.filter("lang IS NOT NULL").select("lang").distinct().collect():  # one collection for each language
-        store.create(r["lang"], 1)
-        store.insert(r["lang"], _as_chunks(files.filter(F.col("lang") == r["lang"])))
-        found.append((r["lang"], *store.totals(r["lang"])))
+    with _own_store(spark) as store:
+        files = code_files(spark, sf_dir)
+        for r in files.filter("lang IS NOT NULL").select("lang").distinct().collect():  # one collection for each language
+            store.create(r["lang"], 1)
+            store.insert(r["lang"], _as_chunks(files.filter(F.col("lang") == r["lang"])))
+            found.append((r["lang"], *store.totals(r["lang"])))
     return spark.createDataFrame(found, "lang string, n_rows long, n_terms long")
 
 
@@ -117,7 +135,7 @@ def store_totals(spark, sf_dir):
 UNION ALL SELECT relative_path, sha256(content || '!') FROM code_files WHERE lang = 'de' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
 def store_replace(spark, sf_dir):
     """A collection after a sync: some files gone, some new, some left out by their ids; the replaced version is read while the new one is written."""
-    store, files = _own_store(spark), code_files(spark, sf_dir)
+    store, files = _store(spark), code_files(spark, sf_dir)
     store.create("c", 1, hybrid=False)
     store.insert("c", _as_chunks(files.filter("lang IN ('en', 'fr')")))
     diff = files.filter("lang IN ('fr', 'de')").select("relative_path", F.when(F.col("lang") == "fr", "removed").otherwise("added").alias("change"))
@@ -127,6 +145,22 @@ def store_replace(spark, sf_dir):
     return sync.file_state(store.read("c"))
 
 
+@query(f"""WITH {TOKENS_SQL}, {FILES_SQL}, kept AS (SELECT doc_id FROM documents WHERE lang <> 'de' OR lang IS NULL),
+own AS (SELECT doc_id, t FROM toks WHERE doc_id IN (SELECT doc_id FROM kept)),
+fresh AS (SELECT doc_id, regexp_extract_all(lower(content || ' edited'), '[a-z0-9_]+') AS t FROM code_files WHERE lang = 'de' AND source <> 'src1'),
+every AS (SELECT * FROM own UNION ALL SELECT * FROM fresh)
+SELECT doc_id, t AS term, count(*) AS tf, max(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS t FROM every) GROUP BY doc_id, t""")
+def store_change(spark, sf_dir):
+    """The full-text index after one commit that replaced the files of a language, but for those of one source, by edited ones."""
+    store, files = _store(spark), code_files(spark, sf_dir)
+    store.create("c", 1)
+    store.insert("c", _as_chunks(files))
+    stale = files.filter("lang = 'de'")
+    edited = stale.filter("source <> 'src1'").withColumn("content", F.concat("content", F.lit(" edited")))
+    store.change("c", "relative_path", stale.select("relative_path"), _as_chunks(edited))
+    return store.postings("c").select(F.col("id").cast("long").alias("doc_id"), "term", "tf", "dl")
+
+
 # ------------------------------------------------------------------ saved state
 
 
@@ -138,10 +172,49 @@ def merkle_tree(spark, sf_dir):
     return sync.leaf_nodes(tree).unionByName(sync.root_nodes(tree)).select("id", "relative_path", "parent")
 
 
+_NODES_SQL = """{name} AS (
+  SELECT path, len(p) AS depth, CASE WHEN len(p) > 0 THEN array_to_string(p[:-2], '/') END AS parent, count(*) AS n_files, {words}
+  FROM (SELECT sha256(relative_path || ':' || sha256(content)) AS leaf, string_split(relative_path, '/') AS s, unnest(generate_series(0, len(s) - 1)) AS d, s[:d] AS p, array_to_string(p, '/') AS path FROM {of})
+  GROUP BY path, p)""".replace("{words}", ", ".join(f"bit_xor(('0x' || substr(leaf, {1 + 15 * k}, 15))::BIGINT) AS w{k}" for k in range(4)))
+_DIGEST_SQL = "sha256(concat_ws(':', w0, w1, w2, w3, n_files))"
+
+
+@query(f"WITH {FILES_SQL}, {_NODES_SQL.format(name='node', of='code_files')} SELECT path, depth, parent, {_DIGEST_SQL} AS digest, n_files FROM node")
+def merkle_directories(spark, sf_dir):
+    """A digest for every directory, over all files below it."""
+    return sync.directory_nodes(sync.file_state(code_files(spark, sf_dir))).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(f"""WITH {V2_SQL}, {_NODES_SQL.format(name='a', of='v1')}, {_NODES_SQL.format(name='b', of='v2')}
+SELECT coalesce(a.path, b.path) AS path FROM (SELECT path, {_DIGEST_SQL} AS x FROM a) a FULL JOIN (SELECT path, {_DIGEST_SQL} AS x FROM b) b USING (path) WHERE a.x IS DISTINCT FROM b.x""")
+def merkle_changed(spark, sf_dir):
+    """The directories that differ between two versions, found from the root downwards."""
+    return sync.changed_directories(*[sync.directory_nodes(sync.file_state(v)) for v in _versions(spark, sf_dir)])
+
+
+@query(f"WITH {V2_SQL} SELECT * FROM diff")
+def tree_diff(spark, sf_dir):
+    """The files that differ, looked for in directories that differ only."""
+    old, new = (sync.file_state(v) for v in _versions(spark, sf_dir))
+    return sync.tree_diff(old, new, sync.directory_nodes(old), sync.directory_nodes(new))
+
+
+@query("SELECT source AS codebase_path, 'indexed' AS status, count(*) AS indexed_files FROM documents WHERE source NOT LIKE 'src1%' GROUP BY source")
+def status_migrated(spark, sf_dir):
+    """A status file taken into the saved table without trees that are gone; read back from there."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).collect()  # one row for each codebase
+    folder = _scratch(spark, "status")
+    books = {r["source"]: {"status": "indexed", "indexedFiles": r["n"]} for r in rows}
+    Files(spark, folder).write(f"{folder}/v2.json", json.dumps({"formatVersion": "v2", "codebases": books}))
+    statuses = Versioned(spark, f"{folder}/saved", STATUS)
+    migrated(spark, statuses, f"{folder}/v2.json", lambda path: not path.startswith("src1"))
+    return statuses.load("status").select("codebase_path", "status", "indexed_files")
+
+
 @query(f"WITH {FILES_SQL} SELECT relative_path, sha256(content) AS hash FROM code_files")
 def state_snapshot(spark, sf_dir):
     """File hashes saved twice under one key and loaded."""
-    states = Versioned(spark, f"{shared_folder(spark)}/states-{uuid.uuid4().hex}", STATE)
+    states = Versioned(spark, _scratch(spark, "states"), STATE)
     states.save("k", sync.file_state(code_files(spark, sf_dir)).filter("relative_path < 'm'"))
     states.save("k", sync.file_state(code_files(spark, sf_dir)))
     return states.load("k")
@@ -162,7 +235,7 @@ def status_migrate(spark, sf_dir):
     """Status files of both versions read as one table; interrupted entries count as not indexed."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.filter("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()  # one row for each codebase
-    folder = f"{shared_folder(spark)}/status-{uuid.uuid4().hex}"
+    folder = _scratch(spark, "status")
     books = {r["source"]: {"status": "indexed", "indexedFiles": r["n"], "totalChunks": r["c"], "indexStatus": "completed"} for r in rows}
     books["half"] = {"status": "indexing", "indexingPercentage": 40}
     files = Files(spark, folder)
@@ -179,7 +252,7 @@ def registry_entries(spark, sf_dir):
     last = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("id")).agg(F.max("doc_id").alias("at"))
     newest = last.agg(F.max("at")).first()[0]
     rows = last.select("id", F.timestamp_seconds("at").alias("indexed_at"), F.concat(F.lit("c_"), "id").alias("collection_name"))
-    book = Registry(spark, f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}")
+    book = Registry(spark, _scratch(spark, "registry"))
     wide = spark.createDataFrame([], REGISTRY).unionByName(rows, allowMissingColumns=True)
     book.add(wide.withColumn("indexed_at", F.timestamp_seconds(F.lit(0))))
     book.add(wide)
@@ -190,7 +263,7 @@ def registry_entries(spark, sf_dir):
 @query(f"WITH {_HITS_SQL} SELECT instance_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
 def result_files(spark, sf_dir):
     """Evaluation results written as JSON lines, read back and scored."""
-    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    path = _scratch(spark, "results")
     _results(spark, sf_dir).write.json(path)
     scores = evaluate.precision_recall_f1(evaluate.read_results(spark, path, lines=True).withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("hits", "oracles")}))
     return scores.select("instance_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])

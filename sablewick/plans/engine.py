@@ -26,7 +26,7 @@ from sablewick.operators import split as split_
 from sablewick.operators import sync as sync_
 from sablewick.plans.filters import parse_filter
 from sablewick.sources import codefiles, github
-from sablewick.sources.state import STATE, STATUS, Versioned, status_of, upsert
+from sablewick.sources.state import FAILURES, STATE, STATUS, Versioned, status_of, upsert
 from sablewick.sources.store import Store
 
 RESULTS = "content string, relative_path string, start_line long, end_line long, language string, score double"
@@ -66,7 +66,9 @@ class Config:
     ignore: list[str] = field(default_factory=list)
     chunk_cap: int = values.CHUNK_CAP
     commit_chunks: int = 50_000  # chunks of one commit while indexing
-    on_error: str = "fail"  # or "skip": leave out chunks whose embedding fails
+    on_error: str = "fail"  # or "skip": leave out chunks whose embedding fails; the next syncs try them again
+    retry_minutes: float = 1.0  # before the first further try; doubled with each
+    most_collections: int | None = None
     home: str = field(default_factory=lambda: os.path.expanduser("~/.context"))
 
     def all_extensions(self) -> list[str]:
@@ -86,7 +88,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, splitter: split_.Splitter | None = None, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
         self.embedder, self.splitter = embedder or HashEmbedder(), splitter or split_.Splitter()
-        self.root, self.store = root.rstrip("/"), Store(spark, f"{root}/collections")
+        self.root, self.store = root.rstrip("/"), Store(spark, f"{root}/collections", most=self.config.most_collections)
+        self.trees, self.failures = Versioned(spark, f"{root}/trees", sync_.NODES), Versioned(spark, f"{root}/failures", FAILURES)
         self.states, self.statuses = Versioned(spark, f"{root}/states", STATE), Versioned(spark, f"{root}/status", STATUS)
 
     # ------------------------------------------------------------ configuration
@@ -129,11 +132,15 @@ class Engine:
 
     # ------------------------------------------------------------ plans
 
-    def files(self, path: str) -> DataFrame:
-        """The files of a tree that are indexed: relative_path, content, file_extension, language."""
+    def tree(self, path: str) -> DataFrame:
+        """All files of a tree that should be indexed; content is null, and error says why, where one can't be read."""
         patterns = self.ignore_patterns(path)
         rows = codefiles.read_tree(self.spark, path, extensions=",".join(self.config.all_extensions()), ignore=",".join(patterns))
-        return rows.filter("content IS NOT NULL").withColumn("language", paths.language(F.col("relative_path")))
+        return rows.withColumn("language", paths.language(F.col("relative_path")))
+
+    def files(self, path: str) -> DataFrame:
+        """The files of a tree that are indexed: relative_path, content, file_extension, language."""
+        return self.tree(path).filter("content IS NOT NULL")
 
     def chunks(self, files: DataFrame, codebase: str, splitter: split_.Splitter | None = None) -> DataFrame:
         """Chunks with ids and metadata, before embedding."""
@@ -145,8 +152,36 @@ class Engine:
         )
 
     def embedded(self, chunks: DataFrame) -> DataFrame:
-        rows = chunks.withColumn("vector", self.embedder.column(self.config.on_error)(F.col("content")))
-        return rows.filter("vector IS NOT NULL") if self.config.on_error == "skip" else rows
+        return chunks.withColumn("vector", self.embedder.column(self.config.on_error)(F.col("content")))
+
+    @contextmanager
+    def tried(self, chunks: DataFrame):
+        """Chunks with vectors, and (relative_path, id) of those whose embedding failed and may be left out."""
+        rows = self.embedded(chunks)
+        if self.config.on_error != "skip":
+            yield rows, None
+            return
+        with self.written(rows) as done:  # each chunk is sent to the provider once
+            yield done.filter("vector IS NOT NULL"), done.filter("vector IS NULL").select("relative_path", "id")
+
+    # ------------------------------------------------------------ failures
+
+    def failed(self, path: str) -> DataFrame:
+        """The ledger: chunks (or, with a null id, files) that are still missing, how often they were tried, and when they are tried next."""
+        found = self.failures.load(self._key(os.path.abspath(path)))
+        return found if found is not None else self.spark.createDataFrame([], FAILURES)
+
+    def _note(self, key: str, missing: DataFrame | None, kept: DataFrame | None) -> None:
+        """Save the ledger: what failed now (relative_path, id, error), with one more try than ``kept`` has of it, and the rest of ``kept``."""
+        old = self.spark.createDataFrame([], FAILURES) if kept is None else kept
+        now = self.spark.createDataFrame([], "relative_path string, id string, error string") if missing is None else missing
+        tries = old.select(F.col("relative_path").alias("p"), F.col("id").alias("i"), "attempts")
+        both = now.join(tries, F.col("relative_path").eqNullSafe(F.col("p")) & F.col("id").eqNullSafe(F.col("i")), "left")
+        attempts = F.coalesce("attempts", F.lit(0)) + 1
+        wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(60.0 * self.config.retry_minutes) * F.pow(F.lit(2.0), F.least(attempts, F.lit(20)) - 1))
+        rows = both.select("relative_path", "id", attempts.cast("int").alias("attempts"), "error", (F.current_timestamp() + wait).alias("retry_at"))
+        rest = old.join(now.select(F.col("relative_path").alias("p"), F.col("id").alias("i")), F.col("relative_path").eqNullSafe(F.col("p")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
+        self.failures.save(key, rows.unionByName(rest))
 
     @contextmanager
     def written(self, rows: DataFrame):
@@ -159,8 +194,12 @@ class Engine:
             self.store.files.delete(path)
 
     def scan(self, path: str):
-        """One scan of a tree, with every file's hash."""
-        return self.written(self.files(path).withColumn("hash", ids.file_hash(F.col("content"))))
+        """One scan of a tree, with every file's hash (null where a file can't be read)."""
+        return self.written(self.tree(path).withColumn("hash", ids.file_hash(F.col("content"))))
+
+    def _record(self, key: str, state: DataFrame) -> None:
+        self.states.save(key, state)
+        self.trees.save(key, sync_.directory_nodes(self.states.load(key)))
 
     def file_hash(self, path: str, relative_path: str) -> str | None:
         """The hash recorded for one file of an indexed tree."""
@@ -186,7 +225,9 @@ class Engine:
             self.store.create(name, self.embedder.dimension, self.config.hybrid, path)
             tell("Scanning", 5)
             chosen = split_.Splitter(splitter) if splitter else self.splitter
-            with self.scan(path) as files, self.written(self.chunks(files, path, chosen)) as every:
+            with self.scan(path) as scanned, self.written(self.chunks(scanned.filter("content IS NOT NULL"), path, chosen)) as every:
+                files, unread = scanned.filter("content IS NOT NULL"), scanned.filter("content IS NULL")
+                missing = unread.select("relative_path", F.lit(None).cast("string").alias("id"), "error")
                 chunks, outcome = split_.capped(every, self.config.chunk_cap)
                 steps = max(1, -(-min(every.count(), self.config.chunk_cap) // self.config.commit_chunks))
                 for k in range(steps):
@@ -194,8 +235,15 @@ class Engine:
                     tell("Indexing", percent)
                     self.set_status(path, "indexing", indexing_percentage=float(percent))
                     mine = chunks if steps == 1 else chunks.filter(F.pmod(F.xxhash64("relative_path"), F.lit(steps)) == k)
-                    self.store.insert(name, self.embedded(mine))
-                self.states.save(self._key(path), files.select("relative_path", "hash"))  # after the chunks: a failure before is tried again
+                    with self.tried(mine) as (ready, lost):
+                        self.store.insert(name, ready)
+                        if lost is not None and not lost.isEmpty():
+                            self._note(self._key(path), lost.withColumn("error", F.lit("embedding failed")), self.failed(path))
+                if not missing.isEmpty():
+                    self._note(self._key(path), missing, self.failed(path))
+                self._record(self._key(path), files.select("relative_path", "hash"))  # after the chunks: a failure before is tried again
+                if not self.store.ready(name, wait=60.0):
+                    raise TimeoutError(f"collection {name!r} can't be read")
                 n_files, n_chunks = files.count(), self.store.count(name)
         except Exception as failed:
             reached = self._status_table().filter(F.col("codebase_path") == path).select("indexing_percentage").first()
@@ -213,7 +261,8 @@ class Engine:
         files = github.repo_contents(github.repo_files(self.spark, get, owner, repo), get, owner, repo)
         files = files.filter("content IS NOT NULL").withColumn("language", paths.language(F.col("relative_path")))
         chunks = self.chunks(files, f"{owner}/{repo}", split_.Splitter("lines")).withColumn("id", ids.repo_chunk_id(F.col("relative_path"), F.col("pos")))
-        self.store.insert(name, self.embedded(chunks))
+        with self.tried(chunks) as (ready, _):
+            self.store.insert(name, ready)
         return {"collection": name, "total_chunks": self.store.count(name)}
 
     def search_collection(self, name: str, query: str, k: int = 20, filter_expr: str | None = None) -> DataFrame:
@@ -227,34 +276,58 @@ class Engine:
             top = search_.dense_topk(docs, vector, k, where=where).select("id", "score")
         return search_.as_results(top, docs.withColumn("language", F.get_json_object("metadata", "$.language")))
 
-    def full_text(self, name: str) -> tuple[DataFrame, tuple[int, int]] | None:
-        """A collection's stored postings and totals; None where it keeps none."""
-        return (self.store.postings(name), self.store.totals(name)) if self.store.describe(name)["hybrid"] else None
+    def full_text(self, name: str) -> tuple[DataFrame, tuple[int, int], DataFrame | None] | None:
+        """A collection's blocks of postings, totals and deleted rows; None where it keeps no full-text index."""
+        return (self.store.blocks(name), self.store.totals(name), self.store.gone(name)) if self.store.describe(name)["hybrid"] else None
 
     def sync(self, path: str) -> dict:
-        """Bring the index up to date: {added, removed, modified}."""
+        """Bring the index up to date: {added, removed, modified}.
+
+        Only directories whose digests differ are compared.  A file that can't be read
+        keeps what is indexed of it.  Chunks and files that failed before are tried
+        again once their time has come.
+        """
         path = os.path.abspath(path)
         name, key = self.collection_name(path), self._key(path)
-        with self.scan(path) as files:
-            old, new = self.states.load(key), files.select("relative_path", "hash")
+        with self.scan(path) as scanned:
+            old, files = self.states.load(key), scanned.filter("content IS NOT NULL")
+            new = files.select("relative_path", "hash")
             if old is None:
-                self.states.save(key, new)
+                self._record(key, new)
                 return {"added": 0, "removed": 0, "modified": 0}
-            diff = sync_.snapshot_diff(old, new).persist()
-            try:
-                counts = {"added": 0, "removed": 0, "modified": 0} | {r["change"]: r["n"] for r in sync_.diff_counts(diff).collect()}  # three rows at most
-                if any(counts.values()):
-                    fresh = diff.filter(F.col("change") != "removed").select("relative_path")
-                    new_chunks = self.embedded(self.chunks(files.join(fresh, "relative_path", "left_semi"), path))
-                    current = self.store.read(name)
-                    self.store.replace(name, sync_.reindex(current, diff, new_chunks.select(*current.columns)))
-                    self.states.save(key, new)
-            finally:
-                diff.unpersist()
+            unread = scanned.filter("content IS NULL").select("relative_path", F.lit(None).cast("string").alias("id"), "error")
+            new = new.unionByName(old.join(unread, "relative_path", "left_semi").select("relative_path", "hash"))
+            with self.written(sync_.directory_nodes(new)) as nodes:
+                before = self.trees.load(key)
+                diff = sync_.snapshot_diff(old, new) if before is None else sync_.tree_diff(old, new, before, nodes)
+                with self.written(diff) as diff:
+                    counts = {"added": 0, "removed": 0, "modified": 0} | {r["change"]: r["n"] for r in sync_.diff_counts(diff).collect()}  # three rows at most
+                    self._apply(path, name, key, files, unread, new, diff, any(counts.values()))
         return counts
 
+    def _apply(self, path: str, name: str, key: str, files: DataFrame, unread: DataFrame, new: DataFrame, diff: DataFrame, changed: bool) -> None:
+        ledger = self.failed(path)
+        due = ledger.filter("id IS NOT NULL AND retry_at <= current_timestamp()").join(diff, "relative_path", "left_anti")
+        if not changed and due.isEmpty() and unread.isEmpty() and ledger.filter("id IS NULL").isEmpty():
+            return
+        fresh = diff.filter(F.col("change") != "removed").select("relative_path")
+        chunks = self.chunks(files.join(fresh, "relative_path", "left_semi"), path)
+        again = self.chunks(files.join(due.select("relative_path").distinct(), "relative_path", "left_semi"), path).join(due.select("id"), "id", "left_semi")
+        with self.tried(chunks.unionByName(again)) as (ready, lost):
+            stale = diff.filter(F.col("change") != "added").select("relative_path")
+            self.store.change(name, "relative_path", stale, ready)
+            missing = unread if lost is None else unread.unionByName(lost.withColumn("error", F.lit("embedding failed")))
+            # Entries of changed files and of what was tried are over, unless it failed again.
+            waiting = ledger.join(diff, "relative_path", "left_anti").filter("id IS NOT NULL").join(due.select("id"), "id", "left_anti")
+            tried = ledger.join(missing.select(F.col("relative_path").alias("p"), F.col("id").alias("i")), F.col("relative_path").eqNullSafe(F.col("p")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+            with self.written(waiting.select(*ledger.columns).unionByName(tried).distinct()) as kept:
+                self._note(key, missing, kept)
+        if changed:
+            self._record(key, new)
+            self.store.compact(name)
+
     def sync_all(self, paths_: Iterable[str] | None = None) -> dict[str, dict | str]:
-        """``sync`` for every indexed tree (or those given); one that fails is told with its error, and the others go on."""
+        """``sync`` for every indexed tree (or those given); one that fails is told with its error, which its status keeps until a sync succeeds, and the others go on."""
         if paths_ is None:
             paths_ = [r["codebase_path"] for r in self._status_table().filter("status = 'indexed'").select("codebase_path").collect()]  # one row per indexed tree
         out: dict[str, dict | str] = {}
@@ -263,8 +336,10 @@ class Engine:
                 if not os.path.isdir(path):
                     raise NotADirectoryError(path)
                 out[path] = self.sync(path)
+                self._note_error(path, None)
             except Exception as failed:
                 out[path] = f"{type(failed).__name__}: {failed}"[:2000]
+                self._note_error(path, out[path])
         return out
 
     def poll(self, checkpoint: str, minutes: float = 5, told: Callable[[dict], None] | None = None) -> StreamingQuery:
@@ -281,9 +356,18 @@ class Engine:
     def clear(self, path: str) -> None:
         path = os.path.abspath(path)
         self.store.drop(self.collection_name(path))
-        self.states.delete(self._key(path))
+        for kept in (self.states, self.trees, self.failures):
+            kept.delete(self._key(path))
         self.remove_status(path)
 
+    def test_connection(self) -> bool:
+        """Whether collections can be written and read, and the embedder answers."""
+        try:
+            self.store.check()
+            return len(self.embedder.embed("test")) == self.embedder.dimension
+        except Exception:
+            return False
+
     def has_index(self, path: str) -> bool:
         return self.store.has(self.collection_name(path))
 
@@ -322,6 +406,13 @@ class Engine:
         row = self.spark.createDataFrame([{"codebase_path": path, "status": status, **columns}], STATUS).withColumn("last_updated", F.current_timestamp())
         self.statuses.save("status", upsert(self._status_table(), row, "codebase_path"))
 
+    def _note_error(self, path: str, message: str | None) -> None:
+        """Put a failed sync into the tree's status, or take it out; nothing is written if nothing changes."""
+        row = self._status_table().filter(F.col("codebase_path") == path).select("error_message").first()
+        if row is not None and row["error_message"] != message:
+            told = F.when(F.col("codebase_path") == path, F.lit(message)).otherwise(F.col("error_message"))
+            self.statuses.save("status", self._status_table().withColumn("error_message", told))
+
     def remove_status(self, path: str) -> None:
         self.statuses.save("status", self._status_table().filter(F.col("codebase_path") != path))
 

@@ -58,6 +58,8 @@ class Tools:
                 return f"Error: {path!r} is being indexed already."
             if self.engine.has_index(path) and not force:
                 return f"Error: {path!r} is indexed already. Use force=true to index it anew."
+            if not self.engine.has_index(path) and not self.engine.store.within_limit():
+                return f"Error: the limit of {self.engine.store.most} collections is reached. Clear an index first."
             self.engine.add_extensions(customExtensions or [])
             self.engine.add_ignore_patterns(ignorePatterns or [])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from sablewick.sources.store import Files, Pointer
 
 STATE = "relative_path string, hash string"
 STATUS = "codebase_path string, status string, indexing_percentage double, indexed_files long, total_chunks long, index_status string, error_message string, last_attempted_percentage double, last_updated timestamp"
+FAILURES = "relative_path string, id string, attempts int, error string, retry_at timestamp"
 REGISTRY = "id string, owner string, repo string, collection_name string, indexed_at timestamp, last_search_at timestamp, total_files long, total_chunks long"
 
 
@@ -67,6 +69,22 @@ def status_from_json(spark: SparkSession, path: str) -> DataFrame:
     return new.unionByName(old, allowMissingColumns=True).filter("status <> 'indexing'")
 
 
+def migrated(spark: SparkSession, statuses: Versioned, path: str, there: Callable[[str], bool], name: str = "status") -> list[str]:
+    """Take a status file into the saved table, but for trees that ``there`` denies; returns the paths that were left out.
+
+    Entries saved already stay as they are.  The file may be of either version, and
+    is not needed again.
+    """
+    rows = status_from_json(spark, path)
+    known = [r["codebase_path"] for r in rows.select("codebase_path").distinct().collect()]  # one row for each codebase
+    lost = sorted(p for p in known if not there(p))
+    saved = statuses.load(name)
+    saved = spark.createDataFrame([], STATUS) if saved is None else saved
+    rows = spark.createDataFrame([], STATUS).unionByName(rows, allowMissingColumns=True)
+    statuses.save(name, upsert(rows.filter(~F.col("codebase_path").isin(lost)), saved, "codebase_path"))
+    return lost
+
+
 def status_of(table: DataFrame, path: str) -> str:
     row = table.filter(F.col("codebase_path") == path).select("status").first()
     return row["status"] if row else "not_found"

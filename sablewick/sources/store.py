@@ -1,17 +1,30 @@
-"""Collections of chunks on any file system that Spark writes.
+"""Collections of chunks on a file system that Spark writes.
 
-A collection is a folder of immutable versions and a pointer to the current one.
-A change writes a new version and then moves the pointer, so a reader sees the
-last committed version, a failed write leaves nothing visible, and no folder is
+A collection is a folder of immutable parts and a pointer to what is current.  A
+change writes what is new and then moves the pointer, so a reader sees the last
+committed state, a failed write leaves nothing visible, and no folder is
 overwritten while it is read.
 
-A hybrid collection also has a full-text index beside each of its parts:
-postings (term, id, tf, dl), dealt and sorted by term so that a search reads the
-row groups of its own terms only.  How many rows and terms a part holds stands in
-the pointer, so a search needs no pass over texts.
+Reads merge: deleting rows writes their ids and the part they are in (a deletion
+vector), and what reads that part leaves them out.  So a change costs what it
+changes.  ``compact`` rewrites parts that are mostly deleted, and small ones once
+there are many.  What a commit no longer needs is deleted by a later one, after
+``retention`` seconds in which readers may still be at it.
+
+A part is sorted by id within its files and has Bloom filters for ids and paths,
+so a few rows are fetched by reading the row groups that may hold them.
+
+A hybrid collection also has a full-text index beside each of its parts: for each
+term blocks of postings (id, tf, dl) with the largest tf and the smallest dl in
+them, sorted by term, so a search reads the row groups of its own terms, and of
+those only blocks that can matter.  All blocks of a part that hold the same rows
+have the same ``span``; rows of about equal length share one.  How many rows and
+terms a part holds stands in the pointer.
 
 One writer at a time: a change that finds another one committed since it began
-raises ``Conflict`` and leaves the collection as that one made it.
+raises ``Conflict`` and leaves the collection as that one made it.  That holds on
+local disks and where a rename without overwriting is atomic, as on HDFS; on an
+object store without that, writers have to be kept apart by other means.
 """
 
 from __future__ import annotations
@@ -21,23 +34,43 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablewick.functions import text as text_
 from sablewick.functions import values
 
 CHUNK_SCHEMA = "id string, vector array<float>, content string, relative_path string, start_line long, end_line long, file_extension string, metadata string"
+PART_SCHEMA = f"{CHUNK_SCHEMA}, n_terms long"
+GONE_SCHEMA = "part string, id string"
 LENGTHS = {"id": 512, "content": 65535, "relative_path": 1024, "file_extension": 32, "metadata": 65535}
 
-
+BLOCK_SCHEMA = "term string, span long, n long, max_tf long, min_dl long, rows array<struct<id:string,tf:long,dl:long>>"
 POSTINGS_SCHEMA = "term string, id string, tf long, dl long"
+#: Rows that share a span of postings, about; deleted rows that are sent to every task, at most.
+SPAN_ROWS, SENT_ROWS = 128, 100_000
+#: Parts are rewritten when this share of their rows is deleted, or when there are more than so many.
+GONE_SHARE, MOST_PARTS = 0.3, 32
+#: Values of one pushed-down list; Spark tests longer ones by their range only.
+PUSHED = 10
 
 
 class Conflict(RuntimeError):
     """Another writer committed in between."""
 
 
+class LimitReached(RuntimeError):
+    """No further collection is allowed."""
+
+
+def any_of(column: str, wanted: list) -> Column:
+    """``column`` is one of few values, in lists short enough to be tested against Bloom filters and statistics."""
+    found = F.lit(False)
+    for k in range(0, len(wanted), PUSHED):
+        found = found | F.col(column).isin(wanted[k : k + PUSHED])
+    return found
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application that driver and executors share.
 
@@ -55,8 +88,8 @@ class Files:
     """The few operations needed, through Hadoop's file system interface."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark._jvm
-        self.fs = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.jvm, self.gateway, self.conf = spark._jvm, spark.sparkContext._gateway, spark._jsc.hadoopConfiguration()
+        self.fs = self.path(root).getFileSystem(self.conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
@@ -79,14 +112,25 @@ class Files:
         return sorted(out)
 
     def write(self, name: str, text: str) -> None:
-        """Write beside a name that is not there yet, then move into place in one step."""
+        """Write beside a name that is not there yet, then move into place in one step that fails if it is."""
         beside = f"{name}.{uuid.uuid4().hex}"
         out = self.fs.create(self.path(beside), True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.exists(name) or not self.fs.rename(self.path(beside), self.path(name)):
+        try:
+            self._place(beside, name)
+        except Py4JJavaError as failed:
             self.delete(beside)
-            raise Conflict(f"{name} is there already")
+            raise Conflict(f"{name} is there already") from failed
+
+    def _place(self, beside: str, name: str) -> None:
+        if self.fs.getUri().getScheme() == "file":  # a hard link, since a rename would replace
+            plain = [self.jvm.java.nio.file.Paths.get(self.path(n).toUri().getPath(), self.gateway.new_array(self.jvm.java.lang.String, 0)) for n in (name, beside)]
+            self.jvm.java.nio.file.Files.createLink(*plain)
+            self.delete(beside)
+        else:
+            context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+            context.rename(self.path(beside), self.path(name), self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
@@ -148,9 +192,9 @@ class Pointer:
 class Store:
     """Named collections below one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, limits: dict[str, int] | None = None):
+    def __init__(self, spark: SparkSession, root: str, limits: dict[str, int] | None = None, retention: float = 3600.0, most: int | None = None):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
-        self.limits = LENGTHS if limits is None else limits
+        self.limits, self.retention, self.most = LENGTHS if limits is None else limits, retention, most
 
     def _at(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -167,16 +211,21 @@ class Store:
     def describe(self, name: str) -> dict:
         return self._current(name)[1]
 
+    # ------------------------------------------------------------ collections
+
     def create(self, name: str, dimension: int, hybrid: bool = True, description: str = "") -> None:
         if self.has(name):
             raise ValueError(f"collection {name!r} exists")
-        self._pointer(name).move(0, {"name": name, "dimension": dimension, "hybrid": hybrid, "description": description, "version": None, "parts": [], "totals": {}, "at": time.time()})
+        if not self.within_limit():
+            raise LimitReached(f"the limit of {self.most} collections is reached: clear one first")
+        self._pointer(name).move(0, {"name": name, "dimension": dimension, "hybrid": hybrid, "description": description, "version": None, "parts": {}, "gone": {}, "retired": {}, "at": time.time()})
 
     def has(self, name: str) -> bool:
         return self._pointer(name).exists()
 
-    def list(self) -> list[str]:
-        return [n for n in self.files.names(self.root) if self.has(n)]
+    def list(self, prefix: str = "") -> list[str]:
+        """Names of collections, by default of all."""
+        return [n for n in self.files.names(self.root) if n.startswith(prefix) and self.has(n)]
 
     def drop(self, name: str) -> None:
         self.files.delete(self._at(name))
@@ -184,12 +233,109 @@ class Store:
     def clear(self, name: str) -> None:
         """Drop all rows, keep the collection."""
         at, about = self._current(name)
-        self._pointer(name).move(at, about | {"version": None, "parts": [], "totals": {}})
+        self._commit(name, at, about, {}, {})
+
+    def within_limit(self, most: int | None = None) -> bool:
+        """Whether one more collection is allowed: by ``most``, or else by the store's own limit."""
+        most = self.most if most is None else most
+        return most is None or len(self.list()) < most
+
+    def ready(self, name: str, wait: float = 0.0, pause: float = 0.5, longest: float = 5.0) -> bool:
+        """Whether the collection and all of its parts can be read, asked again after growing pauses for up to ``wait`` seconds."""
+        until = time.time() + wait
+        while True:
+            if self.has(name) and all(self.files.exists(f"{self._at(name)}/{p}") for p in self.describe(name)["parts"]):
+                return True
+            left = until - time.time()
+            if left <= 0:
+                return False
+            time.sleep(min(pause, left))
+            pause = min(1.5 * pause, longest)
+
+    def check(self) -> None:
+        """Write, read and delete a small file: raises where the root can't be used."""
+        probe = f"{self.root}/.probe-{uuid.uuid4().hex}"
+        self.files.write(probe, "ok")
+        try:
+            if self.files.read(probe) != "ok":
+                raise OSError(f"{self.root} does not keep what is written")
+        finally:
+            self.files.delete(probe)
+
+    # ------------------------------------------------------------ reading
+
+    def _paths(self, name: str, parts, kind: str = "") -> list[str]:
+        return [f"{self._at(name)}/{kind}{p}" for p in parts]
+
+    def _live(self, name: str, about: dict, schema: str, kind: str = "", where: Column | None = None, rows=None) -> DataFrame:
+        """Rows of all parts but deleted ones, with ``part``; ``rows`` turns what is stored into rows with an id."""
+        reader, empty = self.spark.read.schema(schema), self.spark.createDataFrame([], f"{schema}, part string")
+        dirty = sorted({p for g in about["gone"].values() for p in g} & about["parts"].keys())
+        clean = [p for p in about["parts"] if p not in dirty]
+        part = F.regexp_extract(F.col("_metadata.file_path"), "part-[0-9a-f]+", 0)
+
+        def stored(parts: list[str]) -> DataFrame:
+            found = reader.parquet(*self._paths(name, parts, kind)).withColumn("part", part) if parts else empty
+            found = found if where is None else found.filter(where)
+            return rows(found) if rows else found
+
+        if not dirty:
+            return stored(clean)
+        gone = self._gone(name, about)
+        kept = stored(dirty).join(gone, ["part", "id"], "left_anti")
+        return stored(clean).unionByName(kept) if clean else kept
+
+    def _gone(self, name: str, about: dict) -> DataFrame:
+        gone = self.spark.read.schema(GONE_SCHEMA).parquet(*self._paths(name, about["gone"]))
+        few = sum(n for g in about["gone"].values() for n, _ in g.values()) <= SENT_ROWS
+        return F.broadcast(gone) if few else gone
 
     def read(self, name: str) -> DataFrame:
-        parts = self.describe(name)["parts"]
-        reader = self.spark.read.schema(CHUNK_SCHEMA)
-        return reader.parquet(*[f"{self._at(name)}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], CHUNK_SCHEMA)
+        return self._live(name, self.describe(name), PART_SCHEMA).drop("part", "n_terms")
+
+    def fetch(self, name: str, wanted: list[str]) -> DataFrame:
+        """The rows with these ids (few), by reading the row groups that may hold them."""
+        return self._live(name, self.describe(name), PART_SCHEMA, where=any_of("id", wanted)).drop("part", "n_terms")
+
+    def query(self, name: str, where=None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+        """Filtered rows by id; without a filter at most the query cap."""
+        rows = self.read(name)
+        rows = rows if where is None else rows.filter(where)
+        rows = rows.select(*columns) if columns else rows
+        most = limit if limit is not None else values.QUERY_CAP if where is None else None
+        return rows if most is None else (rows.orderBy("id") if "id" in rows.columns else rows).limit(most)
+
+    def blocks(self, name: str) -> DataFrame:
+        """The full-text index as it is stored: blocks of postings with their bounds, deleted rows included."""
+        about = self.describe(name)
+        if not about["hybrid"]:
+            raise ValueError(f"collection {name!r} has no full-text index")
+        return self._live(name, about | {"gone": {}}, BLOCK_SCHEMA, "terms-")
+
+    def gone(self, name: str) -> DataFrame | None:
+        """(part, id) of deleted rows that parts still hold; None if there are none."""
+        about = self.describe(name)
+        return self._gone(name, about) if about["gone"] else None
+
+    def postings(self, name: str) -> DataFrame:
+        """The full-text index: term, id, tf, and dl (the number of terms of that row)."""
+        about = self.describe(name)
+        if not about["hybrid"]:
+            raise ValueError(f"collection {name!r} has no full-text index")
+        single = lambda blocks: blocks.select("term", "part", F.inline("rows"))
+        return self._live(name, about, BLOCK_SCHEMA, "terms-", rows=single).select("term", "id", "tf", "dl")
+
+    def totals(self, name: str) -> tuple[int, int]:
+        """Rows and terms of the collection, from its pointer."""
+        about = self.describe(name)
+        held = list(about["parts"].values())
+        gone = [g[p] for g in about["gone"].values() for p in g if p in about["parts"]]
+        return tuple(sum(x[k] for x in held) - sum(x[k] for x in gone) for k in (0, 1))
+
+    def count(self, name: str) -> int:
+        return self.totals(name)[0]
+
+    # ------------------------------------------------------------ writing
 
     def validated(self, rows: DataFrame, dimension: int) -> DataFrame:
         """The collection's columns; rows that break a limit raise when they are written."""
@@ -201,80 +347,96 @@ class Store:
         cols = [f.split(" ")[0] for f in CHUNK_SCHEMA.split(", ")]
         return rows.withColumn("id", checked).select(*cols)
 
-    def _written(self, name: str, about: dict, rows: DataFrame) -> tuple[str, list[int]]:
-        """A new part with its full-text index: its name, and its rows and terms."""
+    def _written(self, name: str, about: dict, rows: DataFrame) -> dict[str, list[int]]:
+        """A new part with its full-text index, and its numbers of rows and terms; nothing for no rows."""
         part = f"part-{uuid.uuid4().hex}"
-        at = f"{self._at(name)}/{part}"
-        self.validated(rows, about["dimension"]).write.parquet(at)
-        stored = self.spark.read.schema(CHUNK_SCHEMA).parquet(at)
-        if not about["hybrid"]:
-            return part, [stored.count(), 0]
-        toks = stored.select("id", text_.tokens(F.coalesce("content", F.lit(""))).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-        postings = toks.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        # Dealt by ranges of terms, so that a term lies in few files; a very common one is spread over several.
-        postings.repartitionByRange("term", "id").sortWithinPartitions("term").write.parquet(f"{self._at(name)}/terms-{part}")
-        terms = self._postings(name, [part]).agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-        return part, [stored.count(), terms]
+        at, toks = f"{self._at(name)}/{part}", text_.tokens(F.coalesce("content", F.lit("")))
+        ready = self.validated(rows, about["dimension"]).withColumn("n_terms", F.size(toks).cast("long") if about["hybrid"] else F.lit(0).cast("long"))
+        ready.sortWithinPartitions("id").write.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.enabled#relative_path", "true").parquet(at)
+        stored = self.spark.read.schema(PART_SCHEMA).parquet(at)
+        n, terms = stored.agg(F.count("*"), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+        if about["hybrid"]:
+            spans = max(1, n // (8 * SPAN_ROWS))  # of each length, which a part has about eight common ones of
+            span = F.floor(4 * F.log2(F.col("n_terms") + 1)) * spans + F.pmod(F.xxhash64("id"), F.lit(spans))
+            single = stored.select("id", F.col("n_terms").alias("dl"), span.cast("long").alias("span"), F.explode(toks).alias("term"))
+            single = single.groupBy("term", "span", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+            made = single.groupBy("term", "span").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("rows"))
+            # Dealt by ranges of terms, so that a term lies in few files; a very common one is spread over several.
+            made.repartitionByRange("term", "span").sortWithinPartitions("term", "span").write.parquet(f"{self._at(name)}/terms-{part}")
+        return {part: [n, terms]}
+
+    def _commit(self, name: str, at: int, about: dict, parts: dict, gone: dict) -> None:
+        """Make these parts and deletions current; what is no longer needed is retired, and goes once ``retention`` is over."""
+        gone = {g: held for g, held in gone.items() if held.keys() & parts.keys()}
+        needed = parts.keys() | gone.keys()
+        retired = about["retired"] | {f: time.time() for f in about["parts"].keys() | about["gone"].keys() if f not in needed}
+        over = [f for f, since in retired.items() if since + self.retention <= time.time()]
+        version = max(parts, default=None) if parts.keys() - about["parts"].keys() else about["version"] if parts else None
+        self._pointer(name).move(at, about | {"version": version, "parts": parts, "gone": gone, "retired": {f: t for f, t in retired.items() if f not in over}})
+        for folder in over:
+            self.files.delete(f"{self._at(name)}/{folder}")
+            self.files.delete(f"{self._at(name)}/terms-{folder}")
 
     def insert(self, name: str, rows: DataFrame) -> None:
         """Append rows; one new part, visible once complete."""
         at, about = self._current(name)
-        part, totals = self._written(name, about, rows)
-        self._pointer(name).move(at, about | {"version": part, "parts": [*about["parts"], part], "totals": about["totals"] | {part: totals}})
+        self._commit(name, at, about, about["parts"] | self._written(name, about, rows), about["gone"])
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """A new version with exactly these rows (which may be derived from the current one)."""
+        """A new state with exactly these rows (which may be derived from the current one)."""
         at, about = self._current(name)
-        part, totals = self._written(name, about, rows)
-        self._pointer(name).move(at, about | {"version": part, "parts": [part], "totals": {part: totals}})
-
-    def _postings(self, name: str, parts: list[str]) -> DataFrame:
-        paths = [f"{self._at(name)}/terms-{p}" for p in parts]
-        return self.spark.read.schema(POSTINGS_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], POSTINGS_SCHEMA)
-
-    def postings(self, name: str) -> DataFrame:
-        """The full-text index: term, id, tf, and dl (the number of terms of that row)."""
-        about = self.describe(name)
-        if not about["hybrid"]:
-            raise ValueError(f"collection {name!r} has no full-text index")
-        return self._postings(name, about["parts"])
-
-    def totals(self, name: str) -> tuple[int, int]:
-        """Rows and terms of the collection, from its pointer."""
-        counted = self.describe(name)["totals"].values()
-        return sum(n for n, _ in counted), sum(t for _, t in counted)
+        self._commit(name, at, about, self._written(name, about, rows), {})
+
+    def _deleted(self, name: str, about: dict, column: str, stale: list[str] | DataFrame) -> dict:
+        """A deletion vector for the rows whose ``column`` has one of these values, and its counts by part."""
+        rows = lambda found: found.select("part", column, "n_terms", *([] if column == "id" else ["id"]))
+        if isinstance(stale, DataFrame):
+            keys = stale.select(column).distinct()
+            few = [r[0] for r in keys.limit(10 * PUSHED + 1).collect()]
+            stale = few if len(few) <= 10 * PUSHED else keys
+        if isinstance(stale, DataFrame):
+            hit = self._live(name, about, PART_SCHEMA, rows=rows).join(stale, column, "left_semi")
+        else:
+            hit = self._live(name, about, PART_SCHEMA, where=any_of(column, stale), rows=rows)
+        folder = f"gone-{uuid.uuid4().hex}"
+        hit.select("part", "id", "n_terms").write.parquet(f"{self._at(name)}/{folder}")
+        counts = self.spark.read.schema(f"{GONE_SCHEMA}, n_terms long").parquet(f"{self._at(name)}/{folder}").groupBy("part").agg(F.count("*"), F.sum("n_terms")).collect()  # one row for each part
+        if not counts:
+            self.files.delete(f"{self._at(name)}/{folder}")
+            return {}
+        return {folder: {part: [n, terms] for part, n, terms in counts}}
 
     def delete(self, name: str, ids: list[str] | DataFrame) -> None:
-        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id string")
-        self.replace(name, self.read(name).join(gone.select("id"), "id", "left_anti"))
+        """Delete rows by id: their ids are written, nothing else is."""
+        self.change(name, "id", ids)
 
-    def query(self, name: str, where=None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
-        """Filtered rows by id; without a filter at most the query cap."""
-        rows = self.read(name)
-        rows = rows if where is None else rows.filter(where)
-        rows = rows.select(*columns) if columns else rows
-        most = limit if limit is not None else values.QUERY_CAP if where is None else None
-        return rows if most is None else (rows.orderBy("id") if "id" in rows.columns else rows).limit(most)
-
-    def count(self, name: str) -> int:
-        return self.totals(name)[0]
+    def change(self, name: str, column: str, stale: list[str] | DataFrame, rows: DataFrame | None = None) -> None:
+        """In one commit, delete the rows whose ``column`` has one of the stale values, and append ``rows``."""
+        at, about = self._current(name)
+        gone = self._deleted(name, about, column, stale)
+        new = {} if rows is None else self._written(name, about, rows)
+        if gone or new:
+            self._commit(name, at, about, about["parts"] | new, about["gone"] | gone)
 
-    def ready(self, name: str, wait: float = 0.0, pause: float = 0.5) -> bool:
-        """Whether the collection can be read, waiting up to ``wait`` seconds for another writer to create it."""
-        until = time.time() + wait
-        while not self.has(name):
-            if time.time() >= until:
-                return False
-            time.sleep(pause)
-        return all(self.files.exists(f"{self._at(name)}/{p}") for p in self.describe(name)["parts"])
+    def compact(self, name: str, share: float = GONE_SHARE, most: int = MOST_PARTS) -> list[str]:
+        """Rewrite parts that are mostly deleted, and the smaller half where there are more than ``most``; returns what was rewritten."""
+        at, about = self._current(name)
+        lost = {p: sum(g[p][0] for g in about["gone"].values() if p in g) for p in about["parts"]}
+        old = {p for p, (n, _) in about["parts"].items() if not n or lost[p] > share * n}
+        if len(about["parts"]) - len(old) > most:
+            old |= set(sorted(about["parts"], key=lambda p: about["parts"][p][0])[: len(about["parts"]) // 2])
+        if old:
+            rows = self._live(name, about | {"parts": {p: about["parts"][p] for p in old}}, PART_SCHEMA)
+            kept = {p: n for p, n in about["parts"].items() if p not in old}
+            left = any(about["parts"][p][0] > lost[p] for p in old)
+            self._commit(name, at, about, kept | (self._written(name, about, rows) if left else {}), about["gone"])
+        return sorted(old)
 
     def vacuum(self, name: str) -> None:
-        """Delete folders that no longer belong to the current version."""
-        about = self.describe(name)
+        """Delete all that does not belong to the current state, also what a failed writer left: no one else may be at it."""
+        at, about = self._current(name)
         for entry in self.files.names(self._at(name)):
-            if entry.startswith(("part-", "terms-")) and entry.removeprefix("terms-") not in about["parts"]:
+            if entry.startswith(("part-", "terms-", "gone-")) and entry.removeprefix("terms-") not in about["parts"].keys() | about["gone"].keys():
                 self.files.delete(f"{self._at(name)}/{entry}")
-
-    def within_limit(self, most: int | None = None) -> bool:
-        """Whether one more collection is allowed."""
-        return most is None or len(self.list()) < most
+        if about["retired"]:
+            self._pointer(name).move(at, about | {"retired": {}})
