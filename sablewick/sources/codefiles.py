@@ -108,6 +108,30 @@ class CodeFilesReader(DataSourceReader):
                 yield relative, None, extension_of(relative), None, str(failed)
 
 
+class StatsReader(CodeFilesReader):
+    """What is known of files without opening them."""
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        for relative, path in self.listed(partition):
+            try:
+                seen = os.stat(path)
+                yield relative, seen.st_size, seen.st_mtime_ns
+            except OSError:
+                continue  # gone since it was listed
+
+
+class CodeStats(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "codestats"
+
+    def schema(self) -> str:
+        return "relative_path string, size long, modified long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return StatsReader(dict(self.options))
+
+
 class CodeFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -127,6 +151,12 @@ def read_tree(spark, path: str, **options):
     return spark.read.format("codefiles").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 
+def read_stats(spark, path: str, **options):
+    """(relative_path, size, modified) of the files below ``path``, none of them opened."""
+    spark.dataSource.register(CodeStats)
+    return spark.read.format("codestats").options(path=path, **{k: str(v) for k, v in options.items()}).load()
+
+
 def root_ignore_patterns(path: str) -> list[str]:
     """Patterns of every ``.*ignore`` file in the root."""
     found: list[str] = []

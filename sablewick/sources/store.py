@@ -100,6 +100,9 @@ class Files:
     def names(self, name: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name))) if self.exists(name) else []
 
+    def make(self, name: str) -> None:
+        self.fs.mkdirs(self.path(name))
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
