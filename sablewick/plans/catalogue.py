@@ -467,12 +467,6 @@ def tiny_chunks(spark, sf_dir):
     return code_files(spark, sf_dir).filter(n > values.LINE_LEAST).select("relative_path", n.cast("long").alias("n"))
 
 
-@query()
-def recursive_split(spark, sf_dir):
-    files = code_files(spark, sf_dir).withColumn("language", paths.language(F.col("relative_path")))
-    return split.Splitter("langchain").chunks(files)
-
-
 @query()
 def syntax_split(spark, sf_dir):
     files = code_files(spark, sf_dir).withColumn("language", paths.language(F.col("relative_path")))

@@ -271,6 +271,8 @@ def result_files(spark, sf_dir):
 
 # ------------------------------------------------------------------ syntax
 
+JS_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8232) || chr(8233)"
+
 #: Each line of a text as a definition that has it as a comment: (language, where, head, line's prefix, rest); ``#`` stands for the line's number.
 GENERATED = {
     "python": ("lang = 'fr'", "def f#(a):", "    # ", "    return \"}\""),
@@ -295,6 +297,60 @@ UNION ALL SELECT relative_path, (2 * n - 1)::BIGINT, sha256(substr(node, 8)), ((
 UNION ALL SELECT relative_path, 0, sha256(node), 1, high::BIGINT FROM java"""
 
 
+def _separators_sql() -> str:
+    listed = []
+    for language, extension in (("python", ".py"), ("typescript", ".ts"), ("java", ".java"), ("text", ".md")):
+        seps = ", ".join("'" + x.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for x in split.separators(language))
+        listed.append(f"('{extension}', '{language}', [{seps}])")
+    return ", ".join(listed)
+
+
+_SIZE, _STEP = values.CHAR_CHUNK, values.CHAR_CHUNK - values.CHAR_OVERLAP
+#: A character that no text holds marks where a text is cut; before two line breaks also within a longer row of them.
+_CUT = "chr(57344)"
+_MARKED = f"""CASE WHEN sep = chr(10) || chr(10) THEN regexp_replace(replace(s, chr(10), {_CUT} || chr(10)), {_CUT} || chr(10) || '([^' || {_CUT} || ']|$)', chr(10) || '\\1', 'g') ELSE replace(s, sep, {_CUT} || sep) END"""
+
+
+@query(f"""WITH RECURSIVE {FILES_SQL}, seps(extension, language, seps) AS (VALUES {_separators_sql()}),
+whole AS (SELECT relative_path, content, language, seps FROM code_files JOIN seps ON regexp_extract(relative_path, '[.][a-z]+$') = extension),
+piece AS (
+  SELECT relative_path, seps, content AS s, 1 AS level, []::BIGINT[] AS ord, []::BIGINT[] AS parent, true AS long FROM whole
+  UNION ALL
+  SELECT relative_path, seps, p.s, level, list_append(ord, p.n), ord, length(p.s) >= {_SIZE}
+  FROM (
+    SELECT relative_path, seps, ord, own + 1 AS level, unnest(list_transform(list_filter(string_split({_MARKED}, {_CUT}), lambda x: x <> ''), lambda x, i: {{'s': x, 'n': i}})) AS p
+    FROM (SELECT *, seps[own] AS sep FROM (SELECT *, list_min(list_filter(range(level, len(seps) + 1), lambda k: seps[k] = '' OR contains(s, seps[k]))) AS own FROM piece WHERE long))
+    WHERE sep <> '')),
+leaf AS (
+  SELECT *, sum(length(s)) OVER (PARTITION BY relative_path ORDER BY ord)::BIGINT - length(s) AS begins
+  FROM piece WHERE NOT long OR (length(s) > 0 AND len(list_filter(range(level, len(seps) + 1), lambda k: seps[k] <> '' AND contains(s, seps[k]))) = 0)),
+placed AS (SELECT relative_path, s, long, begins, parent, ord, (SELECT count(*) FROM piece b WHERE b.relative_path = leaf.relative_path AND b.parent = leaf.parent AND b.long AND len(b.ord) > 0 AND b.ord < leaf.ord) AS before FROM leaf),
+run AS (
+  SELECT relative_path, parent, before, string_agg(s, '' ORDER BY ord) AS t, min(begins) AS begins, list_prepend(0, list(upto ORDER BY ord)) AS q
+  FROM (SELECT *, sum(length(s)) OVER (PARTITION BY relative_path, parent, before ORDER BY ord)::BIGINT AS upto FROM placed WHERE NOT long) GROUP BY ALL),
+fold AS (
+  SELECT relative_path, t, begins, q, 1::BIGINT AS a, len(list_filter(q[2:{_SIZE} + 2], lambda x: x <= {_SIZE}))::BIGINT AS b FROM run
+  UNION ALL
+  SELECT relative_path, t, begins, q, a, a - 1 + len(list_filter(q[a + 1:a + {_SIZE} + 1], lambda x: x - q[a] <= {_SIZE})) AS b
+  FROM (SELECT relative_path, t, begins, q, a + len(list_filter(q[a:b], lambda x: x < greatest(q[b + 1] - {values.CHAR_OVERLAP}, q[b + 2] - {_SIZE}))) AS a FROM fold WHERE b + 1 < len(q))),
+chunk AS (
+  SELECT relative_path, begins + q[a] AS begins, substr(t, q[a] + 1, q[b + 1] - q[a]) AS c FROM fold
+  UNION ALL
+  SELECT relative_path, begins + k * {_STEP}, substr(s, k * {_STEP} + 1, {_SIZE})
+  FROM (SELECT *, unnest(range(0, 1 + greatest(0, ceil((length(s) - {_SIZE}) / {_STEP}))::BIGINT)) AS k FROM leaf WHERE long)),
+lined AS (
+  SELECT relative_path, begins, trim(c, {JS_BLANK}) AS content, begins + length(c) - length(ltrim(c, {JS_BLANK})) AS first FROM chunk WHERE trim(c, {JS_BLANK}) <> ''),
+numbered AS (
+  SELECT l.relative_path, l.begins, l.content, language, len(string_split(substr(w.content, 1, first), chr(10))) AS start_line, len(string_split(l.content, chr(10))) - 1 AS more
+  FROM lined l JOIN whole w USING (relative_path)),
+once AS (SELECT relative_path, min(begins) AS begins, content, language, start_line, start_line + more AS end_line FROM numbered GROUP BY ALL)
+SELECT relative_path, row_number() OVER (PARTITION BY relative_path ORDER BY begins) - 1 AS pos, content, start_line, end_line, language FROM once""")
+def recursive_split(spark, sf_dir):
+    """All files by characters: separators of their language from coarse to fine, neighbours joined level by level, with overlap and lines."""
+    files = code_files(spark, sf_dir).withColumn("language", paths.language(F.col("relative_path")))
+    return split.Splitter("langchain").chunks(files).withColumn("pos", F.col("pos").cast("long"))
+
+
 def _definition(head: str, prefix: str, rest: str):
     return lambda line, i: F.concat(F.replace(F.lit(head + "\n"), F.lit("#"), (i + 1).cast("string")), F.lit(prefix), line, F.lit("\n" + rest))
 
@@ -396,7 +452,6 @@ def sync_paths(spark, sf_dir):
 # ------------------------------------------------------------------ splitters
 
 LARGE, TAIL = values.SYNTAX_CHUNK, values.SYNTAX_OVERLAP
-JS_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8232) || chr(8233)"
 
 
 @query(f"""WITH RECURSIVE {FILES_SQL},
