@@ -123,8 +123,9 @@ class RankArrays:
                 spans.append((max(0, k - self.reach), end, end - self.reach if end < n else n))
             at, of = self.merged([piece[a:b] for a, b, _ in spans])
             base = np.cumsum([0, *(b - a for a, b, _ in spans)])
+            first = np.searchsorted(of, np.arange(len(spans) + 1))  # ``of`` ascends
             for k, (a, _, stable) in enumerate(spans):
-                own = at[of == k] - base[k] + a  # places in the whole piece
+                own = at[first[k] : first[k + 1]] - base[k] + a  # places in the whole piece
                 # ``from_place`` is a true boundary; this block knows the rest if it has that boundary too.
                 if from_place not in own and from_place:
                     end = min(n, max(from_place, stable) + self.reach)
