@@ -488,3 +488,8 @@ def test_whole_sampled_texts_are_learned(spark):
     text = "aa bb cc dd " * 40_000 + "zebrafinch " * 50
     docs = spark.createDataFrame([(1, text, "xx"), (3, "ee ff gg hh " * 30, "yy")], "doc_id long, text string, lang string")
     assert langid.predict(langid.learn_from(docs), ["zebrafinch zebrafinch"])[0] == ["xx"]
+
+
+def test_toxicity_words_beyond_the_basic_plane():
+    """Letters of mathematical script and of old scripts make words; pictures don't."""
+    assert len(toxicity.cut(["\U0001d4cc\U0001d4c4\U0001d4c7\U0001d4b9 plain \U00010330\U00010331 \U0001f600"]).size) == 3
