@@ -25,18 +25,19 @@ index's have no direction: they are stored in cell -1, which no search reads.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sablewick.operators.search import QUERY_BLOCK
-from sablewick.sources.store import Files
+from sablewick.operators.search import QUERY_BLOCK, dense_topk
+from sablewick.sources.store import Files, Store
 
 MOST_CELLS, SAMPLE_ROWS, PARTS, ENTRIES = 4096, 65_536, 8, 256
 #: Share of nearest neighbours whose cells a search reads, as measured for so many; candidates ranked again for each result.
@@ -276,3 +277,35 @@ def in_blocks(index: VectorIndex, queries: DataFrame, k: int, blocks: int, **opt
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+#: A stored collection is searched without its vector index once more of the indexed rows than these are gone.
+MOST_LOST = 1000
+
+
+def index_collection(store: Store, name: str, **options) -> VectorIndex:
+    """A vector index over all rows of a stored collection, kept with it; rows that come later are searched exactly beside it."""
+    at, about = store._current(name)
+    folder = f"vectors-{uuid.uuid4().hex}"
+    index = VectorIndex.build(store.read(name), f"{store._at(name)}/{folder}", **options)
+    store.set_vectors(name, at, folder, list(about["parts"]))
+    return index
+
+
+def dense_stored(store: Store, name: str, query: Sequence[float], k: int, *, where: Column | None = None, threshold: float | None = None) -> DataFrame:
+    """``dense_topk`` over a stored collection, by its vector index where it has one.
+
+    What the index finds is read by id from the parts that it covers, so deleted rows
+    are left out and scores are exact; other parts are read whole.  With a filter,
+    which has to come before the ranking, all rows that pass it are read.
+    """
+    about = store.describe(name)
+    vectors = about.get("vectors")
+    covered = [p for p in vectors["parts"] if p in about["parts"]] if vectors else []
+    if not covered or where is not None or store.lost(name, covered) > MOST_LOST or len(covered) < len(vectors["parts"]):
+        return dense_topk(store.read(name), query, k, where=where, threshold=threshold)
+    asked = store.spark.createDataFrame([(0, [float(x) for x in query])], "query_id int, query_vector array<double>")
+    found = VectorIndex(store.spark, f"{store._at(name)}/{vectors['folder']}").search(asked, k + store.lost(name, covered))
+    some = [r["id"] for r in found.select("id").collect()]  # k and MOST_LOST at most
+    rows = store.fetch(name, some, covered).unionByName(store.read(name, [p for p in about["parts"] if p not in covered]))
+    return dense_topk(rows, query, k, threshold=threshold)

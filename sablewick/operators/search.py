@@ -256,18 +256,19 @@ def weighted(legs: Sequence[DataFrame], weights: Sequence[float], k: int, *, id_
     return both.groupBy(id_col).agg(F.sum("part").alias("score")).orderBy(F.desc("score"), F.col(id_col)).limit(k)
 
 
-def hybrid(docs: DataFrame, query: str, query_vector: Sequence[float], k: int, *, id_col: str = "id", text_col: str = "content", vector_col: str = "vector", where: Column | None = None, rerank: str = "rrf", weights: Sequence[float] = (0.5, 0.5), rank_constant: int = values.RRF_K, index: tuple[DataFrame, tuple[int, int], DataFrame | None] | None = None, drop_ratio: float = 0.0) -> DataFrame:
+def hybrid(docs: DataFrame, query: str, query_vector: Sequence[float], k: int, *, id_col: str = "id", text_col: str = "content", vector_col: str = "vector", where: Column | None = None, rerank: str = "rrf", weights: Sequence[float] = (0.5, 0.5), rank_constant: int = values.RRF_K, index: tuple[DataFrame, tuple[int, int], DataFrame | None] | None = None, drop_ratio: float = 0.0, dense: DataFrame | None = None) -> DataFrame:
     """Dense and full-text legs of ``k`` rows each, both filtered first, fused to ``k`` rows.
 
     ``index`` are a collection's blocks of postings, its totals and its deleted
-    rows; without it texts are read.
+    rows; without it texts are read.  ``dense`` is that leg where it is known already.
     """
     if index is None:
         sparse = bm25_topk(docs, query, k, id_col=id_col, text_col=text_col, where=where)
     else:
         blocks, totals, gone = index
         sparse = bm25_pruned(blocks, totals, query, k, gone=gone, only=None if where is None else docs.filter(where), drop_ratio=drop_ratio)
-    legs = [dense_topk(docs, query_vector, k, id_col=id_col, vector_col=vector_col, where=where).select(id_col, "score"), sparse]
+    dense = dense_topk(docs, query_vector, k, id_col=id_col, vector_col=vector_col, where=where) if dense is None else dense
+    legs = [dense.select(id_col, "score"), sparse]
     return rrf(legs, k, id_col=id_col, rank_constant=rank_constant) if rerank == "rrf" else weighted(legs, weights, k, id_col=id_col)
 
 

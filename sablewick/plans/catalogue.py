@@ -58,14 +58,19 @@ def collection(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
     if not store.has(name):
         store.create(name, DIM)
     if store.describe(name)["version"] is None:
-        rows = code_files(spark, sf_dir).select(
-            F.col("doc_id").cast("string").alias("id"), HashEmbedder(DIM).column()(F.col("content")).alias("vector"), "content", "relative_path", F.lit(1).cast("long").alias("start_line"),
-            text_.line_count(F.col("content")).cast("long").alias("end_line"), paths.extension(F.col("relative_path")).alias("file_extension"), F.to_json(F.struct(F.col("lang").alias("language"))).alias("metadata"),
-        )
-        store.insert(name, rows)
+        fill(store, name, spark, sf_dir)
     return store, name
 
 
+def fill(store: Store, name: str, spark: SparkSession, sf_dir: str) -> None:
+    """Put ``code_files`` with vectors into an empty collection."""
+    rows = code_files(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("id"), HashEmbedder(DIM).column()(F.col("content")).alias("vector"), "content", "relative_path", F.lit(1).cast("long").alias("start_line"),
+        text_.line_count(F.col("content")).cast("long").alias("end_line"), paths.extension(F.col("relative_path")).alias("file_extension"), F.to_json(F.struct(F.col("lang").alias("language"))).alias("metadata"),
+    )
+    store.insert(name, rows)
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.when(F.col("lang") == "en", ".md").when(F.col("lang") == "fr", ".py").when(F.col("lang") == "de", ".ts").otherwise(".java")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), ext))

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sablewick.functions import ids, paths, values
 from sablewick.functions.embed import Embedder, HashEmbedder
+from sablewick.operators import ann
 from sablewick.operators import search as search_
 from sablewick.operators import split as split_
 from sablewick.operators import sync as sync_
@@ -69,6 +70,7 @@ class Config:
     on_error: str = "fail"  # or "skip": leave out chunks whose embedding fails; the next syncs try them again
     retry_minutes: float = 1.0  # before the first further try; doubled with each
     most_collections: int | None = None
+    vector_index: bool = False  # build a vector index when a tree has been indexed; what syncs add is searched beside it
     home: str = field(default_factory=lambda: os.path.expanduser("~/.context"))
 
     def all_extensions(self) -> list[str]:
@@ -241,6 +243,8 @@ class Engine:
                             self._note(self._key(path), lost.withColumn("error", F.lit("embedding failed")), self.failed(path))
                 if not missing.isEmpty():
                     self._note(self._key(path), missing, self.failed(path))
+                if self.config.vector_index:
+                    ann.index_collection(self.store, name)
                 self._record(self._key(path), files.select("relative_path", "hash"))  # after the chunks: a failure before is tried again
                 if not self.store.ready(name, wait=60.0):
                     raise TimeoutError(f"collection {name!r} can't be read")
@@ -269,11 +273,14 @@ class Engine:
         """Search one collection by its name."""
         if not self.store.has(name):
             return self.spark.createDataFrame([], RESULTS)
+        return self._found(name, query, k, filter_expr)
+
+    def _found(self, name: str, query: str, k: int, filter_expr: str | None, threshold: float | None = None, rerank: str = "rrf") -> DataFrame:
         docs, where, vector = self.store.read(name), parse_filter(filter_expr), self.embedder.embed(query)
         if self.config.hybrid:
-            top = search_.hybrid(docs, query, vector, k, where=where, index=self.full_text(name))
+            top = search_.hybrid(docs, query, vector, k, where=where, rerank=rerank, index=self.full_text(name), dense=ann.dense_stored(self.store, name, vector, k, where=where))
         else:
-            top = search_.dense_topk(docs, vector, k, where=where).select("id", "score")
+            top = ann.dense_stored(self.store, name, vector, k, where=where, threshold=threshold).select("id", "score")
         return search_.as_results(top, docs.withColumn("language", F.get_json_object("metadata", "$.language")))
 
     def full_text(self, name: str) -> tuple[DataFrame, tuple[int, int], DataFrame | None] | None:
@@ -381,14 +388,7 @@ class Engine:
         name = self.collection_name(path)
         if not self.store.has(name):
             return self.spark.createDataFrame([], RESULTS)
-        where = parse_filter(filter_expr)
-        docs, vector = self.store.read(name), self.embedder.embed(query)
-        if self.config.hybrid:
-            top = search_.hybrid(docs, query, vector, k, where=where, rerank=rerank, index=self.full_text(name))
-        else:
-            top = search_.dense_topk(docs, vector, k, where=where, threshold=threshold).select("id", "score")
-        shown = docs.withColumn("language", F.get_json_object("metadata", "$.language"))
-        return search_.as_results(top, shown)
+        return self._found(name, query, k, filter_expr, threshold, rerank)
 
     def search_tool(self, path: str, query: str, limit: int = values.TOOL_LIMIT, extension_filter: list[str] | None = None) -> DataFrame:
         """Search as the tool offers it: at most 50 rows, optionally of some extensions."""

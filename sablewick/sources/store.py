@@ -293,12 +293,17 @@ class Store:
         few = sum(n for g in about["gone"].values() for n, _ in g.values()) <= SENT_ROWS
         return F.broadcast(gone) if few else gone
 
-    def read(self, name: str) -> DataFrame:
-        return self._live(name, self.describe(name), PART_SCHEMA).drop("part", "n_terms")
+    def _of(self, name: str, parts: list[str] | None) -> dict:
+        about = self.describe(name)
+        return about if parts is None else about | {"parts": {p: n for p, n in about["parts"].items() if p in parts}}
+
+    def read(self, name: str, parts: list[str] | None = None) -> DataFrame:
+        """The rows, by default of all parts."""
+        return self._live(name, self._of(name, parts), PART_SCHEMA).drop("part", "n_terms")
 
-    def fetch(self, name: str, wanted: list[str]) -> DataFrame:
+    def fetch(self, name: str, wanted: list[str], parts: list[str] | None = None) -> DataFrame:
         """The rows with these ids (few), by reading the row groups that may hold them."""
-        return self._live(name, self.describe(name), PART_SCHEMA, where=any_of("id", wanted)).drop("part", "n_terms")
+        return self._live(name, self._of(name, parts), PART_SCHEMA, where=any_of("id", wanted)).drop("part", "n_terms")
 
     def query(self, name: str, where=None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Filtered rows by id; without a filter at most the query cap."""
@@ -421,6 +426,18 @@ class Store:
         if gone or new:
             self._commit(name, at, about, about["parts"] | new, about["gone"] | gone)
 
+    def set_vectors(self, name: str, at: int, folder: str, parts: list[str]) -> None:
+        """Make a vector index over these parts current, if nothing was committed since ``at``; the one before is retired."""
+        about = self._current(name)[1]
+        old = about.get("vectors", {}).get("folder")
+        retired = about["retired"] | ({old: time.time()} if old else {})
+        self._pointer(name).move(at, about | {"vectors": {"folder": folder, "parts": parts}, "retired": retired})
+
+    def lost(self, name: str, parts: list[str]) -> int:
+        """How many rows of these parts are gone, deleted or with their part."""
+        about = self.describe(name)
+        return sum(n for g in about["gone"].values() for p, (n, _) in g.items() if p in parts and p in about["parts"])
+
     def compact(self, name: str, share: float = GONE_SHARE, most: int = MOST_PARTS) -> list[str]:
         """Rewrite parts that are mostly deleted, and the smaller half where there are more than ``most``; returns what was rewritten."""
         at, about = self._current(name)
@@ -439,7 +456,7 @@ class Store:
         """Delete all that does not belong to the current state, also what a failed writer left: no one else may be at it."""
         at, about = self._current(name)
         for entry in self.files.names(self._at(name)):
-            if entry.startswith(("part-", "terms-", "gone-")) and entry.removeprefix("terms-") not in about["parts"].keys() | about["gone"].keys():
+            if entry.startswith(("part-", "terms-", "gone-", "vectors-")) and entry.removeprefix("terms-") not in about["parts"].keys() | about["gone"].keys() | {about.get("vectors", {}).get("folder")}:
                 self.files.delete(f"{self._at(name)}/{entry}")
         if about["retired"]:
             self._pointer(name).move(at, about | {"retired": {}})

@@ -48,7 +48,7 @@ def contents(paths: DataFrame, root: str) -> DataFrame:
 
 
 class ChangeLog:
-    """The changes of one tree, below one folder: ``changes/v=<number>`` and the state they lead to."""
+    """The changes of one tree, below one folder: ``changes/version-<number>`` and the state they lead to."""
 
     def __init__(self, spark: SparkSession, path: str, folder: str, **options):
         self.spark, self.path, self.folder, self.options = spark, os.path.abspath(path), folder.rstrip("/"), options
@@ -57,8 +57,8 @@ class ChangeLog:
 
     def version(self) -> int:
         """The number of the last version, 0 before the first."""
-        found = [n for n in self.states.files.names(self.changes) if n.startswith("v=")]
-        return max((int(n.removeprefix("v=")) for n in found if self.states.files.exists(f"{self.changes}/{n}/_SUCCESS")), default=0)
+        found = [n for n in self.states.files.names(self.changes) if n.startswith("version-")]
+        return max((int(n.removeprefix("version-")) for n in found if self.states.files.exists(f"{self.changes}/{n}/_SUCCESS")), default=0)
 
     def advance(self) -> int:
         """Write what has changed as the next version, if anything has; returns the last version's number."""
@@ -79,7 +79,7 @@ class ChangeLog:
             return at
         if not rows.isEmpty():
             at += 1
-            rows.write.mode("overwrite").parquet(f"{self.changes}/v={at:012d}")
+            rows.write.mode("overwrite").parquet(f"{self.changes}/version-{at:012d}")
         # What was read has its new size, time and hash; what could not be read keeps what was recorded, and is tried again.
         known = stats.join(fresh.select("relative_path", "hash"), "relative_path").select("relative_path", "size", "modified", "hash")
         kept = old.join(known, "relative_path", "left_anti").join(stats, "relative_path", "left_semi")
@@ -88,7 +88,7 @@ class ChangeLog:
 
     def stream(self) -> DataFrame:
         """All versions, as a stream."""
-        return self.spark.readStream.schema(CHANGES).parquet(self.changes)
+        return self.spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").parquet(self.changes)
 
 
 class Poller:

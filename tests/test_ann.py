@@ -70,3 +70,31 @@ def test_further_rows_and_none(spark, folder):
     assert empty.exists() and empty.search(spark.createDataFrame([(1, [1.0])], "query_id long, query_vector array<float>"), 3).collect() == []
     with pytest.raises(ValueError):
         index.search(spark.range(ann.QUERY_BLOCK + 5).selectExpr("id AS query_id", "array(1.0f) AS query_vector"), 3)
+
+
+def test_collection_with_index(spark, tmp_path):
+    """Rows added later are found, deleted ones aren't, and a filter comes before the ranking."""
+    from pyspark.sql import functions as F
+
+    from sablewick.sources.store import CHUNK_SCHEMA, Store
+
+    s = Store(spark, str(tmp_path))
+    s.create("c", 16, hybrid=False)
+    rows = lambda some: spark.createDataFrame([(str(i), v, "text", f"{i % 7}.py", 1, 1, ".py", "{}") for i, v in some], CHUNK_SCHEMA)
+    own = clustered(2000)
+    s.insert("c", rows(own))
+    ann.index_collection(s, "c")
+    query = own[40][1]
+    found = lambda **o: [r["id"] for r in ann.dense_stored(s, "c", query, 5, **o).collect()]
+    exact = lambda **o: [r["id"] for r in search.dense_topk(s.read("c"), query, 5, **o).collect()]
+    assert found()[0] == "40" and len(set(found()) & set(exact())) >= 4
+    s.insert("c", rows([(9000, query)]))
+    s.delete("c", [exact()[2]])
+    assert set(found()[:2]) == {"40", "9000"} and found() == [x for x in found() if x in {r["id"] for r in s.read("c").select("id").collect()}]
+    where = F.col("relative_path") == "3.py"
+    assert found(where=where) == exact(where=where)
+    s.delete("c", ["40"])
+    s.compact("c", share=0.0)  # the indexed part is gone: the whole collection is read
+    assert found() == exact()
+    s.vacuum("c")
+    assert found() == exact()
