@@ -44,10 +44,12 @@ HIDDEN = {
 }
 TOKENS = {name: re.compile(hidden + PLAIN.replace(r"\d[\w.]*", r"\d(?:[\w.]|'\d)*" if name == "cpp" else r"\d[\w.]*")) for name, hidden in HIDDEN.items()}
 TOKENS["typescript"] = TOKENS["javascript"]
-TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*(?:`|\$\{|\Z)")
+TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*(?:`|\$\{|\\?\Z)")
 PATTERN = re.compile(r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
 BEFORE_PATTERN = {"return", "typeof", "case", "in", "of", "do", "else", "void", "delete", "throw", "new", "yield", "await"}
 NESTED = re.compile(r"/\*|\*/")
+#: Items of a statement that are looked at for what it defines.
+HEAD = 64
 CLOSES = {"{": "}", "(": ")", "[": "]"}
 
 
@@ -257,7 +259,10 @@ class Reader:
 
     def closes(self, kind: str, items: list[int], at: int, stop: int) -> bool:
         """Whether a statement ends with the braces it has just had."""
-        t, (word, k) = self.t, self.head(items)
+        t = self.t
+        # A statement may hold any number of braces: its head and its end tell.
+        items = items if len(items) <= HEAD + 4 else items[:HEAD] + items[-4:]
+        word, k = self.head(items)
         texts = [t.text[i] for i in items]
         if len(items) == 1:
             return True
@@ -327,9 +332,10 @@ class Reader:
         """Brackets of a statement with values: bodies of anonymous classes hold members, others statements."""
         t = self.t
         texts = [t.text[i] for i in items]
+        new = texts.index("new") if "new" in texts else len(texts)
         for n, i in enumerate(items):
             if t.match[i] >= 0:
-                made = texts[n] == "{" and n and texts[n - 1] == "(" and "new" in texts[:n] and not {"->", "=>"} & {texts[max(0, n - 2)]}
+                made = texts[n] == "{" and n and texts[n - 1] == "(" and new < n and not {"->", "=>"} & {texts[max(0, n - 2)]}
                 self.inside("expr" if texts[n] != "{" else "class" if made and self.language == "java" or kind == "class" and n and texts[n - 1] != "=" and self.language == "java" and t.kind[items[n - 1]] == "word" else "block", i)
 
     def csharp(self, kind: str, items: list[int]) -> None:
@@ -349,7 +355,7 @@ class Reader:
         body, last = self.braces(items), self.last(items[-1])
         first = 0
         while first < k and t.text[items[first]] == "#":
-            first += 2 + (t.text[items[first + 1]] == "!")
+            first += 2 + (first + 1 < k and t.text[items[first + 1]] == "!")
         name = {"impl": "impl_item", "struct": "struct_item", "enum": "enum_item", "trait": "trait_item", "mod": "mod_item", "fn": "function_item"}.get(word, "")
         if name and first < len(items) and not (word == "fn" and body is None):
             self.node(name, items[first], last)
@@ -364,9 +370,10 @@ class Reader:
             self.node("method_declaration" if len(items) > 1 and t.text[items[1]] == "(" else "function_declaration", items[0], self.last(end[-1]))
         texts = [t.text[i] for i in items]
         called = kind == "top" and word == "func"
+        func = texts.index("func") if "func" in texts else len(texts)
         for n, i in enumerate(items):
             if t.match[i] >= 0:
-                body = texts[n] == "{" and (called or "func" in texts[:n] or texts[0] in ("if", "for", "switch", "select", "else", "{") or n == 0)
+                body = texts[n] == "{" and (called or func < n or texts[0] in ("if", "for", "switch", "select", "else", "{") or n == 0)
                 self.inside("block" if body else "expr", i)
 
     def cpp(self, kind: str, items: list[int]) -> None:
@@ -492,6 +499,7 @@ class Reader:
                     begin += begin < len(items) and texts[begin] == "("
                 self.node("method_definition", items[begin], t.match[items[body]])
         self.arrows(kind, items, texts, end)
+        at_class, at_extends = (texts.index(x) if x in texts else len(texts) for x in ("class", "extends"))
         for n, i in enumerate(items):
             if t.match[i] < 0:
                 continue
@@ -499,7 +507,7 @@ class Reader:
                 self.inside("expr", i)
                 continue
             before = texts[n - 1] if n else ""
-            if "class" in texts[:n] and t.kind[items[texts.index("class")]] == "word" and (before not in (")", "=>", "(") or "extends" in texts[:n]):
+            if at_class < n and t.kind[items[at_class]] == "word" and (before not in (")", "=>", "(") or at_extends < n):
                 self.inside("class", i)
             elif n == 0 and kind in ("expr", "object"):
                 self.inside("object", i)

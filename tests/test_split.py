@@ -167,6 +167,13 @@ def test_open_brackets_take_linear_time(language, head):
     assert sum(b - a for a, b, _ in found) <= len(head) * 8000  # and what stays open is no chunk, so chunks don't add up to more than the file
 
 
+@pytest.mark.parametrize("language", sorted(set(NODES) - {"python", "scala"}))
+def test_many_braces_in_one_statement_take_linear_time(language):
+    began = time.process_time()
+    nodes("x = " + "{} + " * 16_000, language)
+    assert time.process_time() - began < 4  # half a second by itself
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="{}()[]<>;:,=\n \"'`/*#@$\\abfnclas", max_size=120), st.sampled_from(sorted(NODES)))
 def test_any_text_is_read(code, language):
