@@ -16,10 +16,13 @@ so a few rows are fetched by reading the row groups that may hold them.
 
 A hybrid collection also has a full-text index beside each of its parts: for each
 term blocks of postings (id, tf, dl) with the largest tf and the smallest dl in
-them, sorted by term, so a search reads the row groups of its own terms, and of
-those only blocks that can matter.  All blocks of a part that hold the same rows
-have the same ``span``; rows of about equal length share one.  How many rows and
-terms a part holds stands in the pointer.
+them.  All blocks of a part that hold the same rows have the same ``span``; rows
+of about equal length share one.  Spans are dealt over shelves, each a folder that
+holds all blocks of its rows, sorted by term: a search reads the pages of its own
+terms on each shelf, and of those only blocks that can matter.  So an index is
+made by exchanging each text once, its postings never, and a row's shelf follows
+from its id.  How many rows and terms a part holds stands in the pointer, and so
+do its numbers of spans and shelves.
 
 One writer at a time: a change that finds another one committed since it began
 raises ``Conflict`` and leaves the collection as that one made it.  That holds on
@@ -33,6 +36,9 @@ import json
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,12 +55,50 @@ BLOCK_SCHEMA = "term string, span long, n long, max_tf long, min_dl long, rows a
 POSTINGS_SCHEMA = "term string, id string, tf long, dl long"
 #: Rows that share a span of postings, about; deleted rows that are sent to every task, at most.
 SPAN_ROWS, SENT_ROWS = 128, 100_000
+#: Characters of the texts of one shelf of a full-text index, about.
+SHELF_CHARS = 16_000_000
+#: Blocks that go from Python to Spark at once.
+BLOCK_BATCH = 20_000
 #: Parts are rewritten when this share of their rows is deleted, or when there are more than so many.
 GONE_SHARE, MOST_PARTS = 0.3, 32
 #: Values of one pushed-down list; Spark tests longer ones by their range only.
 PUSHED = 10
 
 
+def _slot(spans: int) -> Column:
+    """The number of a row's span among those of its length."""
+    return F.pmod(F.xxhash64("id"), F.lit(spans))
+
+
+def _shelf(spans: int, shelves: int) -> Column:
+    return F.pmod(_slot(spans), F.lit(shelves)).cast("int")
+
+
+def _blocks(rows: pa.Table) -> pa.Table:
+    """The blocks of one shelf from its rows (shelf, span, id, dl, words), by term and span."""
+    rows = rows.sort_by([("span", "ascending"), ("id", "ascending")]).combine_chunks()
+    span, dl, name = rows["span"].to_numpy(), rows["dl"].to_numpy(), rows["id"].combine_chunks()
+    words = pc.split_pattern(rows["words"].combine_chunks(), " ")
+    same = np.append(False, (span[1:] == span[:-1]) & (name[1:].to_numpy(zero_copy_only=False) == name[:-1].to_numpy(zero_copy_only=False)))
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))  # an id that is there twice counts as one row
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    key = rank[coded.indices.to_numpy()] * len(rows) + np.repeat(first, pc.list_value_length(words).to_numpy())
+    key.sort()
+    at = np.flatnonzero(np.diff(key, prepend=-1))  # where a posting begins
+    tf = np.diff(at, append=len(key))
+    term, row = np.divmod(key[at], len(rows))
+    head = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(span[row], prepend=-1) != 0))  # where a block begins
+    held = pa.StructArray.from_arrays([name.take(pa.array(row)), pa.array(tf), pa.array(dl[row])], names=["id", "tf", "dl"])
+    blocks = {
+        "shelf": np.full(len(head), rows["shelf"][0].as_py(), np.int32), "term": coded.dictionary.take(pa.array(order[term[head]])), "span": span[row[head]], "n": np.diff(head, append=len(at)),
+        "max_tf": np.maximum.reduceat(tf, head), "min_dl": np.minimum.reduceat(dl[row], head), "rows": pa.ListArray.from_arrays(pa.array(np.append(head, len(at)), pa.int32()), held),
+    }
+    return pa.Table.from_batches(pa.table(blocks).to_batches(max_chunksize=BLOCK_BATCH))
+
+
 class Conflict(RuntimeError):
     """Another writer committed in between."""
 
@@ -272,7 +316,7 @@ class Store:
 
     def _live(self, name: str, about: dict, schema: str, kind: str = "", where: Column | None = None, rows=None) -> DataFrame:
         """Rows of all parts but deleted ones, with ``part``; ``rows`` turns what is stored into rows with an id."""
-        reader, empty = self.spark.read.schema(schema), self.spark.createDataFrame([], f"{schema}, part string")
+        reader, empty = self.spark.read.schema(schema).option("recursiveFileLookup", "true"), self.spark.createDataFrame([], f"{schema}, part string")
         dirty = sorted({p for g in about["gone"].values() for p in g} & about["parts"].keys())
         clean = [p for p in about["parts"] if p not in dirty]
         part = F.regexp_extract(F.col("_metadata.file_path"), "part-[0-9a-f]+", 0)
@@ -360,17 +404,19 @@ class Store:
         part = f"part-{uuid.uuid4().hex}"
         at, toks = f"{self._at(name)}/{part}", text_.tokens(F.coalesce("content", F.lit("")))
         ready = self.validated(rows, about["dimension"]).withColumn("n_terms", F.size(toks).cast("long") if about["hybrid"] else F.lit(0).cast("long"))
-        ready.sortWithinPartitions("id").write.option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.enabled#relative_path", "true").parquet(at)
+        ready.sortWithinPartitions("id").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.enabled#relative_path", "true").parquet(at)
         stored = self.spark.read.schema(PART_SCHEMA).parquet(at)
-        n, terms = stored.agg(F.count("*"), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+        n, terms, chars = stored.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n_terms"), F.length("content"))]).first()
         if about["hybrid"]:
-            spans = max(1, n // (8 * SPAN_ROWS))  # of each length, which a part has about eight common ones of
-            span = F.floor(4 * F.log2(F.col("n_terms") + 1)) * spans + F.pmod(F.xxhash64("id"), F.lit(spans))
-            single = stored.select("id", F.col("n_terms").alias("dl"), span.cast("long").alias("span"), F.explode(toks).alias("term"))
-            single = single.groupBy("term", "span", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-            made = single.groupBy("term", "span").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("rows"))
-            # Dealt by ranges of terms, so that a term lies in few files; a very common one is spread over several.
-            made.repartitionByRange("term", "span").sortWithinPartitions("term", "span").write.parquet(f"{self._at(name)}/terms-{part}")
+            shelves = 1 + max(chars // SHELF_CHARS, 2 * n // SENT_ROWS)
+            spans = max(shelves, n // (8 * SPAN_ROWS))  # of each length, which a part has about eight common ones of
+            span = F.floor(4 * F.log2(F.col("n_terms") + 1)) * spans + _slot(spans)
+            rows = stored.filter("n_terms > 0").select(_shelf(spans, shelves).alias("shelf"), span.cast("long").alias("span"), "id", F.col("n_terms").alias("dl"), "content")
+            # Texts are dealt by shelf, in which all of their postings stay.
+            dealt = rows.repartitionByRange(shelves, "shelf").select("shelf", "span", "id", "dl", F.array_join(toks, " ").alias("words"))
+            made = dealt.groupBy("shelf").applyInArrow(_blocks, f"shelf int, {BLOCK_SCHEMA}")
+            made.sortWithinPartitions("shelf", "term", "span").write.option("compression", "zstd").partitionBy("shelf").parquet(f"{self._at(name)}/terms-{part}")
+            about.setdefault("shelves", {})[part] = [spans, shelves]
         return {part: [n, terms]}
 
     def _commit(self, name: str, at: int, about: dict, parts: dict, gone: dict) -> None:
@@ -380,7 +426,7 @@ class Store:
         retired = about["retired"] | {f: time.time() for f in about["parts"].keys() | about["gone"].keys() if f not in needed}
         over = [f for f, since in retired.items() if since + self.retention <= time.time()]
         version = max(parts, default=None) if parts.keys() - about["parts"].keys() else about["version"] if parts else None
-        self._pointer(name).move(at, about | {"version": version, "parts": parts, "gone": gone, "retired": {f: t for f, t in retired.items() if f not in over}})
+        self._pointer(name).move(at, about | {"version": version, "parts": parts, "shelves": {p: s for p, s in about.get("shelves", {}).items() if p in parts}, "gone": gone, "retired": {f: t for f, t in retired.items() if f not in over}})
         for folder in over:
             self.files.delete(f"{self._at(name)}/{folder}")
             self.files.delete(f"{self._at(name)}/terms-{folder}")
