@@ -35,6 +35,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -321,21 +322,41 @@ class Store:
         clean = [p for p in about["parts"] if p not in dirty]
         part = F.regexp_extract(F.col("_metadata.file_path"), "part-[0-9a-f]+", 0)
 
-        def stored(parts: list[str]) -> DataFrame:
-            found = reader.parquet(*self._paths(name, parts, kind)).withColumn("part", part) if parts else empty
+        def stored(parts: list[str], below: list[str] | None = None) -> DataFrame:
+            at = self._paths(name, parts, kind) if below is None else below
+            found = reader.parquet(*at).withColumn("part", part) if at else empty
             found = found if where is None else found.filter(where)
             return rows(found) if rows else found
 
         if not dirty:
             return stored(clean)
-        gone = self._gone(name, about)
-        kept = stored(dirty).join(gone, ["part", "id"], "left_anti")
-        return stored(clean).unionByName(kept) if clean else kept
+        gone, kept = self._gone(name, about), [stored(clean)] if clean else []
+        runs = [] if self._few(about) or kind != "terms-" else [r for p in dirty for r in self._runs(name, about, p)]
+        for p, below, lost in runs:
+            kept.append(stored([], below).join(F.broadcast(gone.filter((F.col("part") == p) & lost).select("id")), "id", "left_anti"))
+        whole = [p for p in dirty if p not in {r[0] for r in runs}]
+        if whole:
+            kept.append(stored(whole).join(gone, ["part", "id"], "left_anti"))
+        return reduce(DataFrame.unionByName, kept)
+
+    def _runs(self, name: str, about: dict, part: str) -> list[tuple[str, list[str], Column]]:
+        """(part, folders, condition): a part's shelves in runs from which so few rows are deleted that these can be sent, and which those are."""
+        if part not in about.get("shelves", {}):
+            return []
+        spans, shelves = about["shelves"][part]
+        lost = sum(g[part][0] for g in about["gone"].values() if part in g)
+        step = max(1, 4 * SENT_ROWS * shelves // (5 * lost))  # a fifth less, as shelves differ
+        there = {int(f.partition("=")[2]): f for f in self.files.names(f"{self._at(name)}/terms-{part}") if f.startswith("shelf=")}
+        runs = ((k, [f"{self._at(name)}/terms-{part}/{f}" for s, f in there.items() if k <= s < k + step]) for k in range(0, shelves, step))
+        return [(part, below, _shelf(spans, shelves).between(k, k + step - 1)) for k, below in runs if below]
+
+    def _few(self, about: dict) -> bool:
+        """Whether all deleted rows can be sent to every task."""
+        return sum(n for g in about["gone"].values() for n, _ in g.values()) <= SENT_ROWS
 
     def _gone(self, name: str, about: dict) -> DataFrame:
         gone = self.spark.read.schema(GONE_SCHEMA).parquet(*self._paths(name, about["gone"]))
-        few = sum(n for g in about["gone"].values() for n, _ in g.values()) <= SENT_ROWS
-        return F.broadcast(gone) if few else gone
+        return F.broadcast(gone) if self._few(about) else gone
 
     def _of(self, name: str, parts: list[str] | None) -> dict:
         about = self.describe(name)

@@ -67,3 +67,19 @@ def test_shelves(spark, tmp_path, monkeypatch):
     assert [(x["id"], round(x["score"], 9)) for x in top.collect()] == [(x["id"], round(x["score"], 9)) for x in best.collect()]
     files = [f for d, _, names in os.walk(tmp_path) for n in names if (f := f"{d}/{n}").endswith(".parquet")]
     assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files if pq.ParquetFile(f).metadata.num_rows)
+
+
+def test_many_deleted_rows_move_no_postings(spark, tmp_path, monkeypatch):
+    """More deleted rows than are sent at once: each run of shelves is sent its own, from old parts and new ones."""
+    monkeypatch.setattr(stored, "SENT_ROWS", 60)
+    s = Store(spark, str(tmp_path))
+    s.create("c", 1)
+    rows = chunks(spark, 400, F.concat_ws(" ", F.lit("fox"), F.concat(F.lit("w"), F.col("id") % 30)))
+    s.insert("c", rows)
+    s.change("c", "relative_path", rows.filter("id % 2 = 0").select("relative_path"), rows.filter("id % 4 = 0").withColumn("content", F.lit("fox edited")))
+    s.delete("c", rows.filter("id % 4 = 0 OR id % 5 = 1").filter("id < 200").select("id"))
+    left = s.postings("c")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") > 3
+    want = search.postings(s.read("c")).join(search.doc_stats(s.read("c")), "id").select("term", "id", "tf", "dl")
+    assert s.read("c").count() == s.count("c") and sorted(map(tuple, left.collect())) == sorted(map(tuple, want.collect()))
