@@ -128,6 +128,7 @@ def store_totals(spark, sf_dir):
             store.create(r["lang"], 1)
             store.insert(r["lang"], _as_chunks(files.filter(F.col("lang") == r["lang"])))
             found.append((r["lang"], *store.totals(r["lang"])))
+            store.drop(r["lang"])
     return spark.createDataFrame(found, "lang string, n_rows long, n_terms long")
 
 

@@ -83,3 +83,11 @@ def test_many_deleted_rows_move_no_postings(spark, tmp_path, monkeypatch):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and plan.count("BroadcastHashJoin") > 3
     want = search.postings(s.read("c")).join(search.doc_stats(s.read("c")), "id").select("term", "id", "tf", "dl")
     assert s.read("c").count() == s.count("c") and sorted(map(tuple, left.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_one_collection_at_a_time(spark, texts, monkeypatch):
+    """Each language's collection goes before the next one is filled."""
+    seen, insert = [], Store.insert
+    monkeypatch.setattr(Store, "insert", lambda self, *a: (seen.append(len(self.list())), insert(self, *a)))
+    assert sorted(r["n_rows"] for r in catalogue_stored.store_totals(spark, texts[0]).collect()) == [500] * 4
+    assert seen == [1, 1, 1, 1]
