@@ -34,7 +34,7 @@ def texts(spark, tmp_path):
 
 
 #: Queries that make a full-text index.
-INDEXING = ["bm25_pruned", "store_delete"]
+INDEXING = ["bm25_pruned", "store_delete", "bm25_drop_ratio", "weighted_fusion"]
 
 
 @pytest.mark.parametrize("name", INDEXING)
