@@ -35,6 +35,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -58,7 +59,7 @@ POSTINGS_SCHEMA = "term string, id string, tf long, dl long"
 SPAN_ROWS, SENT_ROWS = 128, 100_000
 #: Characters of the texts of one shelf of a full-text index, about.
 SHELF_CHARS = 16_000_000
-#: Blocks that go from Python to Spark at once.
+#: Words whose blocks go from Python to Spark at once, about.
 BLOCK_BATCH = 20_000
 #: Parts are rewritten when this share of their rows is deleted, or when there are more than so many.
 GONE_SHARE, MOST_PARTS = 0.3, 32
@@ -75,29 +76,39 @@ def _shelf(spans: int, shelves: int) -> Column:
     return F.pmod(_slot(spans), F.lit(shelves)).cast("int")
 
 
-def _blocks(rows: pa.Table) -> pa.Table:
-    """The blocks of one shelf from its rows (shelf, span, id, dl, words), by term and span."""
-    rows = rows.sort_by([("span", "ascending"), ("id", "ascending")]).combine_chunks()
-    span, dl, name = rows["span"].to_numpy(), rows["dl"].to_numpy(), rows["id"].combine_chunks()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of one shelf from its rows (shelf, span, id, dl, words), by term and span, those of a few terms at a time."""
+    rows = pa.Table.from_batches(batches).sort_by([("span", "ascending"), ("id", "ascending")]).combine_chunks()
+    size, shelf, span, dl, name = len(rows), rows["shelf"][0].as_py(), rows["span"].to_numpy(), rows["dl"].to_numpy(), rows["id"].combine_chunks()
     words = pc.split_pattern(rows["words"].combine_chunks(), " ")
     same = np.append(False, (span[1:] == span[:-1]) & (name[1:].to_numpy(zero_copy_only=False) == name[:-1].to_numpy(zero_copy_only=False)))
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))  # an id that is there twice counts as one row
-    coded = words.flatten().dictionary_encode()
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(size)))  # an id that is there twice counts as one row
+    times, coded = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
+    del rows, words
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    key = rank[coded.indices.to_numpy()] * len(rows) + np.repeat(first, pc.list_value_length(words).to_numpy())
+    key, terms = rank[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+    del coded
+    key *= size
+    key += np.repeat(first, times)
     key.sort()
-    at = np.flatnonzero(np.diff(key, prepend=-1))  # where a posting begins
-    tf = np.diff(at, append=len(key))
-    term, row = np.divmod(key[at], len(rows))
-    head = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(span[row], prepend=-1) != 0))  # where a block begins
-    held = pa.StructArray.from_arrays([name.take(pa.array(row)), pa.array(tf), pa.array(dl[row])], names=["id", "tf", "dl"])
-    blocks = {
-        "shelf": np.full(len(head), rows["shelf"][0].as_py(), np.int32), "term": coded.dictionary.take(pa.array(order[term[head]])), "span": span[row[head]], "n": np.diff(head, append=len(at)),
-        "max_tf": np.maximum.reduceat(tf, head), "min_dl": np.minimum.reduceat(dl[row], head), "rows": pa.ListArray.from_arrays(pa.array(np.append(head, len(at)), pa.int32()), held),
-    }
-    return pa.Table.from_batches(pa.table(blocks).to_batches(max_chunksize=BLOCK_BATCH))
+    begin = 0
+    while begin < len(key):
+        last = key[min(begin + BLOCK_BATCH, len(key)) - 1] // size
+        end = int(np.searchsorted(key, (last + 1) * size))  # a term's postings stay together
+        part = key[begin:end]
+        at = np.flatnonzero(np.diff(part, prepend=-1))  # where a posting begins
+        tf = np.diff(at, append=len(part))
+        term, row = np.divmod(part[at], size)
+        head = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(span[row], prepend=-1) != 0))  # where a block begins
+        held = pa.StructArray.from_arrays([name.take(pa.array(row)), pa.array(tf), pa.array(dl[row])], names=["id", "tf", "dl"])
+        blocks = {
+            "shelf": np.full(len(head), shelf, np.int32), "term": terms.take(pa.array(term[head])), "span": span[row[head]], "n": np.diff(head, append=len(at)),
+            "max_tf": np.maximum.reduceat(tf, head), "min_dl": np.minimum.reduceat(dl[row], head), "rows": pa.ListArray.from_arrays(pa.array(np.append(head, len(at)), pa.int32()), held),
+        }
+        yield pa.RecordBatch.from_pydict(blocks)
+        begin = end
 
 
 class Conflict(RuntimeError):

@@ -3,6 +3,8 @@
 import glob
 import os
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +71,22 @@ def test_shelves(spark, tmp_path, monkeypatch):
     assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files if pq.ParquetFile(f).metadata.num_rows)
 
 
+def test_blocks_are_made_a_few_terms_at_a_time():
+    """A shelf's blocks are never held at once: what is made of it stands beside its texts, not several times over."""
+    rng = np.random.default_rng(3)
+    words = [" ".join(f"w{x}" for x in rng.integers(0, 30000, 400)) for _ in range(1000)]
+    rows = pa.table({"shelf": pa.array([0] * 1000, pa.int32()), "span": [k % 7 for k in range(1000)], "id": [str(k // 2 * 2 if k > 990 else k) for k in range(1000)], "dl": [400] * 1000, "words": words})
+    seen, blocks, base = [], 0, pa.total_allocated_bytes()
+    for made in stored._blocks(iter(rows.to_batches(max_chunksize=300))):
+        held = list(zip(made["term"].to_pylist(), made["span"].to_pylist()))
+        assert made["n"].to_pylist() == [len(x) for x in made["rows"].to_pylist()] and held == sorted(held) and (not seen or seen[-1] < held[0])
+        blocks += made.num_rows
+        seen.append(held[-1])
+        assert made.nbytes < 0.5 * rows.nbytes and pa.total_allocated_bytes() - base < 2 * rows.nbytes
+    want = {(w, k % 7) for k, text in enumerate(words) for w in text.split(" ")}
+    assert blocks == len(want) and len(seen) > 10
+
+
 def test_many_deleted_rows_move_no_postings(spark, tmp_path, monkeypatch):
     """More deleted rows than are sent at once: each run of shelves is sent its own, from old parts and new ones."""
     monkeypatch.setattr(stored, "SENT_ROWS", 60)
