@@ -113,10 +113,16 @@ class HashEmbedder(Embedder):
         return self.dim
 
     def embed_batch(self, texts: list[str]) -> np.ndarray:
-        """All tokens of the batch in one array: look up, then one weighted count."""
-        tokens = [FIND_TOKENS.findall(t.lower()) for t in texts]
-        many = np.array([len(t) for t in tokens], np.int64)
-        at = np.fromiter(map(BUCKETS.__getitem__, chain.from_iterable(tokens)), np.int64, int(many.sum()))
+        """All tokens of the batch in one array, looked up text by text; then one weighted count."""
+        many: list[int] = []
+
+        def tokens() -> Iterator[list[str]]:
+            for t in texts:
+                found = FIND_TOKENS.findall(t.lower())
+                many.append(len(found))
+                yield found
+
+        at = np.fromiter(map(BUCKETS.__getitem__, chain.from_iterable(tokens())), np.int64)
         row = np.repeat(np.arange(len(texts)), many)
         out = np.bincount(row * self.dim + (at >> 1) % self.dim, 1.0 - 2.0 * (at & 1), len(texts) * self.dim).reshape(len(texts), self.dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))

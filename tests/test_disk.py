@@ -2,6 +2,7 @@
 
 import glob
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from sablewick.functions.embed import HashEmbedder
 from sablewick.operators import search
 from sablewick.plans import catalogue_stored
 from sablewick.plans.catalogue import QUERIES
@@ -87,6 +89,20 @@ def test_blocks_are_made_a_few_terms_at_a_time():
     assert blocks == len(want) and len(seen) > 10
 
 
+def test_embedding_holds_the_tokens_of_one_text():
+    """A batch's tokens become numbers text by text."""
+    texts = [" ".join(f"token{(k * x) % 997}" for x in range(2000)) for k in range(200)]
+    embedder = HashEmbedder(16)
+    one = np.stack([embedder.embed_batch([t])[0] for t in texts])
+    tracemalloc.start()
+    try:
+        found = embedder.embed_batch(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(found, one) and peak < 80 * 200 * 2000
+
+
 def test_many_deleted_rows_move_no_postings(spark, tmp_path, monkeypatch):
     """More deleted rows than are sent at once: each run of shelves is sent its own, from old parts and new ones."""
     monkeypatch.setattr(stored, "SENT_ROWS", 60)
