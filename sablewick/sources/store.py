@@ -17,12 +17,13 @@ so a few rows are fetched by reading the row groups that may hold them.
 A hybrid collection also has a full-text index beside each of its parts: for each
 term blocks of postings (id, tf, dl) with the largest tf and the smallest dl in
 them.  All blocks of a part that hold the same rows have the same ``span``; rows
-of about equal length share one.  Spans are dealt over shelves, each a folder that
-holds all blocks of its rows, sorted by term: a search reads the pages of its own
-terms on each shelf, and of those only blocks that can matter.  So an index is
-made by exchanging each text once, its postings never, and a row's shelf follows
-from its id.  How many rows and terms a part holds stands in the pointer, and so
-do its numbers of spans and shelves.
+of about equal length share one.  A shelf is a folder that holds all blocks of a
+stretch of one of the part's files, sorted by term: a search reads the pages of its
+own terms on each shelf, and of those only blocks that can matter.  So an index is
+made where the texts lie, and neither they nor their postings are exchanged; a
+deletion vector tells the files of its rows, and so their shelves.  Only where an id
+is there twice, rows are dealt by id first, so that it lies in one file.  How many
+rows and terms a part holds stands in the pointer.
 
 One writer at a time: a change that finds another one committed since it began
 raises ``Conflict`` and leaves the collection as that one made it.  That holds on
@@ -35,13 +36,15 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +60,10 @@ BLOCK_SCHEMA = "term string, span long, n long, max_tf long, min_dl long, rows a
 POSTINGS_SCHEMA = "term string, id string, tf long, dl long"
 #: Rows that share a span of postings, about; deleted rows that are sent to every task, at most.
 SPAN_ROWS, SENT_ROWS = 128, 100_000
-#: Characters of the texts of one shelf of a full-text index, about.
-SHELF_CHARS = 16_000_000
+#: Characters of the texts of one shelf of a full-text index, about; numbers kept for the shelves of one file.
+SHELF_CHARS, FILE_SHELVES = 16_000_000, 1_000_000
+#: Bytes of a part's files, which are packed, that one task reads to make shelves.
+SPLIT_BYTES = 8_000_000
 #: Words whose blocks go from Python to Spark at once, about.
 BLOCK_BATCH = 20_000
 #: Parts are rewritten when this share of their rows is deleted, or when there are more than so many.
@@ -67,13 +72,42 @@ GONE_SHARE, MOST_PARTS = 0.3, 32
 PUSHED = 10
 
 
-def _slot(spans: int) -> Column:
-    """The number of a row's span among those of its length."""
-    return F.pmod(F.xxhash64("id"), F.lit(spans))
+def _file() -> Column:
+    """The number of the file in its part that a row stands in."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
 
 
-def _shelf(spans: int, shelves: int) -> Column:
-    return F.pmod(_slot(spans), F.lit(shelves)).cast("int")
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows (file, id, dl, words) in stretches of about ``most`` characters, each of one file; equal ids that follow each other stay together."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        begin = 0
+        for k, (file, name, chars) in enumerate(zip(batch["file"].to_pylist(), batch["id"].to_pylist(), pc.binary_length(batch["words"]).to_pylist())):
+            if last is not None and (file != last[0] or size >= most and name != last[1]):
+                yield [*held, batch.slice(begin, k - begin)]
+                held, size, begin = [], 0, k
+            last, size = (file, name), size + chars
+        held.append(batch.slice(begin))
+    if last is not None:
+        yield held
+
+
+def _shelved(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks of a task's rows (file, id, dl, words), stretch by stretch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans, made = TaskContext.get().partitionId() << 32, defaultdict(int)  # of a file's stretches, so many so far
+        for held in _stretches(batches, most):
+            rows = pa.Table.from_batches(held)
+            file, name, dl = rows["file"][0].as_py(), rows["id"].to_numpy(), rows["dl"].to_numpy()
+            slots = max(1, len(rows) // (8 * SPAN_ROWS))  # of each length, which a stretch has about eight common ones of
+            row = np.cumsum(np.append(0, name[1:] != name[:-1]))
+            span = np.unique(np.floor(4 * np.log2(dl + 1)).astype(np.int64) * slots + row % slots, return_inverse=True)[1]
+            shelf = np.full(len(rows), file * FILE_SHELVES + made[file])
+            yield from _blocks(iter(rows.append_column("shelf", pa.array(shelf)).append_column("span", pa.array(spans + span)).to_batches()))
+            spans, made[file] = spans + int(span.max()) + 1, made[file] + 1
+
+    return work
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +138,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(span[row], prepend=-1) != 0))  # where a block begins
         held = pa.StructArray.from_arrays([name.take(pa.array(row)), pa.array(tf), pa.array(dl[row])], names=["id", "tf", "dl"])
         blocks = {
-            "shelf": np.full(len(head), shelf, np.int32), "term": terms.take(pa.array(term[head])), "span": span[row[head]], "n": np.diff(head, append=len(at)),
+            "shelf": np.full(len(head), shelf), "term": terms.take(pa.array(term[head])), "span": span[row[head]], "n": np.diff(head, append=len(at)),
             "max_tf": np.maximum.reduceat(tf, head), "min_dl": np.minimum.reduceat(dl[row], head), "rows": pa.ListArray.from_arrays(pa.array(np.append(head, len(at)), pa.int32()), held),
         }
         yield pa.RecordBatch.from_pydict(blocks)
@@ -327,46 +361,60 @@ class Store:
         return [f"{self._at(name)}/{kind}{p}" for p in parts]
 
     def _live(self, name: str, about: dict, schema: str, kind: str = "", where: Column | None = None, rows=None) -> DataFrame:
-        """Rows of all parts but deleted ones, with ``part``; ``rows`` turns what is stored into rows with an id."""
-        reader, empty = self.spark.read.schema(schema).option("recursiveFileLookup", "true"), self.spark.createDataFrame([], f"{schema}, part string")
+        """Rows of all parts but deleted ones, with ``part`` and ``file``; ``rows`` turns what is stored into rows with an id."""
+        reader, empty = self.spark.read.schema(schema).option("recursiveFileLookup", "true"), self.spark.createDataFrame([], f"{schema}, part string, file long")
         dirty = sorted({p for g in about["gone"].values() for p in g} & about["parts"].keys())
         clean = [p for p in about["parts"] if p not in dirty]
         part = F.regexp_extract(F.col("_metadata.file_path"), "part-[0-9a-f]+", 0)
 
         def stored(parts: list[str], below: list[str] | None = None) -> DataFrame:
             at = self._paths(name, parts, kind) if below is None else below
-            found = reader.parquet(*at).withColumn("part", part) if at else empty
+            found = reader.parquet(*at).withColumns({"part": part, "file": _file()}) if at else empty
             found = found if where is None else found.filter(where)
             return rows(found) if rows else found
 
         if not dirty:
             return stored(clean)
         gone, kept = self._gone(name, about), [stored(clean)] if clean else []
-        runs = [] if self._few(about) or kind != "terms-" else [r for p in dirty for r in self._runs(name, about, p)]
-        for p, below, lost in runs:
-            kept.append(stored([], below).join(F.broadcast(gone.filter((F.col("part") == p) & lost).select("id")), "id", "left_anti"))
-        whole = [p for p in dirty if p not in {r[0] for r in runs}]
+        shelved = [] if self._few(about) or kind != "terms-" else [p for p in dirty if p in about.get("shelved", [])]
+        for below, lost, shares in self._runs(name, about, shelved):
+            for k in range(shares):
+                mine = F.pmod(F.xxhash64("id"), F.lit(shares)) == k
+                kept.append(stored([], below).filter(mine).join(F.broadcast(lost.filter(mine).select("id")), "id", "left_anti"))
+        whole = [p for p in dirty if p not in shelved]
         if whole:
             kept.append(stored(whole).join(gone, ["part", "id"], "left_anti"))
         return reduce(DataFrame.unionByName, kept)
 
-    def _runs(self, name: str, about: dict, part: str) -> list[tuple[str, list[str], Column]]:
-        """(part, folders, condition): a part's shelves in runs from which so few rows are deleted that these can be sent, and which those are."""
-        if part not in about.get("shelves", {}):
-            return []
-        spans, shelves = about["shelves"][part]
-        lost = sum(g[part][0] for g in about["gone"].values() if part in g)
-        step = max(1, 4 * SENT_ROWS * shelves // (5 * lost))  # a fifth less, as shelves differ
-        there = {int(f.partition("=")[2]): f for f in self.files.names(f"{self._at(name)}/terms-{part}") if f.startswith("shelf=")}
-        runs = ((k, [f"{self._at(name)}/terms-{part}/{f}" for s, f in there.items() if k <= s < k + step]) for k in range(0, shelves, step))
-        return [(part, below, _shelf(spans, shelves).between(k, k + step - 1)) for k, below in runs if below]
+    def _runs(self, name: str, about: dict, parts: list[str]) -> Iterator[tuple[list[str], DataFrame, int]]:
+        """(folders, deleted rows, shares): the shelves of these parts in runs from which so few rows are deleted that these can be sent, in as many shares where one file alone has lost more."""
+        if not parts:
+            return
+        gone = self._gone(name, about, f"{GONE_SCHEMA}, file long").filter(F.col("part").isin(parts))
+        lost = {(r["part"], r["file"]): r["count"] for r in gone.groupBy("part", "file").count().collect()}  # one row for each file
+        for p in parts:
+            there = defaultdict(list)
+            for folder in self.files.names(f"{self._at(name)}/terms-{p}"):
+                if folder.startswith("shelf="):
+                    there[int(folder.partition("=")[2]) // FILE_SHELVES].append(f"{self._at(name)}/terms-{p}/{folder}")
+            runs, n = [], 0
+            for file in sorted(there):
+                more = lost.get((p, file), 0)
+                if not runs or n + more > SENT_ROWS:
+                    runs.append([])
+                    n = 0
+                runs[-1].append(file)
+                n += more
+            for files in runs:
+                n = sum(lost.get((p, file), 0) for file in files)
+                yield [f for file in files for f in there[file]], gone.filter((F.col("part") == p) & F.col("file").between(files[0], files[-1])), max(1, -(-n // SENT_ROWS))
 
     def _few(self, about: dict) -> bool:
         """Whether all deleted rows can be sent to every task."""
         return sum(n for g in about["gone"].values() for n, _ in g.values()) <= SENT_ROWS
 
-    def _gone(self, name: str, about: dict) -> DataFrame:
-        gone = self.spark.read.schema(GONE_SCHEMA).parquet(*self._paths(name, about["gone"]))
+    def _gone(self, name: str, about: dict, schema: str = GONE_SCHEMA) -> DataFrame:
+        gone = self.spark.read.schema(schema).parquet(*self._paths(name, about["gone"]))
         return F.broadcast(gone) if self._few(about) else gone
 
     def _of(self, name: str, parts: list[str] | None) -> dict:
@@ -375,11 +423,11 @@ class Store:
 
     def read(self, name: str, parts: list[str] | None = None) -> DataFrame:
         """The rows, by default of all parts."""
-        return self._live(name, self._of(name, parts), PART_SCHEMA).drop("part", "n_terms")
+        return self._live(name, self._of(name, parts), PART_SCHEMA).drop("part", "file", "n_terms")
 
     def fetch(self, name: str, wanted: list[str], parts: list[str] | None = None) -> DataFrame:
         """The rows with these ids (few), by reading the row groups that may hold them."""
-        return self._live(name, self._of(name, parts), PART_SCHEMA, where=any_of("id", wanted)).drop("part", "n_terms")
+        return self._live(name, self._of(name, parts), PART_SCHEMA, where=any_of("id", wanted)).drop("part", "file", "n_terms")
 
     def query(self, name: str, where=None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
         """Filtered rows by id; without a filter at most the query cap."""
@@ -394,7 +442,7 @@ class Store:
         about = self.describe(name)
         if not about["hybrid"]:
             raise ValueError(f"collection {name!r} has no full-text index")
-        return self._live(name, about | {"gone": {}}, BLOCK_SCHEMA, "terms-")
+        return self._live(name, about | {"gone": {}}, BLOCK_SCHEMA, "terms-").drop("file")
 
     def gone(self, name: str) -> DataFrame | None:
         """(part, id) of deleted rows that parts still hold; None if there are none."""
@@ -433,24 +481,35 @@ class Store:
 
     def _written(self, name: str, about: dict, rows: DataFrame) -> dict[str, list[int]]:
         """A new part with its full-text index, and its numbers of rows and terms; nothing for no rows."""
-        part = f"part-{uuid.uuid4().hex}"
-        at, toks = f"{self._at(name)}/{part}", text_.tokens(F.coalesce("content", F.lit("")))
+        part, toks = f"part-{uuid.uuid4().hex}", text_.tokens(F.coalesce("content", F.lit("")))
         ready = self.validated(rows, about["dimension"]).withColumn("n_terms", F.size(toks).cast("long") if about["hybrid"] else F.lit(0).cast("long"))
-        ready.sortWithinPartitions("id").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.enabled#relative_path", "true").parquet(at)
-        stored = self.spark.read.schema(PART_SCHEMA).parquet(at)
-        n, terms, chars = stored.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n_terms"), F.length("content"))]).first()
+        stored = self._stored(name, part, ready)
+        n, terms, once = stored.agg(F.count("*"), F.coalesce(F.sum("n_terms"), F.lit(0)), F.count_distinct("id") if about["hybrid"] else F.count("*")).first()
+        if once < n:  # postings of one id become one: its rows have to lie together
+            first, part = part, f"part-{uuid.uuid4().hex}"
+            chars = stored.agg(F.coalesce(F.sum(F.length("content")), F.lit(0))).first()[0]
+            stored = self._stored(name, part, stored.repartition(1 + chars // SHELF_CHARS, "id"), 1 << 30)  # one row group a file
+            self.files.delete(f"{self._at(name)}/{first}")
         if about["hybrid"]:
-            shelves = 1 + max(chars // SHELF_CHARS, 2 * n // SENT_ROWS)
-            spans = max(shelves, n // (8 * SPAN_ROWS))  # of each length, which a part has about eight common ones of
-            span = F.floor(4 * F.log2(F.col("n_terms") + 1)) * spans + _slot(spans)
-            rows = stored.filter("n_terms > 0").select(_shelf(spans, shelves).alias("shelf"), span.cast("long").alias("span"), "id", F.col("n_terms").alias("dl"), "content")
-            # Texts are dealt by shelf, in which all of their postings stay.
-            dealt = rows.repartitionByRange(shelves, "shelf").select("shelf", "span", "id", "dl", F.array_join(toks, " ").alias("words"))
-            made = dealt.groupBy("shelf").applyInArrow(_blocks, f"shelf int, {BLOCK_SCHEMA}")
+            words = self._by_shelf().read.schema(PART_SCHEMA).parquet(f"{self._at(name)}/{part}").filter("n_terms > 0").select(_file().alias("file"), "id", F.col("n_terms").alias("dl"), F.array_join(toks, " ").alias("words"))
+            made = words.mapInArrow(_shelved(SHELF_CHARS), f"shelf long, {BLOCK_SCHEMA}")
             made.sortWithinPartitions("shelf", "term", "span").write.option("compression", "zstd").partitionBy("shelf").parquet(f"{self._at(name)}/terms-{part}")
-            about.setdefault("shelves", {})[part] = [spans, shelves]
+            about["shelved"] = [*about.get("shelved", []), part]
         return {part: [n, terms]}
 
+    def _by_shelf(self) -> SparkSession:
+        """A session whose tasks read a row group or two, so that the blocks that one of them sorts stay in memory."""
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+        session.conf.set("spark.sql.files.openCostInBytes", str(SPLIT_BYTES // 8))
+        return session
+
+    def _stored(self, name: str, part: str, rows: DataFrame, group: int = SHELF_CHARS) -> DataFrame:
+        """The rows as files of a part, sorted by id within each, in row groups of about so many bytes."""
+        at = f"{self._at(name)}/{part}"
+        rows.sortWithinPartitions("id").write.option("compression", "zstd").option("parquet.block.size", str(group)).option("parquet.bloom.filter.enabled#id", "true").option("parquet.bloom.filter.enabled#relative_path", "true").parquet(at)
+        return self.spark.read.schema(PART_SCHEMA).parquet(at)
+
     def _commit(self, name: str, at: int, about: dict, parts: dict, gone: dict) -> None:
         """Make these parts and deletions current; what is no longer needed is retired, and goes once ``retention`` is over."""
         gone = {g: held for g, held in gone.items() if held.keys() & parts.keys()}
@@ -458,7 +517,7 @@ class Store:
         retired = about["retired"] | {f: time.time() for f in about["parts"].keys() | about["gone"].keys() if f not in needed}
         over = [f for f, since in retired.items() if since + self.retention <= time.time()]
         version = max(parts, default=None) if parts.keys() - about["parts"].keys() else about["version"] if parts else None
-        self._pointer(name).move(at, about | {"version": version, "parts": parts, "shelves": {p: s for p, s in about.get("shelves", {}).items() if p in parts}, "gone": gone, "retired": {f: t for f, t in retired.items() if f not in over}})
+        self._pointer(name).move(at, about | {"version": version, "parts": parts, "shelved": [p for p in about.get("shelved", []) if p in parts], "gone": gone, "retired": {f: t for f, t in retired.items() if f not in over}})
         for folder in over:
             self.files.delete(f"{self._at(name)}/{folder}")
             self.files.delete(f"{self._at(name)}/terms-{folder}")
@@ -475,7 +534,7 @@ class Store:
 
     def _deleted(self, name: str, about: dict, column: str, stale: list[str] | DataFrame) -> dict:
         """A deletion vector for the rows whose ``column`` has one of these values, and its counts by part."""
-        rows = lambda found: found.select("part", column, "n_terms", *([] if column == "id" else ["id"]))
+        rows = lambda found: found.select("part", "file", column, "n_terms", *([] if column == "id" else ["id"]))
         if isinstance(stale, DataFrame):
             keys = stale.select(column).distinct()
             few = [r[0] for r in keys.limit(10 * PUSHED + 1).collect()]
@@ -485,7 +544,7 @@ class Store:
         else:
             hit = self._live(name, about, PART_SCHEMA, where=any_of(column, stale), rows=rows)
         folder = f"gone-{uuid.uuid4().hex}"
-        hit.select("part", "id", "n_terms").write.parquet(f"{self._at(name)}/{folder}")
+        hit.select("part", "file", "id", "n_terms").write.parquet(f"{self._at(name)}/{folder}")
         counts = self.spark.read.schema(f"{GONE_SCHEMA}, n_terms long").parquet(f"{self._at(name)}/{folder}").groupBy("part").agg(F.count("*"), F.sum("n_terms")).collect()  # one row for each part
         if not counts:
             self.files.delete(f"{self._at(name)}/{folder}")

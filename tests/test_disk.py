@@ -49,6 +49,14 @@ def test_texts_are_exchanged_and_postings_are_not(spark, texts, name):
     assert shuffled(spark) - before < 1.2 * size
 
 
+def test_an_index_exchanges_no_texts(spark, texts):
+    """Shelves are made where the texts lie; only ids are exchanged."""
+    folder, size = texts
+    before = shuffled(spark)
+    assert QUERIES["store_delete"](spark, folder).count() == 1600
+    assert shuffled(spark) - before < 0.1 * size
+
+
 def chunks(spark, n: int, text):
     return spark.range(n).select(F.col("id").cast("string").alias("id"), F.array(F.lit(1.0).cast("float")).alias("vector"), text.alias("content"), F.concat("id", F.lit(".py")).alias("relative_path"), F.lit(1).cast("long").alias("start_line"), F.lit(1).cast("long").alias("end_line"), F.lit(".py").alias("file_extension"), F.lit("{}").alias("metadata")).select(*[c.split(" ")[0] for c in CHUNK_SCHEMA.split(", ")])
 
@@ -119,6 +127,35 @@ def test_many_deleted_rows_move_no_postings(spark, tmp_path, monkeypatch):
     assert s.read("c").count() == s.count("c") and sorted(map(tuple, left.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_one_file_loses_more_than_is_sent(spark, tmp_path, monkeypatch):
+    """The deleted rows of one file go in several shares."""
+    monkeypatch.setattr(stored, "SENT_ROWS", 10)
+    s = Store(spark, str(tmp_path))
+    s.create("c", 1)
+    rows = chunks(spark, 90, F.concat_ws(" ", F.lit("fox"), F.concat(F.lit("w"), F.col("id") % 7)))
+    s.insert("c", rows.coalesce(1))
+    s.delete("c", rows.filter("id % 3 > 0").select("id"))
+    left = s.postings("c")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 6
+    want = search.postings(s.read("c")).join(search.doc_stats(s.read("c")), "id").select("term", "id", "tf", "dl")
+    assert s.count("c") == 30 and sorted(map(tuple, left.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_an_id_in_several_files_counts_once(spark, tmp_path, monkeypatch):
+    """Rows of one id that come from several partitions share their postings, however the shelves are cut."""
+    monkeypatch.setattr(stored, "SHELF_CHARS", 300)
+    s = Store(spark, str(tmp_path))
+    s.create("c", 1)
+    rows = chunks(spark, 120, F.concat_ws(" ", F.lit("fox"), F.concat(F.lit("w"), F.col("id") % 7), F.lit("fox")))
+    s.insert("c", rows.unionByName(rows.filter("id % 4 = 0")))
+    found = s.postings("c").collect()
+    assert s.count("c") == 150 and len({(x["term"], x["id"]) for x in found}) == len(found)
+    assert {x["tf"] for x in found if x["term"] == "fox" and int(x["id"]) % 4 == 0} == {4}
+    assert {x["tf"] for x in found if x["term"] == "fox" and int(x["id"]) % 4} == {2}
+    assert len(s.describe("c")["parts"]) == 1 == len(glob.glob(f"{tmp_path}/c/part-*"))
+
+
 def test_one_collection_at_a_time(spark, texts, monkeypatch):
     """Each language's collection goes before the next one is filled."""
     seen, insert = [], Store.insert
